@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import near_dedup
+from quillspark.llm import near_dedup, substring_dedup
 from quillspark.llm.runtime import read_table
 
 
@@ -13,8 +13,11 @@ def _documents(operator):
 def queries() -> dict:
     return {
         "op8_hyperminhash_dedup": _documents(near_dedup.near_duplicates),
+        "op9_debruijn_substring_dedup": _documents(substring_dedup.remove_repeats),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_debruijn_substring_dedup": substring_dedup.ORACLE,
+    }
