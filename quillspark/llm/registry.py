@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import near_dedup, substring_dedup, token_output
+from quillspark.llm import near_dedup, quality_rules, substring_dedup, token_output
 from quillspark.llm.runtime import read_table
 
 
@@ -12,6 +12,7 @@ def _documents(operator):
 
 def queries() -> dict:
     return {
+        "op3_quality_rules": _documents(quality_rules.quality_rules),
         "op5_context_mixing_tokens": _documents(token_output.token_output),
         "op8_hyperminhash_dedup": _documents(near_dedup.near_duplicates),
         "op9_debruijn_substring_dedup": _documents(substring_dedup.remove_repeats),
@@ -20,5 +21,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_quality_rules": quality_rules.oracle(),
         "op9_debruijn_substring_dedup": substring_dedup.ORACLE,
     }
