@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import near_dedup, quality_rules, substring_dedup, token_output
+from quillspark.llm import decontaminate, near_dedup, quality_rules, substring_dedup, token_output
 from quillspark.llm.runtime import read_table
 
 
@@ -12,6 +12,7 @@ def _documents(operator):
 
 def queries() -> dict:
     return {
+        "op1_containment_decontamination": decontaminate.query,
         "op3_quality_rules": _documents(quality_rules.quality_rules),
         "op5_context_mixing_tokens": _documents(token_output.token_output),
         "op8_hyperminhash_dedup": _documents(near_dedup.near_duplicates),
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_containment_decontamination": decontaminate.oracle(),
         "op3_quality_rules": quality_rules.oracle(),
         "op9_debruijn_substring_dedup": substring_dedup.ORACLE,
     }
