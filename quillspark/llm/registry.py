@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, token_output
+from quillspark.llm import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, token_output, warc
 from quillspark.llm.runtime import read_table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op1_containment_decontamination": decontaminate.query,
         "op3_quality_rules": _documents(quality_rules.quality_rules),
         "op5_context_mixing_tokens": _documents(token_output.token_output),
+        "op6_warc_transactions": warc.query,
         "op8_hyperminhash_dedup": _documents(near_dedup.near_duplicates),
         "op10_temperature_mixing": _documents(mixing.mix),
         "op9_debruijn_substring_dedup": _documents(substring_dedup.remove_repeats),
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_containment_decontamination": decontaminate.oracle(),
         "op3_quality_rules": quality_rules.oracle(),
         "op10_temperature_mixing": mixing.ORACLE,
+        "op6_warc_transactions": warc.ORACLE,
         "op9_debruijn_substring_dedup": substring_dedup.ORACLE,
     }
