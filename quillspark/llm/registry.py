@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, token_output, warc
+from quillspark.llm import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_output, warc
 from quillspark.llm.runtime import read_table
 
 
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op3_quality_rules": _documents(quality_rules.quality_rules),
         "op5_context_mixing_tokens": _documents(token_output.token_output),
         "op6_warc_transactions": warc.query,
+        "op7_rule_ensemble_quality": quality_classifier.query,
         "op8_hyperminhash_dedup": _documents(near_dedup.near_duplicates),
         "op10_temperature_mixing": _documents(mixing.mix),
         "op9_debruijn_substring_dedup": _documents(substring_dedup.remove_repeats),
