@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_output, warc
+from quillspark.llm import decontaminate, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, token_output, warc
 from quillspark.llm.runtime import read_table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
     return {
         "op1_containment_decontamination": decontaminate.query,
         "op3_quality_rules": _documents(quality_rules.quality_rules),
+        "op4_bootstrapped_pii": _documents(pii.personal_data),
         "op5_context_mixing_tokens": _documents(token_output.token_output),
         "op6_warc_transactions": warc.query,
         "op7_rule_ensemble_quality": quality_classifier.query,
