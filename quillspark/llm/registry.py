@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, token_output, warc
+from quillspark.llm import decontaminate, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, token_output, warc
 from quillspark.llm.runtime import read_table
 
 
@@ -11,8 +11,12 @@ def _documents(operator):
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_containment_decontamination": decontaminate.query,
+        "op2_fuzzy_line_dedup": _documents(line_dedup.line_dedup),
         "op3_quality_rules": _documents(quality_rules.quality_rules),
         "op4_bootstrapped_pii": _documents(pii.personal_data),
         "op5_context_mixing_tokens": _documents(token_output.token_output),
