@@ -1,6 +1,667 @@
-"""Named queries over the driver tables, each with its SQL oracle."""
+"""Named queries over the driver tables, each with DuckDB SQL of the same result.
+
+``documents`` stand for files and chunks (/source/doc_id.txt in the repository named by
+their source), ``embeddings`` for vectors, ``conversations`` for notes, ``events`` for file
+changes. Floats are rounded to six places and ties go by id.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark import constants as C
+from quillspark.functions import files, identity, text, vectors
+from quillspark.operators import chunking, indexing, keyword, reports, results, search, store
+from quillspark.streaming import watch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def register(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = sql
+        return function
+
+    return register
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), path.alias("source_path"), F.col("source").alias("repo"), F.col("lang").alias("language"))
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as one chunk with a time from its id."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 977 % 5_000_000)
+    rows = _docs(spark, sf).withColumns({"content_hash": identity.content_hash(F.col("content")), "chunk_index": F.lit(0), "start_line": F.lit(1), "end_line": F.size(chunking.lines(F.col("content"))), "indexed_at": F.when(F.col("id") % 11 != 0, at)})
+    # every 13th stands in for a note
+    return rows.withColumn("repo", F.when(F.col("id") % 13 == 0, F.lit(C.NOTE_REPO)).otherwise(F.col("repo")))
+
+
+CTE = "c AS (SELECT doc_id AS id, coalesce(text, '') AS content, '/' || source || '/' || doc_id || '.txt' AS source_path, source AS repo, lang AS language FROM documents)"
+CHUNK_CTE = f"""{CTE}, ch AS (SELECT id, content, sha256(content) AS content_hash, source_path, CASE WHEN id % 13 = 0 THEN '{C.NOTE_REPO}' ELSE repo END AS repo, language,
+  len(string_split(content, chr(10))) - (CASE WHEN content = '' OR ends_with(content, chr(10)) THEN 1 ELSE 0 END) AS end_line,
+  CASE WHEN id % 11 <> 0 THEN 1700000000 + id * 977 % 5000000 END AS noted FROM c)"""
+TOKENS = r"tok AS (SELECT id, list_filter(regexp_split_to_array(strip_accents(lower(content)), '[^\p{L}\p{N}\p{Co}]+'), lambda x: x <> '') AS t FROM c)"
+WORDS = "hend oransh thonre thin hend"
+PHRASE_WORDS = "of.the hend in_the"
+
+
+def _bm25_sql(words: str) -> str:
+    parts = []
+    for p in text.phrases(words):
+        follow = " AND ".join(f"t[i + {k}] = '{w}'" for k, w in enumerate(p))
+        parts.append(f"len(list_filter(range(1, len(t) + {2 - len(p)}), lambda i: {follow}))")
+    n = len(parts)
+    tf = ", ".join(f"{p} AS f{i}" for i, p in enumerate(parts))
+    df = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(n))
+    score = " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), {C.BM25_LEAST_IDF}) * f{i} * {C.BM25_K1 + 1} / (f{i} + {C.BM25_K1} * (1 - {C.BM25_B} + {C.BM25_B} * l / a))" for i in range(n))
+    some = " OR ".join(f"f{i} > 0" for i in range(n))
+    return f"{TOKENS}, tf AS (SELECT id, len(t) AS l, {tf} FROM tok), st AS (SELECT count(*) AS n, avg(l) AS a, {df} FROM tf), bm AS (SELECT id, {score} AS score FROM tf, st WHERE {some})"
+
+
+# --- keyword ---
+
+
+@_query("fts_query_build", """SELECT item_id, array_to_string(list_transform(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda t: length(t) > 1), lambda t: '"' || replace(t, '"', '""') || '"'), ' OR ') AS expression FROM benchmark""")
+def fts_query_build(spark, sf):
+    return _table(spark, sf, "benchmark").select("item_id", text.match_expression(F.col("text")).alias("expression"))
+
+
+@_query("tokenize_terms", f"WITH {CTE}, {TOKENS} SELECT id, len(t)::INT AS n_terms, sha256(array_to_string(t, ' ')) AS terms_hash FROM tok")
+def tokenize_terms(spark, sf):
+    t = text.terms(F.col("content"))
+    return _docs(spark, sf).select("id", t.alias("t")).select("id", F.size("t").alias("n_terms"), F.sha2(F.array_join("t", " "), 256).alias("terms_hash"))
+
+
+@_query("doc_freq", f"WITH {CTE}, {TOKENS} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tok) GROUP BY 1")
+def doc_freq(spark, sf):
+    return keyword.document_frequency(_docs(spark, sf))
+
+
+def _bm25_query(words: str, top_k: int, repo: str | None = None):
+    def run(spark, sf):
+        return search.bm25_search(_with_lines(_docs(spark, sf)), words, top_k, repo).select("id", "source_path", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def _with_lines(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"start_line": F.lit(1), "end_line": F.size(chunking.lines(F.col("content")))})
+
+
+_query("bm25_topk", f"WITH {CTE}, {_bm25_sql(WORDS)} SELECT id, source_path, round(score, 6) AS score FROM bm JOIN c USING (id) ORDER BY bm.score DESC, id LIMIT 20")(_bm25_query(WORDS, 20))
+_query("bm25_phrase", f"WITH {CTE}, {_bm25_sql(PHRASE_WORDS)} SELECT id, source_path, round(score, 6) AS score FROM bm JOIN c USING (id) ORDER BY bm.score DESC, id LIMIT 20")(_bm25_query(PHRASE_WORDS, 20))
+_query(
+    "bm25_repo_filter",
+    f"WITH {CTE}, {_bm25_sql(WORDS)}, top AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 100) SELECT id, source_path, round(score, 6) AS score FROM top JOIN c USING (id) WHERE repo = 'src1' ORDER BY top.score DESC, id LIMIT 20",
+)(_bm25_query(WORDS, 20, "src1"))
+
+
+@_query("bm25_index", f"WITH {CTE}, {_bm25_sql(PHRASE_WORDS)} SELECT id, round(score, 6) AS score FROM bm")
+def bm25_index(spark, sf):
+    docs = _docs(spark, sf)
+    return keyword.bm25_index(keyword.postings(docs), keyword.lengths(docs), text.phrases(PHRASE_WORDS)).select("id", F.round("score", 6).alias("score"))
+
+
+@_query("postings_stats", f"WITH {CTE}, {TOKENS}, p AS (SELECT id, unnest(t) AS term FROM tok), q AS (SELECT term, id, count(*) AS tf FROM p GROUP BY 1, 2) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM q GROUP BY 1")
+def postings_stats(spark, sf):
+    return keyword.postings(_docs(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+
+
+# --- vectors ---
+
+
+def _vectors(spark, sf):
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def _query_vector(spark, sf, k: int = 0) -> list[float]:
+    return [float(x) for x in _table(spark, sf, "embeddings").where(F.col("vec_id") == k).first()["embedding"]]
+
+
+KNN = "kn AS (SELECT vec_id AS id, list_cosine_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS distance FROM embeddings)"
+
+
+@_query("knn_cosine", f"WITH {KNN} SELECT id, abs(round(distance, 6)) AS distance FROM kn ORDER BY kn.distance, id LIMIT 20")
+def knn_cosine(spark, sf):
+    return search.knn(_vectors(spark, sf), _query_vector(spark, sf), 20).select("id", F.abs(F.round("distance", 6)).alias("distance"))
+
+
+@_query("knn_repo_filter", f"WITH {CTE}, {KNN}, top AS (SELECT * FROM kn ORDER BY distance, id LIMIT 100) SELECT id, source_path, abs(round(distance, 6)) AS score FROM top JOIN c USING (id) WHERE repo = 'src1' ORDER BY top.distance, id LIMIT 20")
+def knn_repo_filter(spark, sf):
+    found = search.vector_search(_with_lines(_docs(spark, sf)), _vectors(spark, sf), _query_vector(spark, sf), 20, "src1")
+    return found.select("id", "source_path", F.abs(F.round("score", 6)).alias("score"))
+
+
+@_query("l2_normalize", "SELECT vec_id AS id, round(v[1], 5) AS first, round(v[64], 5) AS last, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS norm FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id + 1)) AS e FROM embeddings))")
+def l2_normalize(spark, sf):
+    scaled = _vectors(spark, sf).select("id", F.transform("vector", lambda x: (x.cast("double") * (F.col("id") + 1))).alias("vector"))
+    unit = scaled.select("id", vectors.l2_normalize(F.col("vector")).alias("v"))
+    return unit.select("id", F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"), F.round(F.get("v", F.lit(63)).cast("double"), 5).alias("last"), F.round(F.sqrt(vectors.dot(F.col("v"), F.col("v"))), 5).alias("norm"))
+
+
+@_query("vector_roundtrip", "SELECT vec_id AS id, len(embedding)::INT AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def vector_roundtrip(spark, sf):
+    back = F.transform(F.transform("vector", lambda x: x.cast("double")), lambda x: x.cast("float"))
+    return _vectors(spark, sf).select("id", back.alias("v")).select("id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+@_query("embed_input", f"SELECT doc_id AS id, sha256(substr(coalesce(text, ''), 1, {C.EMBED_CHARS})) AS input_hash FROM documents")
+def embed_input(spark, sf):
+    return _docs(spark, sf).select("id", F.sha2(F.substring("content", 1, C.EMBED_CHARS), 256).alias("input_hash"))
+
+
+@_query(
+    "hash_embed",
+    r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM benchmark), b AS (SELECT item_id, md5(unnest(ws)) AS h FROM w),
+d AS (SELECT item_id, list_reduce(list_transform(range(1, 33, 2), lambda k: (strpos('0123456789abcdef', h[k]) - 1) * 16 + strpos('0123456789abcdef', h[k + 1]) - 1), lambda s, x: (s * 256 + x) % 768) AS bucket FROM b),
+k AS (SELECT item_id, bucket, count(*) AS n FROM d GROUP BY 1, 2)
+SELECT item_id, bucket::BIGINT AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS value FROM k""",
+)
+def hash_embed(spark, sf):
+    from pyspark.sql import Window
+
+    words = _table(spark, sf, "benchmark").select("item_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("w"))
+    counts = words.groupBy("item_id", vectors.bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("n"))
+    return counts.select("item_id", "bucket", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("item_id"))), 6).alias("value"))
+
+
+# --- fusion ---
+
+FUSED = f"""{CHUNK_CTE}, {KNN}, {_bm25_sql(WORDS)},
+v AS (SELECT id, row_number() OVER (ORDER BY distance, id) - 1 AS vr FROM (SELECT * FROM kn ORDER BY distance, id LIMIT 50)),
+b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS br FROM (SELECT * FROM bm ORDER BY score DESC, id LIMIT 50)),
+fu AS (SELECT coalesce(v.id, b.id) AS id, vr, br, coalesce(1 / (60 + vr + 1), 0) + coalesce(1 / (60 + br + 1), 0) AS score FROM v FULL JOIN b ON v.id = b.id ORDER BY score DESC, vr NULLS LAST, br NULLS LAST LIMIT 50)"""
+FUSED_ORDER = "ORDER BY fu.score DESC, vr NULLS LAST, br NULLS LAST LIMIT 10"
+
+
+def _hybrid(repo: str | None = None, include_notes: bool = True):
+    def run(spark, sf):
+        found = search.hybrid_search(_chunks(spark, sf), _vectors(spark, sf), _query_vector(spark, sf), WORDS, 10, repo, include_notes)
+        return found.select("id", "source_path", "repo", F.round("score", 6).alias("score"))
+
+    return run
+
+
+for _name, _where, _args in (("hybrid_rrf", "true", {}), ("hybrid_repo_filter", "repo = 'src1'", {"repo": "src1"}), ("search_no_notes", f"repo <> '{C.NOTE_REPO}'", {"include_notes": False})):
+    _query(_name, f"WITH {FUSED} SELECT id, source_path, repo, round(score, 6) AS score FROM fu JOIN ch USING (id) WHERE {_where} {FUSED_ORDER}")(_hybrid(**_args))
+
+
+@_query("explain_ranks", f"WITH {FUSED} SELECT id, round(score, 6) AS score, vr + 1 AS vector_rank, br + 1 AS bm25_rank FROM fu JOIN ch USING (id) {FUSED_ORDER}")
+def explain_ranks(spark, sf):
+    found = search.explain(_chunks(spark, sf), _vectors(spark, sf), _query_vector(spark, sf), WORDS, 10)
+    return found.select("id", F.round("score", 6).alias("score"), F.col("vector_rank").cast("long").alias("vector_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
+
+
+@_query(
+    "rrf_nary",
+    "WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS r FROM documents), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents WHERE lang = 'en'), d AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings) SELECT id, round(sum(1 / (60 + r + 1)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM d) GROUP BY 1",
+)
+def rrf_nary(spark, sf):
+    from pyspark.sql import Window
+
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", "lang")
+    a = docs.withColumn("rank", F.row_number().over(Window.orderBy("n_chars", "id")) - 1)
+    b = docs.where("lang = 'en'").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "id")) - 1)
+    d = _vectors(spark, sf).withColumn("rank", F.row_number().over(Window.orderBy("id")) - 1)
+    return search.rrf(a, b, d).select("id", F.round("score", 6).alias("score"))
+
+
+@_query("tool_markdown", f"WITH {FUSED} SELECT id, sha256('### ' || source_path || ' (lines 1-' || end_line || ')' || chr(10) || '```' || language || chr(10) || content || chr(10) || '```' || chr(10)) AS markdown_hash FROM fu JOIN ch USING (id) {FUSED_ORDER}")
+def tool_markdown(spark, sf):
+    found = search.hybrid_search(_chunks(spark, sf), _vectors(spark, sf), _query_vector(spark, sf), WORDS, 10)
+    return results.markdown(found).select("id", F.sha2("markdown", 256).alias("markdown_hash"))
+
+
+# --- splitting ---
+
+LINES = "ln AS (SELECT id, source_path, language, CASE WHEN ends_with(x, chr(10)) THEN string_split(x[:-2], chr(10)) ELSE string_split(x, chr(10)) END AS l FROM (SELECT *, {} AS x FROM c))"
+BLANK = "trim(content, ' ' || chr(9) || chr(10) || chr(13))"
+WINDOWS = f"wi AS (SELECT id, i, i + 1 AS start_line, least(i + {C.CHUNK_LINES}, len(l)) AS end_line, array_to_string(l[i + 1:i + {C.CHUNK_LINES}], chr(10)) AS content FROM (SELECT id, l, unnest(range(0, len(l), {C.CHUNK_STRIDE})) AS i FROM ln))"
+PIECES = f"SELECT id, (row_number() OVER (PARTITION BY id ORDER BY start_line, end_line) - 1)::INT AS chunk_index, start_line::INT AS start_line, end_line::INT AS end_line, sha256(content) AS content_hash FROM"
+
+
+def _exploded(rows: DataFrame, chunks) -> DataFrame:
+    return rows.select("id", F.posexplode(chunks).alias("chunk_index", "c")).select("id", "chunk_index", "c.start_line", "c.end_line", F.sha2("c.content", 256).alias("content_hash"))
+
+
+@_query("chunk_lines", f"WITH {CTE}, {LINES.format('content')}, {WINDOWS} {PIECES} wi WHERE {BLANK} <> ''")
+def chunk_lines(spark, sf):
+    return _exploded(_docs(spark, sf), chunking.windows(chunking.lines(F.col("content"))))
+
+
+@_query("page_lines", f"WITH c AS (SELECT page_id AS id, url AS source_path, '' AS language, coalesce(html, '') AS content FROM pages), {LINES.format('content')}, {WINDOWS} {PIECES} wi WHERE {BLANK} <> ''")
+def page_lines(spark, sf):
+    return _exploded(_table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.coalesce("html", F.lit("")).alias("content")), chunking.windows(chunking.lines(F.col("content"))))
+
+
+_HEADED = "replace(content, chr(10) || 'Th', chr(10) || '# Th')"
+HEADINGS = f"""hx AS (SELECT id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS n FROM ln),
+hs AS (SELECT id, n, x, sum(CASE WHEN n > 1 AND starts_with(x, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS s FROM hx),
+he AS (SELECT id, min(n) AS start_line, max(n) AS end_line, trim(string_agg(x, chr(10) ORDER BY n), ' ' || chr(9) || chr(10) || chr(13)) AS content FROM hs GROUP BY id, s)"""
+
+
+@_query("chunk_headings", f"WITH {CTE}, {LINES.format(_HEADED)}, {HEADINGS} {PIECES} he WHERE content <> ''")
+def chunk_headings(spark, sf):
+    marked = F.replace("content", F.lit("\nTh"), F.lit("\n# Th"))
+    return _exploded(_docs(spark, sf).withColumn("x", marked), chunking.headings(chunking.lines(F.col("x"))))
+
+
+_DECLARED = "replace(content, chr(10) || 'Th', chr(10) || 'func Th')"
+DECLARED = f"""dx AS (SELECT id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS n FROM ln),
+ds AS (SELECT id, n, x, sum(CASE WHEN regexp_matches(x, '^func\\s+\\w+') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS s, max(CASE WHEN regexp_matches(x, '^func\\s+\\w+') THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS marked FROM dx),
+de AS (SELECT id, s, min(n) AS start_line, max(n) AS end_line, string_agg(x, chr(10) ORDER BY n) AS content FROM ds WHERE marked = 1 GROUP BY id, s),
+dd AS (SELECT id, start_line, end_line, CASE WHEN s = 0 THEN {BLANK} ELSE content END AS content FROM de WHERE {BLANK} <> ''),
+du AS (SELECT * FROM dd UNION ALL SELECT id, start_line, end_line, content FROM wi WHERE {BLANK} <> '' AND id NOT IN (SELECT id FROM dd))"""
+
+
+@_query("chunk_regex", f"WITH {CTE}, {LINES.format(_DECLARED)}, {WINDOWS}, {DECLARED} {PIECES} du")
+def chunk_regex(spark, sf):
+    marked = F.replace("content", F.lit("\nTh"), F.lit("\nfunc Th"))
+    return _exploded(_docs(spark, sf).withColumn("x", marked), chunking.declarations(F.col("x"), chunking.lines(F.col("x")), C.DECLARATIONS["go"]))
+
+
+OVERSIZED = f"""ov AS (SELECT id, 1 AS start_line, len(l) AS end_line, x AS content FROM (SELECT ln.*, c.content AS x FROM ln JOIN c USING (id)) WHERE length(x) <= {C.MAX_CHUNK_CHARS}
+UNION ALL SELECT wi.id, start_line, end_line, substr(wi.content, 1, {C.MAX_CHUNK_CHARS}) FROM wi JOIN c USING (id) WHERE length(c.content) > {C.MAX_CHUNK_CHARS} AND trim(wi.content, ' ' || chr(9) || chr(10) || chr(13)) <> '')"""
+
+
+@_query("split_oversized", f"WITH {CTE}, {LINES.format('content')}, {WINDOWS}, {OVERSIZED} {PIECES} ov")
+def split_oversized(spark, sf):
+    whole = F.array(F.struct(F.col("content").alias("content"), F.lit(1).alias("start_line"), F.size(chunking.lines(F.col("content"))).alias("end_line")))
+    return _exploded(_docs(spark, sf), chunking.split_oversized(whole))
+
+
+@_query(
+    "chunk_dispatch",
+    f"""WITH {CTE}, k AS (SELECT *, CASE id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'go' ELSE 'yaml' END AS kind FROM c), {LINES.format("CASE id % 3 WHEN 0 THEN " + _HEADED + " WHEN 1 THEN " + _DECLARED + " ELSE content END")}, {WINDOWS}, {HEADINGS}, {DECLARED},
+al AS (SELECT id, start_line, end_line, content FROM he WHERE id % 3 = 0 AND content <> '' UNION ALL SELECT * FROM du WHERE id % 3 = 1 UNION ALL SELECT id, start_line, end_line, content FROM wi WHERE id % 3 = 2 AND {BLANK} <> ''),
+bi AS (SELECT *, row_number() OVER () AS b FROM al), ok AS (SELECT * EXCLUDE (b) FROM bi WHERE length(content) <= {C.MAX_CHUNK_CHARS}),
+bl AS (SELECT id, b, start_line, CASE WHEN ends_with(content, chr(10)) THEN string_split(content[:-2], chr(10)) ELSE string_split(content, chr(10)) END AS l FROM bi WHERE length(content) > {C.MAX_CHUNK_CHARS}),
+bw AS (SELECT id, start_line + i AS start_line, start_line + least(i + {C.CHUNK_LINES}, len(l)) - 1 AS end_line, substr(array_to_string(l[i + 1:i + {C.CHUNK_LINES}], chr(10)), 1, {C.MAX_CHUNK_CHARS}) AS content FROM (SELECT id, l, start_line, unnest(range(0, len(l), {C.CHUNK_STRIDE})) AS i FROM bl)),
+fin AS (SELECT * FROM ok UNION ALL SELECT * FROM bw WHERE {BLANK} <> '')
+{PIECES} fin""",
+)
+def chunk_dispatch(spark, sf):
+    kind = F.element_at(F.array(F.lit("markdown"), F.lit("go"), F.lit("yaml")), (F.col("id") % 3 + 1).cast("int"))
+    x = F.when(F.col("id") % 3 == 0, F.replace("content", F.lit("\nTh"), F.lit("\n# Th"))).when(F.col("id") % 3 == 1, F.replace("content", F.lit("\nTh"), F.lit("\nfunc Th"))).otherwise(F.col("content"))
+    return _exploded(_docs(spark, sf).withColumns({"kind": kind, "x": x}), chunking.split(F.col("x"), F.col("kind"), python=False))
+
+
+@_query("chunk_python")
+def chunk_python(spark, sf):
+    """Sources made from documents: each paragraph becomes a function's text."""
+    body = F.concat(F.lit("import os\nimport re\nimport sys\n\n"), F.array_join(F.transform(chunking.lines(F.col("content")), lambda x, i: F.concat(F.lit("def f"), i.cast("string"), F.lit('():\n    """'), F.regexp_replace(x, r'[\\"]', ""), F.lit('"""\n'))), "\n"))
+    return _exploded(_docs(spark, sf).withColumn("x", body), chunking.split(F.col("x"), F.lit("python")))
+
+
+# --- files ---
+
+_DIRS = ["src", "node_modules", "a/build", "x/.git/y", "lib", ".hidden", "docs"]
+_NAMES = ["m.py", "n.ts", ".env", "p.lock", "README.md", ".secret", "id_rsa", "q.min.js", "r.png", ".cfg.toml", "s.GO", "t", "u.tar.gz", "service-account-1.json", "v.rs", ".env.local"]
+
+
+def _paths(spark, sf) -> DataFrame:
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    path = F.concat(F.lit("/"), F.col("source"), F.lit("/"), pick(_DIRS, F.col("doc_id")), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), pick(_NAMES, F.col("doc_id")))
+    return _table(spark, sf, "documents").select("doc_id", path.alias("path"))
+
+
+def _listed(values: list[str], k: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][{k} % {len(values)} + 1]"
+
+
+PATHS = f"p AS (SELECT doc_id, '/' || source || '/' || {_listed(_DIRS, 'doc_id')} || '/' || doc_id || '/' || {_listed(_NAMES, 'doc_id')} AS path, {_listed(_NAMES, 'doc_id')} AS name, {_listed(_DIRS, 'doc_id')} AS dir FROM documents)"
+_QUOTED = ", ".join(f"'{d}'" for d in C.PRUNED_DIRS)
+
+
+@_query("detect_language", f"WITH {PATHS} SELECT doc_id, coalesce(MAP {{{', '.join(f"'{k}': '{v}'" for k, v in C.LANGUAGES.items())}}}[lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1))], 'unknown') AS language FROM p")
+def detect_language(spark, sf):
+    return _paths(spark, sf).select("doc_id", files.language(F.col("path")).alias("language"))
+
+
+@_query("file_skip", f"""WITH {PATHS} SELECT doc_id, list_has_any(string_split(path, '/'), [{_QUOTED}]) OR {" OR ".join(f"name GLOB '{g}'" for g in C.SKIPPED_NAMES)} OR (starts_with(name, '.') AND NOT regexp_matches(name, '^.+\\.(md|mdx|toml|rst)$')) AS skipped FROM p""")
+def file_skip(spark, sf):
+    return _paths(spark, sf).select("doc_id", files.skipped(F.col("path")).alias("skipped"))
+
+
+@_query("scan_prune", f"WITH {PATHS} SELECT doc_id, path FROM p WHERE NOT (list_has_any(string_split(dir, '/'), [{_QUOTED}]) OR regexp_matches('/' || dir, '/\\.[^.]'))")
+def scan_prune(spark, sf):
+    return _paths(spark, sf).where(~files.pruned(F.col("path")))
+
+
+@_query("file_size_gate", f"SELECT doc_id FROM documents WHERE octet_length(encode(coalesce(text, ''))) * 200 <= {C.MAX_FILE_BYTES}")
+def file_size_gate(spark, sf):
+    sized = _table(spark, sf, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) * 200).alias("length"))
+    return sized.where(F.col("length") <= C.MAX_FILE_BYTES).select("doc_id")
+
+
+@_query("binary_sniff", f"SELECT doc_id, doc_id % 3 = 0 AND octet_length(encode(coalesce(text, ''))) < {C.BINARY_SNIFF_BYTES} AS is_binary FROM documents")
+def binary_sniff(spark, sf):
+    content = F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.when(F.col("doc_id") % 3 == 0, F.lit(b"\x00")).otherwise(F.lit(b"\x10\x01")))
+    return _table(spark, sf, "documents").select("doc_id", files.is_binary(content).alias("is_binary"))
+
+
+_ROOTS = ["/src1", "/src1/lib", "/src2/docs", "/src3/src", "/src4"]
+
+
+@_query("repo_root", f"WITH {PATHS}, r AS (SELECT unnest([{', '.join(f"'{r}'" for r in _ROOTS)}]) AS repo) SELECT doc_id, coalesce(max_by(repo, length(repo)), regexp_extract(any_value(path), '^(.*)/[^/]*$', 1)) AS repo FROM p LEFT JOIN r ON starts_with(path, repo || '/') GROUP BY doc_id")
+def repo_root(spark, sf):
+    return files.repository(_paths(spark, sf), spark.createDataFrame([(r,) for r in _ROOTS], "repo string")).select("doc_id", "repo")
+
+
+_RULES = [("/src1", "*.py"), ("/src1", "docs/"), ("/src1/lib", "# none"), ("/src1/lib", "*.ts"), ("/src2", "li?"), ("/src2", "README.md"), ("/src5", "*")]
+
+
+@_query(
+    "ignore_match",
+    f"""WITH {PATHS}, r AS (SELECT * FROM (VALUES {", ".join(f"('{d}', '{g}')" for d, g in _RULES)}) AS t(dir, pattern)),
+n AS (SELECT doc_id, any_value(path) AS path, max_by(r.dir, length(r.dir)) AS d FROM p LEFT JOIN (SELECT DISTINCT dir FROM r) AS r ON starts_with(path, r.dir || '/') GROUP BY doc_id)
+SELECT doc_id, coalesce(bool_or(list_bool_or(list_transform(string_split(path, '/'), lambda x: x GLOB rtrim(pattern, '/')))), false) AS ignored FROM n LEFT JOIN (SELECT * FROM r WHERE NOT starts_with(pattern, '#')) AS r ON r.dir = n.d GROUP BY doc_id""",
+)
+def ignore_match(spark, sf):
+    return files.ignored(_paths(spark, sf), spark.createDataFrame(_RULES, "dir string, pattern string")).select("doc_id", "ignored")
+
+
+# --- identity and notes ---
+
+
+@_query("content_hash", "SELECT doc_id AS id, sha256(coalesce(text, '')) AS content_hash FROM documents")
+def content_hash(spark, sf):
+    return _docs(spark, sf).select("id", identity.content_hash(F.col("content")).alias("content_hash"))
+
+
+@_query("chunk_id", f"WITH {CTE} SELECT id, sha256(source_path || ':' || (id % 7)) AS chunk_id FROM c")
+def chunk_id(spark, sf):
+    return _docs(spark, sf).select("id", identity.chunk_id(F.col("source_path"), F.col("id") % 7).alias("chunk_id"))
+
+
+_NOTES = "n AS (SELECT turn, role, coalesce(text, '') AS text, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * (conv_id * 60 + turn) AS made FROM conversations)"
+_TAGGED = "CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN '[tags: ' || role || ']' || chr(10) || text ELSE '[tags: ' || role || ', x]' || chr(10) || text END"
+
+
+def _note_rows(spark, sf) -> DataFrame:
+    rows = _table(spark, sf, "conversations")
+    tags = F.when(F.col("turn") % 3 == 0, F.lit("")).when(F.col("turn") % 3 == 1, F.col("role")).otherwise(F.concat("role", F.lit(" , x")))
+    at = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(secs=(F.col("conv_id") * 60 + F.col("turn")).cast("decimal(18,6)"))
+    return rows.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), tags.alias("tags"), at.alias("at"))
+
+
+@_query("note_build", f"WITH {_NOTES}, q AS (SELECT '{C.NOTE_PREFIX}' || substr(sha256(text || strftime(made, '%Y-%m-%dT%H:%M:%S')), 1, 16) AS source_path, {_TAGGED} AS content FROM n) SELECT source_path, sha256(content) AS content_hash, sha256(source_path || ':0') AS id FROM q")
+def note_build(spark, sf):
+    return store.notes(_note_rows(spark, sf)).select("source_path", "content_hash", "id")
+
+
+@_query("list_notes", f"WITH {CHUNK_CTE} SELECT id, source_path, noted AS at FROM ch WHERE repo = '{C.NOTE_REPO}'")
+def list_notes(spark, sf):
+    return store.list_notes(_chunks(spark, sf)).select("id", "source_path", F.unix_timestamp("indexed_at").alias("at"))
+
+
+@_query("delete_note", f"WITH {CHUNK_CTE} SELECT count(*) FILTER (source_path <> '/src13/13.txt') AS left_over FROM ch")
+def delete_note(spark, sf):
+    return store.delete_source(_chunks(spark, sf), "/src13/13.txt").agg(F.count("*").alias("left_over"))
+
+
+@_query("dedupe_casing", "WITH f AS (SELECT doc_id // 3 AS file_key, CASE doc_id % 3 WHEN 0 THEN '/A/' WHEN 1 THEN '/a/' ELSE '/A/' END || doc_id // 3 AS path, doc_id % 3 = 1 AS canonical FROM documents), g AS (SELECT DISTINCT * FROM f) SELECT file_key, path FROM (SELECT *, row_number() OVER (PARTITION BY file_key ORDER BY canonical DESC, path) AS n FROM g) WHERE n > 1")
+def dedupe_casing(spark, sf):
+    key = F.floor(F.col("doc_id") / 3)
+    spelled = F.concat(F.when(F.col("doc_id") % 3 == 1, F.lit("/a/")).otherwise(F.lit("/A/")), key.cast("string"))
+    return store.case_duplicates(_table(spark, sf, "documents").select(key.alias("file_key"), spelled.alias("path"), (F.col("doc_id") % 3 == 1).alias("canonical")))
+
+
+# --- merging ---
+
+
+@_query("upsert_merge", f"WITH {CTE}, o AS (SELECT id, content FROM c WHERE id % 2 = 0), b AS (SELECT id, max_by(content || ver, ver) AS content FROM (SELECT id, content, unnest([1, 2]) AS ver FROM c WHERE id % 3 = 0) GROUP BY id) SELECT id, sha256(content) AS content_hash FROM (SELECT * FROM o WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT * FROM b)")
+def upsert_merge(spark, sf):
+    docs = _docs(spark, sf).select("id", "content")
+    batch = docs.where("id % 3 = 0").select("id", "content", F.explode(F.array(F.lit(1), F.lit(2))).alias("ver"))
+    batch = batch.withColumn("content", F.concat("content", F.col("ver").cast("string")))
+    return store.upsert(docs.where("id % 2 = 0"), batch, "ver").select("id", F.sha2("content", 256).alias("content_hash"))
+
+
+@_query("delete_source", f"WITH {CTE} SELECT id FROM c WHERE source_path <> '/src1/1.txt'")
+def delete_source(spark, sf):
+    return store.delete_source(_docs(spark, sf), "/src1/1.txt").select("id")
+
+
+@_query("delete_prefix", f"WITH {CTE} SELECT id FROM c WHERE NOT starts_with(source_path, '/src1/')")
+def delete_prefix(spark, sf):
+    return store.delete_prefix(_docs(spark, sf), "/src1").select("id")
+
+
+@_query("delete_index", f"WITH {CTE} SELECT id FROM c WHERE id % 5 <> 0")
+def delete_index(spark, sf):
+    docs = _docs(spark, sf).withColumn("key", F.col("id")).withColumn("id", identity.chunk_id(F.col("source_path"), F.lit(0)))
+    return store.delete_index(docs, docs.where("key % 5 = 0").select("source_path", F.lit(0).alias("chunk_index"))).select(F.col("key").alias("id"))
+
+
+@_query("forget_route", f"WITH {CTE}, t AS (SELECT id, CASE id % 4 WHEN 0 THEN substr(sha256(content), 1, 16) WHEN 1 THEN source_path WHEN 2 THEN '/none/' || id ELSE '{C.NOTE_PREFIX}' || id END AS target FROM c) SELECT target, CASE id % 4 WHEN 1 THEN 'file' WHEN 2 THEN 'prefix' ELSE 'note' END AS route FROM t")
+def forget_route(spark, sf):
+    docs = _docs(spark, sf)
+    target = F.when(F.col("id") % 4 == 0, F.substring(F.sha2("content", 256), 1, 16)).when(F.col("id") % 4 == 1, F.col("source_path")).when(F.col("id") % 4 == 2, F.concat(F.lit("/none/"), F.col("id").cast("string"))).otherwise(F.concat(F.lit(C.NOTE_PREFIX), F.col("id").cast("string")))
+    return store.forget_route(docs.select(target.alias("target")), docs.select(F.col("source_path").alias("path")))
+
+
+@_query("import_merge", f"WITH {CTE} SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE language END AS language FROM c WHERE id % 3 = 0 OR (id % 2 = 0 AND repo NOT IN (SELECT repo FROM c WHERE id % 3 = 0 AND id < 30))")
+def import_merge(spark, sf):
+    docs = _docs(spark, sf)
+    rows = docs.where("id % 3 = 0").withColumn("language", F.lit("new"))
+    first = store.import_merge(docs.where("id % 2 = 0"), rows.where("id < 30"), replace=True)
+    return store.import_merge(first, rows.where("id >= 30")).select("id", "language")
+
+
+@_query("export_rows", f"WITH {CTE} SELECT id, source_path, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM c JOIN embeddings ON vec_id = id")
+def export_rows(spark, sf):
+    rows = store.export_rows(_docs(spark, sf), _vectors(spark, sf))
+    return rows.select("id", "source_path", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+
+
+# --- incremental indexing: the stored state lacks some documents, has older text of others, and one chunk too many of some ---
+
+_PLAN = f"""{CTE}, nw AS (SELECT repo AS source_path, (row_number() OVER (PARTITION BY repo ORDER BY id) - 1)::INT AS chunk_index, sha256(content) AS h FROM c),
+od AS (SELECT source_path, (chunk_index + CASE WHEN chunk_index % 5 = 4 THEN 1000 ELSE 0 END)::INT AS chunk_index, CASE WHEN chunk_index % 7 = 3 THEN sha256(h) ELSE h END AS h FROM nw WHERE chunk_index % 3 <> 1),
+pl AS (SELECT coalesce(nw.source_path, od.source_path) AS source_path, coalesce(nw.chunk_index, od.chunk_index) AS chunk_index, coalesce(nw.h, od.h) AS content_hash,
+  CASE WHEN nw.h IS NULL THEN 'delete' WHEN nw.h = od.h THEN 'unchanged' WHEN EXISTS (SELECT 1 FROM od AS k WHERE k.source_path = nw.source_path AND k.h = nw.h) THEN 'reuse' ELSE 'embed' END AS action
+  FROM nw FULL JOIN od ON nw.source_path = od.source_path AND nw.chunk_index = od.chunk_index)"""
+
+
+def _states(spark, sf) -> tuple[DataFrame, DataFrame]:
+    from pyspark.sql import Window
+
+    index = (F.row_number().over(Window.partitionBy("repo").orderBy("id")) - 1).cast("int")
+    new = _docs(spark, sf).select(F.col("repo").alias("source_path"), index.alias("chunk_index"), identity.content_hash(F.col("content")).alias("content_hash"))
+    old = new.where("chunk_index % 3 <> 1").select("source_path", (F.col("chunk_index") + F.when(F.col("chunk_index") % 5 == 4, 1000).otherwise(0)).alias("chunk_index"), F.when(F.col("chunk_index") % 7 == 3, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")).alias("content_hash"))
+    return new, old
+
+
+@_query("index_plan", f"WITH {_PLAN} SELECT * FROM pl")
+def index_plan(spark, sf):
+    return indexing.plan(*_states(spark, sf))
+
+
+@_query("index_stats", f"WITH {_PLAN}, em AS (SELECT count(DISTINCT content_hash) AS n FROM pl WHERE action = 'embed' AND content_hash NOT IN (SELECT h FROM od)) SELECT n AS embedded, count(*) FILTER (action IN ('reuse', 'embed')) - n AS reused, count(*) FILTER (action = 'unchanged') AS unchanged, count(*) FILTER (action = 'delete') AS deleted FROM pl, em GROUP BY n")
+def index_stats(spark, sf):
+    new, old = _states(spark, sf)
+    return indexing.run_stats(indexing.plan(new, old), old)
+
+
+@_query("embed_dedup", f"WITH {_PLAN} SELECT DISTINCT content_hash FROM pl WHERE action = 'embed' AND content_hash NOT IN (SELECT h FROM od)")
+def embed_dedup(spark, sf):
+    new, old = _states(spark, sf)
+    return indexing.embed_needed(indexing.plan(new, old), old)
+
+
+@_query("hash_map_by_index", f"WITH {_PLAN} SELECT source_path, sha256(string_agg(chunk_index || '=' || h, ',' ORDER BY chunk_index)) AS hashes FROM od GROUP BY 1")
+def hash_map_by_index(spark, sf):
+    held = indexing.hash_map_by_index(_states(spark, sf)[1])
+    return held.select("source_path", F.sha2(F.array_join(F.transform(F.map_entries("hashes"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ","), 256).alias("hashes"))
+
+
+@_query("known_hashes", f"WITH {_PLAN} SELECT source_path, sha256(array_to_string(list_sort(list(DISTINCT h)), ',')) AS hashes FROM od GROUP BY 1")
+def known_hashes(spark, sf):
+    return indexing.known_hashes(_states(spark, sf)[1]).select("source_path", F.sha2(F.array_join("hashes", ","), 256).alias("hashes"))
+
+
+@_query("vectors_by_hash", f"WITH {CTE}, v AS (SELECT repo AS source_path, sha256(content) AS content_hash, max(id) AS id FROM c GROUP BY 1, 2) SELECT source_path, content_hash, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM v JOIN embeddings ON vec_id = id")
+def vectors_by_hash(spark, sf):
+    docs = _docs(spark, sf).select("id", F.col("repo").alias("source_path"), identity.content_hash(F.col("content")).alias("content_hash"), F.col("id").alias("chunk_index"))
+    found = indexing.vectors_by_hash(docs, _vectors(spark, sf))
+    return found.select("source_path", "content_hash", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+
+
+@_query(
+    "embed_batches",
+    f"""WITH RECURSIVE s AS (SELECT item_id, least(length(text), {C.EMBED_CHARS}) AS size, row_number() OVER (ORDER BY least(length(text), {C.EMBED_CHARS}), item_id) AS n FROM benchmark),
+r AS (SELECT item_id, n, 0 AS batch, 1 AS held FROM s WHERE n = 1 UNION ALL
+SELECT s.item_id, s.n, CASE WHEN (held + 1) * size * size > {C.BATCH_AREA} OR held + 1 > {C.BATCH_ROWS} THEN batch + 1 ELSE batch END, CASE WHEN (held + 1) * size * size > {C.BATCH_AREA} OR held + 1 > {C.BATCH_ROWS} THEN 1 ELSE held + 1 END FROM r JOIN s ON s.n = r.n + 1)
+SELECT item_id, batch::BIGINT AS batch FROM r""",
+)
+def embed_batches(spark, sf):
+    """Batches of one embedding call; an index run makes them per partition."""
+
+    def number(frames):
+        for f in frames:
+            f = f.sort_values(["size", "item_id"])
+            yield f.assign(batch=vectors.batches(f["size"]).to_numpy())[["item_id", "batch"]]
+
+    one = _table(spark, sf, "benchmark").select("item_id", F.least(F.length("text"), F.lit(C.EMBED_CHARS)).alias("size")).coalesce(1)
+    return one.mapInPandas(number, "item_id long, batch long")
+
+
+# --- after search ---
+
+
+@_query("token_estimate", r"SELECT doc_id AS id, ceil(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT AS tokens FROM documents")
+def token_estimate(spark, sf):
+    return _docs(spark, sf).select("id", text.token_estimate(F.col("content")).alias("tokens"))
+
+
+_RANGES = "g AS (SELECT id, repo AS source_path, language, content, (id * 7919 % 1000)::INT AS rank, (id * 31 % 400 + 1)::INT AS start_line, (id * 31 % 400 + 1 + id % 17)::INT AS end_line FROM c)"
+
+
+def _result_rows(spark, sf) -> DataFrame:
+    start = (F.col("id") * 31 % 400 + 1).cast("int")
+    return _docs(spark, sf).select("id", F.col("repo").alias("source_path"), "language", "content", (F.col("id") * 7919 % 1000 * 100000 + F.col("id")).alias("rank"), start.alias("start_line"), (start + F.col("id") % 17).cast("int").alias("end_line"))
+
+
+@_query(
+    "dedup_overlap",
+    f"""WITH {CTE}, {_RANGES}, l AS (SELECT source_path, list({{'r': rank::BIGINT * 100000 + id, 'a': start_line, 'b': end_line, 'id': id}} ORDER BY rank::BIGINT * 100000 + id) AS x FROM g GROUP BY 1),
+k AS (SELECT list_reduce(list_transform(x, lambda e: [e]), lambda got, e: CASE WHEN len(list_filter(got, lambda q: e[1].a <= q.b AND q.a <= e[1].b)) > 0 THEN got ELSE list_concat(got, e) END) AS y FROM l)
+SELECT unnest(list_transform(y, lambda e: e.id)) AS id FROM k""",
+)
+def dedup_overlap(spark, sf):
+    return results.dedup_overlap(_result_rows(spark, sf)).select("id")
+
+
+@_query(
+    "context_pack",
+    rf"""WITH {CTE}, {_RANGES}, s AS (SELECT *, row_number() OVER w AS n, lag(source_path) OVER w AS above FROM g WHERE id < 200 WINDOW w AS (ORDER BY source_path, start_line, end_line)),
+b AS (SELECT *, CASE WHEN above = source_path THEN '' ELSE '# ' || source_path || '  (' || language || ')' || chr(10) END || '## lines ' || start_line || '-' || end_line || chr(10) || '```' || language || chr(10) || content || chr(10) || '```' AS block FROM s),
+k AS (SELECT *, ceil(len(list_filter(regexp_split_to_array(block, '\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT AS cost FROM b),
+u AS (SELECT *, sum(cost) OVER (ORDER BY n)::BIGINT AS used FROM k)
+SELECT n::INT AS position, source_path, start_line, end_line, cost, used, sha256(block) AS block_hash FROM u WHERE used <= 20000 OR n = 1""",
+)
+def context_pack(spark, sf):
+    packed = results.pack_context(_result_rows(spark, sf).where("id < 200"), 20000)
+    return packed.select("position", "source_path", "start_line", "end_line", "cost", "used", F.sha2("block", 256).alias("block_hash"))
+
+
+# --- reports ---
+
+_OURS = f"repo <> '{C.NOTE_REPO}'"
+
+
+@_query("list_repos", f"WITH {CHUNK_CTE} SELECT repo, count(*) AS chunks, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, max(noted) AS last_indexed FROM ch WHERE {_OURS} GROUP BY 1")
+def list_repos(spark, sf):
+    return reports.list_repos(_chunks(spark, sf)).select("repo", "chunks", F.array_join("languages", ",").alias("languages"), F.unix_timestamp("last_indexed").alias("last_indexed"))
+
+
+@_query("stats_breakdown", f"WITH {CHUNK_CTE} SELECT repo, language, count(*) AS chunks FROM ch WHERE {_OURS} GROUP BY 1, 2")
+def stats_breakdown(spark, sf):
+    return reports.stats(_chunks(spark, sf))
+
+
+@_query("count_chunks", f"WITH {CHUNK_CTE} SELECT count(*) AS chunks FROM ch WHERE {_OURS}")
+def count_chunks(spark, sf):
+    return reports.count(_chunks(spark, sf))
+
+
+@_query("chunk_counts", f"WITH {CHUNK_CTE} SELECT source_path, count(*) AS chunks FROM ch WHERE {_OURS} GROUP BY 1")
+def chunk_counts(spark, sf):
+    return reports.chunk_counts(_chunks(spark, sf))
+
+
+@_query("relative_time", f"WITH {CHUNK_CTE}, d AS (SELECT id, noted, 1705000000 - noted AS s FROM ch) SELECT id, CASE WHEN noted IS NULL THEN 'unknown' WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS age, coalesce(s // 86400 >= 7, false) AS stale FROM d")
+def relative_time(spark, sf):
+    now = F.timestamp_seconds(F.lit(1_705_000_000))
+    return _chunks(spark, sf).select("id", identity.age(F.col("indexed_at"), now).alias("age"), identity.is_stale(F.col("indexed_at"), now).alias("stale"))
+
+
+@_query("doctor_partial", f"WITH {CHUNK_CTE} SELECT source_path, 1::BIGINT AS chunks, (id % 3)::BIGINT AS expected FROM ch WHERE {_OURS} AND id % 3 = 2")
+def doctor_partial(spark, sf):
+    chunks = _chunks(spark, sf)
+    return reports.partial_files(chunks, chunks.select("source_path", (F.col("id") % 3).alias("expected")))
+
+
+@_query("doctor_missing", f"WITH {CHUNK_CTE} SELECT source_path FROM ch WHERE {_OURS} AND id % 4 = 0")
+def doctor_missing(spark, sf):
+    chunks = _chunks(spark, sf)
+    return reports.missing_files(chunks, chunks.where("id % 4 <> 0").select(F.col("source_path").alias("path")))
+
+
+@_query("doctor_unindexed", f"WITH {CTE} SELECT repo, count(*) AS files FROM c WHERE id % 6 = 0 GROUP BY 1")
+def doctor_unindexed(spark, sf):
+    docs = _docs(spark, sf)
+    return reports.unindexed_files(docs.where("id % 6 <> 0").withColumn("indexed_at", F.lit(None)), docs.select(F.col("source_path").alias("path"), "repo"))
+
+
+# --- change events ---
+
+_EVENTS = "ev AS (SELECT event_id AS seq, ts, 'r' || user_id % 5 AS root, '/w/' || user_id || ['.py', '.PNG', '.md', '', '.tar.gz', '.TS'][user_id % 6 + 1] AS path, ['modified', 'created', 'deleted', 'moved'][event_id % 4 + 1] AS event_type, '/m/' || event_id || '.py' AS dest_path FROM events)"
+
+
+def _events(spark, sf) -> DataFrame:
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    return _table(spark, sf, "events").select(
+        F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("r"), (F.col("user_id") % 5).cast("string")).alias("root"),
+        F.concat(F.lit("/w/"), F.col("user_id").cast("string"), pick([".py", ".PNG", ".md", "", ".tar.gz", ".TS"], F.col("user_id"))).alias("path"),
+        pick(["modified", "created", "deleted", "moved"], F.col("event_id")).alias("event_type"), F.concat(F.lit("/m/"), F.col("event_id").cast("string"), F.lit(".py")).alias("dest_path"),
+    )
+
+
+@_query("watch_filter", f"WITH {_EVENTS} SELECT seq, path FROM ev WHERE regexp_matches(path, '\\.(py|md|TS)$')")
+def watch_filter(spark, sf):
+    return watch.watched(_events(spark, sf)).select("seq", "path")
+
+
+@_query("watch_moves", f"WITH {_EVENTS} SELECT seq, path, CASE event_type WHEN 'moved' THEN 'deleted' ELSE event_type END AS event_type FROM ev UNION ALL SELECT seq, dest_path, 'created' FROM ev WHERE event_type = 'moved'")
+def watch_moves(spark, sf):
+    return watch.expand_moves(_events(spark, sf)).select("seq", "path", "event_type")
+
+
+_BURSTS = f"{_EVENTS}, gp AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY root ORDER BY ts, seq) <= INTERVAL 2 MINUTE THEN 0 ELSE 1 END AS fresh FROM ev), bu AS (SELECT *, sum(fresh) OVER (PARTITION BY root ORDER BY ts, seq) AS k FROM gp), la AS (SELECT root, k, path, max_by(event_type, (ts, seq)) AS event_type FROM bu GROUP BY 1, 2, 3), st AS (SELECT root, k, min(ts) AS ts FROM bu GROUP BY 1, 2)"
+
+
+@_query("watch_debounce", f"WITH {_BURSTS} SELECT root, strftime(ts, '%Y-%m-%d %H:%M:%S') AS burst_start, path, event_type FROM la JOIN st USING (root, k)")
+def watch_debounce(spark, sf):
+    found = watch.debounce(_events(spark, sf), "2 minutes")
+    return found.select("root", F.date_format("burst_start", "yyyy-MM-dd HH:mm:ss").alias("burst_start"), "path", "event_type")
+
+
+@_query("watch_apply", f"WITH {CTE} SELECT id, CASE WHEN id % 5 = 1 THEN 'fresh' ELSE language END AS language FROM c WHERE id % 5 <> 0")
+def watch_apply(spark, sf):
+    docs = _docs(spark, sf)
+    changes = docs.where("id % 5 <= 1").select(F.col("source_path").alias("path"), F.when(F.col("id") % 5 == 0, F.lit("deleted")).otherwise(F.lit("modified")).alias("event_type"))
+    return watch.apply_events(docs, changes, docs.withColumn("language", F.lit("fresh"))).select("id", "language")
