@@ -23,7 +23,7 @@ def note_id(text: Column, at: Column) -> Column:
 
 def tagged(text: Column, tags: Column) -> Column:
     """The text under a line of its tags (comma-separated), if it has any."""
-    listed = F.array_join(F.filter(F.transform(F.split(tags, ","), F.trim), lambda t: t != ""), ", ")
+    listed = F.array_join(F.filter(F.transform(F.split(tags, ","), lambda t: F.trim(t)), lambda t: t != ""), ", ")
     return F.when(F.coalesce(listed, F.lit("")) != "", F.concat(F.lit("[tags: "), listed, F.lit("]\n"), text)).otherwise(text)
 
 

@@ -16,10 +16,14 @@ BREAKS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
 _NONE = f"cast(array() as array<{RAW_CHUNK}>)"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, not anew wherever a lambda mentions it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """Lines at any line break, without an empty one after the last."""
-    parts = F.split(text, BREAKS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return _let(F.split(text, BREAKS, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def _strip(text: Column) -> Column:
@@ -36,7 +40,10 @@ def _full(chunks: Column) -> Column:
 
 def windows(rows: Column, first: Column | None = None) -> Column:
     """Overlapping windows of lines; blank ones drop out. ``first``: line number of the first line."""
-    first = F.lit(1) if first is None else first
+    return _let(rows, lambda r: _windows(r, F.lit(1) if first is None else first))
+
+
+def _windows(rows: Column, first: Column) -> Column:
     n = F.size(rows)
     made = F.transform(
         F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(C.CHUNK_STRIDE)),
@@ -59,9 +66,13 @@ def _sections(rows: Column, starts: Column, strip: bool) -> Column:
 
 def headings(rows: Column) -> Column:
     """A section from each line that starts with ``#``, and one for what comes before."""
+    return _let(rows, _headings)
+
+
+def _headings(rows: Column) -> Column:
     marks = F.filter(F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1))), lambda i: F.coalesce(F.get(rows, i - 1).startswith("#"), F.lit(False)) & (i > 1))
-    made = _sections(rows, F.concat(F.array(F.lit(1)), marks), strip=True)
-    return F.when(F.size(made) > 0, made).otherwise(windows(rows))
+    made = _let(F.concat(F.array(F.lit(1)), marks), lambda m: _sections(rows, m, strip=True))
+    return _let(made, lambda m: F.when(F.size(m) > 0, m).otherwise(_windows(rows, F.lit(1))))
 
 
 def declarations(text: Column, rows: Column, pattern: str) -> Column:
@@ -70,13 +81,17 @@ def declarations(text: Column, rows: Column, pattern: str) -> Column:
     Boundaries are counted in newlines. A pattern is tried on each line with its line
     break, so a declaration whose words stand on different lines isn't seen.
     """
-    own = F.split(text, "\n", -1)
-    marks = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: F.concat(F.get(own, i - 1), F.lit("\n")).rlike("(?U)" + pattern))
-    made = _sections(rows, marks, strip=False)
-    first = F.get(marks, 0)
+    own = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(F.concat(x, F.lit("\n")).rlike("(?U)" + pattern), i + 1))
+    marks = F.filter(own, lambda i: i.isNotNull())
+    return _let(rows, lambda r: _let(marks, lambda m: _declared(r, m)))
+
+
+def _declared(rows: Column, marks: Column) -> Column:
+    first = F.get(marks, F.lit(0))
     before = _strip(F.array_join(F.slice(rows, F.lit(1), F.greatest(first - 1, F.lit(0))), "\n"))
     preamble = F.when(first > 1, _full(F.array(_chunk(before, F.lit(1), first - 1)))).otherwise(F.expr(_NONE))
-    return F.when(F.size(marks) > 0, F.when(F.size(made) > 0, F.concat(preamble, made)).otherwise(windows(rows))).otherwise(windows(rows))
+    made = F.when(F.size(marks) > 0, F.concat(preamble, _sections(rows, marks, strip=False))).otherwise(F.expr(_NONE))
+    return _let(made, lambda m: F.when(F.size(m) > 0, m).otherwise(_windows(rows, F.lit(1))))
 
 
 @F.pandas_udf(f"array<{RAW_CHUNK}>")

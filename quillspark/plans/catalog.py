@@ -144,7 +144,7 @@ def knn_repo_filter(spark, sf):
     return found.select("id", "source_path", F.abs(F.round("score", 6)).alias("score"))
 
 
-@_query("l2_normalize", "SELECT vec_id AS id, round(v[1], 5) AS first, round(v[64], 5) AS last, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS norm FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id + 1)) AS e FROM embeddings))")
+@_query("l2_normalize", "SELECT vec_id AS id, round(v[1], 5) AS first, round(v[64], 5) AS last, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS norm FROM (SELECT vec_id, list_transform(e, lambda x: (x / sqrt(list_sum(list_transform(e, lambda y: y * y))))::FLOAT::DOUBLE) AS v FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id + 1)) AS e FROM embeddings))")
 def l2_normalize(spark, sf):
     scaled = _vectors(spark, sf).select("id", F.transform("vector", lambda x: (x.cast("double") * (F.col("id") + 1))).alias("vector"))
     unit = scaled.select("id", vectors.l2_normalize(F.col("vector")).alias("v"))
