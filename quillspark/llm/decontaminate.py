@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.runtime import read_table
+from quillspark.llm.runtime import map_arrow, read_table
 from quillspark.llm.words import mix, raw, slices, split
 
 WORDS, SHARE = 5, 0.8
@@ -110,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, wo
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         rows = part.orderBy("item_id", "text").collect()  # one block: about half of BLOCK_BYTES
         block = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        found.append(texts.mapInArrow(partial(_probe, block=block, share=share, words=words), HITS))
+        found.append(map_arrow(texts, partial(_probe, block=block, share=share, words=words), HITS))
     return reduce(DataFrame.unionAll, found)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch at most, so that long texts and large sets don't pile up in a worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded size."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = int(re.sub(r"[^0-9-]", "", str(conf.get(key))) or -1)
+        if held <= 0 or held > most:
+            conf.set(key, str(most))
+    return df.mapInArrow(function, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the cluster names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)

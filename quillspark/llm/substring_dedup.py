@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.runtime import drop_table, materialise, release
+from quillspark.llm.runtime import drop_table, map_arrow, materialise, release
 from quillspark.llm.words import _BASE, _powers, mix, rolled, slices, split
 
 SPAN, ANCHOR = 13, 6
@@ -152,17 +152,17 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, with
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
     how = {"span": span, "anchor": anchor}
-    held = known.mapInArrow(partial(_anchored, **how, with_path=False), "akey long, doc_id long")
+    held = map_arrow(known, partial(_anchored, **how, with_path=False), "akey long, doc_id long")
     held = held.groupBy("akey").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("akey")
     repeated = materialise(held, "anchors")
     release(spark)
-    found = known.mapInArrow(partial(_anchored, **how, with_path=True), "akey long, skey long, doc_id long")
+    found = map_arrow(known, partial(_anchored, **how, with_path=True), "akey long, skey long, doc_id long")
     found = materialise(found.join(repeated, "akey", "left_semi"), "paths")
     release(spark)
     owners = materialise(found.groupBy("akey", "skey").agg(F.min("doc_id").alias("owner")), "owners")
     branching = materialise(owners.groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey"), "branching")
     opened = owners.join(branching, "akey", "left_semi").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set("skey").alias("paths"))
-    edges = known.join(opened, "doc_id").select("doc_id", "text", "paths").mapInArrow(partial(_edges, **how), "edge long, doc_id long")
+    edges = map_arrow(known.join(opened, "doc_id").select("doc_id", "text", "paths"), partial(_edges, **how), "edge long, doc_id long")
     edges = materialise(edges, "edges")
     release(spark)
     first = materialise(edges.groupBy("edge").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("edge", "owner"), "first")
@@ -174,7 +174,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, with
         drop_table(used)
     release(spark)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "paths", "edges").mapInArrow(partial(_cut, **how, with_text=with_text), schema)
+    return map_arrow(docs.join(gone, "doc_id", "left").select("doc_id", "text", "paths", "edges"), partial(_cut, **how, with_text=with_text), schema)
 
 
 ORACLE = """

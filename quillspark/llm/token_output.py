@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.runtime import new_path
+from quillspark.llm.runtime import map_arrow, new_path
 from quillspark.llm.token_coder import BLOCK, LANES, decode, encode
 from quillspark.llm.words import slices, split
 
@@ -152,7 +152,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     json.loads(text)
     vocabulary = spark.sparkContext.broadcast(text)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(partial(_write, vocabulary=vocabulary, end_id=end_id, by_word=by_word), SEGMENTS).write.option("compression", "uncompressed").parquet(path)
+    map_arrow(rows, partial(_write, vocabulary=vocabulary, end_id=end_id, by_word=by_word), SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -160,7 +160,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.schema(SEGMENTS).parquet(path)
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per writing task
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-    rows = segments.select("part", "before", "doc_ids", "counts", "payload").mapInArrow(_read, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+    rows = map_arrow(segments.select("part", "before", "doc_ids", "counts", "payload"), _read, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
     return rows.join(parts, "part").select("doc_id", (F.col("at") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32")
 
 

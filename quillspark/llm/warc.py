@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.runtime import new_path, read_table
+from quillspark.llm.runtime import map_arrow, new_path, read_table
 
 #: Smaller payloads are always stored: a revisit record would save nothing.
 LEAST_REVISIT = 1000
@@ -131,7 +131,7 @@ def _parsed(batches, with_payload: bool):
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """All records of the archives under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(partial(_parsed, with_payload=with_payload), RECORD + ", payload binary" * with_payload)
+    return map_arrow(files, partial(_parsed, with_payload=with_payload), RECORD + ", payload binary" * with_payload)
 
 
 def assemble(rows: DataFrame) -> DataFrame:

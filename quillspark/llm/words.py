@@ -14,7 +14,7 @@ import pyarrow as pa
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _LONG = 256  # longer words are hashed whole, one by one
-_SLICE = 1 << 20  # bytes of text worked on at a time
+_SLICE = 1 << 19  # bytes of text worked on at a time
 
 
 def mix(h: np.ndarray) -> np.ndarray:
