@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark import constants as C
 
@@ -137,7 +138,7 @@ class Porter:
         return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem(words: pd.Series) -> pd.Series:
     return words.map(Porter.stem)
 

@@ -7,13 +7,14 @@ import ast
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark import constants as C
 from quillspark.functions import identity
 from quillspark.schema import RAW_CHUNK
 
 BREAKS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
-_NONE = f"cast(array() as array<{RAW_CHUNK}>)"
+_NONE = f"cast(array() as array<{RAW_CHUNK.simpleString()}>)"
 
 
 def _let(value: Column, use) -> Column:
@@ -94,7 +95,7 @@ def _declared(rows: Column, marks: Column) -> Column:
     return _let(made, lambda m: F.when(F.size(m) > 0, m).otherwise(_windows(rows, F.lit(1))))
 
 
-@F.pandas_udf(f"array<{RAW_CHUNK}>")
+@F.pandas_udf(T.ArrayType(RAW_CHUNK))
 def _syntax_tree(texts: pd.Series) -> pd.Series:
     """Functions, classes and methods of Python sources; null where a text has none or doesn't parse."""
     kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)

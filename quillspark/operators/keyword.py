@@ -50,8 +50,10 @@ def bm25(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """
     if not any(phrases):
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
-    rows = chunks.select("id", text.terms(F.col("content")).alias("_t"))
-    rows = rows.select("id", F.size("_t").alias("_len"), F.array(*(occurrences(F.col("_t"), p) for p in phrases)).alias("_tf"))
+    # generators keep the filter on counts from being pushed down with copies of the splitting
+    rows = chunks.select("id", F.explode(F.array(text.terms(F.col("content")))).alias("_t"))
+    counted = F.struct(F.size("_t").alias("_len"), F.array(*(occurrences(F.col("_t"), p) for p in phrases)).alias("_tf"))
+    rows = rows.select("id", F.explode(F.array(counted)).alias("_c")).select("id", "_c.*")
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count(F.when(F.get("_tf", F.lit(i)) > 0, 1)).alias(f"_df{i}") for i in range(len(phrases))))
     hits = rows.where(F.exists("_tf", lambda t: t > 0)).join(F.broadcast(stats))  # one row
     score = reduce(lambda a, b: a + b, (_weight(F.get("_tf", F.lit(i)), F.col(f"_df{i}"), F.col("_n"), F.col("_len"), F.col("_avg")) for i in range(len(phrases))))

@@ -9,12 +9,13 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark import constants as C
 from quillspark.functions import files
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode(content: pd.Series) -> pd.Series:
     """UTF-8, without the bytes that aren't."""
     return content.map(lambda b: bytes(b).decode("utf-8", "ignore") if b is not None else None)
@@ -63,7 +64,20 @@ def read_tree(spark: SparkSession, root: str, git_roots: DataFrame | None = None
 
 
 def ignore_patterns(spark: SparkSession, root: str) -> DataFrame:
-    """(dir, pattern) of all ignore files below a root."""
-    found = spark.read.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", C.IGNORE_FILE).load(root)
-    path = F.regexp_replace(F.input_file_name(), "^[a-z]+:/*(?=/)", "")
-    return found.select(F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("dir"), F.col("value").alias("pattern"))
+    """(dir, pattern) of all ignore files below a root.
+
+    Spark's sources skip names that start with a dot, so the driver lists these few small
+    files through the file system's own interface.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rules, listed = [], fs.listFiles(path, True)
+    while listed.hasNext():
+        file = listed.next().getPath()
+        if file.getName() == C.IGNORE_FILE:
+            stream = fs.open(file)
+            lines = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            stream.close()
+            rules += [(file.getParent().toUri().getPath(), line) for line in lines]
+    return spark.createDataFrame(rules, "dir string, pattern string")
