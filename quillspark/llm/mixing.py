@@ -96,7 +96,11 @@ def _bounded(sources: DataFrame) -> bool:
 
 
 def realise(docs: DataFrame, **how) -> DataFrame:
-    """The documents themselves, each as often as the mixture says."""
+    """The documents themselves, each as often as the mixture says.
+
+    Rows that repeat an id, a source and a length all get the largest count among them;
+    rows with a null id are rows like others.
+    """
     counted = mix(docs, **how).groupBy("doc_id", "source", "n_tokens").agg(F.max("copies").alias("_copies"))
     tokens = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     keyed = docs.withColumn("_n", tokens)
