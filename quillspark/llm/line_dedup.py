@@ -8,7 +8,7 @@ every line of a bucket with the bucket's centre, then whatever pairs of lines st
 different components. Each candidate pair is verified by the exact Jaccard similarity of all
 five-character shingles, and union-find keeps one line of each component, the first.
 
-Lines at a similarity of 0.8 share no band with a probability of about 0.001.
+Lines at a similarity of 0.8 share no band with a probability of about 0.002.
 
 Defined results: blank lines aren't compared and stay; lines under five characters have
 themselves as their one shingle; null and empty texts have no lines. A null id sorts before
@@ -25,7 +25,7 @@ from quillspark.llm.runtime import components, drop_table, materialise, release
 
 SHINGLE, THRESHOLD_PERCENT = 5, 80
 #: Length of the sampled shingles, points on the circle, bands.
-SAMPLED, SIZE, BANDS = 9, 42, 14
+SAMPLED, SIZE, BANDS = 9, 32, 10
 #: A line with fewer word starts than one in so many characters is sampled everywhere.
 SPARSE = 16
 _CHUNK = 128
@@ -41,17 +41,19 @@ def signature(line: Column) -> Column:
     """SIZE minima: at each point of the circle the next hash of a sampled shingle."""
     starts = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S.{{0,{SAMPLED - 1}}}))"), F.lit(1))
     sampled = F.when(F.size(starts) * SPARSE < F.length(line), _every(line, SAMPLED)).otherwise(F.transform(starts, lambda x: F.xxhash64(x)))
-    return F.sort_array(F.array_distinct(sampled))
+    return F.sort_array(sampled)
 
 
 def _bands(hashes: str) -> Column:
-    """Keys of all bands from the sorted hashes in a column."""
-    bucket = f"cast(floor(x / 9223372036854775808.0D * {SIZE // 2}) + {SIZE // 2} as int)"
-    before = bucket.replace("x /", f"{hashes}[i - 1] /")
-    # each hash stands at the points between the one before it and itself; points past the last take the first
-    spread = f"flatten(transform({hashes}, (x, i) -> array_repeat(x, greatest(0, least({bucket}, {SIZE - 1}) - if(i = 0, -1, least({before}, {SIZE - 1}))))))"
+    """Keys of all bands from the sorted hashes in a column.
+
+    The points cut the circle by the top five bits. Each hash stands at the points between
+    the hash before it and itself, and points past the last one take the first.
+    """
+    before = f"if(i = 0, {-SIZE // 2 - 1}, cast(shiftright({hashes}[i - 1], 59) as int))"
+    spread = f"flatten(transform({hashes}, (x, i) -> array_repeat(x, cast(shiftright(x, 59) as int) - {before})))"
     points = f"concat({spread}, array_repeat({hashes}[0], {SIZE}))"
-    step = SIZE // 3
+    step = SIZE // 3 + 1
     return F.expr(f"transform(array({points}), p -> transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, p[b], p[b + {step}], p[b + {2 * step}])))[0]")
 
 
@@ -80,8 +82,7 @@ def lines_of(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     lines = materialise(rows.select("doc_id", "_row", "pos", "id"), "lines")
     unique = materialise(rows.where("id is not null").select("id", "line").distinct(), "unique")
     release(spark)
-    size = F.length("line").alias("n")
-    signed = unique.select("id", size, signature(F.col("line")).alias("h")).select("id", "n", F.explode(_bands("h")).alias("key"))
+    signed = unique.select("id", signature(F.col("line")).alias("h")).select("id", F.explode(_bands("h")).alias("key"))
     signed = materialise(signed, "bands")
     shared = materialise(signed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre"), "buckets")
     members = materialise(signed.join(shared, "key"), "members")
@@ -90,7 +91,7 @@ def lines_of(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     links = _linked(first, unique, percent)
     release(spark)
     parts = components(links)
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "centre", "id", "n", F.coalesce("label", "id").alias("label"))
+    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "centre", "id", F.coalesce("label", "id").alias("label"))
     counted = placed.groupBy("key", "label").agg(F.count("*").alias("m"))
     main = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
     apart = materialise(placed.where("id <> centre").join(main, "key"), "apart")
