@@ -82,21 +82,34 @@ def _passes(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, not anew wherever a lambda mentions it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+_NO_SPANS = "cast(array() as array<struct<x: string, s: int>>)"
+
+
 def spans(text: Column, pattern: str) -> Column:
     """All matches in order: array of (x: the match, s: code points before it)."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("x"), F.length(p).alias("gap"), F.length(m).alias("n")))
-    # running totals by chunk, so that appending to arrays stays cheap for any number of matches
-    begins = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found), F.lit(_CHUNK)))
+    # one more piece than matches; the last pairs with null
+    sizes = F.zip_with(found, between, lambda m, p: F.struct(m.alias("x"), F.length(p).alias("gap"), F.length(m).alias("n")))
+    return _let(F.filter(sizes, lambda m: m["x"].isNotNull()), _placed)
+
+
+def _placed(sizes: Column) -> Column:
+    """Running totals by chunk, so that appending to arrays stays cheap for any number of matches."""
+    begins = F.when(F.size(sizes) > 0, F.sequence(F.lit(1), F.size(sizes), F.lit(_CHUNK)))
 
     def placed(chunk: Column, at: Column) -> Column:
-        empty = F.struct(at.alias("at"), F.expr("cast(array() as array<struct<x: string, s: int>>)").alias("out"))
+        empty = F.struct(at.alias("at"), F.expr(_NO_SPANS).alias("out"))
         return F.aggregate(chunk, empty, lambda a, m: F.struct((a["at"] + m["gap"] + m["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(m["x"].alias("x"), (a["at"] + m["gap"]).alias("s")))).alias("out")))
 
     totals = F.transform(begins, lambda k: F.aggregate(F.slice(sizes, k, F.lit(_CHUNK)), F.lit(0), lambda a, m: a + m["gap"] + m["n"]))
     ahead = F.aggregate(totals, F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t)))
-    parts = F.transform(begins, lambda k: placed(F.slice(sizes, k, F.lit(_CHUNK)), F.get(ahead, ((k - 1) / _CHUNK).cast("int")))["out"])
-    return F.coalesce(F.flatten(parts), F.expr("cast(array() as array<struct<x: string, s: int>>)"))
+    parts = _let(ahead, lambda h: F.transform(begins, lambda k: placed(F.slice(sizes, k, F.lit(_CHUNK)), F.get(h, ((k - 1) / _CHUNK).cast("int")))["out"]))
+    return F.coalesce(F.flatten(parts), F.expr(_NO_SPANS))
 
 
 def _base(text: Column) -> Column:
