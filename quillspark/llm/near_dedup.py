@@ -11,7 +11,8 @@ Copies never multiply: documents with equal sets are folded into the one with th
 smallest id before banding. Inside a band's bucket every member is first compared
 with one centre only. Pairs of members that the first links leave in different
 components are then all compared, so that no link between components is lost,
-while members of one component are never paired again.
+while members of one component are never paired again, nor pairs whose sizes and
+shingles held by one set alone rule a link out.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and is
 kept. A null id is its own component (null) and is kept. Rows that repeat an id
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.runtime import components, drop_table, materialise, release
+from quillspark.llm.runtime import components, drop_table, map_arrow, materialise, release
 from quillspark.llm.words import mix, slices, split
 
 WORDS = 5
@@ -81,17 +82,18 @@ def _sets(batches, words: int):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
 
 
-def _linked(batches, percent: int):
-    """Keeps the pairs whose full sets have percent * union <= 100 * intersection."""
+def _shared(batches):
+    """How many shingles the sets of each pair have in common, and their sizes."""
     for batch in batches:
-        keep = []
+        both, size_a, size_b = [], [], []
         for x, y in zip(batch.column("set_x"), batch.column("set_y"), strict=True):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            size_a.append(len(p))
+            size_b.append(len(q))
             if len(p) > len(q):
                 p, q = q, p
-            both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0
-            keep.append(100 * both >= percent * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            both.append(int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in (both, size_a, size_b))], names=["a", "b", "both", "size_a", "size_b"])
 
 
 def _estimated(x: str, y: str) -> F.Column:
@@ -102,25 +104,40 @@ def _estimated(x: str, y: str) -> F.Column:
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, regs): set_a and set_b identify the set, regs holds its registers."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_signatures, words=words), SIGNATURE)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), partial(_signatures, words=words), SIGNATURE)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, words: int, label: str) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
+def _opened(batches):
+    """One row per shingle of each set."""
+    for batch in batches:
+        for rep, packed in zip(batch.column("doc_id").to_pylist(), batch.column("shingles"), strict=True):
+            h = np.frombuffer(packed.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), rep, np.int64))], names=["shingle", "rep"])
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Stored full sets (doc_id, shingles) of the ids."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
+    return materialise(map_arrow(texts, partial(_sets, words=words), "doc_id long, shingles binary"), "sets")
+
+
+def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose estimate allows for enough similarity."""
     regs = reps.select(F.col("rep").alias("a"), F.col("regs").alias("regs_a"))
     close = pairs.join(regs, "a").join(regs.select(F.col("a").alias("b"), F.col("regs_a").alias("regs_b")), "b")
-    close = materialise(close.where(_estimated("regs_a", "regs_b") >= percent / 100 - SLACK).select("a", "b"), label)
-    wanted = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    # a representative's text: rows that repeat its id with another text have another set identity
-    ids = wanted.join(reps.select(F.col("rep").alias("doc_id")), "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(partial(_sets, words=words), "doc_id long, shingles binary"), "sets")
+    return materialise(close.where(_estimated("regs_a", "regs_b") >= percent / 100 - SLACK).select("a", "b"), "close")
+
+
+def _compared(close: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with the exact size of their intersection (both) and of their sets."""
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_y"))
-    out = materialise(close.join(x, "a").join(y, "b").select("a", "b", "set_x", "set_y").mapInArrow(partial(_linked, percent=percent), "a long, b long").distinct(), label)
-    drop_table(close)
-    drop_table(sets)
-    return out
+    pairs = close.join(x, "a").join(y, "b").select("a", "b", "set_x", "set_y")
+    return materialise(map_arrow(pairs, _shared, "a long, b long, both long, size_a long, size_b long"), "compared")
+
+
+def _links(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
@@ -136,26 +153,48 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     reps = materialise(reps, "reps")
     band = F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(regs, {2 * ROWS} * b + 1, {2 * ROWS})))"))
     members = reps.select("rep", "n_shingles", band.alias("band", "key")).select("rep", "n_shingles", "key")
-    shared = members.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("key", "centre")
-    shared = materialise(shared, "buckets")
-    members = materialise(members.join(shared, "key").select("key", "centre", "rep", "n_shingles"), "members")
-    links = _verified(members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), docs, reps, percent, words, "links")
+    shared = members.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("c"), F.max("rep").alias("last")).where("c.rep < last")
+    shared = materialise(shared.select("key", F.col("c.rep").alias("centre"), F.col("c.n_shingles").alias("n_centre")), "buckets")
+    members = materialise(members.join(shared, "key").select("key", "centre", "n_centre", "rep", "n_shingles"), "members")
+    alike = 100 * F.least("n_shingles", "n_centre") >= percent * F.greatest("n_shingles", "n_centre")  # else sizes alone rule a link out
+    close = _close(members.where(alike & (F.col("rep") != F.col("centre"))).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), reps, percent)
+    sets = _sets_of(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), docs, words)
+    compared = _compared(close, sets)
+    links = materialise(_links(compared, percent), "links")
+    drop_table(sets)
     release(spark)
     parts = components(links)
     # what the stars left apart: members of a bucket in different components
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "centre", "rep", "n_shingles", F.coalesce("label", "rep").alias("label"))
     counted = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
-    apart = materialise(placed.join(main, "key").select("key", "centre", "rep", "n_shingles", "label", "main"), "apart")
-    few = apart.where("label <> main and rep <> centre").select("key", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("n_shingles").alias("n_a"))
-    many = apart.where("rep <> centre").select("key", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("main"), F.col("n_shingles").alias("n_b"))
+    apart = materialise(placed.join(main, "key").where("rep <> centre").select("key", "centre", "rep", "n_shingles", "label", "main"), "apart")
+    # a shingle that no other of these sets holds lies outside every intersection
+    sets = _sets_of(apart.select(F.col("rep").alias("doc_id")).union(apart.select("centre")).distinct(), docs, words)
+    alone = map_arrow(sets, _opened, "shingle long, rep long").groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
+    alone = materialise(alone.groupBy("rep").agg(F.count("*").alias("own")), "alone")
+    # what a set shares with the centre, where that has been counted, and what else it may share with others
+    known = compared.groupBy(F.col("a").alias("rep"), F.col("b").alias("centre")).agg(F.max("both").alias("core"))
+    apart = apart.join(alone, "rep", "left").join(known, ["rep", "centre"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    loose = F.when(F.col("core").isNotNull(), F.col("n_shingles") - F.col("own") - F.col("core")).otherwise(F.col("n_shingles") - F.col("own"))
+    apart = materialise(apart.select("key", "rep", "label", "main", "n_shingles", "own", F.coalesce("core", "n_shingles").alias("core"), loose.alias("loose")), "apart")
+
+    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        return rows.select("key", *more, F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("label", "n_shingles", "own", "core", "loose")))
+
+    few, many = side(apart.where("label <> main"), "a"), side(apart, "b", "main")
     # pairs of two outside the main component come up once, those with it once
-    rule = (few.key == many.key) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("a") > F.col("b")))
-    rule &= (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    rule = (few["key"] == many["key"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("a") > F.col("b")))
+    # both bounds of the intersection, and with the sizes of the similarity: shingles held alone lie
+    # outside it, and inside the centre it is no larger than what either set shares with the centre
+    least = lambda c: F.least(f"{c}_a", f"{c}_b")
+    most = F.least(F.col("n_shingles_a") - F.col("own_a"), F.col("n_shingles_b") - F.col("own_b"), least("core") + least("loose"))
+    rule &= 100 * most >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b") - most)
     rest = few.join(many, rule).select("a", "b").distinct()
-    more = _verified(rest, docs, reps, percent, words, "links")
+    more = materialise(_links(_compared(_close(rest, reps, percent), sets), percent), "links")
     if not more.isEmpty():
         parts = components(links.union(more))
+    drop_table(sets)
     release(spark)
     # representatives pass their component on to the copies of their set
     classes = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*identity[:3], "rep", F.coalesce("label", "rep").alias("label"))
