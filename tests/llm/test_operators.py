@@ -9,7 +9,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, token_coder, token_output, warc
 from quillspark.llm import words as W
