@@ -1,14 +1,18 @@
 """Fuzzy line dedup by MinHash, in DataFrame expressions only.
 
 Lines are compared lower-cased and trimmed. Equal ones fold first. A signature is the
-MinHash of a line's character shingles that start a word (a sixth of all; of lines with
-few word starts, all shingles): their sorted hashes on a circle, read off at SIZE fixed
-points as the next hash from each point on. Bands of three far points give candidates:
-every line of a bucket with the bucket's centre, then whatever pairs of lines stay in
-different components. Each candidate pair is verified by the exact Jaccard similarity of all
-five-character shingles, and union-find keeps one line of each component, the first.
-
-Lines at a similarity of 0.8 share no band with a probability of about 0.002.
+MinHash of all distinct five-character shingles of a line, the set the threshold is on:
+their sorted hashes on a circle, read off at SIZE fixed points as the next hash from each
+point on. A few hashes leave wide gaps on one circle, so lines of up to SMALL shingles
+have ROWS circles with a share of the points each. Lines whose size lets them be similar
+to lines on either side of that bound have the keys of both, so that no two similar lines
+are sampled by different rules only. Bands of ROWS points give candidates: every line of
+a bucket with the bucket's centre, then whatever pairs of lines stay in different
+components and whose sizes allow a link. Each candidate pair is verified by the exact
+Jaccard similarity, and union-find keeps one line of each component, the first.
+
+With independent points, lines at a similarity of 0.8 share no band with a probability of
+3e-5; points of short lines depend on each other, and the tests hold recall by length.
 
 Defined results: blank lines aren't compared and stay; lines under five characters have
 themselves as their one shingle; null and empty texts have no lines. A null id sorts before
@@ -24,10 +28,10 @@ from pyspark.sql import functions as F
 from quillspark.llm.runtime import components, drop_table, materialise, release
 
 SHINGLE, THRESHOLD_PERCENT = 5, 80
-#: Length of the sampled shingles, points on the circle, bands.
-SAMPLED, SIZE, BANDS = 9, 32, 10
-#: A line with fewer word starts than one in so many characters is sampled everywhere.
-SPARSE = 16
+#: Points on the circles, bands, points of a band.
+SIZE, BANDS, ROWS = 128, 20, 4
+#: Lines of up to so many distinct shingles have one circle for each row of a band.
+SMALL = 64
 _CHUNK = 128
 
 
@@ -38,23 +42,36 @@ def _every(line: Column, size: int) -> Column:
 
 
 def signature(line: Column) -> Column:
-    """SIZE minima: at each point of the circle the next hash of a sampled shingle."""
-    starts = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S.{{0,{SAMPLED - 1}}}))"), F.lit(1))
-    sampled = F.when(F.size(starts) * SPARSE < F.length(line), _every(line, SAMPLED)).otherwise(F.transform(starts, lambda x: F.xxhash64(x)))
-    return F.sort_array(sampled)
+    """Sorted hashes of the line's distinct shingles."""
+    return F.sort_array(F.array_distinct(_every(line, SHINGLE)))
 
 
-def _bands(hashes: str) -> Column:
-    """Keys of all bands from the sorted hashes in a column.
+def _points(hashes: str, size: int) -> str:
+    """The next of the sorted hashes from each of size (a power of two) points of the circle on.
 
-    The points cut the circle by the top five bits. Each hash stands at the points between
-    the hash before it and itself, and points past the last one take the first.
+    The points cut the circle by the top bits. Each hash stands at the points between the
+    hash before it and itself, and points past the last one take the first.
     """
-    before = f"if(i = 0, {-SIZE // 2 - 1}, cast(shiftright({hashes}[i - 1], 59) as int))"
-    spread = f"flatten(transform({hashes}, (x, i) -> array_repeat(x, cast(shiftright(x, 59) as int) - {before})))"
-    points = f"concat({spread}, array_repeat({hashes}[0], {SIZE}))"
-    step = SIZE // 3 + 1
-    return F.expr(f"transform(array({points}), p -> transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, p[b], p[b + {step}], p[b + {2 * step}])))[0]")
+    place = f"cast(shiftright({{}}, {65 - size.bit_length()}) as int)"
+    before = f"if(i = 0, {-size // 2 - 1}, {place.format('h[i - 1]')})"
+    spread = f"flatten(transform(h, (x, i) -> array_repeat(x, {place.format('x')} - {before})))"
+    return f"transform(array({hashes}), h -> slice(concat({spread}, array_repeat(h[0], {size})), 1, {size}))[0]"
+
+
+def _bands(hashes: str, percent: int) -> Column:
+    """Keys of all bands from the sorted hashes in a column."""
+    circle = SIZE // ROWS
+    turned = [f"array_sort(transform({hashes}, x -> shiftleft(x, {16 * c}) | shiftrightunsigned(x, {64 - 16 * c})))" if c else hashes for c in range(ROWS)]
+    few, many = f"concat({', '.join(_points(t, circle) for t in turned)})", _points(hashes, SIZE)
+
+    def keys(points: str, rule: int) -> str:
+        rows = ", ".join(f"p[{c * circle} + b * {2 * c + 1} % {circle}]" for c in range(ROWS))
+        return f"transform(array({points}), p -> transform(sequence(0, {BANDS - 1}), b -> xxhash64({rule}, b, {rows})))[0]"
+
+    none = "cast(array() as array<bigint>)"
+    # what is similar to a line of more than SMALL shingles has so many at least
+    least = (SMALL + 1) * percent // 100
+    return F.expr(f"concat(if(size({hashes}) <= {SMALL}, {keys(few, 0)}, {none}), if(size({hashes}) >= {least}, {keys(many, 1)}, {none}))")
 
 
 def _linked(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
@@ -82,22 +99,27 @@ def lines_of(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     lines = materialise(rows.select("doc_id", "_row", "pos", "id"), "lines")
     unique = materialise(rows.where("id is not null").select("id", "line").distinct(), "unique")
     release(spark)
-    signed = unique.select("id", signature(F.col("line")).alias("h")).select("id", F.explode(_bands("h")).alias("key"))
+    # a generator keeps the hashes from being computed anew wherever the bands mention them
+    signed = unique.select("id", F.explode(F.array(signature(F.col("line")))).alias("h"))
+    signed = signed.select("id", F.size("h").alias("n"), F.explode(_bands("h", percent)).alias("key"))
     signed = materialise(signed, "bands")
     shared = materialise(signed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre"), "buckets")
+    release(spark)
     members = materialise(signed.join(shared, "key"), "members")
     drop_table(signed)
     first = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     links = _linked(first, unique, percent)
     release(spark)
     parts = components(links)
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "centre", "id", F.coalesce("label", "id").alias("label"))
+    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "centre", "id", "n", F.coalesce("label", "id").alias("label"))
     counted = placed.groupBy("key", "label").agg(F.count("*").alias("m"))
     main = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
     apart = materialise(placed.where("id <> centre").join(main, "key"), "apart")
-    few = apart.where("label <> main").select("key", F.col("id").alias("a"), F.col("label").alias("label_a"))
-    many = apart.select("key", F.col("id").alias("b"), F.col("label").alias("label_b"), "main")
+    few = apart.where("label <> main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
+    many = apart.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), "main")
     rule = (few["key"] == many["key"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("a") > F.col("b")))
+    # else sizes alone rule a link out
+    rule &= 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     more = _linked(few.join(many, rule).select("a", "b").distinct(), unique, percent)
     if not more.isEmpty():
         parts = components(links.union(more))

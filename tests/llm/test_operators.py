@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +176,43 @@ def test_line_dedup(spark, awkward):
     assert got[22][0][1:] == (1, "0") and sorted(got[10]) == [(1, 1, "0")] * 2
 
 
+def _characters(line):
+    return {line[k : k + 5] for k in range(max(len(line) - 4, 1))}
+
+
+def _same_component(spark, pairs):
+    """Which of the pairs of lines, each a document, end in one component."""
+    found = {}
+    docs = _frame(spark, [(k, f"{a}\n{b}", "s") for k, (a, b) in enumerate(pairs)])
+    for r in line_dedup.lines_of(docs).select("doc_id", "label").collect():
+        found.setdefault(r.doc_id, set()).add(r.label)
+    return [len(found[k]) == 1 for k in range(len(pairs))]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no driver tables here")
+def test_line_dedup_recall_by_length(spark):
+    """Lines of sf0.1 with one letter changed, at an exact similarity of 0.8 or more."""
+    rng = random.Random(12)
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null").orderBy("doc_id").limit(4000).select("text").collect()
+    lines = sorted({x.strip().lower() for r in texts for x in r.text.split("\n")})
+    rng.shuffle(lines)
+    classes = {(3, 5): [], (6, 9): [], (10, 14): [], (15, 29): []}
+    for x in lines:
+        into = next((v for (lo, hi), v in classes.items() if lo <= len(x.split()) <= hi), None)
+        if into is None or len(into) >= 250:
+            continue
+        for k in rng.sample(range(len(x)), len(x)):
+            y = f"{x[:k]}{'q' if x[k] != 'q' else 'z'}{x[k + 1 :]}"
+            a, b = _characters(x), _characters(y)
+            if x[k] != " " and 100 * len(a & b) >= 80 * len(a | b):
+                into.append((x, y))
+                break
+    met = _same_component(spark, [p for v in classes.values() for p in v])
+    for words, v in classes.items():
+        now, met = met[: len(v)], met[len(v) :]
+        assert len(v) >= 20 and sum(now) >= 0.99 * len(v), (words, len(v), sum(now))
+
+
 def test_quality_rules(spark, awkward):
     got = {r.doc_id: r for r in quality_rules.quality_rules(_frame(spark, awkward)).collect()}
     for i, t, _ in awkward:
