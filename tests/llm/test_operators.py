@@ -213,6 +213,15 @@ def test_line_dedup_recall_by_length(spark):
         assert len(v) >= 20 and sum(now) >= 0.99 * len(v), (words, len(v), sum(now))
 
 
+def test_line_dedup_of_long_tokens(spark):
+    """Lines with exactly sixteen characters per word start, against the same with one more."""
+    rng = random.Random(13)
+    token = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    lines = [" ".join([token(15) for _ in range(k - 1)] + [token(16)]) for k in range(5, 21) for _ in range(6)]
+    assert all(len(x) == 16 * len(x.split()) for x in lines)
+    assert all(_same_component(spark, [(x, x + rng.choice("abc")) for x in lines]))
+
+
 def test_quality_rules(spark, awkward):
     got = {r.doc_id: r for r in quality_rules.quality_rules(_frame(spark, awkward)).collect()}
     for i, t, _ in awkward:
