@@ -565,6 +565,10 @@ def dedup_overlap(spark, sf):
     return results.dedup_overlap(_result_rows(spark, sf)).select("id")
 
 
+#: Results that a context is packed from.
+_PACKED = 50
+
+
 @_query(
     "context_pack",
     rf"""WITH {CTE}, {_RANGES}, s AS (SELECT *, row_number() OVER w AS n, lag(source_path) OVER w AS above FROM g WHERE id < 200 WINDOW w AS (ORDER BY source_path, start_line, end_line)),
@@ -578,6 +582,24 @@ def context_pack(spark, sf):
     return packed.select("position", "source_path", "start_line", "end_line", "cost", "used", F.sha2("block", 256).alias("block_hash"))
 
 
+@_query(
+    "context_pack_top",
+    rf"""WITH {CTE}, {_RANGES}, l AS (SELECT source_path, list({{'r': rank::BIGINT * 100000 + id, 'a': start_line, 'b': end_line, 'id': id}} ORDER BY rank::BIGINT * 100000 + id) AS x FROM g GROUP BY 1),
+o AS (SELECT list_reduce(list_transform(x, lambda e: [e]), lambda got, e: CASE WHEN len(list_filter(got, lambda q: e[1].a <= q.b AND q.a <= e[1].b)) > 0 THEN got ELSE list_concat(got, e) END) AS y FROM l),
+t AS (SELECT g.* FROM g JOIN (SELECT unnest(list_transform(y, lambda e: e.id)) AS id FROM o) USING (id) ORDER BY rank::BIGINT * 100000 + id LIMIT {_PACKED}),
+s AS (SELECT *, row_number() OVER w AS n, lag(source_path) OVER w AS above FROM t WINDOW w AS (ORDER BY source_path, start_line, end_line)),
+b AS (SELECT *, CASE WHEN above = source_path THEN '' ELSE '# ' || source_path || '  (' || language || ')' || chr(10) END || '## lines ' || start_line || '-' || end_line || chr(10) || '```' || language || chr(10) || content || chr(10) || '```' AS block FROM s),
+k AS (SELECT *, ceil(len(list_filter(regexp_split_to_array(block, '\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT AS cost FROM b),
+u AS (SELECT *, sum(cost) OVER (ORDER BY n)::BIGINT AS used FROM k)
+SELECT n::INT AS position, source_path, start_line, end_line, cost, used, sha256(block) AS block_hash FROM u WHERE used <= 20000 OR n = 1""",
+)
+def context_pack_top(spark, sf):
+    """The best results of all rows after overlap removal, packed; ``context_pack`` packs an id range, as its SQL has it."""
+    best = results.dedup_overlap(_result_rows(spark, sf)).orderBy("rank").limit(_PACKED)
+    packed = results.pack_context(best, 20000)
+    return packed.select("position", "source_path", "start_line", "end_line", "cost", "used", F.sha2("block", 256).alias("block_hash"))
+
+
 # --- reports ---
 
 _OURS = f"repo <> '{C.NOTE_REPO}'"
