@@ -5,8 +5,9 @@ built-in expressions inside the scan; positions follow from the lengths of the p
 between matches. They seed a graph between lexical patterns (the word to the left of an
 entity) and instances (what follows it). Rounds of aggregation score both: a pattern by the
 share of its distinct instances that are of a kind, an instance by the patterns it follows.
-Patterns with enough distinct support and a high score then claim tokens that no base
-expression matches but that have the make of their kind.
+Patterns with enough distinct support and a high score then claim tokens, and runs of
+digit groups with blanks between them, that no base expression matches but that have the
+make of their kind. Of claims that overlap the longest holds.
 
 The expressions are written so that their matches equal the plain ones listed under BASE,
 but no run of characters is scanned twice: possessive repeats, and starts only where a run
@@ -44,12 +45,16 @@ NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
 #: Tokens that may be identifiers: they have a digit or an at sign.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: What a token needs besides its context to be claimed for a kind.
+#: Groups of digits with blanks, brackets, dots and hyphens between them; a group that letters follow at once isn't part of it.
+RUN = r"(?<!\S)[^\s0-9@]*+[0-9]++(?![\p{L}_@+:/%])(?:[\x20().-]++[0-9]++(?![\p{L}_@+:/%]))++"
+#: The longest beginnings of a run, cut between groups, that have as many digits as a phone and a card may have.
+CUTS = tuple(rf"^[^0-9]*(?:[0-9][\x20().-]*){{0,{n - 1}}}[0-9](?![0-9])" for n in (15, 19))
+#: What a token or run needs besides its context to be claimed for a kind.
 MAKE = {
     "email": r"^\S*[A-Za-z0-9]\S*@\S*[A-Za-z0-9]",
-    "ip": r"^\D*[0-9A-Fa-f]+([.:][0-9A-Fa-f]+){3,}\D*$",
-    "card": r"^\D*([0-9]-?){12,19}\D*$",
-    "phone": r"^\D*([0-9][().-]*){7,15}\D*$",
+    "ip": r"^\D*[0-9A-Fa-f]+([.:][0-9A-Fa-f]+){3,}\D*$|^[^\w:]*[0-9A-Fa-f]{0,4}(:[0-9A-Fa-f]{1,4})*::([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)?[^\w:]*$",
+    "card": r"^\D*([0-9][\x20-]?){12,19}\D*$",
+    "phone": r"^\D*([0-9][\x20().-]*){7,15}\D*$",
 }
 
 ROUNDS = 3
@@ -129,12 +134,30 @@ def _left(text: Column, start: Column) -> Column:
     return F.lower(F.regexp_extract(before, r"(?<!\S)(\S+)\s+\z", 1))
 
 
+def _runs(text: Column, base: Column) -> Column:
+    """Beginnings of digit runs before any base span in them, as far as they hold a blank and enough digits."""
+    found = F.filter(spans(text, RUN), lambda t: t["x"].rlike(r"[0-9].*\x20.*[0-9]") & t["x"].rlike(r"([0-9][^0-9]*){7}"))
+
+    def cut(t: Column) -> Column:
+        ends = F.array_min(F.transform(F.filter(base, lambda b: b["e"] > t["s"]), lambda b: b["s"]))
+        before = F.substring(t["x"], F.lit(1), F.least(F.length(t["x"]), ends - t["s"]))
+        heads = F.array_distinct(F.array(*(F.regexp_extract(before, c, 0) for c in CUTS)))
+        return F.transform(heads, lambda x: F.struct(x.alias("x"), t["s"].alias("s")))
+
+    return F.filter(F.flatten(F.transform(found, cut)), lambda t: t["x"].rlike(r"[0-9].*\x20.*[0-9]") & t["x"].rlike(r"([0-9][^0-9]*){7}"))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans and free tokens (outside base spans) with the word to their left."""
+    """doc_id, base spans and free tokens and runs (outside base spans) with the word to their left."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", _base(F.col("text")).alias("base"), spans(F.col("text"), TOKEN).alias("tokens"))
-    # only what has enough digits or an at sign can be of a kind
-    made = F.filter("tokens", lambda t: t["x"].rlike(r"@|([0-9].*){4}"))
+    # only what has enough digits or an at sign, or the make of an address, can be of a kind
+    made = F.filter("tokens", lambda t: t["x"].rlike(r"@|([0-9].*){4}") | t["x"].rlike(MAKE["ip"]))
+    # a piece of a run that has no kind's make would only count against what the run follows
+    rows = rows.withColumn("runs", _runs(F.col("text"), F.col("base")))
+    inside = lambda t: F.exists("runs", lambda r: (r["s"] <= t["s"]) & (t["s"] + F.length(t["x"]) <= r["s"] + F.length(r["x"])))
+    whole = F.filter(made, lambda t: reduce(lambda a, b: a | b, (t["x"].rlike(m) for m in MAKE.values())) | ~inside(t))
+    made = F.concat(whole, F.col("runs"))
     free = F.filter(made, lambda t: ~F.exists("base", lambda b: (b["s"] < t["s"] + F.length(t["x"])) & (t["s"] < b["e"])))
     free = F.transform(free, lambda t: F.struct(_left(F.col("text"), t["s"]).alias("left"), t["s"].alias("s"), (t["s"] + F.length(t["x"])).alias("e"), t["x"].alias("x")))
     base = F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"), b["x"].alias("x"), _left(F.col("text"), b["s"]).alias("left")))
@@ -172,6 +195,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     claims = bootstrap(found)
     free = found.select("_row", F.explode("free").alias("f")).select("_row", F.col("f.left").alias("left"), F.col("f.x").alias("x"), F.col("f.s").alias("s"), F.col("f.e").alias("e"))
     added = free.join(claims, ["left", "x"]).groupBy("_row").agg(F.collect_list(F.struct("k", "s", "e")).alias("added"))
+    # a run may be claimed with a token in it, or at two lengths
+    wider = "b.s < a.e and a.s < b.e and (b.e - b.s > a.e - a.s or b.e - b.s = a.e - a.s and b.s < a.s)"
+    added = added.withColumn("added", F.expr(f"filter(added, a -> not exists(added, b -> {wider}))"))
     names = F.array(*(F.lit(k) for k in BASE))
 
     def told(column: Column) -> Column:

@@ -268,6 +268,17 @@ def test_contexts_find_what_the_expressions_miss(spark):
     assert got[31].spans == "" and got[32].spans == "" and all(got[i].n_phone == 1 for i in range(10, 16))
 
 
+def test_contexts_find_identifiers_with_blanks(spark):
+    rows = [(i, f"call +1 (0{i}7) 555-77{i}3 and host 10.0.0.{i} and charge 4111 1111 1111 1111 now", "s") for i in range(10, 16)]
+    luhn = ["4012888888881881", "5555555555554444", "5105105105105100"]
+    rows += [(20 + i, f"charge {x} here", "s") for i, x in enumerate(luhn)]
+    want = {30: ("call 415 555 1234 today", "phone:5:17"), 31: ("call (030) 1234 5678.", "phone:5:20"), 32: ("charge 3782 822463 10005 now", "card:7:24"), 33: ("host fe80::1 up", "ip:5:12"), 34: ("call 415 555 1234 5pm", "phone:5:17"), 35: ("the 415 555 1234 ones", ""), 36: ("at 10:30 host x", ""), 37: ("call 415 555 1234 10.9.8.7", "ip:18:26,phone:5:17")}
+    want[38] = ("call 415 555 1234 123456789012", "phone:5:17")
+    rows += [(k, t, "s") for k, (t, _) in want.items()]
+    got = {r.doc_id: r.spans for r in pii.personal_data(_frame(spark, rows)).collect()}
+    assert {k: got[k] for k in want} == {k: v for k, (_, v) in want.items()}
+
+
 @pytest.mark.parametrize("n,vocab", [(0, 300), (1, 300), (5, 49408), (2048, 49408), (2049, 49408), (7000, 1 << 20)])
 def test_coder_round_trip(n, vocab):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), vocab) - 1
