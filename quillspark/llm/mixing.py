@@ -75,6 +75,8 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
     z = total["z"] or 1.0
     spend = float(total["N"] or 0) if budget is None else z * float(total["most"] or 1) ** (1 - exponent) if budget == "cover" else float(budget)
     quota = F.floor(F.round(power / z, 9) * F.lit(spend) + F.lit(0.5 if budget == "cover" else 0.0))
+    if budget == "cover":  # rounded weights fall short by whole documents once there are billions of tokens
+        quota = F.greatest(quota, F.col("tokens"))
     sources = sources.select("_source", "tokens", F.round(power / z, 9).alias("weight"), F.when(F.col("tokens") > 0, quota).alias("quota"), F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("docs") / BLOCK_DOCS))).cast("int").alias("_digits"))
     placed = rows.join(sources.hint("broadcast") if _bounded(sources) else sources, "_source").withColumn("_block", F.expr("substring(_key, 1, _digits)"))
     blocks = placed.groupBy("_source", "_block").agg(F.sum("n_tokens").alias("n"))

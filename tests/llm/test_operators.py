@@ -373,6 +373,15 @@ def test_mixing(spark, awkward):
     assert made.columns == SCHEMA.replace(",", "").split()[::2] and made.where('doc_id <> 10').count() == sum(r.copies for r in got if r.doc_id not in (10, None))
 
 
+def test_mixing_covers_whatever_weights_round_to(spark, monkeypatch):
+    """Weights rounded to one digit stand for a rounding error of many tokens, as nine digits leave at 30 GB and more."""
+    rounded = mixing.F.round
+    monkeypatch.setattr(mixing.F, "round", lambda c, scale=0: rounded(c, 1 if scale == 9 else scale))
+    rows = [(k, "one two three", "a" if k < 140 else f"s{k % 3}") for k in range(230)]
+    got = mixing.mix(_frame(spark, rows), budget="cover").collect()
+    assert len(got) == 230 and min(r.copies for r in got) >= 1
+
+
 def test_classifier(spark):
     rng = random.Random(0)
     rows, labels = [], []
