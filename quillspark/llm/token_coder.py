@@ -4,7 +4,8 @@ Blocks are independent: each starts from an empty model and carries a checksum.
 blocks of a segment advance together, one token a step, as lanes of NumPy arrays.
 
 For each token the order-2 and order-1 contexts predict one id each, with a confidence
-that grows with hits, and order 0 gives an adaptive distribution over all ids. How far
+that grows with hits, from hash slots that don't check the context. Order 0 gives an
+adaptive distribution over 256 classes of neighbouring ids, uniform inside a class. How far
 each order is trusted is learned by counts for each joint state of confidence. The
 token's interval comes from that mixture and narrows a carryless range coder of 64 bits.
 """
