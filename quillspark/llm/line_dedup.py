@@ -1,18 +1,20 @@
-"""Fuzzy line dedup by MinHash, in DataFrame expressions only.
-
-Lines are compared lower-cased and trimmed. Equal ones fold first. A signature is the
-MinHash of all distinct five-character shingles of a line, the set the threshold is on:
-their sorted hashes on a circle, read off at SIZE fixed points as the next hash from each
-point on. A few hashes leave wide gaps on one circle, so lines of up to SMALL shingles
-have ROWS circles with a share of the points each. Lines whose size lets them be similar
-to lines on either side of that bound have the keys of both, so that no two similar lines
-are sampled by different rules only. Bands of ROWS points give candidates: every line of
-a bucket with the bucket's centre, then whatever pairs of lines stay in different
-components and whose sizes allow a link. Each candidate pair is verified by the exact
-Jaccard similarity, and union-find keeps one line of each component, the first.
-
-With independent points, lines at a similarity of 0.8 share no band with a probability of
-3e-5; points of short lines depend on each other, and the tests hold recall by length.
+"""Fuzzy line dedup by MinHash over character shingles.
+
+Lines are compared lower-cased and trimmed. Equal ones fold first, by their text. A line's
+set is its distinct runs of five characters. Each point of its signature is the minimum of
+all its shingles' hashes under a multiplier of its own; lines that agree on all six points
+of one of 26 bands are candidates. Lines at a similarity of 0.8 share no band with a
+probability of 0.2 %, those at 0.85 of 0.01 %, and lines at 0.1, as any two of one language
+are, share one in 40,000 pairs, so that few candidates come from unlike lines.
+
+Candidate pairs are verified by the exact Jaccard similarity of both sets: every member of a
+bucket with its first line, then whatever pairs of members stay in different components and
+could be similar by what each shares with that first line. Union-find keeps one line of each
+component, the first.
+
+Splitting, folding, joins and components are DataFrame operations. Signatures and
+verification run on Arrow batches: hashing every shingle with Spark's expressions takes
+more than this operator's whole budget of CPU time (see the README).
 
 Defined results: blank lines aren't compared and stay; lines under five characters have
 themselves as their one shingle; null and empty texts have no lines. A null id sorts before
@@ -22,109 +24,260 @@ table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.runtime import components, drop_table, materialise, release
+from quillspark.llm.runtime import components, drop_table, map_arrow, materialise, release
+from quillspark.llm.words import mix, raw, rolled
 
 SHINGLE, THRESHOLD_PERCENT = 5, 80
-#: Points on the circles, bands, points of a band.
-SIZE, BANDS, ROWS = 128, 20, 4
-#: Lines of up to so many distinct shingles have one circle for each row of a band.
-SMALL = 64
-_CHUNK = 128
+#: Points stand in a grid of ROWS rows and WIDE columns (a prime). A band takes one point of each row along a
+#: line through the grid, so two bands share one point at most.
+ROWS, WIDE, SLOPES = 6, 13, 2
+BANDS = WIDE * SLOPES
+_SLICE = 1 << 17  # bytes of lines worked on at a time
+#: Lines of a block, whose numbers fit 16 bits; bytes of band keys that a task sorts at a time.
+_BLOCK, _PART = 1 << 16, 8 << 20
+_U = np.uint64
+
+
+def _codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lines data[off[i]:off[i+1]] (UTF-8), and offsets by line."""
+    at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[off]
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), at
+
+
+def _short(h: np.ndarray, first: np.ndarray, codes: np.ndarray, at: np.ndarray) -> None:
+    """Lines under SHINGLE characters have one hash of the whole; ``first`` has its place."""
+    for i in np.flatnonzero(np.diff(at) < SHINGLE):
+        own = hashlib.blake2b(codes[at[i] : at[i + 1]].tobytes(), digest_size=h.itemsize).digest()
+        h[first[i]] = int.from_bytes(own, "little")
+
+
+def _windows(h: np.ndarray, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of hashes at each character those of runs inside one line, and offsets by line."""
+    n = np.diff(at)
+    inside = np.ones(len(codes), bool)
+    for back in range(1, SHINGLE):  # a line's last characters start no run, but a short line's first stands for it
+        inside[(at[1:] - back)[n > back]] = False
+    take = np.maximum(n - SHINGLE + 1, 1)
+    first = np.concatenate(([0], np.cumsum(take)))
+    h = h[inside]
+    _short(h, first, codes, at)
+    return h, first
+
+
+def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of lines (not empty), and offsets by line."""
+    codes, at = _codes(data, off)
+    wide = (codes.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)
+    return _windows(rolled(wide ^ (wide >> _U(29)), SHINGLE), codes, at)
+
+
+def _points() -> np.ndarray:
+    return (mix(np.arange(1, ROWS * WIDE + 1).astype(_U)) >> _U(32)).astype(np.uint32) | np.uint32(1)
+
 
+def band_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Keys of 48 bits (lines x BANDS), from the 32-bit hashes of all shingles of lines (not empty)."""
+    codes, at = _codes(data, off)
+    x = codes * np.uint32(0x9E3779B1)
+    x ^= x >> np.uint32(15)
+    h, done = x.copy(), 1
+    while done < SHINGLE:
+        h[: len(h) - done] = h[: len(h) - done] * np.uint32(0x85EBCA77) + x[done:]
+        done += 1
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x7FEB352D)
+    h ^= h >> np.uint32(15)
+    h, first = _windows(h, codes, at)
+    turned = np.empty_like(h)
+    low = [np.minimum.reduceat(np.multiply(h, m, out=turned), first[:-1]).astype(_U) for m in _points()]
+    keys = np.zeros((len(off) - 1, BANDS), _U)
+    for b in range(BANDS):
+        slope, from_ = divmod(b, WIDE)
+        key = np.full(len(off) - 1, b + 1, _U)
+        for r in range(ROWS):
+            key = mix(key + low[r * WIDE + (from_ + slope * r) % WIDE])
+        keys[:, b] = key >> _U(16)
+    return keys
 
-def _every(line: Column, size: int) -> Column:
-    """Hashes of all shingles; cut in overlapping chunks first, since positions in a string are found from its start."""
-    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.length(line) - size + 1, F.lit(1)), F.lit(_CHUNK)), lambda i: F.substring(line, i, F.lit(_CHUNK + size - 1)))
-    return F.flatten(F.transform(chunks, lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(size))))))
 
+def _pieces(batch: pa.RecordBatch, columns: tuple[str, ...], size: int = _SLICE):
+    """(first row, end row) of parts of a batch whose texts have about ``size`` bytes."""
+    ends = sum(raw(batch.column(c))[1] for c in columns)
+    row = 0
+    while row < batch.num_rows:
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1)
+        yield row, stop
+        row = stop
 
-def signature(line: Column) -> Column:
-    """Sorted hashes of the line's distinct shingles."""
-    return F.sort_array(F.array_distinct(_every(line, SHINGLE)))
 
+SIGNED = "part int, base long, entries binary, heads binary"
 
-def _points(hashes: str, size: int) -> str:
-    """The next of the sorted hashes from each of size (a power of two) points of the circle on.
 
-    The points cut the circle by the top bits. Each hash stands at the points between the
-    hash before it and itself, and points past the last one take the first.
+def _signed(batches, parts: int):
+    """Blocks of band keys, sorted and cut by part: entries hold a key's 48 bits and the line's number after ``base``.
+
+    Of the lines of a block that share a key the first one alone goes to the key's part. The
+    others' entries, with their ``heads``, are members whose centre that line is; they travel
+    to parts that depend on the block alone, so no key's rows gather in one task.
     """
-    place = f"cast(shiftright({{}}, {65 - size.bit_length()}) as int)"
-    before = f"if(i = 0, {-size // 2 - 1}, {place.format('h[i - 1]')})"
-    spread = f"flatten(transform(h, (x, i) -> array_repeat(x, {place.format('x')} - {before})))"
-    return f"transform(array({hashes}), h -> slice(concat({spread}, array_repeat(h[0], {size})), 1, {size}))[0]"
 
+    def told(base: int, held: list):
+        keys = np.concatenate(held)
+        entries = np.sort(((keys << _U(16)) | np.arange(len(keys)).astype(_U)[:, None]).ravel())
+        key = entries >> _U(16)
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        heads = entries[new]
+        part = (key[new] >> _U(16)) * _U(parts) >> _U(32)
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        rows = [(int(part[a]), heads[a:b].tobytes(), None) for a, b in zip(cuts, np.append(cuts[1:], len(heads)), strict=True)]
+        if not new.all():
+            at = np.flatnonzero(new)[np.cumsum(new) - 1][~new]
+            rows.append((base % parts, entries[~new].tobytes(), (entries[at] & _U(0xFFFF)).astype(np.uint16).tobytes()))
+        part, entries, heads = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([base] * len(rows), pa.int64()), pa.array(entries, pa.binary()), pa.array(heads, pa.binary())], names=["part", "base", "entries", "heads"])
+
+    base, held, n = 0, [], 0
+    for batch in batches:
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(ids) != 1) + 1
+        for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(ids)), strict=True):
+            run = batch.slice(int(lo), int(hi - lo))
+            for a, b in _pieces(run, ("line",)):
+                if n and (ids[lo + a] != base + n or n + b - a > _BLOCK):
+                    yield told(base, held)
+                    held, n = [], 0
+                base = int(ids[lo + a]) - n
+                held.append(band_keys(*raw(run.column("line").slice(a, b - a))))
+                n += b - a
+    if n:
+        yield told(base, held)
+
+
+def _buckets(batches):
+    """Members (key, centre, id) of the keys that more than one line has, from blocks sorted by part."""
 
-def _bands(hashes: str, percent: int) -> Column:
-    """Keys of all bands from the sorted hashes in a column."""
-    circle = SIZE // ROWS
-    turned = [f"array_sort(transform({hashes}, x -> shiftleft(x, {16 * c}) | shiftrightunsigned(x, {64 - 16 * c})))" if c else hashes for c in range(ROWS)]
-    few, many = f"concat({', '.join(_points(t, circle) for t in turned)})", _points(hashes, SIZE)
+    def rows(key, centre, ident):
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (key, centre, ident)], names=["key", "centre", "id"])
 
-    def keys(points: str, rule: int) -> str:
-        rows = ", ".join(f"p[{c * circle} + b * {2 * c + 1} % {circle}]" for c in range(ROWS))
-        return f"transform(array({points}), p -> transform(sequence(0, {BANDS - 1}), b -> xxhash64({rule}, b, {rows})))[0]"
+    def settled(held: list):
+        entries, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+        key = entries >> _U(16)
+        order = np.argsort(key)
+        key, ids = key[order], ids[order]
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(heads, len(key)))
+        shared = np.repeat(size > 1, size)
+        return rows(key[shared], np.repeat(np.minimum.reduceat(ids, heads), size)[shared], ids[shared])
 
-    none = "cast(array() as array<bigint>)"
-    # what is similar to a line of more than SMALL shingles has so many at least
-    least = (SMALL + 1) * percent // 100
-    return F.expr(f"concat(if(size({hashes}) <= {SMALL}, {keys(few, 0)}, {none}), if(size({hashes}) >= {least}, {keys(many, 1)}, {none}))")
+    part, held = None, []
+    for batch in batches:
+        for p, base, entries, heads in zip(*(batch.column(c) for c in ("part", "base", "entries", "heads")), strict=True):
+            e, base = np.frombuffer(entries.as_buffer(), _U), base.as_py()
+            ids = base + (e & _U(0xFFFF)).astype(np.int64)
+            if heads.is_valid:
+                yield rows(e >> _U(16), base + np.frombuffer(heads.as_buffer(), np.uint16).astype(np.int64), ids)
+                continue
+            if held and p.as_py() != part:
+                yield settled(held)
+                held = []
+            part = p.as_py()
+            held.append((e, ids))
+    if held:
+        yield settled(held)
 
 
-def _linked(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) with enough of their shingles in common."""
+def _compared(batches):
+    """Sizes of both shingle sets of each pair of lines, and of their intersection."""
+    for batch in batches:
+        for a, b in _pieces(batch, ("x", "y")):
+            sides = []
+            for c in ("x", "y"):
+                h, off = shingles(*raw(batch.column(c).slice(a, b - a)))
+                pair = np.repeat(np.arange(b - a), np.diff(off))
+                order = np.lexsort((h, pair))
+                h, pair = h[order], pair[order]
+                once = np.concatenate(([True], (h[1:] != h[:-1]) | (pair[1:] != pair[:-1])))
+                sides.append((h[once], pair[once]))
+            h, pair = (np.concatenate(c) for c in zip(*sides, strict=True))
+            order = np.lexsort((h, pair))
+            h, pair = h[order], pair[order]
+            both = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=b - a)
+            sizes = [np.bincount(p, minlength=b - a) for _, p in sides]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("a", "b")), *(pa.array(c.astype(np.int32)) for c in (both, *sizes))], names=["a", "b", "both", "n_a", "n_b"])
+
+
+def _verified(pairs: DataFrame, unique: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their sets (n_a, n_b) and of the intersection (both)."""
     pairs = materialise(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = materialise(unique.join(ids, "id", "left_semi").select("id", "line"), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    # generators keep the filter from being pushed down with a copy of what it compares
-    sets = both.select("a", "b", F.explode(F.array(F.struct(F.array_distinct(_every(F.col("x"), SHINGLE)).alias("x"), F.array_distinct(_every(F.col("y"), SHINGLE)).alias("y")))).alias("s"))
-    sizes = F.struct(F.size("s.x").alias("m"), F.size("s.y").alias("n"), F.size(F.array_intersect("s.x", "s.y")).alias("c"))
-    sets = sets.select("a", "b", F.explode(F.array(sizes)).alias("s")).select("a", "b", "s.*")
-    out = materialise(sets.where(100 * F.col("c") >= percent * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b"), "links")
+    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    out = materialise(map_arrow(rows.select("a", "b", "x", "y"), _compared, "a long, b long, both int, n_a int, n_b int"), "compared")
     drop_table(pairs)
     drop_table(texts)
+    release(unique.sparkSession)
     return out
 
 
+def _links(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+
+def _apart(members: DataFrame, compared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's members in different components that may be similar, each once."""
+    known = compared.select(F.col("a").alias("id"), F.col("b").alias("centre"), "both", F.col("n_a").alias("n"))
+    known = known.union(compared.select(F.col("b").alias("id"), F.col("b").alias("centre"), F.col("n_b").alias("both"), F.col("n_b").alias("n")).distinct())
+    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "centre", "id", F.coalesce("label", "id").alias("label"))
+    counted = placed.groupBy("key", "label").agg(F.count("*").alias("m"))
+    main = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
+    apart = materialise(placed.join(main, "key").join(known, ["id", "centre"]), "apart")
+    few = apart.where("label <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "centre", "label", "both", "n")))
+    many = apart.select("key", "main", *(F.col(c).alias(f"{c}_b") for c in ("id", "centre", "label", "both", "n")))
+    rule = (few["key"] == many["key"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("id_a") > F.col("id_b")))
+    # pairs with the centre are compared already
+    rule &= (F.col("id_a") != F.col("centre_b")) & (F.col("id_b") != F.col("centre_a"))
+    # inside one centre's set two members share no more than either shares with it, outside no more than the smaller rest
+    inside = F.least("both_a", "both_b") + F.least(F.col("n_a") - F.col("both_a"), F.col("n_b") - F.col("both_b"))
+    most = F.when(F.col("centre_a") == F.col("centre_b"), inside).otherwise(F.least("n_a", "n_b"))
+    rule &= 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    return few.join(many, rule).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def lines_of(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One row per line: _row (its document's number), doc_id, pos, label of its component and kept."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
     rows = rows.select("doc_id", "_row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("line", F.lower(F.trim("line"))).withColumn("id", F.when(F.col("line").rlike(r"\S"), F.xxhash64("line")))
-    lines = materialise(rows.select("doc_id", "_row", "pos", "id"), "lines")
-    unique = materialise(rows.where("id is not null").select("id", "line").distinct(), "unique")
+    rows = rows.withColumn("line", F.lower(F.trim("line"))).withColumn("digest", F.when(F.col("line").rlike(r"\S"), F.unhex(F.md5("line"))))
+    lines = materialise(rows.select("doc_id", "_row", "pos", "digest"), "lines")
+    unique = rows.where("digest is not null").select("digest", "line").distinct()
+    unique = materialise(unique.withColumn("id", F.monotonically_increasing_id()), "unique")
     release(spark)
-    # a generator keeps the hashes from being computed anew wherever the bands mention them
-    signed = unique.select("id", F.explode(F.array(signature(F.col("line")))).alias("h"))
-    signed = signed.select("id", F.size("h").alias("n"), F.explode(_bands("h", percent)).alias("key"))
-    signed = materialise(signed, "bands")
-    shared = materialise(signed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre"), "buckets")
-    release(spark)
-    members = materialise(signed.join(shared, "key"), "members")
-    drop_table(signed)
-    first = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    links = _linked(first, unique, percent)
+    parts = max(1, -(-unique.count() * BANDS * 8 // _PART))
+    signed = map_arrow(unique.select("id", "line"), partial(_signed, parts=parts), SIGNED)
+    members = map_arrow(signed.repartition(parts, "part").sortWithinPartitions("part"), _buckets, "key long, centre long, id long")
+    members = materialise(members, "members")
     release(spark)
+    compared = _verified(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), unique)
+    links = materialise(_links(compared, percent), "links")
     parts = components(links)
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "centre", "id", "n", F.coalesce("label", "id").alias("label"))
-    counted = placed.groupBy("key", "label").agg(F.count("*").alias("m"))
-    main = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
-    apart = materialise(placed.where("id <> centre").join(main, "key"), "apart")
-    few = apart.where("label <> main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    many = apart.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), "main")
-    rule = (few["key"] == many["key"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("a") > F.col("b")))
-    # else sizes alone rule a link out
-    rule &= 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    more = _linked(few.join(many, rule).select("a", "b").distinct(), unique, percent)
+    more = materialise(_links(_verified(_apart(members, compared, parts, percent), unique), percent), "links")
     if not more.isEmpty():
         parts = components(links.union(more))
+    drop_table(members)
     release(spark)
-    placed = lines.join(parts.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "_row", "pos", F.coalesce("label", "id").alias("label"))
+    # from the numbers of unlike texts to their digests, which occurrences carry
+    named = unique.select("id", "digest").join(parts.withColumnRenamed("node", "id"), "id")
+    named = named.select("digest", "label").join(unique.select(F.col("id").alias("label"), F.col("digest").alias("name")), "label").select("digest", "name")
+    placed = lines.join(named, "digest", "left").select("doc_id", "_row", "pos", F.coalesce("name", "digest").alias("label"))
     placed = materialise(placed, "placed")
     kept = materialise(placed.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "_row", "pos")).alias("first")), "kept")
     same = (F.col("first._row") == F.col("_row")) & (F.col("first.pos") == F.col("pos"))
