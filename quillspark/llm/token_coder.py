@@ -1,13 +1,17 @@
 """Context-mixing range coder for token ids, run over many blocks at once.
 
-Blocks are independent: each starts from an empty model and carries a checksum. All
-blocks of a segment advance together, one token a step, as lanes of NumPy arrays.
-
-For each token the order-2 and order-1 contexts predict one id each, with a confidence
-that grows with hits, from hash slots that don't check the context. Order 0 gives an
-adaptive distribution over 256 classes of neighbouring ids, uniform inside a class. How far
-each order is trusted is learned by counts for each joint state of confidence. The
-token's interval comes from that mixture and narrows a carryless range coder of 64 bits.
+A segment's header holds how frequent each of its ids is, by levels of half a bit. Blocks are
+independent of each other: each starts from that prior and empty contexts, and carries a
+checksum. All blocks of a segment advance together, one token a step, as lanes of NumPy
+arrays.
+
+For each token the order-2 and order-1 contexts predict one id each, with a confidence that
+grows with hits, from hash slots that hold a check of their context. Order 0 gives an
+adaptive distribution over all ids in two levels: 256 classes of about equal mass in the
+prior, whose counts adapt within the block, and the prior inside a class. How far each order
+is trusted is learned by counts for each joint state of confidence. The token's interval
+comes from that mixture and narrows a carryless range coder of 64 bits; an id that order 0
+tells narrows it once more, to its share of the class.
 """
 
 from __future__ import annotations
@@ -17,73 +21,112 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 2048, 1024
-MAGIC = b"QTB1"
-_TOTAL = 28  # bits of the mixture's total
-_MOST = (1 << _TOTAL) - (1 << (_TOTAL - 2))  # what predictions may take of it at most
-_SLOTS = 12  # bits of a context table
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_REFRESH = 32  # steps between updates of the order-0 table
+BLOCK, LANES = 2048, 2048
+MAGIC = b"QTB2"
+_TOTAL = 22  # bits of the mixture's total
+_MOST = (1 << _TOTAL) - (1 << (_TOTAL - 3))  # what predictions may take of it at most
+_CLASSES, _UNITS = 256, 12  # classes of order 0, bits of their total
+_INSIDE = 16  # bits of the total inside a class
+_SLOTS = 11  # bits of a context table
+_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
+_REFRESH = 128  # steps between updates of the order-0 table
+_START, _STEP = 12, 8  # what a class counts at first, and more for each token
 _U = np.uint64
 
 
+class _Prior:
+    """Classes of ids and their shares, from the levels in a header."""
+
+    def __init__(self, levels: np.ndarray):
+        held = np.flatnonzero(levels)
+        held = held[np.argsort(-levels[held].astype(np.int64), kind="stable")]
+        mass = np.exp2((levels[held] - 1.0) / 2)
+        before = np.cumsum(mass) - mass
+        kind = np.minimum(before * _CLASSES / max(mass.sum(), 1e-9), _CLASSES - 1).astype(np.int64)
+        first = np.concatenate(([True], kind[1:] != kind[:-1])) if len(held) else np.zeros(0, bool)
+        kind = np.cumsum(first) - 1
+        begin = np.flatnonzero(first)
+        weight = np.add.reduceat(mass, begin) if len(begin) else np.zeros(0)
+        size = np.diff(np.append(begin, len(held)))
+        # shares inside a class: one unit each, the rest by mass
+        spare = (1 << _INSIDE) - size
+        share = 1 + np.floor(mass / weight[kind] * spare[kind]).astype(np.int64) if len(held) else np.zeros(0, np.int64)
+        ends = np.cumsum(share)
+        inside = ends - share - (ends - share)[begin][kind] if len(held) else share
+        self.classes = max(len(begin), 1)
+        self.kind, self.inside, self.share = (np.zeros(len(levels), np.int64) for _ in range(3))
+        self.kind[held], self.inside[held], self.share[held] = kind, inside, share
+        self.sorted, self.at = held, (kind << _INSIDE) + inside  # ids in coding order and where their shares begin
+
+
+def _levels(ids: np.ndarray, vocab: int) -> np.ndarray:
+    n = np.bincount(ids, minlength=vocab)
+    return np.where(n > 0, np.round(2 * np.log2(np.maximum(n, 1))) + 1, 0).astype(np.uint8)
+
+
 class _Model:
     """Predictions of a number of lanes."""
 
-    def __init__(self, lanes: int, bits: int):
-        self.shift = max(bits - 8, 0)
+    def __init__(self, lanes: int, prior: _Prior):
         self.lane = np.arange(lanes)
         self.table_base = self.lane << _SLOTS
         self.state_base = self.lane << 6
-        self.class_base = self.lane << 8
-        self.seen1 = np.full(lanes << _SLOTS, -1, np.int64)  # id * 8 + confidence
+        self.class_base = self.lane * _CLASSES
+        self.seen1 = np.full(lanes << _SLOTS, -1, np.int64)  # check, id and confidence
         self.seen2 = np.full(lanes << _SLOTS, -1, np.int64)
-        self.trust = np.tile(np.array([2, 1, 2], np.int64), (lanes << 6, 1))
-        self.counts = np.ones(lanes << 8, np.int64)
+        self.trust = np.tile(np.array([2, 1, 6], np.int32), (lanes << 6, 1))
+        self.counts = np.zeros((lanes, _CLASSES), np.int32)
+        self.counts[:, : prior.classes] = _START
         self.prev1 = np.zeros(lanes, np.int64)
         self.prev2 = np.zeros(lanes, np.int64)
         self.step = 0
 
     def predict(self, decoding: bool) -> None:
         if self.step % _REFRESH == 0:
-            counts = self.counts.reshape(-1, 256)
-            self.freq = (1 + counts * (4096 - 256) // counts.sum(1, keepdims=True)).ravel()
-            ends = np.cumsum(self.freq.reshape(-1, 256), axis=1)
-            self.cum = (ends - self.freq.reshape(-1, 256)).ravel()
-            if decoding:  # class of each of the 4096 units; what rounding leaves over is never coded
-                self.unit = np.repeat(np.tile(np.arange(256, dtype=np.int16), len(self.lane)), self.freq)
-                self.unit_base = np.concatenate(([0], np.cumsum(ends[:, -1])))[:-1]
+            scale = ((1 << _UNITS) - _CLASSES) / self.counts.sum(1, keepdims=True)
+            freq = (self.counts * scale).astype(np.int32) + 1
+            ends = np.cumsum(freq, axis=1, dtype=np.int32)
+            self.freq, self.cum = freq.ravel(), (ends - freq).ravel()
+            if decoding:  # class of each unit; what rounding leaves over is never coded
+                freq[:, -1] += (1 << _UNITS) - ends[:, -1]
+                self.unit = np.repeat(np.tile(np.arange(_CLASSES, dtype=np.uint8), len(self.lane)), freq.ravel())
+                self.unit_base = self.lane << _UNITS
         self.step += 1
-        self.at1 = self.table_base + ((self.prev1 * 2654435761 >> 7) & ((1 << _SLOTS) - 1))
-        self.at2 = self.table_base + (((self.prev1 * 2654435761 + self.prev2 * 40503) * 2246822519 >> 15) & ((1 << _SLOTS) - 1))
+        hash1 = (self.prev1 + 1) * 0x9E3779B1
+        hash2 = ((hash1 ^ (self.prev2 + 7)) * 0x85EBCA6B) & 0xFFFFFFFFFFFF
+        self.at1 = self.table_base + ((hash1 >> 12) & ((1 << _SLOTS) - 1))
+        self.at2 = self.table_base + ((hash2 >> 20) & ((1 << _SLOTS) - 1))
+        self.check1, self.check2 = (hash1 >> 24) & 0xFF, (hash2 >> 32) & 0xFF
         e1, e2 = self.seen1[self.at1], self.seen2[self.at2]
-        self.id1, self.id2, self.conf1, self.conf2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
+        known1, known2 = (e1 >> 24) == self.check1, (e2 >> 24) == self.check2
+        self.id1, self.id2 = np.where(known1, (e1 >> 3) & 0xFFFFF, -1), np.where(known2, (e2 >> 3) & 0xFFFFF, -1)
+        self.conf1, self.conf2 = np.where(known1, e1 & 7, 0), np.where(known2, e2 & 7, 0)
         self.state = self.state_base + (self.conf2 << 3) + self.conf1
-        trust = self.trust[self.state]
-        unit = _MOST // trust.sum(1)
-        self.w2 = np.where(e2 >= 0, trust[:, 0] * unit, 0)
-        self.w1 = np.where((e1 >= 0) & (self.id1 != self.id2), trust[:, 1] * unit, 0)
+        trust = self.trust[self.state].astype(np.int64)
+        unit = _MOST // (trust[:, 0] + trust[:, 1] + trust[:, 2])
+        self.w2 = np.where(known2, trust[:, 0] * unit, 0)
+        self.w1 = np.where(known1 & (self.id1 != self.id2), trust[:, 1] * unit, 0)
         self.escape = self.w2 + self.w1
-        self.unit_size = ((1 << _TOTAL) - self.escape) >> (12 + self.shift)
+        self.unit_size = ((1 << _TOTAL) - self.escape) >> _UNITS
 
-    def update(self, ids: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, kind: np.ndarray) -> None:
         hit2, hit1 = ids == self.id2, ids == self.id1
-        won = np.where(hit2, 0, np.where(hit1, 1, 2))
         row = self.trust[self.state]
-        row[self.lane, won] += 32
-        row[row.sum(1) > 8000] >>= 1
-        self.trust[self.state] = np.maximum(row, 1)
-        for seen, at, hit, conf, old in ((self.seen2, self.at2, hit2, self.conf2, self.id2), (self.seen1, self.at1, hit1, self.conf1, self.id1)):
-            keep = hit | ((conf > 0) & (old >= 0))
-            seen[at] = np.where(keep, old, ids) * 8 + np.where(hit, np.minimum(conf + 1, 7), np.where(keep, conf >> 1, 0))
-        self.counts[self.class_base + (ids >> self.shift)] += 24
+        row[self.lane, np.where(hit2, 0, np.where(hit1, 1, 2))] += 32
+        over = row.sum(1) > 4000
+        row[over] = (row[over] >> 1) | 1
+        self.trust[self.state] = row
+        for seen, at, check, hit, conf, old in ((self.seen2, self.at2, self.check2, hit2, self.conf2, self.id2), (self.seen1, self.at1, self.check1, hit1, self.conf1, self.id1)):
+            keep = hit | (conf > 0)
+            seen[at] = (check << 24) | (np.where(keep, old, ids) << 3) | np.where(hit, np.minimum(conf + 1, 7), conf >> 1)
+        self.counts.reshape(-1)[self.class_base + kind] += _STEP
         self.prev2, self.prev1 = self.prev1, ids
 
     def narrow(self, lanes: int) -> None:
         """Only the first lanes go on."""
         for name in ("lane", "table_base", "state_base", "class_base", "prev1", "prev2"):
             setattr(self, name, getattr(self, name)[:lanes])
-        self.counts = self.counts[: lanes << 8]
+        self.counts = self.counts[:lanes].copy()
         self.step += -self.step % _REFRESH
 
 
@@ -93,17 +136,18 @@ def _blocks(n: int) -> np.ndarray:
 
 
 def encode(ids: np.ndarray, vocab: int) -> bytes:
-    """One segment: a header, the blocks' coded sizes and checksums, and the coded blocks."""
+    """One segment: a header with the prior, the blocks' coded sizes and checksums, and the coded blocks."""
     ids = np.ascontiguousarray(ids, np.int64)
     if len(ids) and (ids.min() < 0 or ids.max() >= vocab) or vocab > 1 << 20:
         raise ValueError("an id lies outside the vocabulary")
     size = _blocks(len(ids))
-    bits = max(int(vocab - 1).bit_length(), 8)
+    levels = _levels(ids, vocab)
+    prior = _Prior(levels)
     lanes = len(size)
-    padded = np.zeros(lanes * BLOCK, np.int64)
+    padded = np.full(lanes * BLOCK, ids[0] if len(ids) else 0, np.int64)
     padded[: len(ids)] = ids
     columns = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    model = _Model(lanes, bits)
+    model = _Model(lanes, prior)
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     where, what = [], []
     ended: list = []
@@ -114,29 +158,31 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
             low, span = low[:-1], span[:-1]
         now = columns[t, : len(low)]
         model.predict(False)
-        kind = now >> model.shift
+        kind = prior.kind[now]
         at = model.class_base + kind
-        f = model.freq[at]
-        rest = now - (kind << model.shift)
-        is2 = (now == model.id2) & (model.w2 > 0)
-        is1 = ~is2 & (now == model.id1) & (model.w1 > 0)
-        begin = np.where(is2, 0, np.where(is1, model.w2, model.escape + model.unit_size * ((model.cum[at] << model.shift) + f * rest)))
-        width = np.where(is2, model.w2, np.where(is1, model.w1, model.unit_size * f))
+        is2 = now == model.id2
+        is1 = ~is2 & (now == model.id1)
+        told = is2 | is1
+        begin = np.where(is2, 0, np.where(is1, model.w2, model.escape + model.unit_size * model.cum[at]))
+        width = np.where(is2, model.w2, np.where(is1, model.w1, model.unit_size * model.freq[at]))
         r = span >> _U(_TOTAL)
         low = low + r * begin.astype(_U)
         span = r * width.astype(_U)
+        r = span >> _U(_INSIDE)
+        low = np.where(told, low, low + r * prior.inside[now].astype(_U))
+        span = np.where(told, span, r * prior.share[now].astype(_U))
         while True:
             same = (low ^ (low + span)) < _TOP
             due = same | (span < _BOTTOM)
-            if not due.any():
-                break
             i = np.flatnonzero(due)
+            if not len(i):
+                break
             lo = low[i]
             span[i] = np.where(same[i], span[i], (~lo + _U(1)) & (_BOTTOM - _U(1))) << _U(16)
             where.append(i)
             what.append((lo >> _U(48)).astype(np.uint16))
             low[i] = lo << _U(16)
-        model.update(now)
+        model.update(now, kind)
     low = np.concatenate([low, *ended])
     for k in (48, 32, 16, 0):
         where.append(np.arange(lanes))
@@ -147,25 +193,32 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
     sizes = np.bincount(lane, minlength=lanes).astype("<u4")
     flat = ids.astype("<u4")
     sums = np.array([zlib.crc32(flat[k : k + BLOCK].tobytes()) for k in range(0, len(flat), BLOCK)], "<u4")
-    return MAGIC + struct.pack("<III", len(ids), lanes, vocab) + sizes.tobytes() + sums.tobytes() + units.tobytes()
+    header = zlib.compress(levels.tobytes(), 6)
+    return MAGIC + struct.pack("<IIII", len(ids), lanes, vocab, len(header)) + header + sizes.tobytes() + sums.tobytes() + units.tobytes()
 
 
 def decode(payload: bytes) -> np.ndarray:
     """The ids of a segment; raises ValueError if a block doesn't match its checksum."""
     if payload[:4] != MAGIC:
         raise ValueError("not a segment of coded tokens")
-    n, lanes, vocab = struct.unpack_from("<III", payload, 4)
-    sizes = np.frombuffer(payload, "<u4", lanes, 16).astype(np.int64)
-    sums = np.frombuffer(payload, "<u4", lanes, 16 + 4 * lanes)
-    units = np.concatenate((np.frombuffer(payload, "<u2", -1, 16 + 8 * lanes).astype(_U), np.zeros(8, _U)))
+    n, lanes, vocab, head = struct.unpack_from("<IIII", payload, 4)
     if not lanes:
         return np.zeros(0, np.int64)
+    try:
+        levels = np.frombuffer(zlib.decompress(payload[20 : 20 + head]), np.uint8)
+    except zlib.error as e:
+        raise ValueError("the header is damaged") from e
+    at = 20 + head
+    sizes = np.frombuffer(payload, "<u4", lanes, at).astype(np.int64)
+    sums = np.frombuffer(payload, "<u4", lanes, at + 4 * lanes)
+    units = np.concatenate((np.frombuffer(payload, np.uint8, -1, at + 8 * lanes).view("<u2").astype(_U), np.zeros(8, _U)))
+    prior = _Prior(levels)
     size = _blocks(n)
-    model = _Model(lanes, max(int(vocab - 1).bit_length(), 8))
+    model = _Model(lanes, prior)
     point = np.cumsum(sizes) - sizes
     code = np.zeros(lanes, _U)
     for _ in range(4):
-        code = (code << _U(16)) | units[point]
+        code = (code << _U(16)) | units[np.minimum(point, len(units) - 1)]
         point = point + 1
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     out = np.zeros((BLOCK, lanes), np.int64)
@@ -174,32 +227,36 @@ def decode(payload: bytes) -> np.ndarray:
             model.narrow(lanes - 1)
             low, span, code, point = low[:-1], span[:-1], code[:-1], point[:-1]
         model.predict(True)
-        r = span >> _U(_TOTAL)
-        v = np.minimum(((code - low) // r).astype(np.int64), (1 << _TOTAL) - 1)
+        r = np.maximum(span >> _U(_TOTAL), _U(1))
+        v = np.minimum((code - low) // r, _U((1 << _TOTAL) - 1)).astype(np.int64)
         is2, is1 = v < model.w2, (v >= model.w2) & (v < model.escape)
-        inside = np.maximum(v - model.escape, 0) // model.unit_size
-        kind = model.unit[np.minimum(model.unit_base + (inside >> model.shift), len(model.unit) - 1)].astype(np.int64)
+        told = is2 | is1
+        unit = np.minimum(np.maximum(v - model.escape, 0) // model.unit_size, (1 << _UNITS) - 1)
+        kind = model.unit[model.unit_base + unit].astype(np.int64)
         at = model.class_base + kind
-        f, cum = model.freq[at], model.cum[at]
-        rest = np.minimum((inside - (cum << model.shift)) // f, (1 << model.shift) - 1)
-        now = np.where(is2, model.id2, np.where(is1, model.id1, (kind << model.shift) + rest))
-        begin = np.where(is2, 0, np.where(is1, model.w2, model.escape + model.unit_size * ((cum << model.shift) + f * rest)))
-        width = np.where(is2, model.w2, np.where(is1, model.w1, model.unit_size * f))
+        begin = np.where(is2, 0, np.where(is1, model.w2, model.escape + model.unit_size * model.cum[at]))
+        width = np.where(is2, model.w2, np.where(is1, model.w1, model.unit_size * model.freq[at]))
         low = low + r * begin.astype(_U)
         span = r * width.astype(_U)
+        r = np.maximum(span >> _U(_INSIDE), _U(1))
+        inside = np.minimum((code - low) // r, _U((1 << _INSIDE) - 1)).astype(np.int64)
+        now = prior.sorted[np.searchsorted(prior.at, (kind << _INSIDE) + inside, "right") - 1]
+        now = np.where(is2, model.id2, np.where(is1, model.id1, now))
+        low = np.where(told, low, low + r * prior.inside[now].astype(_U))
+        span = np.where(told, span, r * prior.share[now].astype(_U))
         while True:
             same = (low ^ (low + span)) < _TOP
             due = same | (span < _BOTTOM)
-            if not due.any():
-                break
             i = np.flatnonzero(due)
+            if not len(i):
+                break
             lo = low[i]
             span[i] = np.where(same[i], span[i], (~lo + _U(1)) & (_BOTTOM - _U(1))) << _U(16)
             low[i] = lo << _U(16)
             code[i] = (code[i] << _U(16)) | units[np.minimum(point[i], len(units) - 1)]
             point[i] += 1
         out[t, : len(now)] = now
-        model.update(now)
+        model.update(now, prior.kind[now])
     ids = np.ascontiguousarray(out.T).reshape(-1)[:n]
     flat = ids.astype("<u4")
     for k, crc in enumerate(sums):

@@ -1,23 +1,23 @@
 """Token ids of a corpus, coded into checksummed blocks and read back.
 
 Layout: a Parquet table whose rows are segments. A segment holds whole documents, in
-ascending id order over all segments, and about two million tokens (more only for one
+ascending id order over all segments, and about four million tokens (more only for one
 longer document): the directory (doc_ids, counts), the partition and the tokens before it
 there, and the payload of ``token_coder``. Parquet is only the container: writers on lost
 executors start over, and readers take segments from any of Spark's file systems.
 
-White space never joins tokens in the vocabularies meant here (it is dropped before
-merging), so the library encodes each distinct word once and ids are gathered from there.
-A vocabulary where that doesn't hold is encoded text by text (``by_word=False``).
+Where a vocabulary never joins tokens over white space, which is tried when its file is
+opened, the library encodes each distinct word once and ids are gathered from there; words
+are told apart by their bytes. Other vocabularies are encoded text by text.
 
 Defined results: null and blank texts give the end id alone. Rows with a null id come
 first. Rows with equal ids follow each other by their text. Empty tables give an empty
-result. Other columns are ignored.
+result. The id -2**63 stands for a null id in the files and is read back as null. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 from functools import partial
@@ -33,11 +33,34 @@ from quillspark.llm.token_coder import BLOCK, LANES, decode, encode
 from quillspark.llm.words import slices, split
 
 #: Distinct words that a task keeps encoded; beyond it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+_SLICE = 1 << 21  # bytes of text encoded at a time
 
 SEGMENTS = "part int, before long, n_tokens long, doc_ids array<long>, counts array<long>, payload binary"
 
 
+def parts_at_blanks(tokenizer) -> bool:
+    """Whether the library encodes words with a blank between them as it does each alone.
+
+    Tried on every blank and all pairs of words of different makes; vocabularies that join
+    over blanks show on the first of them.
+    """
+    words = ["a", "the", "B", "don't", "'s", "x1", "42", "7", "é", "ß", "ñandú", "中文", "😀", ".", ",", "--", "(a)", "a.b", "_x_", "$9", "</w>", "Ġa", "▁a", "\u0301", "\u00a0"]
+    pairs = [(a, blank, b) for a in words for b in words for blank in " \t\n\v\f\r"] + [("", " ", w) for w in words] + [(w, "  ", "") for w in words]
+    encoded = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    alone = dict(zip(["", *words], encoded(["", *words]), strict=True))
+    return all(ids == alone[a] + alone[b] for ids, (a, _, b) in zip(encoded(["".join(p) for p in pairs]), pairs, strict=True))
+
+
+def _ends(data: np.ndarray, w) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last eight bytes of each word as integers: with its length, all of a word up to sixteen bytes."""
+    padded = np.concatenate((np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    drop = np.uint64(8) * (8 - np.minimum(w.end - w.start, 8)).astype(np.uint64)
+    whole = drop < 64
+    return np.where(whole, eight[w.start + 8] << drop, 0), np.where(whole, eight[w.end] >> drop, 0)
+
+
 class _ByWord:
     """Encodes words once and gathers the ids of texts."""
 
@@ -46,7 +69,7 @@ class _ByWord:
         self._clear()
 
     def _clear(self):
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids, self.start, self.size, self.held = [], [], [], 0
         self._add([[self.end]])
 
@@ -57,25 +80,38 @@ class _ByWord:
             self.held += len(ids)
         self.ids.append(np.fromiter((i for ids in encoded for i in ids), np.int64))
 
+    @staticmethod
+    def _unlike(data, w, first, inverse) -> bool:
+        """Whether two unlike words of a slice have one hash."""
+        size = w.end - w.start
+        rep = first[inverse]
+        if (size != size[rep]).any() or any((x != x[rep]).any() for x in _ends(data, w)):
+            return True
+        long = np.flatnonzero((size > 16) & (rep != np.arange(len(rep))))
+        return any((data[w.start[i] : w.end[i]] != data[w.start[rep[i]] : w.end[rep[i]]]).any() for i in long)
+
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents with an end id after each, and their counts."""
         if len(self.known) > CACHED_WORDS:
             self._clear()
         w = split(data, off)
-        keys, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        slots = [self.known.get(k, -1) for k in keys.tolist()]
-        fresh = [i for i, s in enumerate(slots) if s < 0]
+        _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        if self._unlike(data, w, first, inverse):
+            return _ByText(self.tokenizer, self.end)(data, off)
+        held = data.tobytes()
+        words = [held[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        slots = list(map(self.known.get, words))
+        fresh = [i for i, s in enumerate(slots) if s is None]
         if fresh:
-            raw = [data[w.start[first[i]] : w.end[first[i]]].tobytes().decode() for i in fresh]
             at = len(self.start)
-            self._add([e.ids for e in self.tokenizer.encode_batch(raw, add_special_tokens=False)])
+            self._add([e.ids for e in self.tokenizer.encode_batch_fast([words[i].decode() for i in fresh], add_special_tokens=False)])
             for j, i in enumerate(fresh):
-                slots[i] = self.known[int(keys[i])] = at + j
-        slot = np.array(slots, np.int64)[inverse] if len(keys) else np.zeros(0, np.int64)
+                slots[i] = self.known[words[i]] = at + j
+        slot = np.array(slots, np.int64)[inverse] if len(words) else np.zeros(0, np.int64)
         slot = np.insert(slot, w.first[1:], 0)  # the end id follows each document
-        start, size = np.array(self.start)[slot], np.array(self.size)[slot]
         if len(self.ids) > 1:
             self.ids = [np.concatenate(self.ids)]
+        start, size = np.array(self.start)[slot], np.array(self.size)[slot]
         ends = np.cumsum(size)
         ids = self.ids[0][np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         last = np.cumsum(w.counts + 1)
@@ -89,7 +125,7 @@ class _ByText:
 
     def __call__(self, data, off):
         texts = [data[a:b].tobytes().decode() for a, b in zip(off[:-1], off[1:], strict=True)]
-        ids = [[*e.ids, self.end] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids = [[*e.ids, self.end] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter((i for x in ids for i in x), np.int64), np.array([len(x) for x in ids], np.int64)
 
 
@@ -113,7 +149,7 @@ def _write(batches, vocabulary, end_id: int, by_word: bool):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["part", "before", "n_tokens", "doc_ids", "counts", "payload"])
 
     for batch in batches:
-        for rows, data, off in slices(batch):
+        for rows, data, off in slices(batch, size=_SLICE):
             ids, counts = encoder(data, off)
             held.append((ids, _ids(rows.column("doc_id")), counts))
             if sum(len(x[0]) for x in held) >= BLOCK * LANES:
@@ -144,12 +180,14 @@ def _read(batches):
             )
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, by_word: bool = True) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> None:
     """Encodes all texts in ascending doc_id order and writes segments to ``path``."""
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # on the driver; executors get its content
         text = f.read()
-    json.loads(text)
+    by_word = parts_at_blanks(Tokenizer.from_str(text))
     vocabulary = spark.sparkContext.broadcast(text)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     map_arrow(rows, partial(_write, vocabulary=vocabulary, end_id=end_id, by_word=by_word), SEGMENTS).write.option("compression", "uncompressed").parquet(path)
