@@ -2,16 +2,20 @@
 
 Base spans of four kinds come from regular expressions, checks of digits included, all as
 built-in expressions inside the scan; positions follow from the lengths of the pieces
-between matches. They seed a graph between lexical patterns (the word to the left of an
-entity) and instances (what follows it). Rounds of aggregation score both: a pattern by the
-share of its distinct instances that are of a kind, an instance by the patterns it follows.
-Patterns with enough distinct support and a high score then claim tokens, and runs of
-digit groups with blanks between them, that no base expression matches but that have the
-make of their kind. Of claims that overlap the longest holds.
+between matches. They and strings with the make of a digest, the seeds of a fifth kind
+(``secret``), seed a graph between lexical patterns and instances. The patterns of an
+occurrence are the last one, two and three tokens to its left (a word or a sign each), and
+the last one with the first to its right. Rounds of aggregation score both: a pattern by the
+share of the distinct candidates in it that are of a kind, an instance by the best pattern of
+each of its contexts. Patterns with enough distinct support and a high score then claim
+candidates that no base expression matches but that have the make of their kind: tokens, runs
+of digit groups with blanks between them, and keys. Of claims that overlap the longest holds.
+Seeds of secrets are spans only where a pattern claims them.
 
 The expressions are written so that their matches equal the plain ones listed under BASE,
 but no run of characters is scanned twice: possessive repeats, and starts only where a run
-starts or the match before ended.
+starts or the match before ended. Texts without a digit or an at sign hold no candidate and
+aren't scanned further.
 
 Defined results: a null text is empty and has no spans. A null id stays null. Repeated rows
 get equal results. An empty table gives an empty result. Other columns are ignored.
@@ -45,6 +49,10 @@ NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
 #: Tokens that may be identifiers: they have a digit or an at sign.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Runs that may be keys, whole, and what they need: a letter and two digits.
+KEY = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+"
+#: Keys that seed the kind: lower-case hexadecimal strings as long as digests are.
+KEY_SEED = r"^(?=.*[a-f])(?=.*[0-9])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 #: Groups of digits with blanks, brackets, dots and hyphens between them; a group that letters follow at once isn't part of it.
 RUN = r"(?<!\S)[^\s0-9@]*+[0-9]++(?![\p{L}_@+:/%])(?:[\x20().-]++[0-9]++(?![\p{L}_@+:/%]))++"
 #: The longest beginnings of a run, cut between groups, that have as many digits as a phone and a card may have.
@@ -55,7 +63,10 @@ MAKE = {
     "ip": r"^\D*[0-9A-Fa-f]+([.:][0-9A-Fa-f]+){3,}\D*$|^[^\w:]*[0-9A-Fa-f]{0,4}(:[0-9A-Fa-f]{1,4})*::([0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*)?[^\w:]*$",
     "card": r"^\D*([0-9][\x20-]?){12,19}\D*$",
     "phone": r"^\D*([0-9][\x20().-]*){7,15}\D*$",
+    "secret": r"^(?=.*[A-Za-z])(?=.*[0-9].*[0-9])[A-Za-z0-9_+/=-]{16,}$",
 }
+#: All kinds in the order of results.
+KINDS = [*BASE, "secret"]
 
 ROUNDS = 3
 #: Distinct seed instances that a pattern needs, and the scores from which patterns and instances count.
@@ -128,10 +139,22 @@ def _base(text: Column) -> Column:
     return F.concat(*(of(i, k) for i, k in enumerate(BASE)))
 
 
-def _left(text: Column, start: Column) -> Column:
-    """The word to the left of a position, lower-cased; empty where none ends within 64 characters."""
-    before = F.substring(text, F.greatest(start - 63, F.lit(1)), F.least(start, F.lit(64)))
-    return F.lower(F.regexp_extract(before, r"(?<!\S)(\S+)\s+\z", 1))
+#: Words and signs of a context.
+_ATOM = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+
+
+def _patterns(text: Column, start: Column, end: Column) -> Column:
+    """The patterns that a span stands in, the longest first, lower-cased; from 64 characters to its left and 32 to its right."""
+    before = F.lower(F.substring(text, F.greatest(start - 63, F.lit(1)), F.least(start, F.lit(64))))
+    after = F.lower(F.substring(text, end + 1, F.lit(32)))
+
+    def made(left: Column, right: Column) -> Column:
+        last = lambda n: F.when(F.size(left) >= n, F.concat(F.lit(f"{n} "), F.array_join(F.slice(left, -n, n), " ")))
+        around = F.when((F.size(left) >= 1) & (right != ""), F.concat(F.lit("r "), F.element_at(left, -1), F.lit(" _ "), right))
+        return F.filter(F.array(last(3), last(2), last(1), around), lambda p: p.isNotNull())
+
+    atoms = F.regexp_extract_all(before, F.lit(_ATOM), F.lit(0))
+    return _let(F.struct(atoms.alias("l"), F.regexp_extract(after, _ATOM, 0).alias("r")), lambda c: F.when(F.size(c["l"]) > 0, made(F.slice(c["l"], F.greatest(F.size(c["l"]) - 2, F.lit(1)), F.lit(3)), c["r"])).otherwise(F.expr("cast(array() as array<string>)")))
 
 
 def _runs(text: Column, base: Column) -> Column:
@@ -148,57 +171,70 @@ def _runs(text: Column, base: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans and free tokens and runs (outside base spans) with the word to their left."""
+    """doc_id, base spans (k, s, e, x, p) and free candidates outside them (seed: kind of a seed or null, s, e, x, p); p: patterns."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", _base(F.col("text")).alias("base"), spans(F.col("text"), TOKEN).alias("tokens"))
+    rows = rows.withColumn("some", F.col("text").rlike("[0-9@]"))
+    only = lambda made, kind: F.when(F.col("some"), made).otherwise(F.expr(f"cast(array() as array<struct<{kind}>>)"))
+    rows = rows.select("*", only(_base(F.col("text")), "k: int, s: int, e: int, x: string").alias("base"), only(spans(F.col("text"), TOKEN), "x: string, s: int").alias("tokens"))
+    rows = rows.select("*", only(_runs(F.col("text"), F.col("base")), "x: string, s: int").alias("runs"))
     # only what has enough digits or an at sign, or the make of an address, can be of a kind
     made = F.filter("tokens", lambda t: t["x"].rlike(r"@|([0-9].*){4}") | t["x"].rlike(MAKE["ip"]))
     # a piece of a run that has no kind's make would only count against what the run follows
-    rows = rows.withColumn("runs", _runs(F.col("text"), F.col("base")))
     inside = lambda t: F.exists("runs", lambda r: (r["s"] <= t["s"]) & (t["s"] + F.length(t["x"]) <= r["s"] + F.length(r["x"])))
-    whole = F.filter(made, lambda t: reduce(lambda a, b: a | b, (t["x"].rlike(m) for m in MAKE.values())) | ~inside(t))
-    made = F.concat(whole, F.col("runs"))
-    free = F.filter(made, lambda t: ~F.exists("base", lambda b: (b["s"] < t["s"] + F.length(t["x"])) & (t["s"] < b["e"])))
-    free = F.transform(free, lambda t: F.struct(_left(F.col("text"), t["s"]).alias("left"), t["s"].alias("s"), (t["s"] + F.length(t["x"])).alias("e"), t["x"].alias("x")))
-    base = F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"), b["x"].alias("x"), _left(F.col("text"), b["s"]).alias("left")))
-    return rows.select("doc_id", base.alias("base"), free.alias("free"))
+    whole = F.filter(made, lambda t: reduce(lambda a, b: a | b, (t["x"].rlike(MAKE[k]) for k in BASE)) | ~inside(t))
+    keys = F.filter(spans(F.col("text"), KEY), lambda t: t["x"].rlike(MAKE["secret"]))
+    rows = rows.select("doc_id", "text", "some", "base", only(F.concat(whole, F.col("runs")), "x: string, s: int").alias("made"), only(keys, "x: string, s: int").alias("keys"))
+    # a token that a key fills but for signs around it is that key
+    same = lambda t: F.exists("keys", lambda k: (t["s"] <= k["s"]) & (k["s"] + F.length(k["x"]) <= t["s"] + F.length(t["x"])) & (F.length(F.regexp_replace(t["x"], "[A-Za-z0-9_+/=-]", "")) + F.length(k["x"]) == F.length(t["x"])))
+    free = F.concat(F.filter("made", lambda t: ~same(t)), F.col("keys"))
+    free = F.filter(free, lambda t: ~F.exists("base", lambda b: (b["s"] < t["s"] + F.length(t["x"])) & (t["s"] < b["e"])))
+    free = F.transform(free, lambda t: F.struct(F.when(t["x"].rlike(KEY_SEED), F.lit(KINDS.index("secret"))).alias("seed"), t["s"].alias("s"), (t["s"] + F.length(t["x"])).alias("e"), t["x"].alias("x"), _patterns(F.col("text"), t["s"], t["s"] + F.length(t["x"])).alias("p")))
+    base = F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e"), b["x"].alias("x"), _patterns(F.col("text"), b["s"], b["e"]).alias("p")))
+    return rows.select("doc_id", base.alias("base"), only(free, "seed: int, s: int, e: int, x: string, p: array<string>").alias("free"))
+
+
+def _of_make() -> Column:
+    return reduce(lambda a, b: a | b, ((F.col("kind") == i) & F.col("x").rlike(MAKE[k]) for i, k in enumerate(KINDS)))
 
 
 def bootstrap(found: DataFrame) -> DataFrame:
-    """Claims (left, x, k) from the graph of scanned documents (``base`` and ``free`` columns)."""
-    seeds = found.select(F.explode("base").alias("b")).select(F.col("b.left").alias("left"), F.col("b.x").alias("x"), F.col("b.k").alias("k"))
-    free = found.select(F.explode("free").alias("f")).select(F.col("f.left").alias("left"), F.col("f.x").alias("x"), F.lit(None).cast("int").alias("k"))
-    edges = materialise(seeds.union(free).where("left <> ''").distinct(), "graph")
-    scores = edges.where("k is not null").select("x", F.col("k").alias("kind"), F.lit(1.0).alias("sx")).distinct()
-    patterns = None
+    """Claims (context, x, k) from the graph of scanned documents (``base`` and ``free`` columns); a context is its longest pattern."""
+    seeds = found.select(F.explode("base").alias("b")).select("b.p", "b.x", "b.k")
+    free = found.select(F.explode("free").alias("f")).select("f.p", "f.x", F.col("f.seed").alias("k"))
+    places = materialise(seeds.union(free).where(F.size("p") > 0).select(F.get("p", F.lit(0)).alias("context"), "x", "k", "p").distinct(), "graph")
+    edges = materialise(places.select("context", "x", "k", F.explode("p").alias("pattern")), "edges")
+    pairs = edges.select("pattern", "x").distinct()
+    total = pairs.groupBy("pattern").agg(F.count("*").alias("n"))
+    seeded = edges.where("k is not null").select("x", F.col("k").alias("kind"), F.lit(1.0).alias("sx")).distinct()
+    support = edges.where("k is not null").select("pattern", "x", F.col("k").alias("kind")).distinct().groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
+    support = materialise(support.join(total, "pattern"), "support")
+    scores, patterns = seeded, None
     for _ in range(ROUNDS):
         # patterns: the share of their distinct instances that are of the kind
-        total = edges.groupBy("left").agg(F.countDistinct("x").alias("n"))
-        of_kind = edges.select("left", "x").distinct().join(scores, "x").groupBy("left", "kind").agg(F.sum("sx").alias("mass"))
-        support = edges.where("k is not null").groupBy("left", F.col("k").alias("kind")).agg(F.countDistinct("x").alias("seeds"))
-        patterns = of_kind.join(total, "left").join(support, ["left", "kind"]).where(F.col("seeds") >= SUPPORT)
-        patterns = materialise(patterns.select("left", "kind", (F.col("mass") / F.col("n")).alias("sp")), "patterns")
-        # instances: one minus the chance that all their patterns are wrong; seeds stay certain
-        claimed = edges.where("k is null").join(patterns, "left").where(reduce(lambda a, b: a | b, ((F.col("kind") == i) & F.col("x").rlike(MAKE[k]) for i, k in enumerate(BASE))))
+        of_kind = pairs.join(scores, "x").groupBy("pattern", "kind").agg(F.sum("sx").alias("mass"))
+        patterns = materialise(of_kind.join(support, ["pattern", "kind"]).select("pattern", "kind", (F.col("mass") / F.col("n")).alias("sp")), "patterns")
+        # instances: one minus the chance that the best patterns of all their contexts are wrong; seeds stay certain
+        claimed = edges.where("k is null").join(patterns, "pattern").where(_of_make()).groupBy("context", "x", "kind").agg(F.max("sp").alias("sp"))
         claimed = claimed.groupBy("x", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("sp"), F.lit(1e-6)))))).alias("sx"))
-        seeded = edges.where("k is not null").select("x", F.col("k").alias("kind"), F.lit(1.0).alias("sx")).distinct()
         scores = materialise(seeded.union(claimed).groupBy("x", "kind").agg(F.max("sx").alias("sx")), "scores")
-    good = patterns.where(F.col("sp") >= PATTERN_SCORE).select("left", "kind")
+    good = patterns.where(F.col("sp") >= PATTERN_SCORE).select("pattern", "kind")
     sure = scores.where(F.col("sx") >= INSTANCE_SCORE).select("x", "kind")
-    best = edges.where("k is null").join(good, "left").join(sure, ["x", "kind"]).groupBy("left", "x").agg(F.min("kind").alias("k"))
+    secret = KINDS.index("secret")
+    open_ = edges.where(F.col("k").isNull() | (F.col("k") == secret))
+    best = open_.join(good, "pattern").where(_of_make()).join(sure, ["x", "kind"]).groupBy("context", "x").agg(F.min("kind").alias("k"))
     return materialise(best, "claims")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of base spans by kind, base_sha256, all spans and n_added."""
+    """One row per document: counts of base spans by kind, base_sha256, all spans, and how many spans and secrets were added."""
     found = materialise(scanned(docs).withColumn("_row", F.monotonically_increasing_id()), "found")
     claims = bootstrap(found)
-    free = found.select("_row", F.explode("free").alias("f")).select("_row", F.col("f.left").alias("left"), F.col("f.x").alias("x"), F.col("f.s").alias("s"), F.col("f.e").alias("e"))
-    added = free.join(claims, ["left", "x"]).groupBy("_row").agg(F.collect_list(F.struct("k", "s", "e")).alias("added"))
+    free = found.select("_row", F.explode("free").alias("f")).where(F.size("f.p") > 0).select("_row", F.get("f.p", F.lit(0)).alias("context"), "f.x", "f.s", "f.e")
+    added = free.join(claims, ["context", "x"]).groupBy("_row").agg(F.collect_list(F.struct("k", "s", "e")).alias("added"))
     # a run may be claimed with a token in it, or at two lengths
     wider = "b.s < a.e and a.s < b.e and (b.e - b.s > a.e - a.s or b.e - b.s = a.e - a.s and b.s < a.s)"
     added = added.withColumn("added", F.expr(f"filter(added, a -> not exists(added, b -> {wider}))"))
-    names = F.array(*(F.lit(k) for k in BASE))
+    names = F.array(*(F.lit(k) for k in KINDS))
 
     def told(column: Column) -> Column:
         return F.array_join(F.transform(column, lambda b: F.concat_ws(":", F.get(names, b["k"]), b["s"].cast("string"), b["e"].cast("string"))), ",")
@@ -211,4 +247,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
         F.sha2(told(base), 256).alias("base_sha256"),
         told(every).alias("spans"),
         F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"),
+        F.size(F.expr(f"filter(coalesce(added, array()), a -> a.k = {KINDS.index('secret')})")).cast("long").alias("n_secret"),
+        F.size(every).cast("long").alias("n_spans"),
     )

@@ -279,6 +279,60 @@ def test_contexts_find_identifiers_with_blanks(spark):
     assert {k: got[k] for k in want} == {k: v for k, (_, v) in want.items()}
 
 
+def _claims(found):
+    """The bootstrapping told over dictionaries: claims (context, x) -> kind."""
+    places = {(b.p[0], b.x, b.k, tuple(b.p)) for r in found for b in r.base if b.p} | {(f.p[0], f.x, f.seed, tuple(f.p)) for r in found for f in r.free if f.p}
+    edges = {(c, x, k, p) for c, x, k, ps in places for p in ps}
+    held, support = {}, {}
+    for _, x, k, p in edges:
+        held.setdefault(p, set()).add(x)
+        if k is not None:
+            support.setdefault((p, k), set()).add(x)
+    support = {pk for pk, xs in support.items() if len(xs) >= pii.SUPPORT}
+    makes = [re.compile(pii.MAKE[k]) for k in pii.KINDS]
+    seeded = {(x, k): 1.0 for _, x, k, _ in edges if k is not None}
+    scores, sp = dict(seeded), {}
+    for _ in range(pii.ROUNDS):
+        sp = {(p, k): sum(scores.get((x, k), 0.0) for x in held[p]) / len(held[p]) for p, k in support}
+        best = {}
+        for c, x, k, p in edges:
+            for kind in range(len(makes)):
+                if k is None and (p, kind) in sp and makes[kind].search(x):
+                    best[c, x, kind] = max(best.get((c, x, kind), 0.0), sp[p, kind])
+        wrong = {}
+        for (_, x, kind), s in best.items():
+            wrong[x, kind] = wrong.get((x, kind), 1.0) * max(1 - s, 1e-6)
+        scores = {xk: max(seeded.get(xk, 0.0), 1 - wrong.get(xk, 1.0)) for xk in seeded.keys() | wrong.keys()}
+    out = {}
+    for c, x, k, p in edges:
+        for kind in range(len(makes)):
+            if k in (None, pii.KINDS.index("secret")) and sp.get((p, kind), 0) >= pii.PATTERN_SCORE and scores.get((x, kind), 0) >= pii.INSTANCE_SCORE and makes[kind].search(x):
+                out[c, x] = min(kind, out.get((c, x), 9))
+    return out
+
+
+def test_bootstrapping_equals_brute_force(spark):
+    rng = random.Random(21)
+    digest = lambda n=40: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for i in range(60):
+        t = [f"call +1 (0{rng.randint(10, 99)}) 555-{rng.randint(1000, 9999)} soon", f"call {rng.randint(200, 999)} 555 {rng.randint(1000, 9999)}", f'api key = "{digest()}" kept', f'API KEY = "{digest().upper()}"', f"mail to ann.{i}@host{i % 4}.example.org now", f"mail to ann{i}@localhost now", f"the year {1900 + i} and {digest(32)} stand", f"host 10.0.{i}.7 up", f"host 10.0.{i}.7.9 up", f"order {rng.randint(10**8, 10**9)}"]
+        rows.append((i, " ".join(rng.sample(t, 4)), "s"))
+    found = pii.scanned(_frame(spark, rows))
+    want = _claims(found.collect())
+    got = {(r.context, r.x): r.k for r in pii.bootstrap(found).collect()}
+    assert got == want and {pii.KINDS[k] for k in got.values()} >= {"phone", "secret", "email"}
+
+
+def test_keys_are_found_by_context(spark):
+    digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'so token = "{digest(i)}" here', "s") for i in range(6)]
+    rows += [(10, f'now TOKEN = "{digest(10).upper()}"### end', "s"), (11, f"commit {digest(11)} merged", "s"), (12, 'token = "AbCd-1234_efGH+5678" x', "s"), (13, 'token = "none" x', "s")]
+    got = {r.doc_id: r for r in pii.personal_data(_frame(spark, rows)).collect()}
+    assert got[0].spans == "secret:12:52" and got[10].spans == "secret:13:53" and got[12].spans == "secret:9:28"
+    assert got[11].spans == got[13].spans == "" and got[12].n_secret == got[12].n_spans == 1 and got[12].n_email == 0
+
+
 @pytest.mark.parametrize("n,vocab", [(0, 300), (1, 300), (5, 49408), (2048, 49408), (2049, 49408), (7000, 1 << 20)])
 def test_coder_round_trip(n, vocab):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), vocab) - 1
