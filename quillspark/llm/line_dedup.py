@@ -198,20 +198,21 @@ def _compared(batches):
     """Sizes of both shingle sets of each pair of lines, and of their intersection."""
     for batch in batches:
         for a, b in _pieces(batch, ("x", "y")):
-            sides = []
-            for c in ("x", "y"):
-                h, off = shingles(*raw(batch.column(c).slice(a, b - a)))
-                pair = np.repeat(np.arange(b - a), np.diff(off))
-                order = np.lexsort((h, pair))
-                h, pair = h[order], pair[order]
-                once = np.concatenate(([True], (h[1:] != h[:-1]) | (pair[1:] != pair[:-1])))
-                sides.append((h[once], pair[once]))
-            h, pair = (np.concatenate(c) for c in zip(*sides, strict=True))
-            order = np.lexsort((h, pair))
-            h, pair = h[order], pair[order]
-            both = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=b - a)
-            sizes = [np.bincount(p, minlength=b - a) for _, p in sides]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("a", "b")), *(pa.array(c.astype(np.int32)) for c in (both, *sizes))], names=["a", "b", "both", "n_a", "n_b"])
+            sides = [shingles(*raw(batch.column(c).slice(a, b - a))) for c in ("x", "y")]
+            h = np.concatenate([h for h, _ in sides])
+            order = np.argsort(h)
+            rank = np.empty(len(h), _U)  # equal hashes have equal ranks, of fewer bits
+            rank[order] = np.cumsum(np.concatenate(([0], h[order][1:] != h[order][:-1]))).astype(_U)
+            sets, at = [], 0
+            for _, off in sides:
+                pair = np.repeat(np.arange(b - a).astype(_U) << _U(32), np.diff(off))
+                both = np.sort(pair | rank[at : at + off[-1]])
+                sets.append(both[np.concatenate(([True], both[1:] != both[:-1]))])
+                at += off[-1]
+            every = np.sort(np.concatenate(sets))
+            again = every[1:][every[1:] == every[:-1]]
+            sizes = [np.bincount((s >> _U(32)).astype(np.int64), minlength=b - a).astype(np.int32) for s in (again, *sets)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("a", "b")), *map(pa.array, sizes)], names=["a", "b", "both", "n_a", "n_b"])
 
 
 def _verified(pairs: DataFrame, unique: DataFrame) -> DataFrame:
