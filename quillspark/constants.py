@@ -18,6 +18,8 @@ OVERFETCH = 5
 RRF_K = 60
 BM25_K1, BM25_B, BM25_LEAST_IDF = 1.2, 0.75, 1e-6
 EMBED_CHARS = 2048
+QUERY_CACHE = 256
+CONTEXT_RESULTS = 50
 EMBED_DIM = 768
 BATCH_AREA, BATCH_ROWS = 10_000_000, 16
 TOKENS_PER_WORD = 1.3

@@ -76,8 +76,8 @@ def repository(files: DataFrame, git_roots: DataFrame) -> DataFrame:
 def ignored(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """``files`` with ``ignored``: whether a pattern (dir, pattern) of the nearest ignore file matches the name or a part of the path."""
     rules = patterns.where(~F.col("pattern").startswith("#") & (F.trim("pattern") != "")).select("dir", F.trim("pattern").alias("pattern"))
-    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("pattern", "/+$", ""), r"([.+^${}()|\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
-    grouped = rules.withColumn("regex", regex).groupBy("dir").agg(F.collect_set("regex").alias("rules"))
+    regex = F.udf(lambda p: glob_regex(p.rstrip("/")), "string")  # a handful of rows
+    grouped = rules.withColumn("regex", regex("pattern")).groupBy("dir").agg(F.collect_set("regex").alias("rules"))
     near = nearest(files, patterns, "dir").join(grouped, "dir", "left")
     parts = F.split(F.col("path"), "/")
     return near.withColumn("ignored", F.coalesce(F.exists("rules", lambda r: F.exists(parts, lambda p: F.rlike(p, r))), F.lit(False))).drop("rules")

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +33,14 @@ def fold(text: Column) -> Column:
     return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, _MARKED, _PLAIN)).otherwise(low)
 
 
+def pieces(text: Column) -> Column:
+    """Folded runs of letters and digits, in order, with a blank piece where a text starts or ends with none."""
+    return F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{Co}]+")
+
+
 def terms(text: Column) -> Column:
     """Folded runs of letters and digits, in order."""
-    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
+    return F.filter(pieces(text), lambda t: t != "")
 
 
 def fold_text(text: str) -> str:
@@ -141,9 +146,3 @@ class Porter:
 @F.pandas_udf(T.StringType())
 def stem(words: pd.Series) -> pd.Series:
     return words.map(Porter.stem)
-
-
-def stem_vocabulary(postings: DataFrame) -> DataFrame:
-    """Postings with stemmed terms; each distinct term is stemmed once."""
-    vocabulary = postings.select("term").distinct().withColumn("stem", stem("term"))
-    return postings.join(vocabulary, "term").drop("term").withColumnRenamed("stem", "term")

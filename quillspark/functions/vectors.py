@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections import Counter, OrderedDict
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,6 +55,30 @@ class HashEmbedder:
         pass
 
 
+class CachedEmbedder:
+    """An embedder that remembers the vectors of its last queries."""
+
+    def __init__(self, inner, size: int = C.QUERY_CACHE):
+        self.inner, self.size, self._known = inner, size, OrderedDict()
+        self.model_name, self.dim = inner.model_name, inner.dim
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self.inner.embed(texts)
+
+    def embed_query(self, text: str) -> list[float]:
+        if text in self._known:
+            self._known.move_to_end(text)
+        else:
+            self._known[text] = self.inner.embed_query(text)
+            if len(self._known) > self.size:
+                self._known.popitem(last=False)
+        return list(self._known[text])
+
+    def unload(self) -> None:
+        self._known.clear()
+        self.inner.unload()
+
+
 def bucket(word: Column, dim: int = C.EMBED_DIM) -> Column:
     """md5 of a word modulo the dimension, from its hex digits in 32-bit parts."""
     digest = F.md5(word)

@@ -5,15 +5,19 @@ from __future__ import annotations
 from functools import partial
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import constants as C
-from quillspark.functions.vectors import HashEmbedder
+from quillspark.functions import files, identity
+from quillspark.functions.vectors import HashEmbedder, batches
+from quillspark.operators import chunking, reports, store
+from quillspark.sources import tree
 
 
 def plan(new: DataFrame, old: DataFrame, strict_compat: bool = False) -> DataFrame:
-    """(source_path, chunk_index, content_hash, action) from new and stored chunks of the scanned files.
+    """(source_path, chunk_index, content_hash, action) from new and stored chunks of the scanned files, those without chunks included.
 
     unchanged: same place, same content; reuse: the content stands elsewhere in the stored
     file, so its vector does; embed: new content; delete: the place is gone. A file without
@@ -62,15 +66,8 @@ def run_stats(planned: DataFrame, stored: DataFrame) -> DataFrame:
 def _embed(frames, embedder, area: int, rows: int):
     for frame in frames:
         frame = frame.assign(content=frame.content.str.slice(0, C.EMBED_CHARS)).iloc[frame.content.str.len().clip(upper=C.EMBED_CHARS).argsort(kind="stable")]
-        sizes = frame.content.str.len().tolist()
-        start, vectors = 0, []
-        for k, size in enumerate([*sizes, None]):
-            count = k - start
-            if size is None or (count and ((count + 1) * size * size > area or count + 1 > rows)):
-                if count:
-                    vectors += embedder.embed(frame.content.iloc[start:k].tolist())
-                start = k
-        yield pd.DataFrame({"content_hash": frame.content_hash.to_numpy(), "vector": vectors})
+        for _, part in frame.groupby(batches(frame.content.str.len(), area, rows).to_numpy()):
+            yield pd.DataFrame({"content_hash": part.content_hash.to_numpy(), "vector": embedder.embed(part.content.tolist())})
 
 
 def embed(contents: DataFrame, embedder=None) -> DataFrame:
@@ -79,21 +76,84 @@ def embed(contents: DataFrame, embedder=None) -> DataFrame:
     return contents.select("content_hash", "content").mapInPandas(work, "content_hash string, vector array<float>")
 
 
-def apply(new: DataFrame, chunks: DataFrame, vectors: DataFrame, now, embedder=None) -> tuple[DataFrame, DataFrame]:
+def apply(new: DataFrame, chunks: DataFrame, vectors: DataFrame, now, embedder=None, scanned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The tables after indexing: (chunks, vectors). ``new`` has all chunks of the scanned files.
 
-    Each content is embedded once, whatever the number of files that hold it; vectors of
-    known content come from the stored tables.
+    ``scanned`` (source_path) lists those files; a listed file without chunks loses its rows.
+    Without it the files that ``new`` has are taken. Each content is embedded once, whatever
+    the number of files that hold it; vectors of known content come from the stored tables,
+    which are searched for the contents to write only.
     """
-    scanned = new.select("source_path").distinct()
+    scanned = (new if scanned is None else scanned).select("source_path").distinct()
     old = chunks.join(scanned, "source_path", "left_semi")
     planned = plan(new, old)
     written = planned.where("action in ('reuse', 'embed')").select("source_path", "chunk_index")
     rows = new.join(written, ["source_path", "chunk_index"], "left_semi").withColumn("indexed_at", F.lit(now).cast("timestamp"))
-    gone = planned.where("action <> 'unchanged'").select(F.sha2(F.concat_ws(":", "source_path", F.col("chunk_index").cast("string")), 256).alias("id"))
-    held = chunks.select("id", "content_hash").join(vectors, "id").groupBy("content_hash").agg(F.max_by("vector", "id").alias("vector"))
+    gone = planned.where("action <> 'unchanged'").select(identity.chunk_id(F.col("source_path"), F.col("chunk_index")).alias("id"))
+    wanted = rows.select("content_hash").distinct()
+    held = chunks.select("id", "content_hash").join(wanted, "content_hash", "left_semi").join(vectors, "id").groupBy("content_hash").agg(F.max_by("vector", "id").alias("vector"))
     missing = embed_needed(planned, chunks)
     fresh = embed(new.join(missing, "content_hash", "left_semi").groupBy("content_hash").agg(F.min("content").alias("content")), embedder)
-    known = held.join(rows.select("content_hash").distinct(), "content_hash", "left_semi").unionByName(fresh)
-    new_vectors = rows.select("id", "content_hash").join(known, "content_hash").select("id", "vector")
+    new_vectors = rows.select("id", "content_hash").join(held.unionByName(fresh), "content_hash").select("id", "vector")
     return chunks.join(gone, "id", "left_anti").unionByName(rows.select(*chunks.columns)), vectors.join(gone, "id", "left_anti").unionByName(new_vectors)
+
+
+def remove(paths: DataFrame, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tables without the files of ``paths`` (path) and whatever lies below a path."""
+    above = chunks.select("id", F.explode(F.concat(F.array("source_path"), files.ancestors(F.col("source_path")))).alias("path"))
+    return tuple(store.cascade(above.join(paths.select("path").distinct(), "path", "left_semi").select("id").distinct(), chunks, vectors))
+
+
+def index_files(held: store.SnapshotStore, found: DataFrame, scanned: DataFrame, now, embedder=None, removed: DataFrame | None = None) -> dict:
+    """Splits files (source_path, repo, language, content), merges them into the store, commits, and returns the run's statistics.
+
+    ``removed`` (path) names files and directories whose rows go. A run without changes commits nothing.
+    """
+    chunks, vectors = held.read()
+    if removed is not None:
+        kept = remove(removed, chunks, vectors)
+    new = chunking.chunk(found).persist(StorageLevel.DISK_ONLY)  # split once; recomputed if an executor is lost
+    try:
+        before = chunks if removed is None else kept[0]
+        planned = plan(new, before.join(scanned.select("source_path").distinct(), "source_path", "left_semi"))
+        told = run_stats(planned, before).first().asDict()
+        told["removed"] = 0 if removed is None else chunks.count() - kept[0].count()
+        if told["embedded"] or told["reused"] or told["deleted"] or told["removed"] or not held.manifest():
+            held.commit(*apply(new, *((chunks, vectors) if removed is None else kept), now, embedder, scanned))
+    finally:
+        new.unpersist()
+    return told
+
+
+def index_path(held: store.SnapshotStore, path: str, now, embedder=None) -> dict:
+    """Indexes a directory tree or one file, from the scan to the commit; returns the run's statistics.
+
+    Nothing is visible until the commit, so a run that is cancelled (``cancelJobGroup``)
+    leaves the index as it was.
+    """
+    listed = tree.list_files(held.spark, path)
+    found = tree.read_files(listed, tree.find_roots(held.spark, path))
+    return index_files(held, found, listed.select(F.col("path").alias("source_path")), now, embedder)
+
+
+def rebuild(held: store.SnapshotStore, now, embedder=None) -> dict:
+    """Indexes every repository of the index anew and embeds all contents; returns the new chunks by repository.
+
+    Repositories that are gone from the file system are left as they are, notes too. All
+    changes are one commit, under the store's model.
+    """
+    chunks, vectors = held._tables(held.manifest())  # whatever model made them
+    repos = [r["repo"] for r in reports.list_repos(chunks).select("repo").collect()]
+    there = [r.rstrip("/") for r in repos if tree.exists(held.spark, r)]
+    if not there:
+        return {}
+    new = chunking.chunk(tree.read_files(tree.list_files(held.spark, there), tree.find_roots(held.spark, there)))
+    new = new.withColumn("indexed_at", F.lit(now).cast("timestamp")).persist(StorageLevel.DISK_ONLY)
+    try:
+        kept, _ = remove(held.spark.createDataFrame([(r,) for r in there], "path string"), chunks, vectors)
+        rows = kept.unionByName(new.select(*kept.columns))
+        fresh = embed(rows.select("content_hash", "content").dropDuplicates(["content_hash"]), embedder)
+        held.commit(rows, rows.select("id", "content_hash").join(fresh, "content_hash").select("id", "vector"))
+        return {r["repo"]: r["n"] for r in new.groupBy("repo").agg(F.count("*").alias("n")).collect()}
+    finally:
+        new.unpersist()

@@ -1,20 +1,89 @@
-"""Keyword search: postings, corpus statistics and BM25 with phrases."""
+"""Keyword search: stemmed terms, postings, corpus statistics and BM25 with phrases.
+
+A term is the Porter stem of a folded run of letters and digits; text, stored postings and
+queries all go through the same two steps. Splitting and folding are Spark expressions.
+Stems come in Arrow batches, once for each distinct word of a batch.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import constants as C
 from quillspark.functions import text
 
+class _Stems(dict):
+    """Stems by word, as far as they were asked for; starts anew beyond its size."""
+
+    MOST = 1 << 18
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = text.Porter.stem(word)
+        return self[word]
+
+
+def stems(phrases: list[list[str]]) -> list[list[str]]:
+    """The phrases of a query with each term stemmed."""
+    return [[text.Porter.stem(w) for w in p] for p in phrases]
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Codes of all words of a list column, the words they stand for, and the row of each; blank pieces are left out."""
+    off = column.offsets.to_numpy()
+    encoded = column.flatten().dictionary_encode()
+    codes, rows = encoded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.diff(off))
+    words = encoded.dictionary.to_pylist()
+    if "" in words:
+        full = codes != words.index("")
+        codes, rows = codes[full], rows[full]
+    return codes, words, rows
+
+
+def _positions(rows: np.ndarray) -> np.ndarray:
+    """The place of each word in its row."""
+    first = np.searchsorted(rows, rows, "left")
+    return np.arange(len(rows)) - first
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Stems()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes, words, rows = _words(batch.column("t"))
+        distinct: dict[str, int] = {}
+        stem_of = np.array([distinct.setdefault(known[w], len(distinct)) for w in words], np.int64)
+        term, pos = stem_of[codes] if len(codes) else codes, _positions(rows)
+        order = np.lexsort((pos, term, rows))
+        term, pos, rows = term[order], pos[order], rows[order]
+        new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (rows[1:] != rows[:-1])))) if len(term) else np.zeros(0, np.int64)
+        size = np.bincount(rows, minlength=batch.num_rows)
+        off = np.append(new, len(term)).astype(np.int32)
+        terms = pa.array(list(distinct), pa.string()).take(pa.array(term[new]))
+        columns = [terms, batch.column("id").take(pa.array(rows[new])), pa.array(size[rows[new]], pa.int32()), pa.array(np.diff(off), pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(pos, pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "len", "tf", "positions"])
+
+
+def _split(chunks: DataFrame) -> DataFrame:
+    return chunks.select("id", text.pieces(F.col("content")).alias("t"))
+
+
+def _id_type(chunks: DataFrame) -> str:
+    return chunks.schema["id"].dataType.simpleString()
+
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, id, tf, positions) of all chunks (id, content)."""
-    rows = chunks.select("id", F.posexplode(text.terms(F.col("content"))).alias("pos", "term"))
-    return rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(term, id, len, tf, positions) of all chunks (id, content); len is the chunk's count of terms."""
+    return _split(chunks).mapInArrow(_postings, f"term string, id {_id_type(chunks)}, len int, tf int, positions array<int>")
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
@@ -23,18 +92,33 @@ def lengths(chunks: DataFrame) -> DataFrame:
 
 def document_frequency(chunks: DataFrame) -> DataFrame:
     """Chunks that hold each term; terms repeat within a chunk only before the shuffle."""
-    return chunks.select(F.explode(F.array_distinct(text.terms(F.col("content")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-
-
-def occurrences(terms: Column, phrase: list[str]) -> Column:
-    """How often a phrase stands in an array of terms."""
-    if not phrase:
-        return F.lit(0)
-    if len(phrase) == 1:
-        return F.size(F.filter(terms, lambda t: t == phrase[0]))
-    starts = F.filter(F.transform(terms, lambda t, i: F.when(t == phrase[0], i)), lambda i: i.isNotNull())
-    follows = lambda i: reduce(lambda a, b: a & b, (F.coalesce(F.get(terms, i + k) == w, F.lit(False)) for k, w in enumerate(phrase[1:], 1)))
-    return F.size(F.filter(starts, follows))
+    return postings(chunks).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], phrases: list[list[str]]) -> Iterator[pa.RecordBatch]:
+    """The length of each chunk and how often it holds each phrase; only words that may have a stem of the query's are stemmed."""
+    known = _Stems()
+    wanted = {s: k for k, s in enumerate(dict.fromkeys(s for p in phrases for s in p))}
+    for batch in batches:
+        codes, words, rows = _words(batch.column("t"))
+        held = pa.array(words, pa.string())
+        which = np.full(len(words) + 1, -1, np.int64)
+        for s, k in wanted.items():  # all but the last letter of a stem stand in the word
+            for i in np.flatnonzero(pc.starts_with(held, s[:-1]).to_numpy(zero_copy_only=False)):
+                if known[words[i]] == s:
+                    which[i] = k
+        term = which[codes] if len(codes) else codes
+        counts = []
+        for p in phrases:
+            hit = term == wanted[p[0]] if p else np.zeros(len(term), bool)
+            for k, s in enumerate(p[1:], 1):
+                hit[: len(hit) - k] &= (term[k:] == wanted[s]) & (rows[k:] == rows[:-k])
+                hit[max(len(hit) - k, 0) :] = False
+            counts.append(np.bincount(rows[hit], minlength=batch.num_rows))
+        n = batch.num_rows
+        flat = np.stack(counts, axis=1).astype(np.int32).ravel()
+        tf = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(phrases)), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.bincount(rows, minlength=n), pa.int32()), tf], names=["id", "_len", "_tf"])
 
 
 def _weight(tf: Column, df: Column, n: Column, length: Column, average: Column) -> Column:
@@ -48,34 +132,33 @@ def bm25(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
     Two scans without a shuffle of postings: one aggregates the corpus statistics into a
     single row, one scores. A phrase listed twice counts twice.
     """
+    phrases = stems(phrases)
     if not any(phrases):
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
-    # generators keep the filter on counts from being pushed down with copies of the splitting
-    rows = chunks.select("id", F.explode(F.array(text.terms(F.col("content")))).alias("_t"))
-    counted = F.struct(F.size("_t").alias("_len"), F.array(*(occurrences(F.col("_t"), p) for p in phrases)).alias("_tf"))
-    rows = rows.select("id", F.explode(F.array(counted)).alias("_c")).select("id", "_c.*")
+    rows = _split(chunks).mapInArrow(partial(_counted, phrases=phrases), f"id {_id_type(chunks)}, _len int, _tf array<int>")
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count(F.when(F.get("_tf", F.lit(i)) > 0, 1)).alias(f"_df{i}") for i in range(len(phrases))))
     hits = rows.where(F.exists("_tf", lambda t: t > 0)).join(F.broadcast(stats))  # one row
     score = reduce(lambda a, b: a + b, (_weight(F.get("_tf", F.lit(i)), F.col(f"_df{i}"), F.col("_n"), F.col("_len"), F.col("_avg")) for i in range(len(phrases))))
     return hits.select("id", score.alias("score"))
 
 
-def bm25_index(held: DataFrame, sizes: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(id, score) from stored postings and lengths; only the query's terms are read."""
-    stats = sizes.agg(F.count("*").alias("_n"), F.avg("len").alias("_avg"))
+def bm25_index(held: DataFrame, n: int, total: int, phrases: list[list[str]]) -> DataFrame:
+    """(id, score) from stored postings of ``n`` chunks with ``total`` terms; only the query's terms are read."""
+    phrases = [p for p in stems(phrases) if p]
     parts = []
-    for i, phrase in enumerate(p for p in phrases if p):
-        runs = held.where(F.col("term") == phrase[0]).select("id", "positions")
+    for i, phrase in enumerate(phrases):
+        runs = held.where(F.col("term") == phrase[0]).select("id", "len", "tf", "positions")
         for k, word in enumerate(phrase[1:], 1):
             following = held.where(F.col("term") == word).select("id", F.col("positions").alias("_next"))
-            runs = runs.join(following, "id").select("id", F.array_intersect("positions", F.transform("_next", _back(k))).alias("positions"))
-        parts.append(runs.where(F.size("positions") > 0).select("id", F.lit(i).alias("_p"), F.size("positions").alias("_tf")))
+            runs = runs.join(following, "id").select("id", "len", F.array_intersect("positions", F.transform("_next", _back(k))).alias("positions"))
+            runs = runs.withColumn("tf", F.size("positions")).where("tf > 0")
+        parts.append(runs.select("id", "len", F.lit(i).alias("_p"), F.col("tf").alias("_tf")))
     if not parts:
-        return sizes.select("id", F.lit(0.0).alias("score")).limit(0)
+        return held.select("id", F.lit(0.0).alias("score")).limit(0)
     tf = reduce(DataFrame.unionByName, parts)
     df = tf.groupBy("_p").agg(F.count("*").alias("_df"))  # one row per phrase of the query
-    scored = tf.join(F.broadcast(df), "_p").join(sizes, "id").join(F.broadcast(stats))
-    return scored.groupBy("id").agg(F.sum(_weight(F.col("_tf"), F.col("_df"), F.col("_n"), F.col("len"), F.col("_avg"))).alias("score"))
+    weight = _weight(F.col("_tf"), F.col("_df"), F.lit(n), F.col("len"), F.lit(total / max(n, 1)))
+    return tf.join(F.broadcast(df), "_p").groupBy("id").agg(F.sum(weight).alias("score"))
 
 
 def _back(k: int):

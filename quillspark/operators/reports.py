@@ -18,7 +18,7 @@ def list_repos(chunks: DataFrame) -> DataFrame:
 
 
 def stats(chunks: DataFrame) -> DataFrame:
-    return _files(chunks).groupBy("repo", "language").agg(F.count("*").alias("chunks")).orderBy("repo", F.desc("chunks"), "language")
+    return _files(chunks).groupBy("repo", "language").agg(F.count("*").alias("chunks"), F.max("indexed_at").alias("last_indexed")).orderBy("repo", F.desc("chunks"), "language")
 
 
 def count(chunks: DataFrame) -> DataFrame:

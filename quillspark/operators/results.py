@@ -47,3 +47,23 @@ def markdown(results: DataFrame) -> DataFrame:
     """One text per result, as the search tool shows it."""
     title = F.concat(F.lit("### "), F.col("source_path"), F.lit(" (lines "), F.col("start_line"), F.lit("-"), F.col("end_line"), F.lit(")\n"))
     return results.withColumn("markdown", F.concat(block(title), F.lit("\n")))
+
+
+def context(found: DataFrame, budget: int, ascending: bool = False) -> DataFrame:
+    """Search results to packed blocks: of the best 50 by score those that don't overlap, in file order up to the budget."""
+    order = (F.col("score").asc() if ascending else F.col("score").desc(), "id")
+    best = found.orderBy(*order).limit(C.CONTEXT_RESULTS)
+    return pack_context(dedup_overlap(best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))), budget)
+
+
+def told(held, embedder, query: str, top_k: int = 8, repo: str | None = None, mode: str = "hybrid") -> str:
+    """The search tool's answer over a store: results as Markdown, or why there are none."""
+    if not query:
+        return "Empty query."
+    try:
+        found = held.search(embedder.embed_query(query), query, int(top_k), repo, mode).collect()
+    except Exception as e:
+        return f"Search error: {e}"
+    if not found:
+        return "No relevant results found."
+    return "\n".join(f"### {r.source_path} (lines {r.start_line}-{r.end_line})\n```{r.language}\n{r.content}\n```\n" for r in found)

@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 
 from quillspark import constants as C
 from quillspark.functions import identity
-from quillspark.schema import CHUNKS, EXPORT, VECTORS
+from quillspark.operators import keyword, search
+from quillspark.schema import CHUNKS, EXPORT, POSTINGS, VECTORS
 
 
-def last_by_id(batch: DataFrame, order: str) -> DataFrame:
-    """Of rows with one id the last by ``order``."""
-    w = Window.partitionBy("id").orderBy(F.desc(order))
-    return batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def last_by_id(batch: DataFrame, order: str | None = None) -> DataFrame:
+    """Of rows with one id the last by ``order``; without one the last as the batch lists them."""
+    w = Window.partitionBy("id").orderBy(F.desc(order or "_place"))
+    if order is None:
+        batch = batch.withColumn("_place", F.monotonically_increasing_id())
+    return batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_place")
 
 
 def upsert(existing: DataFrame, batch: DataFrame, order: str | None = None) -> DataFrame:
-    """``existing`` with the rows of ``batch`` in place of those with their ids."""
-    new = batch if order is None else last_by_id(batch, order).drop(order)
+    """``existing`` with the rows of ``batch`` in place of those with their ids; of repeated ids the last row counts."""
+    new = last_by_id(batch, order)
     return existing.join(new.select("id"), "id", "left_anti").unionByName(new.select(*existing.columns))
 
 
@@ -34,10 +37,18 @@ def delete_source(chunks: DataFrame, path: str) -> DataFrame:
     return chunks.where(F.col("source_path") != path)
 
 
+def count_prefix(chunks: DataFrame, prefix: str, strict_compat: bool = False) -> DataFrame:
+    """How many chunks ``delete_prefix`` removes, as one row ``removed``."""
+    return chunks.agg(F.count(F.when(_by_prefix(prefix, strict_compat), 1)).alias("removed"))
+
+
+def _by_prefix(prefix: str, strict_compat: bool) -> Column:
+    return F.col("source_path").ilike(prefix + "%") if strict_compat else under(F.col("source_path"), prefix)
+
+
 def delete_prefix(chunks: DataFrame, prefix: str, strict_compat: bool = False) -> DataFrame:
     """``strict_compat`` deletes by an unescaped, case-blind LIKE instead of by path components."""
-    hit = F.col("source_path").ilike(prefix + "%") if strict_compat else under(F.col("source_path"), prefix)
-    return chunks.where(~hit)
+    return chunks.where(~_by_prefix(prefix, strict_compat))
 
 
 def delete_index(chunks: DataFrame, gone: DataFrame) -> DataFrame:
@@ -116,8 +127,23 @@ def import_merge(existing: DataFrame, rows: DataFrame, replace: bool = False) ->
     return upsert(existing, rows)
 
 
+def add_notes(chunks: DataFrame, vectors: DataFrame, rows: DataFrame, embedder=None) -> tuple[DataFrame, DataFrame]:
+    """The tables with notes (text, tags, at) embedded and merged in."""
+    from quillspark.operators import indexing
+
+    made = notes(rows).dropDuplicates(["id"])
+    fresh = indexing.embed(made.select("content_hash", "content").dropDuplicates(["content_hash"]), embedder)
+    own = made.select("id", "content_hash").join(fresh, "content_hash").select("id", "vector")
+    return upsert(chunks, made.select(*chunks.columns)), upsert(vectors, own)
+
+
 class SnapshotStore:
-    """Index tables as Parquet snapshots: a commit writes new folders and then swaps one small manifest."""
+    """Index tables as Parquet snapshots, named by numbered manifests.
+
+    A commit writes new folders (chunks, vectors, postings) and then one manifest under the
+    next number, by a rename that fails if another writer was first. Readers take the newest
+    manifest, so at each moment they see a whole snapshot. ``vacuum`` deletes old ones.
+    """
 
     def __init__(self, spark: SparkSession, path: str, embed_model: str | None = None, embed_dim: int = C.EMBED_DIM):
         self.spark, self.path = spark, path.rstrip("/")
@@ -127,35 +153,92 @@ class SnapshotStore:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def manifest(self) -> dict:
-        fs, p = self._fs("manifest.json")
+    def _numbers(self) -> list[int]:
+        fs, p = self._fs("manifests")
         if not fs.exists(p):
-            return {}
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/manifest.json").first()[0])
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+    def _told(self, number: int) -> dict:
+        fs, p = self._fs(f"manifests/{number:012d}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def read(self) -> tuple[DataFrame, DataFrame]:
-        """(chunks, vectors) of the current snapshot."""
+    def manifest(self) -> dict:
+        """The newest manifest; empty where nothing was committed yet."""
+        numbers = self._numbers()
+        return self._told(numbers[-1]) if numbers else {}
+
+    def _held(self) -> dict:
         held = self.manifest()
+        if held and self.model and held.get("embed_model") not in (None, self.model):
+            raise ImportMismatch(f"the index was made with {held['embed_model']}")
+        return held
+
+    def _tables(self, held: dict) -> tuple[DataFrame, DataFrame]:
         if not held:
             return self.spark.createDataFrame([], CHUNKS), self.spark.createDataFrame([], VECTORS)
-        if self.model and held.get("embed_model") not in (None, self.model):
-            raise ImportMismatch(f"the index was made with {held['embed_model']}")
         base = f"{self.path}/{held['version']}"
         return self.spark.read.schema(CHUNKS).parquet(f"{base}/chunks"), self.spark.read.schema(VECTORS).parquet(f"{base}/vectors")
 
+    def read(self) -> tuple[DataFrame, DataFrame]:
+        """(chunks, vectors) of the newest snapshot."""
+        return self._tables(self._held())
+
+    def _postings(self, held: dict) -> search.Postings | None:
+        if not held:
+            return None
+        return search.Postings(self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{held['version']}/postings"), held["chunks"], held["terms"])
+
+    def postings(self) -> search.Postings | None:
+        """The stored keyword index of the newest snapshot."""
+        return self._postings(self._held())
+
+    def search(self, query: list[float] | None, words: str = "", top_k: int = 10, repo: str | None = None, mode: str = "hybrid", include_notes: bool = True) -> DataFrame:
+        """Search over the newest snapshot; keyword modes read the postings of the query's terms only."""
+        held = self._held()
+        return search.search(*self._tables(held), query, words, top_k, repo, mode, include_notes, self._postings(held))
+
+    def explain(self, query: list[float], words: str, top_k: int = 8, repo: str | None = None) -> DataFrame:
+        held = self._held()
+        return search.explain(*self._tables(held), query, words, top_k, repo, self._postings(held))
+
     def commit(self, chunks: DataFrame, vectors: DataFrame) -> str:
-        """Writes a snapshot, clustered by repository and path so that their statistics prune, and points to it."""
+        """Writes a snapshot and publishes it.
+
+        Chunks are clustered by repository and path, and postings by term, so that their
+        statistics prune; chunks carry a Bloom filter on their ids for lookups of candidates.
+        """
+        number = (self._numbers() or [0])[-1] + 1
         version = uuid.uuid4().hex
         base = f"{self.path}/{version}"
         ordered = chunks.repartitionByRange("repo", "source_path").sortWithinPartitions("repo", "source_path", "chunk_index")
-        ordered.select(*CHUNKS.names).write.parquet(f"{base}/chunks")
+        ordered.select(*CHUNKS.names).write.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{base}/chunks")
         vectors.select(*VECTORS.names).write.parquet(f"{base}/vectors")
-        fs, new = self._fs(f"manifest-{version}.json")
+        held = self.spark.read.schema(CHUNKS).parquet(f"{base}/chunks")
+        rows = keyword.postings(held.select("id", "content"))
+        rows.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{base}/postings")
+        terms = self.spark.read.schema(POSTINGS).parquet(f"{base}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        told = {"version": version, "schema_version": C.SCHEMA_VERSION, "embed_model": self.model, "embed_dim": self.dim, "chunks": held.count(), "terms": terms}
+        fs, new = self._fs(f"manifests/.{version}")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": version, "schema_version": C.SCHEMA_VERSION, "embed_model": self.model, "embed_dim": self.dim}).encode()))
+        out.write(bytearray(json.dumps(told).encode()))
         out.close()
-        _, current = self._fs("manifest.json")
-        fs.delete(current, False)
-        if not fs.rename(new, current):
-            raise OSError(f"can't point {self.path} to snapshot {version}")
+        _, place = self._fs(f"manifests/{number:012d}.json")
+        if fs.exists(place) or not fs.rename(new, place):
+            fs.delete(new, False)
+            raise OSError(f"another writer has published snapshot {number} of {self.path}")
         return version
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes all snapshots but the newest ``keep``, and returns how many; unpublished folders stay, a writer may be at work."""
+        old = self._numbers()[: -max(keep, 1)]
+        for number in old:
+            for name in (self._told(number)["version"], f"manifests/{number:012d}.json"):
+                fs, p = self._fs(name)
+                fs.delete(p, True)
+        return len(old)

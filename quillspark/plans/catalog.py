@@ -57,9 +57,45 @@ WORDS = "hend oransh thonre thin hend"
 PHRASE_WORDS = "of.the hend in_the"
 
 
+def _stems_sql() -> str:
+    """Porter's steps as SQL over the distinct terms of tok, and tok with stems; a consonant y is written Y."""
+    c, v = "[^aeiouy]", "[aeiouy]"
+    m0, m1 = f"'^{c}*{v}+{c}'", f"'^{c}*{v}+{c}+{v}+{c}'"
+    short = f"regexp_matches({{0}}, '{c}{v}[^aeiouywxY]$')"
+    m = lambda x, pattern: f"regexp_matches({x}, {pattern})"
+    cut = lambda n, x="x": f"left({x}, length({x}) - {n})"
+
+    def mended(x: str) -> str:
+        return f"CASE WHEN regexp_matches({x}, '(at|bl|iz)$') THEN {x} || 'e' WHEN length({x}) > 1 AND right({x}, 1) = left(right({x}, 2), 1) AND regexp_matches({x}, '{c}$') AND NOT regexp_matches({x}, '[lsz]$') THEN {cut(1, x)} WHEN {m(x, m0)} AND NOT {m(x, m1)} AND {short.format(x)} THEN {x} || 'e' ELSE {x} END"
+
+    def table(pairs: list[tuple[str, str]]) -> str:
+        whens = " ".join(f"WHEN ends_with(x, '{a}') THEN CASE WHEN {m(cut(len(a)), m0)} THEN {cut(len(a))} || '{b}' ELSE x END" for a, b in sorted(pairs, key=lambda p: -len(p[0])))
+        return f"CASE {whens} ELSE x END"
+
+    fourth = " ".join(f"WHEN ends_with(x, '{a}') THEN CASE WHEN {m(cut(len(a)), m1)}{" AND regexp_matches(" + cut(3) + ", '[st]$')" if a == "ion" else ""} THEN {cut(len(a))} ELSE x END" for a in sorted(text.Porter.STEP4, key=lambda a: -len(a)))
+    steps = [
+        "CASE WHEN regexp_matches(x, '(sses|ies)$') THEN " + cut(2) + " WHEN regexp_matches(x, 's$') AND NOT ends_with(x, 'ss') THEN " + cut(1) + " ELSE x END",
+        f"CASE WHEN ends_with(x, 'eed') THEN CASE WHEN {m(cut(3), m0)} THEN {cut(1)} ELSE x END WHEN ends_with(x, 'ed') AND regexp_matches({cut(2)}, '{v}') THEN {mended(cut(2))} WHEN ends_with(x, 'ing') AND regexp_matches({cut(3)}, '{v}') THEN {mended(cut(3))} ELSE x END",
+        f"CASE WHEN regexp_matches(x, '[yY]$') AND regexp_matches({cut(1)}, '{v}') THEN {cut(1)} || 'i' ELSE x END",
+        table(text.Porter.STEP2),
+        table(text.Porter.STEP3),
+        f"CASE {fourth} ELSE x END",
+        f"CASE WHEN ends_with(x, 'e') AND ({m(cut(1), m1)} OR ({m(cut(1), m0)} AND NOT {short.format(cut(1))})) THEN {cut(1)} ELSE x END",
+        f"CASE WHEN ends_with(x, 'll') AND {m('x', m1)} THEN {cut(1)} ELSE x END",
+    ]
+    out = f"v0 AS (SELECT term, regexp_replace(term, '(^|[aeiouy])y', '\\1Y', 'g') AS x FROM (SELECT DISTINCT unnest(t) AS term FROM tok0) WHERE regexp_matches(term, '^[a-z]{{3,{text.Porter.LONGEST}}}$'))"
+    for k, step in enumerate(steps):
+        out += f", v{k + 1} AS (SELECT term, {step} AS x FROM v{k})"
+    return out + f", tok AS (SELECT id, coalesce(list(coalesce(lower(x), term) ORDER BY pos) FILTER (term IS NOT NULL), []) AS t FROM tok0 LEFT JOIN (SELECT id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM tok0) AS u USING (id) LEFT JOIN v{len(steps)} USING (term) GROUP BY id)"
+
+
+TOKENS = TOKENS.replace("tok AS", "tok0 AS")
+STEMS = f"{TOKENS}, {_stems_sql()}"
+
+
 def _bm25_sql(words: str) -> str:
     parts = []
-    for p in text.phrases(words):
+    for p in keyword.stems(text.phrases(words)):
         follow = " AND ".join(f"t[i + {k}] = '{w}'" for k, w in enumerate(p))
         parts.append(f"len(list_filter(range(1, len(t) + {2 - len(p)}), lambda i: {follow}))")
     n = len(parts)
@@ -67,7 +103,7 @@ def _bm25_sql(words: str) -> str:
     df = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(n))
     score = " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), {C.BM25_LEAST_IDF}) * f{i} * {C.BM25_K1 + 1} / (f{i} + {C.BM25_K1} * (1 - {C.BM25_B} + {C.BM25_B} * l / a))" for i in range(n))
     some = " OR ".join(f"f{i} > 0" for i in range(n))
-    return f"{TOKENS}, tf AS (SELECT id, len(t) AS l, {tf} FROM tok), st AS (SELECT count(*) AS n, avg(l) AS a, {df} FROM tf), bm AS (SELECT id, {score} AS score FROM tf, st WHERE {some})"
+    return f"{STEMS}, tf AS (SELECT id, len(t) AS l, {tf} FROM tok), st AS (SELECT count(*) AS n, avg(l) AS a, {df} FROM tf), bm AS (SELECT id, {score} AS score FROM tf, st WHERE {some})"
 
 
 # --- keyword ---
@@ -78,13 +114,20 @@ def fts_query_build(spark, sf):
     return _table(spark, sf, "benchmark").select("item_id", text.match_expression(F.col("text")).alias("expression"))
 
 
-@_query("tokenize_terms", f"WITH {CTE}, {TOKENS} SELECT id, len(t)::INT AS n_terms, sha256(array_to_string(t, ' ')) AS terms_hash FROM tok")
+@_query("tokenize_terms", f"WITH {CTE}, {TOKENS} SELECT id, len(t)::INT AS n_terms, sha256(array_to_string(t, ' ')) AS terms_hash FROM tok0")
 def tokenize_terms(spark, sf):
     t = text.terms(F.col("content"))
     return _docs(spark, sf).select("id", t.alias("t")).select("id", F.size("t").alias("n_terms"), F.sha2(F.array_join("t", " "), 256).alias("terms_hash"))
 
 
-@_query("doc_freq", f"WITH {CTE}, {TOKENS} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tok) GROUP BY 1")
+@_query("stem_terms", f"WITH {CTE}, {STEMS} SELECT term, lower(x) AS stem FROM v8")
+def stem_terms(spark, sf):
+    """Each distinct term of three letters or more with its stem."""
+    words = _docs(spark, sf).select(F.explode(text.terms(F.col("content"))).alias("term")).where(F.col("term").rlike("^[a-z]{3,64}$")).distinct()
+    return words.select("term", text.stem("term").alias("stem"))
+
+
+@_query("doc_freq", f"WITH {CTE}, {STEMS} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tok) GROUP BY 1")
 def doc_freq(spark, sf):
     return keyword.document_frequency(_docs(spark, sf))
 
@@ -111,10 +154,11 @@ _query(
 @_query("bm25_index", f"WITH {CTE}, {_bm25_sql(PHRASE_WORDS)} SELECT id, round(score, 6) AS score FROM bm")
 def bm25_index(spark, sf):
     docs = _docs(spark, sf)
-    return keyword.bm25_index(keyword.postings(docs), keyword.lengths(docs), text.phrases(PHRASE_WORDS)).select("id", F.round("score", 6).alias("score"))
+    size = keyword.lengths(docs).agg(F.count("*").alias("n"), F.sum("len").alias("total")).first()
+    return keyword.bm25_index(keyword.postings(docs), size["n"], size["total"], text.phrases(PHRASE_WORDS)).select("id", F.round("score", 6).alias("score"))
 
 
-@_query("postings_stats", f"WITH {CTE}, {TOKENS}, p AS (SELECT id, unnest(t) AS term FROM tok), q AS (SELECT term, id, count(*) AS tf FROM p GROUP BY 1, 2) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM q GROUP BY 1")
+@_query("postings_stats", f"WITH {CTE}, {STEMS}, p AS (SELECT id, unnest(t) AS term FROM tok), q AS (SELECT term, id, count(*) AS tf FROM p GROUP BY 1, 2) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM q GROUP BY 1")
 def postings_stats(spark, sf):
     return keyword.postings(_docs(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 

@@ -19,6 +19,15 @@ CHUNKS = T.StructType(
     ]
 )
 VECTORS = T.StructType([T.StructField("id", T.StringType(), False), T.StructField("vector", T.ArrayType(T.FloatType(), False), False)])
+POSTINGS = T.StructType(
+    [
+        T.StructField("term", T.StringType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("len", T.IntegerType()),
+        T.StructField("tf", T.IntegerType()),
+        T.StructField("positions", T.ArrayType(T.IntegerType())),
+    ]
+)
 EXPORT = T.StructType([*CHUNKS.fields, VECTORS["vector"], T.StructField("embed_model", T.StringType(), True)])
 EVENTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("event_type", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("root", T.StringType())])
 RAW_CHUNK = T.StructType([T.StructField("content", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())])

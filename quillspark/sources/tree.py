@@ -42,25 +42,108 @@ def canonical(path: str) -> str:
     return os.path.join(head, tail if tail in names else next((n for n in names if n.lower() == tail.lower()), tail))
 
 
-def read_tree(spark: SparkSession, root: str, git_roots: DataFrame | None = None, patterns: DataFrame | None = None) -> DataFrame:
-    """Files to index below a root: (source_path, repo, language, content).
+def _local(root: str) -> str | None:
+    """The path of a root on a local or mounted file system, else None."""
+    scheme, colon, rest = root.partition(":")
+    if not colon or "/" in scheme:
+        return root
+    return "/" + rest.lstrip("/") if scheme == "file" else None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
 
-    Path predicates come first and the size limit is pushed into the source, so the content
-    of files that are left out is never read. Paths are judged relative to the root.
+def _remote(spark: SparkSession, root: str) -> Iterator[tuple[str, int]]:
+    """(path, length) below a root on any of Hadoop's file systems, directory by directory."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    due = [top]
+    while due:
+        for f in fs.listStatus(due.pop()):
+            name = f.getPath().getName()
+            if f.isSymlink():
+                continue
+            if not f.isDirectory():
+                yield f.getPath().toString(), f.getLen()
+            elif name not in C.PRUNED_DIRS and not name.startswith("."):
+                due.append(f.getPath())
+
+
+def list_files(spark: SparkSession, roots: str | list[str], skip: bool = True) -> DataFrame:
+    """(path, length, root) of the files to index below directories, or of single files.
+
+    Directories are walked on the driver, which keeps paths only; links aren't followed.
+    A file asked for by its name is taken whatever its name.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
-    base = root.split(":", 1)[-1].rstrip("/")
-    relative = F.substring(path, F.lit(len(base) + 2), F.length(path))
-    kept = found.where(F.col("length") <= C.MAX_FILE_BYTES).where(~files.pruned(relative) & ~files.skipped(relative))
-    kept = kept.where(~files.is_binary(F.col("content"))).select(path.alias("path"), decode("content").alias("content"))
+    rows = []
+    for root in [roots] if isinstance(roots, str) else roots:
+        local = _local(root)
+        if local is None:
+            rows += [(*r, root.rstrip("/"), False) for r in _remote(spark, root.rstrip("/"))]
+            continue
+        top = canonical(os.path.realpath(local)).rstrip("/") or "/"
+        single = os.path.isfile(top)
+        rows += [(p, os.path.getsize(p), top, single) for p in ([top] if single else walk(top))]
+    found = spark.createDataFrame(rows, "path string, length long, root string, single boolean").where(F.col("length") <= C.MAX_FILE_BYTES)
+    if skip:
+        relative = F.substring("path", F.length("root") + 2, F.length("path"))
+        found = found.where(F.col("single") | (~files.pruned(relative) & ~files.skipped(relative)))
+    return found.select("path", "length", "root").dropDuplicates(["path"])
+
+
+def _contents(batches):
+    """Paths with their bytes, whatever file names start with (Spark's own source hides names with a dot or an underscore)."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            system, place = fs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (fs.LocalFileSystem(), path)
+            with system.open_input_file(place) as f:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
+
+
+#: Files that a task reads.
+FILES_A_TASK = 2000
+
+
+def find_roots(spark: SparkSession, roots: str | list[str]) -> DataFrame:
+    """(repo): directories with a ``.git``, at, above and below roots on a local or mounted file system."""
+    found = set()
+    for root in [roots] if isinstance(roots, str) else roots:
+        if (local := _local(root)) is None:
+            continue
+        local = canonical(os.path.realpath(local)).rstrip("/")
+        above = local
+        while above and above != "/":
+            if os.path.exists(os.path.join(above, ".git")):
+                found.add(above)
+            above = os.path.dirname(above)
+        for top, dirs, names in os.walk(local):
+            if ".git" in dirs or ".git" in names:
+                found.add(top)
+            dirs[:] = [d for d in dirs if d not in C.PRUNED_DIRS and not d.startswith(".") and not os.path.islink(os.path.join(top, d))]
+    return spark.createDataFrame([(p,) for p in sorted(found)], "repo string")
+
+
+def read_files(listed: DataFrame, roots: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """Text files among listed ones: (source_path, repo, language, content). Files that are left out are never read."""
+    paths = listed.select("path")
     if patterns is not None:
-        kept = files.ignored(kept, patterns).where("not ignored").select("path", "content")
-    if git_roots is not None:
-        kept = files.repository(kept, git_roots)
-    else:
-        kept = kept.withColumn("repo", F.lit(base))
-    return kept.select(F.col("path").alias("source_path"), "repo", files.language(F.col("path")).alias("language"), "content")
+        paths = files.ignored(paths, patterns).where("not ignored").select("path")
+    tasks = max(1, -(-listed.count() // FILES_A_TASK))
+    kept = paths.repartition(tasks).mapInArrow(_contents, "path string, content binary")
+    kept = kept.where(~files.is_binary(F.col("content"))).select("path", decode("content").alias("content"))
+    return files.repository(kept, roots).select(F.col("path").alias("source_path"), "repo", files.language(F.col("path")).alias("language"), "content")
+
+
+def read_tree(spark: SparkSession, root: str, git_roots: DataFrame | None = None, patterns: DataFrame | None = None) -> DataFrame:
+    """Files to index below a root: (source_path, repo, language, content), in the repositories found around it unless given."""
+    return read_files(list_files(spark, root), find_roots(spark, root) if git_roots is None else git_roots, patterns)
 
 
 def ignore_patterns(spark: SparkSession, root: str) -> DataFrame:

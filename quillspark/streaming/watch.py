@@ -5,10 +5,15 @@ The functions take batch or streaming frames alike.
 
 from __future__ import annotations
 
+import os
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import constants as C
+from quillspark.operators import indexing, store
+from quillspark.sources import tree
 
 
 def watched(events: DataFrame) -> DataFrame:
@@ -51,6 +56,35 @@ def apply_events(chunks: DataFrame, changes: DataFrame, fresh: DataFrame) -> Dat
 
 
 def run(events: DataFrame, handle, checkpoint: str, gap: str = C.DEBOUNCE, late: str = "1 minute", **trigger):
-    """Starts a query that hands each debounced batch of changes to ``handle(frame, batch_id)``."""
+    """Starts a query that hands each debounced batch of changes to ``handle(frame, batch_id)``.
+
+    Moves (events with ``dest_path``) count as a deletion and a creation.
+    """
+    if "dest_path" in events.columns:
+        events = expand_moves(events)
     ready = debounce(watched(events), gap, late)
     return ready.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(handle).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def handler(held: store.SnapshotStore, embedder=None):
+    """A handle for ``run``: each batch of changes becomes one commit of chunks and vectors to the store."""
+
+    def handle(changes: DataFrame, batch_id: int) -> None:
+        spark = held.spark
+        last = changes.groupBy("path").agg(F.max(F.when(F.col("event_type") != "deleted", 1).otherwise(0)).alias("there")).collect()  # one burst's paths
+        there = {r["path"]: bool(r["there"]) and tree.exists(spark, r["path"]) for r in last}
+        if not there:
+            return
+        listed = tree.list_files(spark, [p for p, t in there.items() if t])
+        roots = tree.find_roots(spark, sorted({os.path.dirname(p) for p in there}))
+        gone = spark.createDataFrame([(p,) for p, t in there.items() if not t], "path string") if not all(there.values()) else None
+        indexing.index_files(held, tree.read_files(listed, roots), listed.select(F.col("path").alias("source_path")), datetime.now(), embedder, gone)
+
+    return handle
+
+
+def live(held: store.SnapshotStore, events: DataFrame, roots: list[str], checkpoint: str, embedder=None, **how):
+    """Catches up with every root, then follows its change events; returns the running query."""
+    for root in roots:
+        indexing.index_path(held, root, datetime.now(), embedder)
+    return run(events, handler(held, embedder), checkpoint, **how)

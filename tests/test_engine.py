@@ -35,20 +35,21 @@ def _docs(spark):
     return spark.createDataFrame([(i, t) for i, t in enumerate(CORPUS)], "id long, content string")
 
 
-@pytest.mark.parametrize("query", ["token expired", "auth.py error", "validate_token token token", "cafe resume", "a b c"])
+@pytest.mark.parametrize("query", ["token expired", "expire", "validates tokens", "errors.auth error.auths", "auth.py error", "validate_token token token", "cafe resume", "a b c"])
 def test_bm25_equals_full_text_search(spark, fts, query):
     match = " OR ".join('"' + t.replace('"', '""') + '"' for t in query.split() if len(t) > 1)
-    expected = {i: -s for i, s in fts.execute("SELECT id, rank FROM plain WHERE plain MATCH ?", (match,))} if match else {}
-    for got in (keyword.bm25(_docs(spark), text.phrases(query)), keyword.bm25_index(keyword.postings(_docs(spark)), keyword.lengths(_docs(spark)), text.phrases(query))):
+    expected = {i: -s for i, s in fts.execute("SELECT id, rank FROM stemmed WHERE stemmed MATCH ?", (match,))} if match else {}
+    total = sum(r.len for r in keyword.lengths(_docs(spark)).collect())
+    for got in (keyword.bm25(_docs(spark), text.phrases(query)), keyword.bm25_index(keyword.postings(_docs(spark)), len(CORPUS), total, text.phrases(query))):
         found = {r.id: r.score for r in got.collect()}
         assert found.keys() == expected.keys()
         assert all(abs(found[k] - expected[k]) < 1e-9 for k in found)
 
 
-def test_porter_finds_other_forms(spark, fts):
-    held = text.stem_vocabulary(keyword.postings(_docs(spark)))
-    hits = {r.id for r in held.where(F.col("term") == text.Porter.stem("expires")).collect()}
-    assert hits == {i for (i,) in fts.execute("SELECT id FROM stemmed WHERE stemmed MATCH 'expires'")} == {0}
+def test_search_finds_other_forms(spark):
+    chunks = _docs(spark).selectExpr("id", "content", "concat('/', id) AS source_path", "'r' AS repo", "'text' AS language", "1 AS start_line", "1 AS end_line")
+    for word in ("expire", "expires", "expired"):
+        assert [r.id for r in search.bm25_search(chunks, word).collect()] == [0]
 
 
 @pytest.mark.parametrize("word,stem", [("running", "run"), ("expired", "expir"), ("ponies", "poni"), ("caresses", "caress"), ("relational", "relat"), ("hopping", "hop"), ("as", "as"), ("sky", "sky"), ("adoption", "adopt"), ("controlling", "control")])
@@ -67,6 +68,7 @@ def test_porter_equals_full_text_search():
     con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, instance)")
     con.executemany("INSERT INTO t (rowid, x) VALUES (?, ?)", list(enumerate(words, 1)))
     got = {doc: term for term, doc in con.execute("SELECT term, doc FROM v")}
+    assert all(w.startswith(text.Porter.stem(w)[:-1]) for w in words)  # what ad hoc search goes by
     wrong = [(w, got[i], text.Porter.stem(w)) for i, w in enumerate(words, 1) if got[i] != text.Porter.stem(w)]
     assert not wrong
 
@@ -173,6 +175,118 @@ def test_incremental_runs(spark, tmp_path):
         store.import_jsonl(spark, path, 384)
 
 
+def _store(spark, path):
+    return store.SnapshotStore(spark, str(path), "hashed-bag-of-words")
+
+
+def _project(root):
+    (root / "p" / ".git").mkdir(parents=True)
+    (root / "p" / "sub").mkdir()
+    (root / "p" / "__init__.py").write_text("import os\n\n\ndef start():\n    # token expired\n    return 1\n")
+    (root / "p" / "sub" / "a.yaml").write_text("a: 1\n")
+    (root / "p" / ".notes.md").write_text("# Notes\nhidden but shown\n")
+    (root / "p" / "link.md").symlink_to(root / "p" / ".notes.md")
+    (root / "free.md").write_text("# Free\nno repository here\n")
+
+
+def test_directory_to_search(spark, tmp_path):
+    root = tmp_path / "src"
+    root.mkdir()
+    _project(root)
+    held = _store(spark, tmp_path / "index")
+    told = indexing.index_path(held, str(root), "2024-01-01")
+    chunks, vecs = held.read()
+    rows = {r.source_path.removeprefix(str(root)): r.repo.removeprefix(str(root)) for r in chunks.collect()}
+    assert rows == {"/p/__init__.py": "/p", "/p/sub/a.yaml": "/p", "/p/.notes.md": "/p", "/free.md": ""}
+    assert told["embedded"] == chunks.count() == vecs.count()
+    one = vectors.HashEmbedder().embed_query("token expired")
+    for mode in ("bm25", "vector", "hybrid"):
+        stored = [(r.id, round(r.score, 9)) for r in held.search(one, "expires token", 2, mode=mode).collect()]
+        assert stored == [(r.id, round(r.score, 9)) for r in search.search(chunks, vecs, one, "expires token", 2, mode=mode).collect()]
+        assert chunks.where(F.col("id") == stored[0][0]).first().source_path.endswith("__init__.py")
+    version = held.manifest()["version"]
+    assert indexing.index_path(held, str(root), "2024-01-02")["unchanged"] == chunks.count() and held.manifest()["version"] == version
+    # an emptied file loses its rows; one file is indexed by itself
+    (root / "p" / "sub" / "a.yaml").write_text("")
+    assert indexing.index_path(held, str(root / "p" / "sub" / "a.yaml"), "2024-01-03")["deleted"] == 1
+    assert {r.source_path.removeprefix(str(root)) for r in held.read()[0].collect()} == {"/p/__init__.py", "/p/.notes.md", "/free.md"}
+    answer = results.told(held, vectors.HashEmbedder(), "expired", 1, mode="bm25")
+    assert answer.startswith(f"### {root}/p/__init__.py (lines") and answer.endswith("```\n")
+    assert results.told(held, vectors.HashEmbedder(), "") == "Empty query."
+    assert results.told(held, vectors.HashEmbedder(), "zzzz", mode="bm25") == "No relevant results found."
+    assert "unknown mode" in results.told(held, vectors.HashEmbedder(), "x y", mode="other")
+    packed = results.context(held.search(one, "token free", 50), 1000).collect()
+    assert [r.position for r in packed] == [1, 2, 3]
+
+
+def test_rebuild_embeds_anew(spark, tmp_path):
+    root = tmp_path / "src"
+    root.mkdir()
+    _project(root)
+    held = _store(spark, tmp_path / "index")
+    indexing.index_path(held, str(root), "2024-01-01")
+    noted = spark.createDataFrame([("a note", "", "2024-01-01 00:00:00")], "text string, tags string, at string").withColumn("at", F.to_timestamp("at"))
+    held.commit(*store.add_notes(*held.read(), noted))
+
+    class Other(vectors.HashEmbedder):
+        model_name = "other"
+
+        def embed(self, texts):
+            return [[2.0] * self.dim for _ in texts]
+
+    (root / "p" / "sub" / "a.yaml").write_text("b: 2\n")
+    with pytest.raises(store.ImportMismatch):
+        store.SnapshotStore(spark, held.path, "other").read()
+    new = store.SnapshotStore(spark, held.path, "other")
+    assert sum(indexing.rebuild(new, "2024-01-02", Other()).values()) == 4
+    chunks, vecs = new.read()
+    assert chunks.count() == vecs.count() == 5 and {r.vector[0] for r in vecs.collect()} == {2.0}
+    assert chunks.where("content = 'b: 2'").count() == 1 and chunks.where(F.col("repo") == C.NOTE_REPO).count() == 1
+
+
+def test_a_reader_always_finds_a_snapshot(spark, tmp_path, monkeypatch):
+    held = _store(spark, tmp_path / "index")
+    rows = chunking.chunk(spark.createDataFrame([("/a.yaml", "r", "yaml", "a b c")], "source_path string, repo string, language string, content string"))
+    held.commit(*indexing.apply(rows, *held.read(), "2024-01-01"))
+    before = held.manifest()
+    broken = _store(spark, tmp_path / "index")
+    monkeypatch.setattr(broken, "_numbers", lambda: [])  # a writer that missed the commit before its own
+    with pytest.raises(OSError):
+        broken.commit(*held.read())
+    assert held.manifest() == before and held.read()[0].count() == 1
+    for _ in range(2):
+        held.commit(*held.read())
+    assert held.vacuum(1) == 2 and held.read()[0].count() == held.read()[1].count() == 1
+
+
+def test_upsert_keeps_one_row_per_id(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    batch = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "id long, v string").coalesce(1)
+    assert sorted(map(tuple, store.upsert(old, batch).collect())) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+def test_cascade_and_prefixes(spark):
+    rows = spark.createDataFrame([("1", "/a/b"), ("2", "/a"), ("3", "/ab")], "id string, source_path string")
+    vecs = spark.createDataFrame([("1", [1.0]), ("3", [2.0])], "id string, vector array<float>")
+    assert store.count_prefix(rows, "/a").first().removed == 2 and store.count_prefix(rows, "/A", strict_compat=True).first().removed == 3
+    kept, kept_vecs = indexing.remove(spark.createDataFrame([("/a",)], "path string"), rows, vecs)
+    assert [r.id for r in kept.collect()] == [r.id for r in kept_vecs.collect()] == ["3"]
+
+
+def test_queries_are_embedded_once():
+    class Counting(vectors.HashEmbedder):
+        calls = 0
+
+        def embed_query(self, text):
+            self.calls += 1
+            return super().embed_query(text)
+
+    cached = vectors.CachedEmbedder(inner := Counting(), 2)
+    assert cached.embed_query("a b") == cached.embed_query("a b") == vectors.hash_embed("a b") and inner.calls == 1
+    cached.embed_query("c"), cached.embed_query("d"), cached.embed_query("a b")
+    assert inner.calls == 4
+
+
 def test_embed_batches_are_bounded():
     import pandas as pd
 
@@ -188,6 +302,8 @@ def test_ignore_and_roots(spark):
     assert got == {"/a/b/c.py": "/a/b", "/a/d.py": "/a", "/z/q.py": "/z"}
     rules = spark.createDataFrame([("/a", "*.py"), ("/a/b", "x/")], "dir string, pattern string")
     assert {r.path: r.ignored for r in files.ignored(paths, rules).collect()} == {"/a/b/c.py": False, "/a/d.py": True, "/z/q.py": False}
+    rules = spark.createDataFrame([("/a", "[!d].py"), ("/z", "[pq].py/")], "dir string, pattern string")
+    assert {r.path: r.ignored for r in files.ignored(paths, rules).collect()} == {"/a/b/c.py": True, "/a/d.py": False, "/z/q.py": True}
 
 
 def test_stream_debounce(spark, tmp_path):
@@ -205,6 +321,28 @@ def test_stream_debounce(spark, tmp_path):
     assert {(r.path, r.event_type) for r in batch.collect()} == got | {("/late.py", "created")}
 
 
+def test_live_changes_reach_the_store(spark, tmp_path):
+    root = tmp_path / "src"
+    root.mkdir()
+    _project(root)
+    held = _store(spark, tmp_path / "index")
+    (root / "moved.md").write_text("# Free\nno repository here\n")
+    (root / "p" / "sub" / "a.yaml").write_text("changed: 1\n")
+    at = lambda s: f"2024-01-01 00:00:{s:02d}"
+    events = [(f"{root}/free.md", "moved", at(0), 0, "r", f"{root}/moved.md"), (f"{root}/p/sub/a.yaml", "modified", at(1), 1, "r", None), ("/late.py", "created", "2024-01-01 01:00:00", 2, "r", None)]
+    schema = "path string, event_type string, ts timestamp, seq long, root string, dest_path string"
+    spark.createDataFrame(events, schema.replace("timestamp", "string")).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    indexing.index_path(held, str(root), "2024-01-01")
+    (root / "free.md").unlink()
+    (root / "p" / "sub" / "a.yaml").write_text("changed: 2\n")
+    query = watch.live(held, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), [], str(tmp_path / "cp"), gap="5 seconds", late="10 seconds", availableNow=True)
+    query.awaitTermination()
+    chunks, vecs = held.read()
+    rows = {r.source_path.removeprefix(str(root)): r.content for r in chunks.collect()}
+    assert "/free.md" not in rows and "/moved.md" in rows and rows["/p/sub/a.yaml"] == "changed: 2"
+    assert chunks.join(vecs, "id").count() == chunks.count() == vecs.count()
+
+
 def test_moves_and_notes(spark):
     moved = watch.expand_moves(spark.createDataFrame([("/a", "moved", "/b"), ("/c", "created", None)], "path string, event_type string, dest_path string")).collect()
     assert {(r.path, r.event_type) for r in moved} == {("/a", "deleted"), ("/b", "created"), ("/c", "created")}
