@@ -1,23 +1,26 @@
 """Exact removal of long repeated spans by compacting a De Bruijn graph of token k-mers.
 
-Every run of ``SPAN`` words is an edge. Writing all edges to a shuffle would cost
-several times the input, so edges are compacted into paths while they are read:
-consecutive edges that share the same anchor (the ``ANCHOR``-word run with the
-smallest hash inside the edge) form one path, identified by its words. Equal edges
-have equal anchors, so whatever repeats meets under its anchor.
-
-1. Anchors that only one document holds can't repeat; joins drop their paths.
-2. An anchor followed through equal paths in all its documents doesn't branch: the
-   path counts as one item, owned by the smallest document that holds it.
-3. Where an anchor branches, the first occurrence of each of its paths is opened into
-   edges again, read from the source text; each edge belongs to the smallest document.
-4. In every document, words are dropped that lie in a path or an edge owned by a
-   smaller document. Positions are found again in the source text itself.
-
-Words are kept as they are; hashes have 64 bits. Defined results: null and blank texts
-have no words; texts of fewer than ``SPAN`` words lose none; rows with a null id are
-kept whole and are no source; repetition within an id alone removes nothing; rows that
-repeat an id are each judged against smaller ids. Other columns are ignored.
+Every run of ``SPAN`` words is an edge. Writing all edges to a shuffle would cost several
+times the input, so runs of consecutive edges are read as paths at once: edges that share the
+same anchor (the ``ANCHOR``-word run with the smallest hash inside the edge) form one path,
+known by its words' hash and by where it stands (document, first word, count of words).
+Equal edges have equal anchors, so whatever repeats meets under its anchor.
+
+1. Anchors that only one document holds can't repeat; a join drops their paths.
+2. Degrees: of each path that repeats, the distinct paths before and after it over all its
+   occurrences. Joined back to the occurrences they tell which links don't branch, and paths
+   along such links compact into one span of each document, owned by its smallest document.
+3. Where paths part within an anchor, the first occurrence of each is opened into its edges
+   again, at their coordinates; each edge belongs to the smallest document that has it.
+4. The words at the coordinates of all spans and opened edges are read from the source text
+   and digested (128 bits). What repeats by its digest is verified; a span whose occurrences
+   differ, as hashes that clash would make it, is opened into edges as well.
+5. In every document the words go that lie in a span or an edge that a smaller document owns.
+
+Words are kept as they are. Defined results: null and blank texts have no words; texts of
+fewer than ``SPAN`` words lose none; rows with a null id are kept whole and are no source;
+repetition within an id alone removes nothing; rows that repeat an id are each judged
+against smaller ids. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.runtime import drop_table, map_arrow, materialise, release
@@ -69,77 +72,95 @@ def paths(w, span: int, anchor: int):
     return low[begin], skey, doc[begin], begin, at, per
 
 
-def _anchored(batches, span: int, anchor: int, with_path: bool):
-    names = ["akey", "skey", "doc_id"] if with_path else ["akey", "doc_id"]
+def _anchors(batches, span: int, anchor: int):
+    """Anchors of each document, each once."""
     for batch in batches:
         for rows, data, off in slices(batch):
-            akey, skey, doc, *_ = paths(split(data, off), span, anchor)
-            order = np.lexsort((skey, doc))
-            akey, skey, doc = akey[order], skey[order], doc[order]
+            akey, _, doc, *_ = paths(split(data, off), span, anchor)
+            order = np.lexsort((akey, doc))
+            akey, doc = akey[order], doc[order]
             once = np.ones(len(doc), bool)
-            once[1:] = (skey[1:] != skey[:-1]) | (doc[1:] != doc[:-1])
+            once[1:] = (akey[1:] != akey[:-1]) | (doc[1:] != doc[:-1])
             ids = rows.column("doc_id").to_numpy(zero_copy_only=False)[doc[once]]
-            columns = [akey[once].view(np.int64), skey[once].view(np.int64), ids]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (columns if with_path else columns[::2])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(akey[once].view(np.int64)), pa.array(ids)], names=["akey", "doc_id"])
 
 
-def _edges(batches, span: int, anchor: int):
-    """Opens the wanted paths of each document into edges."""
+def _paths(batches, span: int, anchor: int):
+    """All paths with their places: the first word and the count of words in one number."""
     for batch in batches:
-        wanted = batch.column("paths")
-        base = 0
         for rows, data, off in slices(batch):
             w = split(data, off)
-            _, skey, doc, begin, at, _ = paths(w, span, anchor)
-            edge = rolled(w.hash, span)[at] if len(at) else np.zeros(0, np.uint64)
-            size = np.diff(np.append(begin, len(at)))
-            take = np.zeros(len(skey), bool)
-            bounds = np.searchsorted(doc, np.arange(rows.num_rows + 1))
-            for i in range(rows.num_rows):
-                part = slice(bounds[i], bounds[i + 1])
-                take[part] = np.isin(skey[part].view(np.int64), wanted[base + i].values.to_numpy(zero_copy_only=False))
-            base += rows.num_rows
-            opened = np.repeat(take, size)
-            ids = rows.column("doc_id").to_numpy(zero_copy_only=False)[np.repeat(doc, size)[opened]]
-            yield pa.RecordBatch.from_arrays([pa.array(edge[opened].view(np.int64)), pa.array(ids)], names=["edge", "doc_id"])
-
-
-def _cut(batches, span: int, anchor: int, with_text: bool):
+            akey, skey, doc, begin, at, _ = paths(w, span, anchor)
+            size = np.diff(np.append(begin, len(at))) + span - 1
+            first = at[begin] - w.first[doc] if len(doc) else doc
+            columns = [akey.view(np.int64), skey.view(np.int64), *(rows.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "copy")), (first << 32) | size]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["akey", "skey", "doc_id", "copy", "place"])
+
+
+def _told(batches, span: int):
+    """Digests of the words at the asked places: one row per span (head not null) and per edge of an opened place."""
+    names = ["doc_id", "copy", "head", "begin", "stop", "d1", "d2"]
     for batch in batches:
-        base = 0
-        for rows, data, off in slices(batch):
-            w = split(data, off)
-            _, skey, doc, begin, at, per = paths(w, span, anchor)
-            edge = rolled(w.hash, span)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
-            size = np.diff(np.append(begin, len(at)))
-            by_window = np.repeat(skey, size).view(np.int64)
-            n_words, n_removed, digest, text = w.counts.astype(np.int64), [], [], []
-            for i in range(rows.num_rows):
-                words = data[off[i] : off[i + 1]].tobytes().split()
-                gone = 0
-                owned = [batch.column(c)[base + i].values for c in ("paths", "edges")]
-                if any(x is not None and len(x) for x in owned):
-                    part = slice(per[i], per[i + 1])
-                    hit = np.zeros(per[i + 1] - per[i], bool)
-                    for x, keys in zip(owned, (by_window, edge), strict=True):
-                        if x is not None and len(x):
-                            hit |= np.isin(keys[part], x.to_numpy(zero_copy_only=False))
-                    change = np.zeros(len(words) + 1, np.int64)
-                    first = at[part][hit] - w.first[i]
-                    np.add.at(change, first, 1)
-                    np.add.at(change, first + span, -1)
-                    keep = np.cumsum(change[:-1]) == 0
-                    gone = len(words) - int(keep.sum())
-                    words = list(compress(words, keep))
-                joined = b" ".join(words)
-                n_removed.append(gone)
-                digest.append(hashlib.sha256(joined).hexdigest())
-                if with_text:
-                    text.append(joined.decode())
-            base += rows.num_rows
-            columns = [rows.column("doc_id"), pa.array(n_words), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(text, pa.string())] if with_text else columns, names=[*names, "kept_text"] if with_text else names)
+        for i, (text, doc, copy) in enumerate(zip(*(batch.column(c) for c in ("text", "doc_id", "copy")), strict=True)):
+            words = text.as_py().encode().split()  # bytes split at 0x20 and 0x09-0x0D
+            heads, begins, stops, parts = [], [], [], []
+            for s in batch.column("spans")[i].as_py() or []:
+                heads.append(s["head"])
+                begins.append(s["begin"])
+                stops.append(s["stop"])
+            for s in batch.column("opened")[i].as_py() or []:
+                n = s["stop"] - s["begin"] - span + 1
+                heads += [None] * n
+                begins += range(s["begin"], s["begin"] + n)
+                stops += range(s["begin"] + span, s["stop"] + 1)
+            for a, b in zip(begins, stops, strict=True):
+                parts.append(hashlib.blake2b(b" ".join(words[a:b]), digest_size=16).digest())
+            digest = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)
+            n = len(begins)
+            columns = [pa.array([doc.as_py()] * n, pa.int64()), pa.array([copy.as_py()] * n, pa.int64()), pa.array(heads, pa.int64()), pa.array(begins, pa.int32()), pa.array(stops, pa.int32()), *(pa.array(digest[:, k]) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _cut(batches, with_text: bool):
+    """Each document without the words of its ``gone`` places."""
+    for batch in batches:
+        n_words, n_removed, digest, text = [], [], [], []
+        for value, places in zip(batch.column("text"), batch.column("gone"), strict=True):
+            words = (value.as_py() or "").encode().split()
+            n_words.append(len(words))
+            change = np.zeros(len(words) + 1, np.int64)
+            if places.is_valid and len(places.values):
+                np.add.at(change, places.values.field("begin").to_numpy(), 1)
+                np.add.at(change, places.values.field("stop").to_numpy(), -1)
+                words = list(compress(words, np.cumsum(change[:-1]) == 0))
+            joined = b" ".join(words)
+            n_removed.append(n_words[-1] - len(words))
+            digest.append(hashlib.sha256(joined).hexdigest())
+            if with_text:
+                text.append(joined.decode())
+        columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(text, pa.string())] if with_text else columns, names=[*names, "kept_text"] if with_text else names)
+
+
+_ROW = ["doc_id", "copy"]
+
+
+def _places(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """Places of each document in one array."""
+    return rows.groupBy(*_ROW).agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def _compacted(found: DataFrame, nodes: DataFrame, span: int) -> DataFrame:
+    """Spans (doc_id, copy, head, begin, stop, owner): runs of repeated paths along links that don't branch."""
+    rows = found.join(nodes.select("akey", "skey", "before", "after", "owner"), ["akey", "skey"]).select(*_ROW, "skey", "before", "after", "owner", F.shiftright("place", 32).cast("int").alias("begin"), F.expr("cast(place & 4294967295 as int)").alias("n"))
+    rows = rows.withColumn("stop", F.col("begin") + F.col("n"))
+    order = Window.partitionBy(*_ROW).orderBy("begin")
+    linked = (F.lag("stop").over(order) - (span - 1) == F.col("begin")) & (F.lag("after").over(order) == F.col("skey")) & (F.col("before") == F.lag("skey").over(order))
+    rows = rows.withColumn("fresh", F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1))
+    rows = rows.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # all paths of a run have the same documents, hence one owner
+    return rows.groupBy(*_ROW, "run").agg(F.max(F.when(F.col("fresh") == 1, F.col("skey"))).alias("head"), F.min("begin").alias("begin"), F.max("stop").alias("stop"), F.min("owner").alias("owner")).drop("run")
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
@@ -150,31 +171,55 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, with
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = docs.where("doc_id is not null")
+    known = docs.where("doc_id is not null and text is not null")
+    # places are words of a text, so texts that share an id have to be told apart
+    again = not known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    copy = (F.coalesce(F.xxhash64("text"), F.lit(0)) if again else F.lit(0)).cast("long")
+    known, docs = known.withColumn("copy", copy), docs.withColumn("copy", copy)
     how = {"span": span, "anchor": anchor}
-    held = map_arrow(known, partial(_anchored, **how, with_path=False), "akey long, doc_id long")
+    held = map_arrow(known.select("doc_id", "text"), partial(_anchors, **how), "akey long, doc_id long")
     held = held.groupBy("akey").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("akey")
     repeated = materialise(held, "anchors")
     release(spark)
-    found = map_arrow(known, partial(_anchored, **how, with_path=True), "akey long, skey long, doc_id long")
+    found = map_arrow(known, partial(_paths, **how), "akey long, skey long, doc_id long, copy long, place long")
     found = materialise(found.join(repeated, "akey", "left_semi"), "paths")
     release(spark)
-    owners = materialise(found.groupBy("akey", "skey").agg(F.min("doc_id").alias("owner")), "owners")
-    branching = materialise(owners.groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey"), "branching")
-    opened = owners.join(branching, "akey", "left_semi").groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set("skey").alias("paths"))
-    edges = map_arrow(known.join(opened, "doc_id").select("doc_id", "text", "paths"), partial(_edges, **how), "edge long, doc_id long")
-    edges = materialise(edges, "edges")
+    # degrees: the paths next to each path, where there is but one on all its occurrences
+    order = Window.partitionBy(*_ROW).orderBy("place")
+    begin, stop = F.shiftright("place", 32), F.shiftright("place", 32) + F.expr("place & 4294967295")
+    near = found.select("akey", "skey", "doc_id", F.when(F.lag(stop).over(order) - (span - 1) == begin, F.lag("skey").over(order)).alias("before"), F.when(F.lead(begin).over(order) == stop - (span - 1), F.lead("skey").over(order)).alias("after"))
+    only = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).alias(c)
+    nodes = materialise(near.groupBy("akey", "skey").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), only("before"), only("after")), "nodes")
+    release(spark)
+    spans = materialise(_compacted(found, nodes.where("owner < last"), span), "spans")
+    release(spark)
+    branching = nodes.groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey")
+    first = nodes.join(branching, "akey", "left_semi").select("akey", "skey", F.col("owner").alias("doc_id"))
+    opened = found.join(first, ["akey", "skey", "doc_id"], "left_semi").select(*_ROW, F.shiftright("place", 32).cast("int").alias("begin"), stop.cast("int").alias("stop"))
+    asked = _places(spans, "spans", "head", "begin", "stop").join(_places(opened, "opened", "begin", "stop"), _ROW, "full_outer")
+    asked = materialise(asked, "asked")
+    for used in (repeated, found, nodes):
+        drop_table(used)
+    release(spark)
+    schema = "doc_id long, copy long, head long, begin int, stop int, d1 long, d2 long"
+    told = materialise(map_arrow(known.join(asked, _ROW).select("text", *_ROW, "spans", "opened"), partial(_told, span=span), schema), "told")
     release(spark)
-    first = materialise(edges.groupBy("edge").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("edge", "owner"), "first")
-    later = edges.join(first, "edge").where("doc_id > owner").select("doc_id", "edge")
-    copied = found.join(owners.select("skey", "owner"), "skey").where("doc_id > owner").select("doc_id", "skey")
-    gone = copied.select("doc_id", "skey", F.lit(None).cast("long").alias("edge")).unionByName(later.select("doc_id", F.lit(None).cast("long").alias("skey"), "edge"))
-    gone = materialise(gone.groupBy("doc_id").agg(F.collect_set("skey").alias("paths"), F.collect_set("edge").alias("edges")), "gone")
-    for used in (repeated, found, owners, branching, edges, first):
+    heads = told.where("head is not null").groupBy("head").agg(F.min("d1").alias("a1"), F.max("d1").alias("b1"), F.min("d2").alias("a2"), F.max("d2").alias("b2"))
+    unlike = materialise(heads.where("a1 <> b1 or a2 <> b2").select("head"), "unlike")
+    edges = told.where("head is null")
+    sure = spans.where("doc_id > owner")
+    if not unlike.isEmpty():  # hashes that clash
+        sure = sure.join(unlike, "head", "left_anti")
+        rest = _places(spans.join(unlike, "head", "left_semi"), "opened", "begin", "stop").withColumn("spans", F.expr("cast(null as array<struct<head: long, begin: int, stop: int>>)"))
+        edges = edges.unionByName(map_arrow(known.join(rest, _ROW).select("text", *_ROW, "spans", "opened"), partial(_told, span=span), schema))
+    first = materialise(edges.groupBy("d1", "d2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("d1", "d2", "owner"), "first")
+    later = edges.join(first, ["d1", "d2"]).where("doc_id > owner").select(*_ROW, "begin", "stop")
+    gone = materialise(_places(sure.select(*_ROW, "begin", "stop").unionByName(later), "gone", "begin", "stop"), "gone")
+    for used in (spans, asked, told, unlike, first):
         drop_table(used)
     release(spark)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return map_arrow(docs.join(gone, "doc_id", "left").select("doc_id", "text", "paths", "edges"), partial(_cut, **how, with_text=with_text), schema)
+    return map_arrow(docs.join(gone, _ROW, "left").select("doc_id", "text", "gone"), partial(_cut, with_text=with_text), schema)
 
 
 ORACLE = """

@@ -164,6 +164,25 @@ def test_substring_dedup_branches(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == _removed(rows)
 
 
+def test_substring_dedup_when_hashes_clash(spark, monkeypatch):
+    """Anchors and paths known by a few bits: only the words at their places can tell them apart."""
+    whole = substring_dedup.paths
+
+    def clashing(w, span, anchor):
+        akey, skey, *rest = whole(w, span, anchor)
+        return akey & np.uint64(7), skey & np.uint64(3), *rest
+
+    monkeypatch.setattr(substring_dedup, "paths", clashing)
+    rng = random.Random(19)
+    pool = [_text(rng, 40).split() for _ in range(5)]
+    rows = []
+    for i in range(25):
+        parts = [(rng.choice(pool), rng.randrange(20), rng.randint(10, 30)) for _ in range(3)]
+        rows.append((i, " ".join(" ".join(p[a : a + n]) for p, a, n in parts), "s"))
+    got = substring_dedup.remove_repeats(_frame(spark, rows))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _removed(rows)
+
+
 def test_line_dedup(spark, awkward):
     rng = random.Random(4)
     line = _text(rng, 40)
