@@ -423,9 +423,9 @@ def test_token_output(spark, awkward):
 
 def test_warc(spark, tmp_path):
     big = "x" * 1500
-    rows = [(1, "http://a/x", big), (2, "http://b", "small"), (3, None, "small"), (4, "http://c/?q", big), (5, "http://d", None), (6, "http://e", "é\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 40), (7, "http://f", big), (None, "http://g", "n"), (8, "http://h", "")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    warc.write_captures(pages, str(tmp_path / "w"))
+    rows = [(1, "http://a/x", big), (2, "http://b", "small"), (3, None, "small"), (4, "http://c/?q", big), (5, "http://d", None), (6, "http://e", "é\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 40), (7, "http://f", big), (None, "http://g", "n"), (8, "http://h", ""), (9, "http://i\r\nX: y", "<p>long page</p>" * 200_000)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, stored long")
+    warc.write_captures(pages, str(tmp_path / "w"), file_bytes=700)
     records = warc.read_records(spark, str(tmp_path / "w"), with_payload=True)
     assert records.count() == 3 * len(rows)
     got = warc.assemble(records).collect()
@@ -437,6 +437,27 @@ def test_warc(spark, tmp_path):
         assert r.type == ("revisit" if i in (1, 4) else "response")
         assert r.payload == (None if i in (1, 4) else payload)
     assert by["1"].refers_to.startswith("urn:x-page:7:")
+    # files are bounded by bytes, and each record is a gzip member that any reader of the format can read by itself
+    listed = spark.read.parquet(str(tmp_path / "w" / "files.parquet")).collect()
+    assert len(listed) > 3 and sum(r.captures for r in listed) == len(rows)
+    members = 0
+    for r in listed:
+        left = (tmp_path / "w" / r.file).read_bytes()
+        assert len(left) == r.bytes
+        while left:
+            one = zlib.decompressobj(31)
+            assert one.decompress(left).startswith(b"WARC/1.1\r\n") and one.eof
+            left, members = one.unused_data, members + 1
+    assert members == 3 * len(rows)
+
+
+def test_warc_repeated_rows_and_lost_files(spark, tmp_path):
+    big = "y" * 1200
+    pages = spark.createDataFrame([(5, "u", big), (5, "u", big), (4, "v", big), (4, "v", big), (3, "w", "s"), (3, "w", "s"), (None, "z", big)], "page_id long, url string, html string")
+    warc.write_captures(pages, str(tmp_path / "w"))
+    (tmp_path / "w" / "left-behind.warc.gz").write_bytes(b"of a lost executor")
+    got = warc.read_records(spark, str(tmp_path / "w")).where("type in ('response', 'revisit')").collect()
+    assert sorted((r.record_id.split(":")[2], r.type, (r.refers_to or "::-").split(":")[2]) for r in got) == [("3", "response", "-")] * 2 + [("4", "revisit", "5")] * 2 + [("5", "response", "-")] * 2 + [("null", "revisit", "5")]
 
 
 def test_decontamination(spark, awkward):
