@@ -7,13 +7,15 @@ limit. Each aggregation over the table of sources takes five bisection steps at
 
 The weights are realised as a permutation of each source in hash order, cut into blocks by
 key prefix: whole passes first, then documents in that order until the source's budget is
-spent. Running totals come from totals of blocks plus a running sum inside each block, so
-no task ever holds a source; blocks have about ``BLOCK_DOCS`` documents.
+spent. Running totals come from totals of blocks, summed up at two levels, plus a running sum
+inside each block, so no task ever holds a source; blocks have up to ``BLOCK_DOCS`` documents
+or so.
 
 Defined results: null and blank texts have no tokens. Null sources form a source of their
 own. A source without tokens costs nothing and gets one copy of each row. Rows with a null
-id and repeated rows are rows like others (equal rows stand side by side in the
-permutation). An empty table gives an empty result. Other columns are ignored.
+id and repeated rows are rows like others: the former stand by the hash of their text, and
+equal rows side by side in the permutation. An empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.runtime import materialise
 
-BLOCK_DOCS = 1000
+BLOCK_DOCS = 200
 MAX_REPETITION = 2.0
 STEPS = 30
 
@@ -64,8 +66,8 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
     with which every source gets a whole pass. ``position``: tokens of the source before the
     document in its permutation. ``copies``: how often the document is emitted.
     """
-    rows = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"))
-    rows = rows.select("*", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"))
+    rows = docs.select("doc_id", "source", "text", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"))
+    rows = rows.select("doc_id", "source", "n_tokens", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("="), F.md5("text")), F.lit("")))).alias("_key"))
     rows = materialise(rows, "tokens")
     sources = materialise(rows.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
     wanted = F.lit(None).cast("double") if budget == "cover" else F.col("N").cast("double") if budget is None else F.lit(float(budget))
@@ -80,7 +82,12 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
     sources = sources.select("_source", "tokens", F.round(power / z, 9).alias("weight"), F.when(F.col("tokens") > 0, quota).alias("quota"), F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("docs") / BLOCK_DOCS))).cast("int").alias("_digits"))
     placed = rows.join(sources.hint("broadcast") if _bounded(sources) else sources, "_source").withColumn("_block", F.expr("substring(_key, 1, _digits)"))
     blocks = placed.groupBy("_source", "_block").agg(F.sum("n_tokens").alias("n"))
-    ahead = blocks.select("_source", "_block", (F.sum("n").over(Window.partitionBy("_source").orderBy("_block")) - F.col("n")).alias("ahead"))
+    # two levels, so that no task sums up more than the root of a source's blocks
+    blocks = blocks.withColumn("_head", F.expr("substring(_block, 1, length(_block) div 2)"))
+    heads = blocks.groupBy("_source", "_head").agg(F.sum("n").alias("m"))
+    heads = heads.select("_source", "_head", (F.sum("m").over(Window.partitionBy("_source").orderBy("_head")) - F.col("m")).alias("_far"))
+    ahead = blocks.withColumn("_near", F.sum("n").over(Window.partitionBy("_source", "_head").orderBy("_block")) - F.col("n")).join(heads, ["_source", "_head"])
+    ahead = ahead.select("_source", "_block", (F.col("_near") + F.col("_far")).alias("ahead"))
     inside = Window.partitionBy("_source", "_block").orderBy("_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_before", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     out = placed.join(ahead, ["_source", "_block"]).withColumn("position", F.col("_before") + F.col("ahead"))
