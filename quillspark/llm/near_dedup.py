@@ -2,7 +2,9 @@
 
 Each document's set of word shingles is reduced to ``BUCKETS`` registers. A register
 keeps, of the smallest hash in its bucket, the count of leading zeros and ten
-mantissa bits (two bytes). Registers are banded five by five. At a similarity of
+mantissa bits (two bytes). Each bucket hashes the whole set by a multiplier of its own
+instead of taking a share of one hash: most documents have fewer shingles than would
+fill 160 shares, and empty registers would cost the recall that the contract asks for. Registers are banded five by five. At a similarity of
 0.85 a pair shares no band with a probability of 7e-9. Candidates pass an estimate
 from their registers, corrected for registers that collide by chance, and then an
 exact comparison of the full shingle sets.
@@ -37,11 +39,18 @@ WORDS = 5
 ROWS, BANDS = 5, 32
 BUCKETS = ROWS * BANDS
 MANTISSA = 10
-#: Expected share of registers of two disjoint sets that agree by chance: equal zeros (1/3) and equal mantissas.
-BY_CHANCE = 1 / 3 / (1 << MANTISSA)
 #: An estimate from 160 registers is 5.5 standard deviations below 0.85 here; lower ones aren't verified.
 SLACK = 0.155
 
+
+
+def by_chance(n: float, m: float) -> float:
+    """Expected share of registers of disjoint sets of n and m shingles that agree: both minima in one cell of zeros and mantissa."""
+    edge = np.concatenate([2.0 ** -(z + 1) * (1 + np.arange(1 << MANTISSA) / (1 << MANTISSA)) for z in range(63, -1, -1)] + [[1.0]])
+    inside = [-np.diff(np.exp(k * np.log1p(-np.minimum(edge, 1 - 1e-16)))) for k in (n, m)]
+    return float((inside[0] * inside[1]).sum())
+
+
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, regs binary"
 
 
@@ -96,10 +105,13 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in (both, size_a, size_b))], names=["a", "b", "both", "size_a", "size_b"])
 
 
-def _estimated(x: str, y: str) -> F.Column:
-    """Jaccard estimate: the share of equal registers, less those that agree by chance."""
+def _estimated(x: str, y: str, n: str, m: str) -> F.Column:
+    """Jaccard estimate: the share of equal registers, less those that agree by chance at these sizes."""
     same = F.expr(f"aggregate(sequence(0, {BUCKETS - 1}), 0, (s, i) -> s + if(substring({x}, 2 * i + 1, 2) = substring({y}, 2 * i + 1, 2), 1, 0))")
-    return (same / F.lit(BUCKETS) - BY_CHANCE) / (1 - BY_CHANCE)
+    # by powers of two of the smaller size; pairs have similar sizes
+    table = F.array(*(F.lit(by_chance(2.0**k, 2.0**k)) for k in range(41)))
+    chance = F.element_at(table, F.least(F.floor(F.log2(F.greatest(F.least(n, m), F.lit(1)))).cast("int"), F.lit(40)) + 1)
+    return (same / F.lit(BUCKETS) - chance) / (1 - chance)
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -123,9 +135,9 @@ def _sets_of(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
 def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose estimate allows for enough similarity."""
-    regs = reps.select(F.col("rep").alias("a"), F.col("regs").alias("regs_a"))
-    close = pairs.join(regs, "a").join(regs.select(F.col("a").alias("b"), F.col("regs_a").alias("regs_b")), "b")
-    return materialise(close.where(_estimated("regs_a", "regs_b") >= percent / 100 - SLACK).select("a", "b"), "close")
+    regs = reps.select(F.col("rep").alias("a"), F.col("regs").alias("regs_a"), F.col("n_shingles").alias("n_a"))
+    close = pairs.join(regs, "a").join(regs.select(F.col("a").alias("b"), F.col("regs_a").alias("regs_b"), F.col("n_a").alias("n_b")), "b")
+    return materialise(close.where(_estimated("regs_a", "regs_b", "n_a", "n_b") >= percent / 100 - SLACK).select("a", "b"), "close")
 
 
 def _compared(close: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,6 +180,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "centre", "rep", "n_shingles", F.coalesce("label", "rep").alias("label"))
     counted = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
+    main = materialise(main, "main")  # a join of its own, so that a key with many members can be split
     apart = materialise(placed.join(main, "key").where("rep <> centre").select("key", "centre", "rep", "n_shingles", "label", "main"), "apart")
     # a shingle that no other of these sets holds lies outside every intersection
     sets = _sets_of(apart.select(F.col("rep").alias("doc_id")).union(apart.select("centre")).distinct(), docs, words)
