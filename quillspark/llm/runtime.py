@@ -20,7 +20,7 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with batches of bounded size."""
+    """mapInArrow with batches of bounded size; sizes beyond the bounds are lowered for the session, as plans read them when they run."""
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         held = int(re.sub(r"[^0-9-]", "", str(conf.get(key))) or -1)
@@ -30,10 +30,12 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share; a temporary one only on a local master that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+        if not held and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = held or tempfile.mkdtemp(prefix="quillspark-")
         if not held:
             spark.sparkContext.setCheckpointDir(base)
@@ -76,9 +78,13 @@ def release(spark: SparkSession) -> None:
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find over (a, b): one row (node, label) per node, label the smallest node it can reach.
 
-    Each round hooks every root to its smallest neighbour, halves paths by joining
-    the pointers with themselves, and rewrites the edges onto the roots, so that the
-    number of roots at least halves. All state stays in tables.
+    Each round hooks every root to its smallest neighbour if that is smaller, halves paths
+    by joining the pointers with themselves, and rewrites the edges onto the roots. A root
+    that stays has all its neighbours hooked to it, or one of them to a smaller root, which
+    is then its neighbour and takes it in the next round. So of the roots with neighbours at
+    most half are left after two rounds. All state stays in tables; joins on a label that a
+    giant component shares are plain sort-merge joins of stored tables, which adaptive
+    execution splits.
     """
     pairs = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
