@@ -11,10 +11,7 @@ def _documents(operator):
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_containment_decontamination": decontaminate.query,
         "op2_fuzzy_line_dedup": _documents(line_dedup.line_dedup),
         "op3_quality_rules": _documents(quality_rules.quality_rules),

@@ -75,6 +75,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number of each row in the order of ids, nulls last and equal ids by text.
+
+    It is the id itself where all ids are known and unlike.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1")
+    if odd.isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    order = (F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last())
+    return materialise(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find over (a, b): one row (node, label) per node, label the smallest node it can reach.
 

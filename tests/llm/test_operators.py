@@ -535,6 +535,33 @@ def test_classifier(spark):
     assert all(r.score == 0.5 for r in none)
 
 
+def test_compiled_rules_equal_the_fitted_ones(spark, awkward):
+    """The score as Spark computes it against the rules over the statistics in NumPy, for repeated rows and awkward texts too."""
+    rng = random.Random(30)
+    rows = [*awkward, *((100 + k, _text(rng, rng.randint(1, 80)) + "$ " * rng.randint(0, 9) + "\nthe of " * rng.randint(0, 6), "s") for k in range(500))]
+    docs = _frame(spark, rows)
+    labels = spark.createDataFrame([(100 + k, int(t.count("$") < 4), 0) for k, (_, t, _) in enumerate(rows[len(awkward) :])], "doc_id long, quality int, toxic int")
+    intercept, rules = quality_classifier.learn(docs, labels)
+    assert rules
+    stats = quality_classifier.statistics(docs).collect()
+    x = np.array([[r[f] for f in quality_classifier.FEATURES] for r in stats])
+    total = intercept + sum(w * quality_classifier._holds(x, rule) for w, rule in rules)
+    want = sorted((str(r.doc_id), round(float(v), 9)) for r, v in zip(stats, 1 / (1 + np.exp(-total)), strict=True))
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in quality_classifier.score(docs, labels).collect()) == want
+    assert len({s for i, s in want if i == "10"}) == 1
+
+
+def test_statistics_by_brute_force(spark, awkward):
+    stats = {r.doc_id: r for r in quality_classifier.statistics(_frame(spark, awkward)).collect()}
+    for i, t, _ in awkward:
+        t = t or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        n = max(len(w), 1)
+        want = {"n_words": len(w), "word_length": sum(map(len, w)) / n, "symbols": len(re.findall(r"[#*$%&<>]", t)) / n, "digits": len(re.findall("[0-9]", t)) / max(len(t), 1), "distinct_words": len(set(w)) / n, "distinct_pairs": len(set(zip(w, [*w[1:], None], strict=False))) / n, "dup_lines": (len(lines) - len(set(lines))) / max(len(lines), 1), "line_words": len(w) / max(len(lines), 1)}
+        for k, v in want.items():
+            assert abs(stats[i][k] - v) < 1e-9, (i, k)
+
+
 def test_empty_tables(spark):
     docs = _frame(spark, [])
     assert near_dedup.near_duplicates(docs).count() == 0
@@ -552,15 +579,91 @@ def test_empty_tables(spark):
     assert warc.assemble(warc.read_records(spark, path)).count() == 0
 
 
-def test_pipeline(spark, tmp_path, awkward):
+def _pipeline_tables(spark, folder, rows, items, labels):
+    frame = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path, awkward):
     import corpus_pipeline
 
     rng = random.Random(1)
-    rows = [*awkward, *((200 + k, "the " + " of the ".join(_text(rng, 3) for _ in range(25)), rng.choice("abc")) for k in range(60))]
-    _frame(spark, rows).select("doc_id", "text", "lang", "source").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, rows[20][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    spark.createDataFrame([(200, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r.doc_id for r in out}
-    assert rows[20][0] not in ids and 0 in ids and not ids & {1, 2, 10}
-    assert {r.doc_id for r in out} >= {200 + k for k in range(60)} - {rows[20][0]}
+    good = lambda: "the " + " of the ".join(_text(rng, 3) for _ in range(25))
+    rows = [*awkward, (None, awkward[0][1], "s"), (10, awkward[9][1], "s"), (None, None, None), *((200 + k, good(), rng.choice("abc")) for k in range(60)), *((300 + k, "$$ |! " * rng.randint(20, 40), "d") for k in range(60))]
+    rows += [(500, rows[25][1], "a"), (501, rows[26][1] + " tail", "b")]
+    items = [(1, rows[20][1]), (2, " ".join(WORD.findall(awkward[8][1])[100:140])), (3, None), (4, "")]
+    labels = [(200 + k, 1, 0) for k in range(60)] + [(300 + k, 0, 0) for k in range(60)]
+    _pipeline_tables(spark, tmp_path, rows, items, labels)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    told = lambda frame: sorted(((r.doc_id, r.text, r.source) for r in frame.collect()), key=str)
+    names = docs.columns
+    for (name, stage), k in zip(corpus_pipeline.STAGES, (7, 8, 1, 10, 5), strict=True):
+        before = told(docs)
+        after = stage(spark, docs, str(tmp_path))
+        if k != 5:
+            assert after.columns == names
+            after.write.parquet(f"{tmp_path}/{name}")
+            after = spark.read.parquet(f"{tmp_path}/{name}")
+        if k == 7:
+            scores = quality_classifier.score(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+            assert len(told(after)) == sum(r.score >= quality_classifier.CUTOFF for r in scores)
+            assert not [i for i, *_ in told(after) if i is not None and 300 <= i < 400]
+            assert {i for i, *_ in told(after)} >= {200 + j for j in range(60)}
+        elif k == 8:
+            order = sorted(before, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+            sets = {j: _shingles(t) for j, (_, t, _) in enumerate(order)}
+            links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+            group = _components(sets, links)
+            assert told(after) == sorted((r for j, r in enumerate(order) if group[j] == j), key=str) and len(told(after)) < len(before)
+        elif k == 1:
+            tests = [x for _, t in items if (x := _shingles(t))]
+            assert told(after) == [r for r in before if not any(len(x & _shingles(r[1])) >= 0.8 * len(x) for x in tests)] and len(told(after)) < len(before)
+        elif k == 10:
+            copies = sum(r.copies for r in mixing.mix(docs, budget="cover", max_repetition=corpus_pipeline.MOST_COPIES).collect())
+            assert set(told(after)) == set(before) and len(told(after)) >= copies >= len(before)
+        else:
+            import public_tokenizers
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+            want = sorted((str(i), len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, _ in before)
+            assert sorted((str(r.doc_id), r.n_tokens) for r in after.collect()) == want
+        docs = after
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    _pipeline_tables(spark, tmp_path, [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_line_dedup_equals_brute_force(spark):
+    """All lines of sf0.001, every pair by its exact similarity."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lines = sorted({x.strip(" ").lower() for r in docs.collect() for x in (r.text or "").split("\n") if x.strip()})
+    sets = [_characters(x) for x in lines]
+    held = {}
+    for k, x in enumerate(sets):
+        for g in x:
+            held.setdefault(g, []).append(k)
+    links = []
+    for a, x in enumerate(sets):
+        shared = {}
+        for g in x:
+            for b in held[g]:
+                if b > a:
+                    shared[b] = shared.get(b, 0) + 1
+        links += [(a, b) for b, n in shared.items() if 100 * n >= 80 * (len(x) + len(sets[b]) - n)]
+    group = _components(range(len(lines)), links)
+    got = {}
+    for r in line_dedup.lines_of(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        line = r.text.split("\n")[r.pos].strip(" ").lower()
+        if line.strip():
+            got.setdefault(bytes(r.label), set()).add(line)
+    want = {}
+    for k, x in enumerate(lines):
+        want.setdefault(group[k], set()).add(x)
+    assert links and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
