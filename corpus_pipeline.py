@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and
 read again as the next one's documents. All but the last return the columns of
 ``documents``; the last returns what reading the token files gives for each document.
+
+Defined results: null and blank texts have all statistics zero, and the classifier decides on
+them like on others; what it keeps is no copy of anything, holds no test item and becomes an
+end id. Copies and test items are told row by row, so rows with a null or a repeated id
+neither shield each other nor go with one another: of equal texts the row with the smallest
+id stays, null ids last. Repeated rows fold to one. Rows that share an id, a source and a
+length are repeated as often as each other by the mixture. Ties go by id. Empty tables give
+an empty result; without labels nothing is rejected. Other columns pass through all but the
+last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import decontaminate, mixing, near_dedup, quality_classifier, token_output
-from quillspark.llm.runtime import new_path, read_table
+from quillspark.llm.runtime import new_path, numbered, read_table
 
 #: Similarity in percent from which the near-duplicate stage links documents.
 SIMILAR_PERCENT = 80
@@ -25,13 +34,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest id."""
-    dropped = near_dedup.near_duplicates(docs, SIMILAR_PERCENT).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = near_dedup.near_duplicates(rows.select(rows["_row"].alias("doc_id"), "text"), SIMILAR_PERCENT)
+    dropped = found.where("not kept").select(found["doc_id"].alias("_row"))
+    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+    rows = numbered(docs)
+    found = decontaminate.contaminated(rows.select(rows["_row"].alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(found["doc_id"].alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +65,7 @@ STAGES = [
     ("token_output", tokens),
 ]
 
-#: The classifier, union-find over signatures and the tokenizer can't be told in SQL; tests hold each stage against brute force.
+#: The classifier, union-find over signatures and the tokenizer can't be told in SQL; a test holds each stage against brute force.
 ORACLE_SQL = None
 
 
