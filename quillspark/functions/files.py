@@ -83,6 +83,11 @@ def ignored(files: DataFrame, patterns: DataFrame) -> DataFrame:
     return near.withColumn("ignored", F.coalesce(F.exists("rules", lambda r: F.exists(parts, lambda p: F.rlike(p, r))), F.lit(False))).drop("rules")
 
 
+def small(length: Column) -> Column:
+    """Whether a file of so many bytes is indexed."""
+    return length <= C.MAX_FILE_BYTES
+
+
 def is_binary(content: Column) -> Column:
     """Whether the first bytes hold a NUL."""
     return F.position(F.lit(b"\x00"), F.substring(content, 1, C.BINARY_SNIFF_BYTES)) > 0

@@ -47,6 +47,11 @@ def _ranked(rows: DataFrame, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
+def ranked(rows: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows as a list for fusion."""
+    return _ranked(rows.orderBy(*order).limit(n), *order)
+
+
 def rrf(*ranked: DataFrame, k: int = C.RRF_K) -> DataFrame:
     """(id, score) from lists (id, rank from 0): the sum of 1 / (k + rank + 1)."""
     both = reduce(DataFrame.unionByName, [r.select("id", "rank") for r in ranked])

@@ -211,14 +211,12 @@ def embed_input(spark, sf):
     r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM benchmark), b AS (SELECT item_id, md5(unnest(ws)) AS h FROM w),
 d AS (SELECT item_id, list_reduce(list_transform(range(1, 33, 2), lambda k: (strpos('0123456789abcdef', h[k]) - 1) * 16 + strpos('0123456789abcdef', h[k + 1]) - 1), lambda s, x: (s * 256 + x) % 768) AS bucket FROM b),
 k AS (SELECT item_id, bucket, count(*) AS n FROM d GROUP BY 1, 2)
-SELECT item_id, bucket::BIGINT AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS value FROM k""",
+SELECT item_id, bucket::BIGINT AS bucket, round((n / sqrt(sum(n * n) OVER (PARTITION BY item_id)))::FLOAT::DOUBLE, 6) AS value FROM k""",
 )
 def hash_embed(spark, sf):
-    from pyspark.sql import Window
-
-    words = _table(spark, sf, "benchmark").select("item_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("w"))
-    counts = words.groupBy("item_id", vectors.bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("n"))
-    return counts.select("item_id", "bucket", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("item_id"))), 6).alias("value"))
+    items = _table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("content_hash"), F.col("text").alias("content"))
+    found = indexing.embed(items).select(F.col("content_hash").cast("long").alias("item_id"), F.posexplode("vector").alias("bucket", "v"))
+    return found.where("v <> 0").select("item_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 # --- fusion ---
@@ -248,17 +246,22 @@ def explain_ranks(spark, sf):
     return found.select("id", F.round("score", 6).alias("score"), F.col("vector_rank").cast("long").alias("vector_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
 
 
+#: How much of each list counts where lists are fused.
+_LIST = 100
+
+
 @_query(
     "rrf_nary",
-    "WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS r FROM documents), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents WHERE lang = 'en'), d AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings) SELECT id, round(sum(1 / (60 + r + 1)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM d) GROUP BY 1",
+    f"""WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS r FROM (SELECT * FROM documents ORDER BY n_chars, doc_id LIMIT {_LIST})),
+b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r FROM (SELECT * FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT {_LIST})),
+d AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT {_LIST}))
+SELECT id, round(sum(1 / (60 + r + 1)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM d) GROUP BY 1""",
 )
 def rrf_nary(spark, sf):
-    from pyspark.sql import Window
-
     docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", "lang")
-    a = docs.withColumn("rank", F.row_number().over(Window.orderBy("n_chars", "id")) - 1)
-    b = docs.where("lang = 'en'").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "id")) - 1)
-    d = _vectors(spark, sf).withColumn("rank", F.row_number().over(Window.orderBy("id")) - 1)
+    a = search.ranked(docs, _LIST, "n_chars", "id")
+    b = search.ranked(docs.where("lang = 'en'"), _LIST, F.desc("n_chars"), "id")
+    d = search.ranked(_vectors(spark, sf), _LIST, "id")
     return search.rrf(a, b, d).select("id", F.round("score", 6).alias("score"))
 
 
@@ -302,18 +305,36 @@ def chunk_headings(spark, sf):
     return _exploded(_docs(spark, sf).withColumn("x", marked), chunking.headings(chunking.lines(F.col("x"))))
 
 
-_DECLARED = "replace(content, chr(10) || 'Th', chr(10) || 'func Th')"
-DECLARED = f"""dx AS (SELECT id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS n FROM ln),
-ds AS (SELECT id, n, x, sum(CASE WHEN regexp_matches(x, '^func\\s+\\w+') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS s, max(CASE WHEN regexp_matches(x, '^func\\s+\\w+') THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS marked FROM dx),
+#: What stands before a paragraph to make it a declaration, and an expression for lines that have it.
+_MARKS = {"go": ("func ", r"^func\s+\w+"), "typescript": ("export async function ", r"^export async function \w+"), "rust": ("pub fn ", r"^pub fn \w+")}
+
+
+def _declared_text(kind: str) -> str:
+    return f"replace(content, chr(10) || 'Th', chr(10) || '{_MARKS[kind][0]}Th')"
+
+
+def _declared_sql(kind: str) -> str:
+    mark = f"regexp_matches(x, '{_MARKS[kind][1]}')"
+    return f"""dx AS (SELECT id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS n FROM ln),
+ds AS (SELECT id, n, x, sum(CASE WHEN {mark} THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS s, max(CASE WHEN {mark} THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS marked FROM dx),
 de AS (SELECT id, s, min(n) AS start_line, max(n) AS end_line, string_agg(x, chr(10) ORDER BY n) AS content FROM ds WHERE marked = 1 GROUP BY id, s),
 dd AS (SELECT id, start_line, end_line, CASE WHEN s = 0 THEN {BLANK} ELSE content END AS content FROM de WHERE {BLANK} <> ''),
 du AS (SELECT * FROM dd UNION ALL SELECT id, start_line, end_line, content FROM wi WHERE {BLANK} <> '' AND id NOT IN (SELECT id FROM dd))"""
 
 
-@_query("chunk_regex", f"WITH {CTE}, {LINES.format(_DECLARED)}, {WINDOWS}, {DECLARED} {PIECES} du")
-def chunk_regex(spark, sf):
-    marked = F.replace("content", F.lit("\nTh"), F.lit("\nfunc Th"))
-    return _exploded(_docs(spark, sf).withColumn("x", marked), chunking.declarations(F.col("x"), chunking.lines(F.col("x")), C.DECLARATIONS["go"]))
+_DECLARED, DECLARED = _declared_text("go"), _declared_sql("go")
+
+
+def _regex_query(kind: str):
+    def run(spark, sf):
+        marked = F.replace("content", F.lit("\nTh"), F.lit(f"\n{_MARKS[kind][0]}Th"))
+        return _exploded(_docs(spark, sf).withColumn("x", marked), chunking.declarations(F.col("x"), chunking.lines(F.col("x")), C.DECLARATIONS[kind]))
+
+    return run
+
+
+for _name, _kind in (("chunk_regex", "go"), ("chunk_regex_ts", "typescript"), ("chunk_regex_rust", "rust")):
+    _query(_name, f"WITH {CTE}, {LINES.format(_declared_text(_kind))}, {WINDOWS}, {_declared_sql(_kind)} {PIECES} du")(_regex_query(_kind))
 
 
 OVERSIZED = f"""ov AS (SELECT id, 1 AS start_line, len(l) AS end_line, x AS content FROM (SELECT ln.*, c.content AS x FROM ln JOIN c USING (id)) WHERE length(x) <= {C.MAX_CHUNK_CHARS}
@@ -342,7 +363,12 @@ def chunk_dispatch(spark, sf):
     return _exploded(_docs(spark, sf).withColumns({"kind": kind, "x": x}), chunking.split(F.col("x"), F.col("kind"), python=False))
 
 
-@_query("chunk_python")
+@_query(
+    "chunk_python",
+    f"""WITH {CTE}, {LINES.format("content")}, fn AS (SELECT id, unnest(l) AS x, unnest(range(len(l))) AS i FROM ln WHERE content_size > 0),
+py AS (SELECT id, 1 AS start_line, 4 AS end_line, 'import os' || chr(10) || 'import re' || chr(10) || 'import sys' || CASE WHEN id IN (SELECT id FROM fn) THEN '' ELSE chr(10) END AS content FROM c
+UNION ALL SELECT id, 5 + 3 * i, 6 + 3 * i, left('def f' || i || '():' || chr(10) || '    \"\"\"' || regexp_replace(x, '[\\\\"]', '', 'g') || '\"\"\"', {C.MAX_CHUNK_CHARS}) FROM fn) {PIECES} py""".replace("ln WHERE content_size > 0", "ln JOIN (SELECT id FROM c WHERE content <> '') AS full_ USING (id)"),
+)
 def chunk_python(spark, sf):
     """Sources made from documents: each paragraph becomes a function's text."""
     body = F.concat(F.lit("import os\nimport re\nimport sys\n\n"), F.array_join(F.transform(chunking.lines(F.col("content")), lambda x, i: F.concat(F.lit("def f"), i.cast("string"), F.lit('():\n    """'), F.regexp_replace(x, r'[\\"]', ""), F.lit('"""\n'))), "\n"))
@@ -387,7 +413,7 @@ def scan_prune(spark, sf):
 @_query("file_size_gate", f"SELECT doc_id FROM documents WHERE octet_length(encode(coalesce(text, ''))) * 200 <= {C.MAX_FILE_BYTES}")
 def file_size_gate(spark, sf):
     sized = _table(spark, sf, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) * 200).alias("length"))
-    return sized.where(F.col("length") <= C.MAX_FILE_BYTES).select("doc_id")
+    return sized.where(files.small(F.col("length"))).select("doc_id")
 
 
 @_query("binary_sniff", f"SELECT doc_id, doc_id % 3 = 0 AND octet_length(encode(coalesce(text, ''))) < {C.BINARY_SNIFF_BYTES} AS is_binary FROM documents")
@@ -451,9 +477,12 @@ def list_notes(spark, sf):
     return store.list_notes(_chunks(spark, sf)).select("id", "source_path", F.unix_timestamp("indexed_at").alias("at"))
 
 
-@_query("delete_note", f"WITH {CHUNK_CTE} SELECT count(*) FILTER (source_path <> '/src13/13.txt') AS left_over FROM ch")
+@_query("delete_note", f"WITH {_NOTES}, q AS (SELECT '{C.NOTE_PREFIX}' || substr(sha256(text || strftime(made, '%Y-%m-%dT%H:%M:%S')), 1, 16) AS source_path FROM n) SELECT source_path, count(*) AS rows FROM q WHERE source_path <> (SELECT min(source_path) FROM q) GROUP BY 1")
 def delete_note(spark, sf):
-    return store.delete_source(_chunks(spark, sf), "/src13/13.txt").agg(F.count("*").alias("left_over"))
+    chunks = store.notes(_note_rows(spark, sf))
+    first = chunks.agg(F.min("source_path")).first()[0]
+    left, _ = store.delete_note(chunks, first.removeprefix(C.NOTE_PREFIX))
+    return left.groupBy("source_path").agg(F.count("*").alias("rows"))
 
 
 @_query("dedupe_casing", "WITH f AS (SELECT doc_id // 3 AS file_key, CASE doc_id % 3 WHEN 0 THEN '/A/' WHEN 1 THEN '/a/' ELSE '/A/' END || doc_id // 3 AS path, doc_id % 3 = 1 AS canonical FROM documents), g AS (SELECT DISTINCT * FROM f) SELECT file_key, path FROM (SELECT *, row_number() OVER (PARTITION BY file_key ORDER BY canonical DESC, path) AS n FROM g) WHERE n > 1")
@@ -484,6 +513,11 @@ def delete_prefix(spark, sf):
     return store.delete_prefix(_docs(spark, sf), "/src1").select("id")
 
 
+@_query("count_prefix", f"WITH {CTE} SELECT count(*) FILTER (starts_with(source_path, '/src1/')) AS removed FROM c")
+def count_prefix(spark, sf):
+    return store.count_prefix(_docs(spark, sf), "/src1")
+
+
 @_query("delete_index", f"WITH {CTE} SELECT id FROM c WHERE id % 5 <> 0")
 def delete_index(spark, sf):
     docs = _docs(spark, sf).withColumn("key", F.col("id")).withColumn("id", identity.chunk_id(F.col("source_path"), F.lit(0)))
@@ -564,23 +598,43 @@ def vectors_by_hash(spark, sf):
     return found.select("source_path", "content_hash", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
 
 
+#: Embedding calls that the items are dealt to, as an index run deals contents to partitions.
+_CALLS = 4
+
+
 @_query(
     "embed_batches",
-    f"""WITH RECURSIVE s AS (SELECT item_id, least(length(text), {C.EMBED_CHARS}) AS size, row_number() OVER (ORDER BY least(length(text), {C.EMBED_CHARS}), item_id) AS n FROM benchmark),
-r AS (SELECT item_id, n, 0 AS batch, 1 AS held FROM s WHERE n = 1 UNION ALL
-SELECT s.item_id, s.n, CASE WHEN (held + 1) * size * size > {C.BATCH_AREA} OR held + 1 > {C.BATCH_ROWS} THEN batch + 1 ELSE batch END, CASE WHEN (held + 1) * size * size > {C.BATCH_AREA} OR held + 1 > {C.BATCH_ROWS} THEN 1 ELSE held + 1 END FROM r JOIN s ON s.n = r.n + 1)
-SELECT item_id, batch::BIGINT AS batch FROM r""",
+    f"""WITH RECURSIVE s AS (SELECT item_id, item_id % {_CALLS} AS call, least(length(text), {C.EMBED_CHARS}) AS size, row_number() OVER (PARTITION BY item_id % {_CALLS} ORDER BY least(length(text), {C.EMBED_CHARS}), item_id) AS n FROM benchmark),
+r AS (SELECT item_id, call, n, 0 AS batch, 1 AS held FROM s WHERE n = 1 UNION ALL
+SELECT s.item_id, s.call, s.n, CASE WHEN (held + 1) * size * size > {C.BATCH_AREA} OR held + 1 > {C.BATCH_ROWS} THEN batch + 1 ELSE batch END, CASE WHEN (held + 1) * size * size > {C.BATCH_AREA} OR held + 1 > {C.BATCH_ROWS} THEN 1 ELSE held + 1 END FROM r JOIN s ON s.n = r.n + 1 AND s.call = r.call)
+SELECT item_id, call::BIGINT AS call, batch::BIGINT AS batch FROM r""",
 )
 def embed_batches(spark, sf):
-    """Batches of one embedding call; an index run makes them per partition."""
+    """Batches of each embedding call."""
+
+    def number(frame):
+        frame = frame.sort_values(["size", "item_id"])
+        return frame.assign(batch=vectors.batches(frame["size"]).to_numpy())[["item_id", "call", "batch"]]
+
+    items = _table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % _CALLS).alias("call"), F.least(F.length("text"), F.lit(C.EMBED_CHARS)).alias("size"))
+    return items.groupBy("call").applyInPandas(number, "item_id long, call long, batch long")
+
+
+@_query("index_apply", f"WITH {_PLAN}, keep AS (SELECT source_path, chunk_index, h FROM nw WHERE length(source_path) % 2 = 0 UNION ALL SELECT source_path, chunk_index, h FROM od WHERE length(source_path) % 2 = 1) SELECT source_path, chunk_index, h AS content_hash, true AS embedded FROM keep")
+def index_apply(spark, sf):
+    """Tables after a run that scans half of the files: their new chunks, the others' stored ones, and a vector for each."""
+    new, old = _states(spark, sf)
 
-    def number(frames):
-        for f in frames:
-            f = f.sort_values(["size", "item_id"])
-            yield f.assign(batch=vectors.batches(f["size"]).to_numpy())[["item_id", "batch"]]
+    def rows(frame: DataFrame) -> DataFrame:
+        text_ = F.col("content_hash").alias("content")
+        return frame.select(identity.chunk_id(F.col("source_path"), F.col("chunk_index")).alias("id"), text_, "content_hash", "source_path", F.col("source_path").alias("repo"), F.lit("text").alias("language"), "chunk_index", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
 
-    one = _table(spark, sf, "benchmark").select("item_id", F.least(F.length("text"), F.lit(C.EMBED_CHARS)).alias("size")).coalesce(1)
-    return one.mapInPandas(number, "item_id long, batch long")
+    stored = rows(old).withColumn("indexed_at", F.lit("2024-01-01").cast("timestamp"))
+    vecs = indexing.embed(stored.select("content_hash", "content").dropDuplicates(["content_hash"]))
+    vecs = stored.select("id", "content_hash").join(vecs, "content_hash").select("id", "vector")
+    scanned = rows(new).where(F.length("source_path") % 2 == 0)
+    chunks, vecs = indexing.apply(scanned, stored, vecs, "2024-01-02", scanned=scanned.select("source_path"))
+    return chunks.join(vecs.select("id", F.lit(True).alias("_v")), "id", "left").select("source_path", "chunk_index", "content_hash", F.coalesce("_v", F.lit(False)).alias("embedded"))
 
 
 # --- after search ---
@@ -615,19 +669,6 @@ _PACKED = 50
 
 @_query(
     "context_pack",
-    rf"""WITH {CTE}, {_RANGES}, s AS (SELECT *, row_number() OVER w AS n, lag(source_path) OVER w AS above FROM g WHERE id < 200 WINDOW w AS (ORDER BY source_path, start_line, end_line)),
-b AS (SELECT *, CASE WHEN above = source_path THEN '' ELSE '# ' || source_path || '  (' || language || ')' || chr(10) END || '## lines ' || start_line || '-' || end_line || chr(10) || '```' || language || chr(10) || content || chr(10) || '```' AS block FROM s),
-k AS (SELECT *, ceil(len(list_filter(regexp_split_to_array(block, '\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT AS cost FROM b),
-u AS (SELECT *, sum(cost) OVER (ORDER BY n)::BIGINT AS used FROM k)
-SELECT n::INT AS position, source_path, start_line, end_line, cost, used, sha256(block) AS block_hash FROM u WHERE used <= 20000 OR n = 1""",
-)
-def context_pack(spark, sf):
-    packed = results.pack_context(_result_rows(spark, sf).where("id < 200"), 20000)
-    return packed.select("position", "source_path", "start_line", "end_line", "cost", "used", F.sha2("block", 256).alias("block_hash"))
-
-
-@_query(
-    "context_pack_top",
     rf"""WITH {CTE}, {_RANGES}, l AS (SELECT source_path, list({{'r': rank::BIGINT * 100000 + id, 'a': start_line, 'b': end_line, 'id': id}} ORDER BY rank::BIGINT * 100000 + id) AS x FROM g GROUP BY 1),
 o AS (SELECT list_reduce(list_transform(x, lambda e: [e]), lambda got, e: CASE WHEN len(list_filter(got, lambda q: e[1].a <= q.b AND q.a <= e[1].b)) > 0 THEN got ELSE list_concat(got, e) END) AS y FROM l),
 t AS (SELECT g.* FROM g JOIN (SELECT unnest(list_transform(y, lambda e: e.id)) AS id FROM o) USING (id) ORDER BY rank::BIGINT * 100000 + id LIMIT {_PACKED}),
@@ -637,8 +678,8 @@ k AS (SELECT *, ceil(len(list_filter(regexp_split_to_array(block, '\s+'), lambda
 u AS (SELECT *, sum(cost) OVER (ORDER BY n)::BIGINT AS used FROM k)
 SELECT n::INT AS position, source_path, start_line, end_line, cost, used, sha256(block) AS block_hash FROM u WHERE used <= 20000 OR n = 1""",
 )
-def context_pack_top(spark, sf):
-    """The best results of all rows after overlap removal, packed; ``context_pack`` packs an id range, as its SQL has it."""
+def context_pack(spark, sf):
+    """The best results of all rows after overlap removal, packed."""
     best = results.dedup_overlap(_result_rows(spark, sf)).orderBy("rank").limit(_PACKED)
     packed = results.pack_context(best, 20000)
     return packed.select("position", "source_path", "start_line", "end_line", "cost", "used", F.sha2("block", 256).alias("block_hash"))
@@ -654,9 +695,9 @@ def list_repos(spark, sf):
     return reports.list_repos(_chunks(spark, sf)).select("repo", "chunks", F.array_join("languages", ",").alias("languages"), F.unix_timestamp("last_indexed").alias("last_indexed"))
 
 
-@_query("stats_breakdown", f"WITH {CHUNK_CTE} SELECT repo, language, count(*) AS chunks FROM ch WHERE {_OURS} GROUP BY 1, 2")
+@_query("stats_breakdown", f"WITH {CHUNK_CTE} SELECT repo, language, count(*) AS chunks, max(noted) AS last_indexed FROM ch WHERE {_OURS} GROUP BY 1, 2")
 def stats_breakdown(spark, sf):
-    return reports.stats(_chunks(spark, sf))
+    return reports.stats(_chunks(spark, sf)).withColumn("last_indexed", F.unix_timestamp("last_indexed"))
 
 
 @_query("count_chunks", f"WITH {CHUNK_CTE} SELECT count(*) AS chunks FROM ch WHERE {_OURS}")
@@ -726,6 +767,16 @@ def watch_debounce(spark, sf):
     return found.select("root", F.date_format("burst_start", "yyyy-MM-dd HH:mm:ss").alias("burst_start"), "path", "event_type")
 
 
+_MOVED = f"{_EVENTS}, mo AS (SELECT seq, ts, root, path, CASE event_type WHEN 'moved' THEN 'deleted' ELSE event_type END AS event_type FROM ev UNION ALL SELECT seq, ts, root, dest_path, 'created' FROM ev WHERE event_type = 'moved'), fi AS (SELECT * FROM mo WHERE regexp_matches(path, '\\.(py|md|TS)$'))"
+
+
+@_query("watch_live", _BURSTS.replace(_EVENTS, _MOVED).replace("FROM ev)", "FROM fi)").join(("WITH ", " SELECT root, strftime(ts, '%Y-%m-%d %H:%M:%S') AS burst_start, path, event_type FROM la JOIN st USING (root, k)")))
+def watch_live(spark, sf):
+    """What the stream makes of events: moves expanded, paths filtered, bursts debounced."""
+    found = watch.debounce(watch.watched(watch.expand_moves(_events(spark, sf))), "2 minutes")
+    return found.select("root", F.date_format("burst_start", "yyyy-MM-dd HH:mm:ss").alias("burst_start"), "path", "event_type")
+
+
 @_query("watch_apply", f"WITH {CTE} SELECT id, CASE WHEN id % 5 = 1 THEN 'fresh' ELSE language END AS language FROM c WHERE id % 5 <> 0")
 def watch_apply(spark, sf):
     docs = _docs(spark, sf)

@@ -88,7 +88,7 @@ def list_files(spark: SparkSession, roots: str | list[str], skip: bool = True) -
         top = canonical(os.path.realpath(local)).rstrip("/") or "/"
         single = os.path.isfile(top)
         rows += [(p, os.path.getsize(p), top, single) for p in ([top] if single else walk(top))]
-    found = spark.createDataFrame(rows, "path string, length long, root string, single boolean").where(F.col("length") <= C.MAX_FILE_BYTES)
+    found = spark.createDataFrame(rows, "path string, length long, root string, single boolean").where(files.small(F.col("length")))
     if skip:
         relative = F.substring("path", F.length("root") + 2, F.length("path"))
         found = found.where(F.col("single") | (~files.pruned(relative) & ~files.skipped(relative)))
