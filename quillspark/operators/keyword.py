@@ -73,8 +73,20 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "len", "tf", "positions"])
 
 
+#: Inputs up to so many bytes are dealt anew where they come in fewer files than there are cores.
+SMALL_INPUT = 1 << 30
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """A small input in one or a few files would run in as many tasks; larger ones stay as they are read."""
+    plan, cores = rows._jdf.queryExecution().optimizedPlan(), rows.sparkSession.sparkContext.defaultParallelism
+    if int(str(plan.stats().sizeInBytes())) > SMALL_INPUT or not 0 < len(rows._jdf.inputFiles()) < cores:
+        return rows
+    return rows.repartition(cores)
+
+
 def _split(chunks: DataFrame) -> DataFrame:
-    return chunks.select("id", text.pieces(F.col("content")).alias("t"))
+    return _spread(chunks.select("id", "content")).select("id", text.pieces(F.col("content")).alias("t"))
 
 
 def _id_type(chunks: DataFrame) -> str:
