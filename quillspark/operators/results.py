@@ -67,3 +67,24 @@ def told(held, embedder, query: str, top_k: int = 8, repo: str | None = None, mo
     if not found:
         return "No relevant results found."
     return "\n".join(f"### {r.source_path} (lines {r.start_line}-{r.end_line})\n```{r.language}\n{r.content}\n```\n" for r in found)
+
+
+def short_path(path: Column, home: str) -> Column:
+    """A path below the home directory with ``~`` in its place."""
+    return F.when(path.startswith(home), F.concat(F.lit("~"), F.substring(path, F.lit(len(home) + 1), F.length(path)))).otherwise(path)
+
+
+def bar(done: int, total: int, width: int = 32) -> str:
+    """A progress bar in plain characters."""
+    share = done / total if total else 0.0
+    full = int(width * share)
+    return f"[{'#' * full}{'.' * (width - full)}] {done}/{total} ({share * 100:3.0f}%)"
+
+
+def displayed(found: DataFrame, ascending: bool = False) -> DataFrame:
+    """(place, title, content) of search results with the best one last, right above a prompt."""
+    order = (F.col("score").asc() if ascending else F.col("score").desc(), "id")
+    label = F.when(F.col("language") == C.NOTE_LANGUAGE, F.lit("memory")).otherwise(F.concat("source_path", F.lit("  lines "), "start_line", F.lit("-"), "end_line"))
+    rows = found.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # the results of one search
+    title = F.concat(F.lit("#"), F.col("place"), F.lit("  "), label, F.lit("  score="), F.format_string("%.4f", F.col("score").cast("double")))
+    return rows.select("place", title.alias("title"), "content").orderBy(F.desc("place"))

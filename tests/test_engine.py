@@ -219,6 +219,44 @@ def test_directory_to_search(spark, tmp_path):
     assert [r.position for r in packed] == [1, 2, 3]
 
 
+def test_service(spark, tmp_path):
+    import json
+    import threading
+    import urllib.request
+
+    from quillspark import service
+
+    root = tmp_path / "src"
+    root.mkdir()
+    _project(root)
+    assert service.Service().answer("POST", "/search", {"query": "x"})[0] == 503
+    assert service.Service().answer("GET", "/status")[1]["status"] == "not_initialised"
+    own = service.Service(_store(spark, tmp_path / "index"), vectors.HashEmbedder(), home=str(tmp_path))
+    assert own.answer("POST", "/index", {"path": str(tmp_path / "none")})[0] == 404
+    assert own.answer("POST", "/index", {"path": "/"})[0] == 400 and own.answer("GET", "/other")[0] == 404
+    assert own.answer("POST", "/search", {"query": "x", "mode": "other"})[0] == 422
+    assert own.answer("POST", "/index", {"path": str(root)}) == (200, {"indexed": 4, "path": str(root)})
+    assert own.answer("POST", "/v1/embeddings", {"input": "a b"})[1]["data"][0]["embedding"] == vectors.hash_embed("a b")
+    server = service.serve(own, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_address[1]}"
+        asked = urllib.request.Request(f"{at}/search", json.dumps({"query": "expires", "top_k": 1}).encode())
+        found = json.load(urllib.request.urlopen(asked, timeout=60))["results"]
+        assert len(found) == 1 and found[0]["source_path"].endswith("__init__.py")
+        status = json.load(urllib.request.urlopen(f"{at}/status", timeout=60))
+        assert status["chunks"] == 4 and {r["repo"] for r in status["repos"]} == {str(root), str(root / "p")}
+    finally:
+        server.shutdown()
+
+
+def test_display(spark):
+    rows = spark.createDataFrame([("1", "x", "/home/u/a.py", "r", "python", 1, 2, 0.5), ("2", "y", "/n", "r", "note", 1, 1, 0.75)], "id string, content string, source_path string, repo string, language string, start_line int, end_line int, score double")
+    assert [(r.place, r.title) for r in results.displayed(rows).collect()] == [(2, "#2  /home/u/a.py  lines 1-2  score=0.5000"), (1, "#1  memory  score=0.7500")]
+    assert [r.p for r in rows.select(results.short_path(F.col("source_path"), "/home/u").alias("p")).collect()] == ["~/a.py", "/n"]
+    assert results.bar(1, 4, 8) == "[##......] 1/4 ( 25%)" and results.bar(0, 0, 4) == "[....] 0/0 (  0%)"
+
+
 def test_rebuild_embeds_anew(spark, tmp_path):
     root = tmp_path / "src"
     root.mkdir()
