@@ -7,10 +7,10 @@ of one of 26 bands are candidates. Lines at a similarity of 0.8 share no band wi
 probability of 0.2 %, those at 0.85 of 0.01 %, and lines at 0.1, as any two of one language
 are, share one in 40,000 pairs, so that few candidates come from unlike lines.
 
-Candidate pairs are verified by the exact Jaccard similarity of both sets: every member of a
-bucket with its first line, then whatever pairs of members stay in different components and
-could be similar by what each shares with that first line. Union-find keeps one line of each
-component, the first.
+Candidates are verified by the exact Jaccard similarity of both sets: every member of a
+bucket with its first line, then all members of the buckets that hold several components
+still, whose intersections come from products of incidence matrices, so that pairs of a group
+of copies never become rows. Union-find keeps one line of each component, the first.
 
 Splitting, folding, joins and components are DataFrame operations. Signatures and
 verification run on Arrow batches: hashing every shingle with Spark's expressions takes
@@ -41,6 +41,8 @@ SHINGLE, THRESHOLD_PERCENT = 5, 80
 ROWS, WIDE, SLOPES = 6, 13, 2
 BANDS = WIDE * SLOPES
 _SLICE = 1 << 17  # bytes of lines worked on at a time
+#: Lines of a bucket that meet all others at a time, and shingles of them that a matrix has columns for.
+_MEMBERS, _WIDTH = 1024, 4096
 #: Lines of a block, whose numbers fit 16 bits; bytes of band keys that a task sorts at a time.
 _BLOCK, _PART = 1 << 16, 8 << 20
 _U = np.uint64
@@ -232,25 +234,73 @@ def _links(compared: DataFrame, percent: int) -> DataFrame:
     return compared.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def _apart(members: DataFrame, compared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members in different components that may be similar, each once."""
-    known = compared.select(F.col("a").alias("id"), F.col("b").alias("centre"), "both", F.col("n_a").alias("n"))
-    known = known.union(compared.select(F.col("b").alias("id"), F.col("b").alias("centre"), F.col("n_b").alias("both"), F.col("n_b").alias("n")).distinct())
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "centre", "id", F.coalesce("label", "id").alias("label"))
+def _crossed(batches, percent: int):
+    """Links (a, b) between members of a group in different components, from rows sorted by group.
+
+    Intersections of all pairs come from products of the group's incidence matrix, a range of
+    shingles at a time; no pair becomes a row unless it is a link.
+    """
+
+    def settled(rows: list):
+        _, left, right, ids, labels, few, block, lines = (list(c) for c in zip(*rows, strict=True))
+        h, off = shingles(*raw(pa.array(lines, pa.string())))
+        order = np.argsort(h)
+        rank = np.empty(len(h), _U)
+        rank[order] = np.cumsum(np.concatenate(([0], h[order][1:] != h[order][:-1]))).astype(_U)
+        held = np.unique((rank << _U(32)) | np.repeat(np.arange(len(ids)).astype(_U), np.diff(off)))
+        rank, member = (held >> _U(32)).astype(np.int64), (held & _U(0xFFFFFFFF)).astype(np.int64)
+        size = np.bincount(member, minlength=len(ids))
+        shared = np.bincount(rank)[rank] > 1
+        rank, member = rank[shared], member[shared]
+        column = np.cumsum(np.concatenate(([0], rank[1:] != rank[:-1]))) if len(rank) else rank
+        few = np.flatnonzero(few)
+        both = np.zeros((len(few), len(ids)), np.float32)
+        cuts = np.searchsorted(column, np.arange(0, column[-1] + 1 + _WIDTH, _WIDTH)) if len(column) else []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            part = np.zeros((len(ids), _WIDTH), np.float32)
+            part[member[lo:hi], column[lo:hi] % _WIDTH] = 1
+            both += part[few] @ part.T
+        labels, block, ids = np.array(labels), np.array(block), np.array(ids)
+        fine = 100 * both >= percent * (size[few][:, None] + size[None, :] - both)
+        fine &= labels[few][:, None] != labels[None, :]
+        if left[0] != right[0]:  # pairs inside a block meet in the block's own group
+            fine &= block[few][:, None] != block[None, :]
+        x, y = np.nonzero(fine)
+        return pa.RecordBatch.from_arrays([pa.array(ids[few[x]], pa.int64()), pa.array(ids[y], pa.int64())], names=["a", "b"])
+
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "left", "right", "id", "label", "few", "block", "line")), strict=True):
+            if row[:3] != now and rows:
+                yield settled(rows)
+                rows = []
+            now = row[:3]
+            rows.append(row)
+    if rows:
+        yield settled(rows)
+
+
+def _apart(members: DataFrame, parts: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that the first ones have left in different components.
+
+    The members of such a bucket meet in groups of two of its blocks; a block has about
+    ``_MEMBERS`` lines, so no bucket is too large for a task.
+    """
+    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")).distinct()
     counted = placed.groupBy("key", "label").agg(F.count("*").alias("m"))
-    main = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
+    main = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels"), F.sum("m").alias("m")).where("labels > 1").select("key", "main", "m")
     main = materialise(main, "main")  # a join of its own, so that a key with many members can be split
-    apart = materialise(placed.join(main, "key").join(known, ["id", "centre"]), "apart")
-    few = apart.where("label <> main").select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "centre", "label", "both", "n")))
-    many = apart.select("key", "main", *(F.col(c).alias(f"{c}_b") for c in ("id", "centre", "label", "both", "n")))
-    rule = (few["key"] == many["key"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("id_a") > F.col("id_b")))
-    # pairs with the centre are compared already
-    rule &= (F.col("id_a") != F.col("centre_b")) & (F.col("id_b") != F.col("centre_a"))
-    # inside one centre's set two members share no more than either shares with it, outside no more than the smaller rest
-    inside = F.least("both_a", "both_b") + F.least(F.col("n_a") - F.col("both_a"), F.col("n_b") - F.col("both_b"))
-    most = F.when(F.col("centre_a") == F.col("centre_b"), inside).otherwise(F.least("n_a", "n_b"))
-    rule &= 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
-    return few.join(many, rule).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    apart = materialise(placed.join(main, "key").select("key", "id", "label", (F.col("label") != F.col("main")).alias("few"), F.ceil(F.col("m") / _MEMBERS).cast("int").alias("blocks")), "apart")
+    texts = materialise(unique.join(apart.select("id").distinct(), "id", "left_semi").select("id", "line"), "texts")
+    rows = apart.join(texts, "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "id", "label", "few", "block", "line")
+    rows = rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    out = materialise(map_arrow(rows, partial(_crossed, percent=percent), "a long, b long").distinct(), "links")
+    drop_table(apart)
+    drop_table(texts)
+    release(unique.sparkSession)
+    return out
 
 
 def lines_of(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -271,7 +321,7 @@ def lines_of(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     compared = _verified(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), unique)
     links = materialise(_links(compared, percent), "links")
     parts = components(links)
-    more = materialise(_links(_verified(_apart(members, compared, parts, percent), unique), percent), "links")
+    more = _apart(members, parts, unique, percent)
     if not more.isEmpty():
         parts = components(links.union(more))
     drop_table(members)
