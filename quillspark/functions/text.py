@@ -143,6 +143,10 @@ class Porter:
         return w
 
 
-@F.pandas_udf(T.StringType())
-def stem(words: pd.Series) -> pd.Series:
+def _stemmed(words: pd.Series) -> pd.Series:
     return words.map(Porter.stem)
+
+
+def stem(words: Column) -> Column:
+    """Stems of words. The UDF is built by call: once used it holds a JVM handle, which a module pickled by value can't carry."""
+    return F.pandas_udf(_stemmed, T.StringType())(words)

@@ -95,8 +95,7 @@ def _declared(rows: Column, marks: Column) -> Column:
     return _let(made, lambda m: F.when(F.size(m) > 0, m).otherwise(_windows(rows, F.lit(1))))
 
 
-@F.pandas_udf(T.ArrayType(RAW_CHUNK))
-def _syntax_tree(texts: pd.Series) -> pd.Series:
+def _syntax_trees(texts: pd.Series) -> pd.Series:
     """Functions, classes and methods of Python sources; null where a text has none or doesn't parse."""
     kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
@@ -122,7 +121,7 @@ def _syntax_tree(texts: pd.Series) -> pd.Series:
 
 
 def syntax_tree(text: Column, rows: Column) -> Column:
-    return F.coalesce(_syntax_tree(text), windows(rows))
+    return F.coalesce(F.pandas_udf(_syntax_trees, T.ArrayType(RAW_CHUNK))(text), windows(rows))
 
 
 def split_oversized(chunks: Column) -> Column:

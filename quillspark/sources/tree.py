@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,12 +15,15 @@ from quillspark import constants as C
 from quillspark.functions import files
 
 
-@F.pandas_udf(T.StringType())
-def decode(content: pd.Series) -> pd.Series:
-    """UTF-8, without the bytes that aren't."""
+def _decoded(content: pd.Series) -> pd.Series:
     return content.map(lambda b: bytes(b).decode("utf-8", "ignore") if b is not None else None)
 
 
+def decode(content: Column) -> Column:
+    """UTF-8, without the bytes that aren't."""
+    return F.pandas_udf(_decoded, T.StringType())(content)
+
+
 def walk(root: str) -> Iterator[str]:
     """Paths of files below a local root; no links, no pruned or hidden directories."""
     for top, dirs, names in os.walk(root):

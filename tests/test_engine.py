@@ -391,3 +391,14 @@ def test_moves_and_notes(spark):
     assert store.delete_source(made, note).count() == 1
     gone, found = store.delete_note(made, note)
     assert gone.count() == 1 and found.first().found
+
+
+def test_functions_stay_picklable_after_use(spark):
+    """Modules travel by value, so nothing in them may hold a JVM handle once a query has run."""
+    from pyspark import cloudpickle
+
+    one = spark.createDataFrame([("running", b"x", "def f():\n    pass\n")], "w string, b binary, p string")
+    assert [tuple(r) for r in one.select(text.stem("w"), tree.decode("b")).collect()] == [("run", "x")]
+    one.select(chunking.syntax_tree(F.col("p"), F.split("p", "\n"))).collect()
+    for function in (keyword._counted, keyword._postings, tree._contents, chunking._syntax_trees):
+        cloudpickle.dumps(function)
