@@ -88,8 +88,9 @@ class _Model:
             ends = np.cumsum(freq, axis=1, dtype=np.int32)
             self.freq, self.cum = freq.ravel(), (ends - freq).ravel()
             if decoding:  # class of each unit; what rounding leaves over is never coded
-                freq[:, -1] += (1 << _UNITS) - ends[:, -1]
-                self.unit = np.repeat(np.tile(np.arange(_CLASSES, dtype=np.uint8), len(self.lane)), freq.ravel())
+                held = freq.copy()  # the widths that are coded stay as they are
+                held[:, -1] += (1 << _UNITS) - ends[:, -1]
+                self.unit = np.repeat(np.tile(np.arange(_CLASSES, dtype=np.uint8), len(self.lane)), held.ravel())
                 self.unit_base = self.lane << _UNITS
         self.step += 1
         hash1 = (self.prev1 + 1) * 0x9E3779B1

@@ -365,6 +365,14 @@ def test_coder_round_trip(n, vocab):
             token_coder.decode(bytes(broken))
 
 
+@pytest.mark.parametrize("distinct", [200, 256, 300, 900, 20_000])
+def test_coder_round_trip_without_frequent_ids(distinct):
+    """Ids of about equal frequency fill every class of order 0, the last one too."""
+    rng = np.random.default_rng(distinct)
+    for ids in (np.tile(rng.integers(0, 49408, distinct), 60)[:20_000], rng.integers(0, distinct, 20_000)):
+        assert (token_coder.decode(token_coder.encode(ids, 49408)) == ids).all()
+
+
 def test_coder_learns():
     ids = np.tile(np.random.default_rng(0).integers(0, 49408, 300), 40)
     assert len(token_coder.encode(ids, 49408)) < len(ids)
