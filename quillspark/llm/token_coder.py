@@ -27,6 +27,8 @@ _TOTAL = 22  # bits of the mixture's total
 _MOST = (1 << _TOTAL) - (1 << (_TOTAL - 3))  # what predictions may take of it at most
 _CLASSES, _UNITS = 256, 12  # classes of order 0, bits of their total
 _INSIDE = 16  # bits of the total inside a class
+_SHARE = (1 << 17) - 1  # mask of a share or its begin
+_NEAR = 8  # bits of a stretch of shares that a search starts from
 _SLOTS = 11  # bits of a context table
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
 _REFRESH = 128  # steps between updates of the order-0 table
@@ -54,9 +56,21 @@ class _Prior:
         ends = np.cumsum(share)
         inside = ends - share - (ends - share)[begin][kind] if len(held) else share
         self.classes = max(len(begin), 1)
-        self.kind, self.inside, self.share = (np.zeros(len(levels), np.int64) for _ in range(3))
-        self.kind[held], self.inside[held], self.share[held] = kind, inside, share
+        self.packed = np.zeros(len(levels), np.int64)  # an id's class, where its share begins, and the share
+        self.packed[held] = (kind << 34) | (inside << 17) | share
         self.sorted, self.at = held, (kind << _INSIDE) + inside  # ids in coding order and where their shares begin
+        # the last id that begins at or before each stretch of shares, from where a search goes on
+        self.near = np.searchsorted(self.at, np.arange((_CLASSES << (_INSIDE - _NEAR)) + 1) << _NEAR, "right") - 1
+
+    def find(self, point: np.ndarray) -> np.ndarray:
+        """The index in coding order of the id whose share holds each point."""
+        stretch = point >> _NEAR
+        low, high = self.near.take(stretch), self.near.take(stretch + 1)
+        while (low < high).any():
+            middle = (low + high + 1) >> 1
+            fits = self.at.take(middle) <= point
+            low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
+        return low
 
 
 def _levels(ids: np.ndarray, vocab: int) -> np.ndarray:
@@ -64,6 +78,15 @@ def _levels(ids: np.ndarray, vocab: int) -> np.ndarray:
     return np.where(n > 0, np.round(2 * np.log2(np.maximum(n, 1))) + 1, 0).astype(np.uint8)
 
 
+#: Fields of 20 bits hold a state's trust; what a token adds to order 0, 1 or 2, by ``2 * hit2 + hit1``.
+_FIELD, _FIELDS = (1 << 20) - 1, (0, 20, 40)
+_TRUSTED = np.array([32 << 40, 32 << 20, 32, 32], np.int64)
+_FULL = 4000  # of the fields' sum, beyond which they are halved
+_UNIT = _MOST // np.maximum(np.arange(_FULL + 33), 1)
+#: The confidence that follows, by ``8 * hit + confidence``.
+_NEXT = np.array([c >> 1 for c in range(8)] + [min(c + 1, 7) for c in range(8)], np.int64)
+
+
 class _Model:
     """Predictions of a number of lanes."""
 
@@ -72,9 +95,9 @@ class _Model:
         self.table_base = self.lane << _SLOTS
         self.state_base = self.lane << 6
         self.class_base = self.lane * _CLASSES
-        self.seen1 = np.full(lanes << _SLOTS, -1, np.int64)  # check, id and confidence
-        self.seen2 = np.full(lanes << _SLOTS, -1, np.int64)
-        self.trust = np.tile(np.array([2, 1, 6], np.int32), (lanes << 6, 1))
+        self.seen1 = np.zeros(lanes << _SLOTS, np.uint32)  # check of 8 bits, a set bit, id of 20 and confidence of 3
+        self.seen2 = np.zeros(lanes << _SLOTS, np.uint32)
+        self.trust = np.full(lanes << 6, 2 | 1 << 20 | 6 << 40, np.int64)
         self.counts = np.zeros((lanes, _CLASSES), np.int32)
         self.counts[:, : prior.classes] = _START
         self.prev1 = np.zeros(lanes, np.int64)
@@ -97,29 +120,33 @@ class _Model:
         hash2 = ((hash1 ^ (self.prev2 + 7)) * 0x85EBCA6B) & 0xFFFFFFFFFFFF
         self.at1 = self.table_base + ((hash1 >> 12) & ((1 << _SLOTS) - 1))
         self.at2 = self.table_base + ((hash2 >> 20) & ((1 << _SLOTS) - 1))
-        self.check1, self.check2 = (hash1 >> 24) & 0xFF, (hash2 >> 32) & 0xFF
-        e1, e2 = self.seen1[self.at1], self.seen2[self.at2]
-        known1, known2 = (e1 >> 24) == self.check1, (e2 >> 24) == self.check2
+        self.check1, self.check2 = (hash1 >> 23) & 0x1FE | 1, (hash2 >> 31) & 0x1FE | 1
+        e1, e2 = self.seen1.take(self.at1).astype(np.int64), self.seen2.take(self.at2).astype(np.int64)
+        known1, known2 = (e1 >> 23) == self.check1, (e2 >> 23) == self.check2
         self.id1, self.id2 = np.where(known1, (e1 >> 3) & 0xFFFFF, -1), np.where(known2, (e2 >> 3) & 0xFFFFF, -1)
-        self.conf1, self.conf2 = np.where(known1, e1 & 7, 0), np.where(known2, e2 & 7, 0)
+        self.conf1, self.conf2 = (e1 & 7) * known1, (e2 & 7) * known2
         self.state = self.state_base + (self.conf2 << 3) + self.conf1
-        trust = self.trust[self.state].astype(np.int64)
-        unit = _MOST // (trust[:, 0] + trust[:, 1] + trust[:, 2])
-        self.w2 = np.where(known2, trust[:, 0] * unit, 0)
-        self.w1 = np.where(known1 & (self.id1 != self.id2), trust[:, 1] * unit, 0)
+        self.trusted = self.trust.take(self.state)
+        trust2, trust1 = self.trusted & _FIELD, (self.trusted >> 20) & _FIELD
+        self.total = trust2 + trust1 + (self.trusted >> 40)
+        unit = _UNIT.take(self.total)
+        self.w2 = trust2 * unit * known2
+        self.w1 = trust1 * unit * (known1 & (self.id1 != self.id2))
         self.escape = self.w2 + self.w1
         self.unit_size = ((1 << _TOTAL) - self.escape) >> _UNITS
 
     def update(self, ids: np.ndarray, kind: np.ndarray) -> None:
         hit2, hit1 = ids == self.id2, ids == self.id1
-        row = self.trust[self.state]
-        row[self.lane, np.where(hit2, 0, np.where(hit1, 1, 2))] += 32
-        over = row.sum(1) > 4000
-        row[over] = (row[over] >> 1) | 1
-        self.trust[self.state] = row
-        for seen, at, check, hit, conf, old in ((self.seen2, self.at2, self.check2, hit2, self.conf2, self.id2), (self.seen1, self.at1, self.check1, hit1, self.conf1, self.id1)):
-            keep = hit | (conf > 0)
-            seen[at] = (check << 24) | (np.where(keep, old, ids) << 3) | np.where(hit, np.minimum(conf + 1, 7), conf >> 1)
+        told2, told1 = hit2.view(np.uint8), hit1.view(np.uint8)
+        trusted = self.trusted + _TRUSTED.take(2 * told2 + told1)
+        over = np.flatnonzero(self.total > _FULL - 32)
+        if len(over):
+            held = trusted[over]
+            trusted[over] = sum((((held >> f) & _FIELD) >> 1 | 1) << f for f in _FIELDS)
+        self.trust[self.state] = trusted
+        for seen, at, check, told, conf, old in ((self.seen2, self.at2, self.check2, told2, self.conf2, self.id2), (self.seen1, self.at1, self.check1, told1, self.conf1, self.id1)):
+            # a hit's id is the old one
+            seen[at] = (check << 23) | (np.where(conf > 0, old, ids) << 3) | _NEXT.take(8 * told + conf)
         self.counts.reshape(-1)[self.class_base + kind] += _STEP
         self.prev2, self.prev1 = self.prev1, ids
 
@@ -159,19 +186,20 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
             low, span = low[:-1], span[:-1]
         now = columns[t, : len(low)]
         model.predict(False)
-        kind = prior.kind[now]
+        own = prior.packed.take(now)
+        kind = own >> 34
         at = model.class_base + kind
         is2 = now == model.id2
         is1 = ~is2 & (now == model.id1)
         told = is2 | is1
-        begin = np.where(is2, 0, np.where(is1, model.w2, model.escape + model.unit_size * model.cum[at]))
-        width = np.where(is2, model.w2, np.where(is1, model.w1, model.unit_size * model.freq[at]))
+        begin = np.where(is2, 0, np.where(is1, model.w2, model.escape + model.unit_size * model.cum.take(at)))
+        width = np.where(is2, model.w2, np.where(is1, model.w1, model.unit_size * model.freq.take(at)))
         r = span >> _U(_TOTAL)
-        low = low + r * begin.astype(_U)
-        span = r * width.astype(_U)
+        low = low + r * begin.view(_U)
+        span = r * width.view(_U)
         r = span >> _U(_INSIDE)
-        low = np.where(told, low, low + r * prior.inside[now].astype(_U))
-        span = np.where(told, span, r * prior.share[now].astype(_U))
+        low = np.where(told, low, low + r * ((own >> 17) & _SHARE).view(_U))
+        span = np.where(told, span, r * (own & _SHARE).view(_U))
         while True:
             same = (low ^ (low + span)) < _TOP
             due = same | (span < _BOTTOM)
@@ -233,18 +261,19 @@ def decode(payload: bytes) -> np.ndarray:
         is2, is1 = v < model.w2, (v >= model.w2) & (v < model.escape)
         told = is2 | is1
         unit = np.minimum(np.maximum(v - model.escape, 0) // model.unit_size, (1 << _UNITS) - 1)
-        kind = model.unit[model.unit_base + unit].astype(np.int64)
+        kind = model.unit.take(model.unit_base + unit).astype(np.int64)
         at = model.class_base + kind
-        begin = np.where(is2, 0, np.where(is1, model.w2, model.escape + model.unit_size * model.cum[at]))
-        width = np.where(is2, model.w2, np.where(is1, model.w1, model.unit_size * model.freq[at]))
-        low = low + r * begin.astype(_U)
-        span = r * width.astype(_U)
+        begin = np.where(is2, 0, np.where(is1, model.w2, model.escape + model.unit_size * model.cum.take(at)))
+        width = np.where(is2, model.w2, np.where(is1, model.w1, model.unit_size * model.freq.take(at)))
+        low = low + r * begin.view(_U)
+        span = r * width.view(_U)
         r = np.maximum(span >> _U(_INSIDE), _U(1))
         inside = np.minimum((code - low) // r, _U((1 << _INSIDE) - 1)).astype(np.int64)
-        now = prior.sorted[np.searchsorted(prior.at, (kind << _INSIDE) + inside, "right") - 1]
+        now = prior.sorted.take(prior.find((kind << _INSIDE) + inside))
         now = np.where(is2, model.id2, np.where(is1, model.id1, now))
-        low = np.where(told, low, low + r * prior.inside[now].astype(_U))
-        span = np.where(told, span, r * prior.share[now].astype(_U))
+        own = prior.packed.take(now)
+        low = np.where(told, low, low + r * ((own >> 17) & _SHARE).view(_U))
+        span = np.where(told, span, r * (own & _SHARE).view(_U))
         while True:
             same = (low ^ (low + span)) < _TOP
             due = same | (span < _BOTTOM)
@@ -257,7 +286,7 @@ def decode(payload: bytes) -> np.ndarray:
             code[i] = (code[i] << _U(16)) | units[np.minimum(point[i], len(units) - 1)]
             point[i] += 1
         out[t, : len(now)] = now
-        model.update(now, prior.kind[now])
+        model.update(now, own >> 34)
     ids = np.ascontiguousarray(out.T).reshape(-1)[:n]
     flat = ids.astype("<u4")
     for k, crc in enumerate(sums):
