@@ -35,6 +35,8 @@ from quillspark.llm.words import slices, split
 #: Distinct words that a task keeps encoded; beyond it starts anew.
 CACHED_WORDS = 600_000
 _SLICE = 1 << 21  # bytes of text encoded at a time
+#: Words that the library encodes as one text, and the word that parts them there.
+_TOGETHER, _MARK = 4096, b"\x01"
 
 SEGMENTS = "part int, before long, n_tokens long, doc_ids array<long>, counts array<long>, payload binary"
 
@@ -45,7 +47,7 @@ def parts_at_blanks(tokenizer) -> bool:
     Tried on every blank and all pairs of words of different makes; vocabularies that join
     over blanks show on the first of them.
     """
-    words = ["a", "the", "B", "don't", "'s", "x1", "42", "7", "é", "ß", "ñandú", "中文", "😀", ".", ",", "--", "(a)", "a.b", "_x_", "$9", "</w>", "Ġa", "▁a", "\u0301", "\u00a0"]
+    words = ["a", "the", "B", "don't", "'s", "x1", "42", "7", "é", "ß", "ñandú", "中文", "😀", ".", ",", "--", "(a)", "a.b", "_x_", "$9", "</w>", "Ġa", "▁a", "\u0301", "\u00a0", _MARK.decode()]
     pairs = [(a, blank, b) for a in words for b in words for blank in " \t\n\v\f\r"] + [("", " ", w) for w in words] + [(w, "  ", "") for w in words]
     encoded = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     alone = dict(zip(["", *words], encoded(["", *words]), strict=True))
@@ -66,19 +68,30 @@ class _ByWord:
 
     def __init__(self, tokenizer, end_id: int):
         self.tokenizer, self.end = tokenizer, end_id
+        mark = tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
     def _clear(self):
         self.known: dict[bytes, int] = {}
-        self.ids, self.start, self.size, self.held = [], [], [], 0
-        self._add([[self.end]])
-
-    def _add(self, encoded):
-        for ids in encoded:
-            self.start.append(self.held)
-            self.size.append(len(ids))
-            self.held += len(ids)
-        self.ids.append(np.fromiter((i for ids in encoded for i in ids), np.int64))
+        self.ids, self.size, self.start = np.array([self.end]), np.ones(1, np.int64), np.zeros(1, np.int64)
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids and how many each has. Between marks if these alone have the mark's id, else word by word."""
+        if self.mark is not None:
+            text = (b" " + _MARK + b" ").join(words).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(words) - 1:
+                return np.delete(ids, marks), np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return np.fromiter((i for ids in each for i in ids), np.int64), np.array([len(ids) for ids in each], np.int64)
+
+    def _add(self, words: list[bytes]) -> None:
+        parts = [self._encoded(words[k : k + _TOGETHER]) for k in range(0, len(words), _TOGETHER)]
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in parts)])
+        self.size = np.concatenate([self.size, *(size for _, size in parts)])
+        self.start = np.cumsum(self.size) - self.size
 
     @staticmethod
     def _unlike(data, w, first, inverse) -> bool:
@@ -100,20 +113,15 @@ class _ByWord:
             return _ByText(self.tokenizer, self.end)(data, off)
         held = data.tobytes()
         words = [held[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-        slots = list(map(self.known.get, words))
-        fresh = [i for i, s in enumerate(slots) if s is None]
+        fresh = [x for x in words if x not in self.known]
         if fresh:
-            at = len(self.start)
-            self._add([e.ids for e in self.tokenizer.encode_batch_fast([words[i].decode() for i in fresh], add_special_tokens=False)])
-            for j, i in enumerate(fresh):
-                slots[i] = self.known[words[i]] = at + j
-        slot = np.array(slots, np.int64)[inverse] if len(words) else np.zeros(0, np.int64)
+            self.known.update(zip(fresh, range(len(self.size), len(self.size) + len(fresh)), strict=True))
+            self._add(fresh)
+        slot = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[inverse]
         slot = np.insert(slot, w.first[1:], 0)  # the end id follows each document
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-        start, size = np.array(self.start)[slot], np.array(self.size)[slot]
+        size = self.size[slot]
         ends = np.cumsum(size)
-        ids = self.ids[0][np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.ids[np.repeat(self.start[slot] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         last = np.cumsum(w.counts + 1)
         total = np.concatenate(([0], ends[last - 1])) if len(last) else np.zeros(1, np.int64)
         return ids, np.diff(total)
