@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, token_output, warc
+from quillspark.llm import centroids, decontaminate, line_dedup, mixing, near_dedup, pieces, pii, quality_classifier, quality_rules, substring_dedup, token_output, warc
 from quillspark.llm.runtime import read_table
 
 
@@ -21,6 +21,8 @@ def queries() -> dict:
         "op7_rule_ensemble_quality": quality_classifier.query,
         "op8_hyperminhash_dedup": _documents(near_dedup.near_duplicates),
         "op10_temperature_mixing": _documents(mixing.mix),
+        "op11_interval_centroids": centroids.query,
+        "op12_offset_pieces": _documents(pieces.round_trip),
         "op9_debruijn_substring_dedup": _documents(substring_dedup.remove_repeats),
     }
 
@@ -30,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_containment_decontamination": decontaminate.oracle(),
         "op3_quality_rules": quality_rules.oracle(),
         "op10_temperature_mixing": mixing.ORACLE,
+        "op11_interval_centroids": centroids.oracle(),
         "op6_warc_transactions": warc.ORACLE,
         "op9_debruijn_substring_dedup": substring_dedup.ORACLE,
     }
