@@ -314,7 +314,10 @@ class Model:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], content) -> Iterator[pa.RecordBatch]:
-    model = Model(content.value)
+    yield from _encoded(batches, Model(content.value))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, off in slices(batch, size=_SLICE):
             if any(map(_broken, rows.column("text"))):
@@ -339,16 +342,22 @@ def _broken(text: pa.Scalar) -> str | None:
 
 
 def _decode(batches: Iterator[pa.RecordBatch], content) -> Iterator[pa.RecordBatch]:
-    library = Model(content.value).library
+    yield from _decoded(batches, Model(content.value))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = library.decode([x or [] for x in batch.column("ids").to_pylist()], num_threads=1)
+        lists = batch.column("ids")
+        cut, ids = lists.offsets.to_numpy().tolist(), lists.values.to_numpy(zero_copy_only=False)
+        texts = [model.library.decode(ids[a:b]) if b > a else "" for a, b in zip(cut[:-1], cut[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
 
 def _digest(batches: Iterator[pa.RecordBatch], content) -> Iterator[pa.RecordBatch]:
     """What encoding and decoding give for each document, as digests."""
-    for encoded in _encode(batches, content):
-        (decoded,) = _decode(iter([encoded]), content)
+    model = Model(content.value)
+    for encoded in _encoded(batches, model):
+        (decoded,) = _decoded(iter([encoded]), model)
         lists = [encoded.column(k) for k in ("ids", "begins", "ends")]
         cut = lists[0].offsets.to_numpy().tolist()
         ids, begins, ends = (x.flatten().to_numpy() for x in lists)
