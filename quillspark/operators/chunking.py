@@ -134,26 +134,33 @@ def split_oversized(chunks: Column) -> Column:
     return F.flatten(F.transform(chunks, parts))
 
 
-def split(text: Column, language: Column, python: bool = True) -> Column:
-    """Chunks by the splitter of a language, none over the size limit."""
+_HEADED = ("markdown", "rst", "text")
+
+
+def split(text: Column, language: Column, python: bool = True, kinds: set[str] | None = None) -> Column:
+    """Chunks by the splitter of a language, none over the size limit. ``kinds``: the languages there are, if known."""
     rows = lines(text)
-    by = F.when(language.isin("markdown", "rst", "text"), headings(rows))
+    wanted = lambda kind: kinds is None or kind in kinds
+    by = F.when(language.isin(*_HEADED), headings(rows)) if any(map(wanted, _HEADED)) else F.when(F.lit(False), F.expr(_NONE))
     for kind, pattern in C.DECLARATIONS.items():
-        by = by.when(language == kind, declarations(text, rows, pattern))
+        if wanted(kind):
+            by = by.when(language == kind, declarations(text, rows, pattern))
     if python:
         by = by.when(language == "python", syntax_tree(text, rows))
     return F.when(text.rlike(r"(?U)\S"), split_oversized(by.otherwise(windows(rows)))).otherwise(F.expr(_NONE))
 
 
-def chunk(files: DataFrame, python: bool = True) -> DataFrame:
+def chunk(files: DataFrame, python: bool = True, kinds: set[str] | None = None) -> DataFrame:
     """Rows of the index, without time and vector, from files (source_path, repo, language, content).
 
     Python sources take their own branch, so other files never pass through a Python worker.
+    ``kinds`` names the languages there are, if known: the plan is made for these only.
     """
+    python = python and (kinds is None or "python" in kinds)
     keep = files.select("source_path", "repo", "language", "content")
 
     def made(rows: DataFrame, with_python: bool) -> DataFrame:
-        rows = rows.select("source_path", "repo", "language", F.posexplode(split(F.col("content"), F.col("language"), with_python)).alias("chunk_index", "c"))
+        rows = rows.select("source_path", "repo", "language", F.posexplode(split(F.col("content"), F.col("language"), with_python, kinds)).alias("chunk_index", "c"))
         content = F.col("c.content")
         return rows.select(
             identity.chunk_id(F.col("source_path"), F.col("chunk_index")).alias("id"), content.alias("content"), identity.content_hash(content).alias("content_hash"),

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,42 +97,95 @@ def apply(new: DataFrame, chunks: DataFrame, vectors: DataFrame, now, embedder=N
     return chunks.join(gone, "id", "left_anti").unionByName(rows.select(*chunks.columns)), vectors.join(gone, "id", "left_anti").unionByName(new_vectors)
 
 
+#: Keys up to which a lookup names them, so that a scan of the store prunes by them.
+FEW = 1000
+
+
+def among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is among ``keys`` (one column of that name): by their values where they are few, else by a join."""
+    few = keys.select(column).distinct().limit(FEW + 1).collect()
+    return rows.where(F.col(column).isin([r[0] for r in few])) if len(few) <= FEW else rows.join(keys.select(column).distinct(), column, "left_semi")
+
+
+def below(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """The rows of the files named by ``paths`` (path), and of files below them."""
+    few = [r[0] for r in paths.select("path").distinct().limit(FEW // 10 + 1).collect()]
+    if len(few) <= FEW // 10:
+        return rows.where(reduce(lambda a, b: a | b, (store.under(F.col("source_path"), p) for p in few), F.lit(False)))
+    above = rows.select("id", F.explode(F.concat(F.array("source_path"), files.ancestors(F.col("source_path")))).alias("path"))
+    return rows.join(above.join(paths.select("path").distinct(), "path", "left_semi").select("id").distinct(), "id", "left_semi")
+
+
 def remove(paths: DataFrame, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The tables without the files of ``paths`` (path) and whatever lies below a path."""
-    above = chunks.select("id", F.explode(F.concat(F.array("source_path"), files.ancestors(F.col("source_path")))).alias("path"))
-    return tuple(store.cascade(above.join(paths.select("path").distinct(), "path", "left_semi").select("id").distinct(), chunks, vectors))
+    return tuple(store.cascade(below(chunks, paths).select("id"), chunks, vectors))
+
+
+ACTIONS = ("embed", "reuse", "unchanged", "delete")
 
 
 def index_files(held: store.SnapshotStore, found: DataFrame, scanned: DataFrame, now, embedder=None, removed: DataFrame | None = None) -> dict:
-    """Splits files (source_path, repo, language, content), merges them into the store, commits, and returns the run's statistics.
+    """Splits files (source_path, repo, language, content), publishes what changed, and returns the run's statistics.
 
-    ``removed`` (path) names files and directories whose rows go. A run without changes commits nothing.
+    ``removed`` (path) names files and directories whose rows go. The new chunks, the plan
+    and the contents to embed are each written once and read back by the steps after them;
+    the statistics are counted as they are written. What is written to the store is in
+    proportion to what changed. A run without changes publishes nothing.
     """
-    chunks, vectors = held.read()
+    base = held.snapshot()
+    count = F.count(F.lit(1)).alias("n")
+    paths, listed = held.staged(scanned.select("source_path").distinct(), "scanned")
+    if not listed["n"] and removed is None:
+        held.unstage(paths)
+        return dict.fromkeys(("embedded", "reused", "unchanged", "deleted", "removed"), 0)
+    kinds = {r[0] for r in paths.select(files.language(F.col("source_path"))).distinct().collect()}  # of a fixed table
+    new, _ = held.staged(chunking.chunk(found, kinds=kinds), "new")
+    chunks, lost = base.chunks, None
     if removed is not None:
-        kept = remove(removed, chunks, vectors)
-    new = chunking.chunk(found).persist(StorageLevel.DISK_ONLY)  # split once; recomputed if an executor is lost
-    try:
-        before = chunks if removed is None else kept[0]
-        planned = plan(new, before.join(scanned.select("source_path").distinct(), "source_path", "left_semi"))
-        told = run_stats(planned, before).first().asDict()
-        told["removed"] = 0 if removed is None else chunks.count() - kept[0].count()
-        if told["embedded"] or told["reused"] or told["deleted"] or told["removed"] or not held.manifest():
-            held.commit(*apply(new, *((chunks, vectors) if removed is None else kept), now, embedder, scanned))
-    finally:
-        new.unpersist()
-    return told
-
-
-def index_path(held: store.SnapshotStore, path: str, now, embedder=None) -> dict:
+        lost, gone_files = held.staged(below(chunks, removed).select("id", "content"), "removed")
+        chunks = chunks.join(lost.select("id"), "id", "left_anti")
+    old = among(chunks, "source_path", paths)
+    planned, told = held.staged(plan(new, old), "plan", *(F.count(F.when(F.col("action") == a, 1)).alias(a) for a in ACTIONS))
+    written = planned.where("action in ('reuse', 'embed')").select("source_path", "chunk_index", "action")
+    rows = new.join(written, ["source_path", "chunk_index"]).withColumn("indexed_at", F.lit(now).cast("timestamp"))
+    known = among(chunks.select("id", "content_hash"), "content_hash", rows.select("content_hash"))
+    contents = rows.where("action = 'embed'").join(known.select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.min("content").alias("content"))
+    contents, to_embed = held.staged(contents, "contents", count)
+    stats = {"embedded": to_embed["n"], "reused": told["reuse"] + told["embed"] - to_embed["n"], "unchanged": told["unchanged"], "deleted": told["delete"], "removed": 0 if lost is None else gone_files["n"]}
+    staged = [t for t in (new, paths, planned, contents, lost) if t is not None]
+    if stats["embedded"] or stats["reused"] or stats["deleted"] or stats["removed"] or not base.number:
+        one = known.groupBy("content_hash").agg(F.max("id").alias("id"))
+        stored = among(base.vectors, "id", one).join(one, "id").select("content_hash", "vector")
+        vectors = rows.select("id", "content_hash").join(stored.unionByName(embed(contents, embedder)), "content_hash").select("id", "vector")
+        gone = old.join(planned.where("action <> 'unchanged'"), ["source_path", "chunk_index"], "left_semi").select("id", "content")
+        if lost is not None:
+            gone = gone.unionByName(lost)
+        held.change(rows, vectors, gone, base.number, 1 + listed["n"] // 100 if listed["n"] <= FEW else None)
+    held.unstage(*staged)
+    return stats
+
+
+def index_path(held: store.SnapshotStore, path: str, now, embedder=None, batches: int = 1, tag: str | None = None) -> dict:
     """Indexes a directory tree or one file, from the scan to the commit; returns the run's statistics.
 
-    Nothing is visible until the commit, so a run that is cancelled (``cancelJobGroup``)
-    leaves the index as it was.
+    ``batches`` deals the files out by the hash of their path; each batch is published by
+    itself, so a run that is stopped leaves whole batches and the next one embeds only the
+    rest. ``tag`` marks the run's jobs: ``sparkContext.cancelJobsWithTag(tag)`` stops it from
+    any thread, and what wasn't published isn't seen.
     """
-    listed = tree.list_files(held.spark, path)
-    found = tree.read_files(listed, tree.find_roots(held.spark, path))
-    return index_files(held, found, listed.select(F.col("path").alias("source_path")), now, embedder)
+    spark, total = held.spark, {}
+    if tag is not None:
+        spark.sparkContext.addJobTag(tag)
+    try:
+        listed = tree.scan(spark, path)
+        for k in range(batches):
+            own = listed if batches == 1 else listed.where(F.pmod(F.xxhash64("path"), F.lit(batches)) == k)
+            told = index_files(held, tree.read_files(own), own.select(F.col("path").alias("source_path")), now, embedder)
+            total = {c: total.get(c, 0) + n for c, n in told.items()}
+        return total
+    finally:
+        if tag is not None:
+            spark.sparkContext.removeJobTag(tag)
 
 
 def rebuild(held: store.SnapshotStore, now, embedder=None) -> dict:
@@ -142,18 +194,16 @@ def rebuild(held: store.SnapshotStore, now, embedder=None) -> dict:
     Repositories that are gone from the file system are left as they are, notes too. All
     changes are one commit, under the store's model.
     """
-    chunks, vectors = held._tables(held.manifest())  # whatever model made them
-    repos = [r["repo"] for r in reports.list_repos(chunks).select("repo").collect()]
+    base = held.snapshot(any_model=True)
+    repos = [r["repo"] for r in reports.list_repos(base.chunks).select("repo").collect()]
     there = [r.rstrip("/") for r in repos if tree.exists(held.spark, r)]
     if not there:
         return {}
-    new = chunking.chunk(tree.read_files(tree.list_files(held.spark, there), tree.find_roots(held.spark, there)))
-    new = new.withColumn("indexed_at", F.lit(now).cast("timestamp")).persist(StorageLevel.DISK_ONLY)
-    try:
-        kept, _ = remove(held.spark.createDataFrame([(r,) for r in there], "path string"), chunks, vectors)
-        rows = kept.unionByName(new.select(*kept.columns))
-        fresh = embed(rows.select("content_hash", "content").dropDuplicates(["content_hash"]), embedder)
-        held.commit(rows, rows.select("id", "content_hash").join(fresh, "content_hash").select("id", "vector"))
-        return {r["repo"]: r["n"] for r in new.groupBy("repo").agg(F.count("*").alias("n")).collect()}
-    finally:
-        new.unpersist()
+    new, _ = held.staged(chunking.chunk(tree.read_files(tree.scan(held.spark, there))).withColumn("indexed_at", F.lit(now).cast("timestamp")), "new")
+    kept, _ = remove(held.spark.createDataFrame([(r,) for r in there], "path string"), base.chunks, base.vectors)
+    rows, _ = held.staged(kept.unionByName(new.select(*kept.columns)), "rows")
+    fresh = embed(rows.select("content_hash", "content").dropDuplicates(["content_hash"]), embedder)
+    held.commit(rows, rows.select("id", "content_hash").join(fresh, "content_hash").select("id", "vector"), base.number)
+    told = {r["repo"]: r["n"] for r in new.groupBy("repo").agg(F.count("*").alias("n")).collect()}
+    held.unstage(new, rows)
+    return told

@@ -13,7 +13,7 @@ from functools import partial, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark import constants as C
@@ -175,3 +175,81 @@ def bm25_index(held: DataFrame, n: int, total: int, phrases: list[list[str]]) ->
 
 def _back(k: int):
     return lambda p: p - k
+
+
+#: Queries of a batch that share one scan of the chunks.
+QUERIES_A_SCAN = 2000
+
+
+def _hits(batch: pa.RecordBatch, known: _Stems, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each row, then row, term and frequency of each hit, by term)."""
+    codes, words, rows = _words(batch.column("t"))
+    size = np.bincount(rows, minlength=batch.num_rows)
+    of = np.array([vocabulary.get(known[w], -1) for w in words] or [-1], np.int64)
+    term = of[codes] if len(codes) else codes
+    found = term >= 0
+    pairs, tf = np.unique(term[found] * batch.num_rows + rows[found], return_counts=True)
+    return size, pairs % max(batch.num_rows, 1), pairs // max(batch.num_rows, 1), tf
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """A task's counts: chunks with each term, then (place -1) chunks and (place -2) words."""
+    known, df, n, words = _Stems(), np.zeros(len(vocabulary), np.int64), 0, 0
+    for batch in batches:
+        size, _, term, _ = _hits(batch, known, vocabulary)
+        df += np.bincount(term, minlength=len(df))
+        n, words = n + batch.num_rows, words + int(size.sum())
+    at = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]), pa.int32()), pa.array(np.append(df[at], [n, words]), pa.int64())], names=["place", "n"])
+
+
+def _best(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int], queries: list[tuple[int, list[int]]], idf: np.ndarray, average: float, top_k: int) -> Iterator[pa.RecordBatch]:
+    """Of each batch of chunks the best of every query."""
+    known = _Stems()
+    for batch in batches:
+        size, row, term, tf = _hits(batch, known, vocabulary)
+        weight = idf[term] * tf * (C.BM25_K1 + 1) / (tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * size[row] / average))
+        first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+        asked, at, scores = [], [], []
+        ids = np.unique(batch.column("id").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        for query, own in queries:
+            held = np.concatenate([np.arange(first[t], first[t + 1]) for t in own]) if own else np.zeros(0, np.int64)
+            if not len(held):
+                continue
+            score = np.round(np.bincount(row[held], weight[held], batch.num_rows), 6)
+            rows = np.flatnonzero(np.bincount(row[held], minlength=batch.num_rows))
+            if len(rows) > top_k:
+                rows = rows[np.lexsort((ids[rows], -score[rows]))[:top_k]]
+            asked.append(np.full(len(rows), query))
+            at.append(rows)
+            scores.append(score[rows])
+        if at:
+            rows = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(asked), pa.int64()), batch.column("id").take(rows), pa.array(np.concatenate(scores))], names=["query", "id", "score"])
+
+
+def bm25_batch(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+    """(query, rank from 1, id, score): the best chunks (id, content) for each of many queries (query, content).
+
+    A query's distinct terms count once each; scores have six places and ties go by id.
+    Up to ``QUERIES_A_SCAN`` queries share two scans of the chunks, one for the corpus
+    statistics of their terms and one in which each Arrow batch hands on its best of every
+    query, so that no postings are shuffled. More queries take more such pairs of scans.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // QUERIES_A_SCAN))
+    terms = queries.select(F.col("query").cast("long").alias("query"), F.array_distinct(text.terms(F.coalesce("content", F.lit("")))).alias("t"))
+    rows = _split(chunks)
+    out = []
+    for block in range(blocks):
+        asked = terms.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).collect()  # some QUERIES_A_SCAN rows
+        vocabulary: dict[str, int] = {}
+        own = [(r["query"], sorted({vocabulary.setdefault(text.Porter.stem(w), len(vocabulary)) for w in r["t"]})) for r in asked if r["query"] is not None]
+        counts = {r["place"]: r["n"] for r in rows.mapInArrow(partial(_frequencies, vocabulary=vocabulary), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}
+        total, words = counts.get(-1, 0), counts.get(-2, 0)
+        df = np.array([counts.get(k, 0) for k in range(len(vocabulary))], float)
+        idf = np.maximum(np.log((total - df + 0.5) / (df + 0.5)), C.BM25_LEAST_IDF)
+        work = partial(_best, vocabulary=vocabulary, queries=own, idf=idf, average=words / max(total, 1) or 1.0, top_k=top_k)
+        out.append(rows.mapInArrow(work, f"query long, id {_id_type(chunks)}, score double"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return reduce(DataFrame.unionByName, out).withColumn("rank", place).where(F.col("rank") <= top_k).select("query", "rank", "id", "score")

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import json
+import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark import constants as C
@@ -137,17 +142,44 @@ def add_notes(chunks: DataFrame, vectors: DataFrame, rows: DataFrame, embedder=N
     return upsert(chunks, made.select(*chunks.columns)), upsert(vectors, own)
 
 
-class SnapshotStore:
-    """Index tables as Parquet snapshots, named by numbered manifests.
+class StaleBase(OSError):
+    """A commit made from a snapshot that isn't the newest any more."""
+
+
+@dataclass
+class Snapshot:
+    """What a manifest names: its number, the live tables and the stored keyword index."""
+
+    number: int
+    told: dict
+    chunks: DataFrame
+    vectors: DataFrame
+    postings: search.Postings | None
 
-    A commit writes new folders (chunks, vectors, postings) and then one manifest under the
-    next number, by a rename that fails if another writer was first. Readers take the newest
-    manifest, so at each moment they see a whole snapshot. ``vacuum`` deletes old ones.
+
+#: The newest segments are merged as soon as one has fewer rows than this many times all newer ones: their number stays logarithmic.
+MERGE_FACTOR = 2
+
+
+class SnapshotStore:
+    """Index tables as segments of Parquet files, listed by numbered manifests.
+
+    A segment is written once: chunks, vectors and postings, and under ``dead`` the ids of
+    chunks in older segments that it replaces or removes. What is live is the union of all
+    segments without the rows that a newer segment has declared dead; a change therefore
+    writes its own rows only. After a change, small neighbouring segments are merged, newest
+    first, by the same union. ``commit`` writes all tables anew as one segment.
+
+    A manifest is published under the number after its base's by a rename that fails where
+    that number exists, so of two writers with one base the second gets ``StaleBase`` and
+    nothing is lost. The base is the snapshot that the writer's thread read last, or the one
+    it names. Readers take the newest manifest. ``vacuum`` deletes what old ones named.
     """
 
     def __init__(self, spark: SparkSession, path: str, embed_model: str | None = None, embed_dim: int = C.EMBED_DIM):
         self.spark, self.path = spark, path.rstrip("/")
         self.model, self.dim = embed_model, embed_dim
+        self._seen = threading.local()
 
     def _fs(self, name: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -173,72 +205,188 @@ class SnapshotStore:
         numbers = self._numbers()
         return self._told(numbers[-1]) if numbers else {}
 
-    def _held(self) -> dict:
-        held = self.manifest()
-        if held and self.model and held.get("embed_model") not in (None, self.model):
-            raise ImportMismatch(f"the index was made with {held['embed_model']}")
-        return held
-
-    def _tables(self, held: dict) -> tuple[DataFrame, DataFrame]:
-        if not held:
-            return self.spark.createDataFrame([], CHUNKS), self.spark.createDataFrame([], VECTORS)
-        base = f"{self.path}/{held['version']}"
-        return self.spark.read.schema(CHUNKS).parquet(f"{base}/chunks"), self.spark.read.schema(VECTORS).parquet(f"{base}/vectors")
+    def snapshot(self, any_model: bool = False) -> Snapshot:
+        """The newest snapshot, which becomes the base of this thread's next commit."""
+        number = (self._numbers() or [0])[-1]
+        told = self._told(number) if number else {}
+        if told and self.model and not any_model and told.get("embed_model") not in (None, self.model):
+            raise ImportMismatch(f"the index was made with {told['embed_model']}")
+        self._seen.number = number
+        segments = told.get("segments", [])
+        chunks, vectors, rows = (self._live(segments, name, schema) for name, schema in (("chunks", CHUNKS), ("vectors", VECTORS), ("postings", POSTINGS)))
+        return Snapshot(number, told, chunks, vectors, search.Postings(rows, told["chunks"], told["terms"]) if told else None)
+
+    def _table(self, version: str, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{version}/{name}")
+
+    def _dead(self, segments: list[dict]) -> DataFrame | None:
+        """(id, _until): ids that a segment declares dead in older ones, with its place."""
+        parts = [self._table(s["version"], "dead", "id string").withColumn("_until", F.lit(s["at"])) for s in segments if s["dead"]]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def _live(self, segments: list[dict], name: str, schema) -> DataFrame:
+        """The union of the segments' rows without those that a newer segment declares dead."""
+        if not segments:
+            return self.spark.createDataFrame([], schema)
+        newest = max((s["at"] for s in segments if s["dead"]), default=0)
+        own = [(s["at"], self._table(s["version"], name, schema)) for s in segments]
+        whole = [t for at, t in own if at >= newest]
+        mixed = [t.withColumn("_at", F.lit(at)) for at, t in own if at < newest]
+        if mixed:
+            rows, dead = reduce(DataFrame.unionByName, mixed), self._dead(segments)
+            gone = (rows["id"] == dead["id"]) & (rows["_at"] < dead["_until"])
+            whole.append(rows.join(dead, gone, "left_anti").drop("_at"))
+        return reduce(DataFrame.unionByName, whole)
 
     def read(self) -> tuple[DataFrame, DataFrame]:
         """(chunks, vectors) of the newest snapshot."""
-        return self._tables(self._held())
-
-    def _postings(self, held: dict) -> search.Postings | None:
-        if not held:
-            return None
-        return search.Postings(self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{held['version']}/postings"), held["chunks"], held["terms"])
+        held = self.snapshot()
+        return held.chunks, held.vectors
 
     def postings(self) -> search.Postings | None:
         """The stored keyword index of the newest snapshot."""
-        return self._postings(self._held())
+        return self.snapshot().postings
 
     def search(self, query: list[float] | None, words: str = "", top_k: int = 10, repo: str | None = None, mode: str = "hybrid", include_notes: bool = True) -> DataFrame:
         """Search over the newest snapshot; keyword modes read the postings of the query's terms only."""
-        held = self._held()
-        return search.search(*self._tables(held), query, words, top_k, repo, mode, include_notes, self._postings(held))
+        held = self.snapshot()
+        return search.search(held.chunks, held.vectors, query, words, top_k, repo, mode, include_notes, held.postings)
 
     def explain(self, query: list[float], words: str, top_k: int = 8, repo: str | None = None) -> DataFrame:
-        held = self._held()
-        return search.explain(*self._tables(held), query, words, top_k, repo, self._postings(held))
+        held = self.snapshot()
+        return search.explain(held.chunks, held.vectors, query, words, top_k, repo, held.postings)
+
+    def staged(self, rows: DataFrame, label: str, *counted: Column) -> tuple[DataFrame, dict]:
+        """Rows written below the store and read back, and what was counted on the way: later steps see exactly these rows, whatever is lost."""
+        path, seen = f"{self.path}/staged/{label}-{uuid.uuid4().hex}", Observation()
+        rows.observe(seen, *(counted or (F.count(F.lit(1)).alias("n"),))).write.parquet(path)
+        out = self.spark.read.schema(rows.schema).parquet(path)
+        out._staged = path
+        return out, seen.get
+
+    def unstage(self, *tables: DataFrame) -> None:
+        for t in tables:
+            fs, p = self._fs(t._staged.removeprefix(f"{self.path}/"))
+            fs.delete(p, True)
 
-    def commit(self, chunks: DataFrame, vectors: DataFrame) -> str:
-        """Writes a snapshot and publishes it.
+    def _write(self, chunks: DataFrame, vectors: DataFrame, dead: DataFrame | None, at: int, files: int | None) -> tuple[dict, int]:
+        """Writes a segment; returns what a manifest says of it and its count of terms.
 
         Chunks are clustered by repository and path, and postings by term, so that their
-        statistics prune; chunks carry a Bloom filter on their ids for lookups of candidates.
+        statistics prune; ids, paths and hashes carry Bloom filters for lookups of a few.
+        ``files`` deals a small segment to so many files without looking at its rows first.
         """
-        number = (self._numbers() or [0])[-1] + 1
         version = uuid.uuid4().hex
         base = f"{self.path}/{version}"
-        ordered = chunks.repartitionByRange("repo", "source_path").sortWithinPartitions("repo", "source_path", "chunk_index")
-        ordered.select(*CHUNKS.names).write.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{base}/chunks")
-        vectors.select(*VECTORS.names).write.parquet(f"{base}/vectors")
-        held = self.spark.read.schema(CHUNKS).parquet(f"{base}/chunks")
-        rows = keyword.postings(held.select("id", "content"))
-        rows.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{base}/postings")
-        terms = self.spark.read.schema(POSTINGS).parquet(f"{base}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-        told = {"version": version, "schema_version": C.SCHEMA_VERSION, "embed_model": self.model, "embed_dim": self.dim, "chunks": held.count(), "terms": terms}
-        fs, new = self._fs(f"manifests/.{version}")
+
+        def clustered(rows: DataFrame, *keys: str) -> DataFrame:
+            return (rows.repartitionByRange(*keys) if files is None else rows.repartition(files, keys[0])).sortWithinPartitions(*keys)
+
+        def write(rows: DataFrame, name: str, bloom: tuple[str, ...], *counted: Column) -> dict:
+            seen, out = Observation(), rows
+            if counted:
+                out = rows.observe(seen, *counted)
+            w = out.write
+            for c in bloom:
+                w = w.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", "100000")
+            w.parquet(f"{base}/{name}")
+            return seen.get if counted else {}
+
+        n = F.count(F.lit(1)).alias("n")
+
+        def texts() -> tuple[int, int]:
+            count = write(clustered(chunks.select(*CHUNKS.names), "repo", "source_path", "chunk_index"), "chunks", ("id", "source_path", "content_hash"), n)["n"]
+            rows = keyword.postings(self._table(version, "chunks", CHUNKS).select("id", "content"))
+            return count, write(clustered(rows, "term", "id"), "postings", ("term",), F.coalesce(F.sum("tf"), F.lit(0)).alias("n"))["n"]
+
+        def rest() -> int:
+            own = vectors.select(*VECTORS.names)
+            write(own if files is None else own.repartition(files, "id"), "vectors", ("id",))
+            return write(dead.select("id") if files is None else dead.select("id").coalesce(1), "dead", ("id",), n)["n"] if dead is not None else 0
+
+        with ThreadPoolExecutor(1) as other:  # tables that don't need each other are written side by side
+            later = other.submit(inheritable_thread_target(self.spark)(rest))
+            count, terms = texts()
+            return {"version": version, "at": at, "chunks": count, "dead": later.result()}, terms
+
+    def _publish(self, number: int, told: dict) -> None:
+        """Writes the manifest under its number, unless there is one."""
+        jvm = self.spark.sparkContext._jvm
+        fs, new = self._fs(f"manifests/.{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(told).encode()))
         out.close()
         _, place = self._fs(f"manifests/{number:012d}.json")
-        if fs.exists(place) or not fs.rename(new, place):
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        try:
+            context.rename(fs.makeQualified(new), fs.makeQualified(place), self.spark.sparkContext._gateway.new_array(kind, 0))
+        except Exception as e:
             fs.delete(new, False)
-            raise OSError(f"another writer has published snapshot {number} of {self.path}")
-        return version
+            if fs.exists(place):
+                raise StaleBase(f"another writer has published snapshot {number} of {self.path}") from e
+            raise
+        self._seen.number = number
+
+    def _base(self, base: int | None) -> int:
+        seen = getattr(self._seen, "number", None) if base is None else base
+        newest = (self._numbers() or [0])[-1]
+        if seen is not None and seen != newest:  # before any work; the rename decides
+            raise StaleBase(f"snapshot {newest} of {self.path} is newer than {seen}, which this commit is made from")
+        return newest
+
+    def _manifest(self, segments: list[dict], chunks: int, terms: int) -> dict:
+        return {"version": segments[-1]["version"], "segments": segments, "schema_version": C.SCHEMA_VERSION, "embed_model": self.model, "embed_dim": self.dim, "chunks": chunks, "terms": terms}
+
+    def commit(self, chunks: DataFrame, vectors: DataFrame, base: int | None = None) -> str:
+        """Writes all tables anew as one segment and publishes it."""
+        number = self._base(base) + 1
+        segment, terms = self._write(chunks, vectors, None, number, None)
+        self._publish(number, self._manifest([segment], segment["chunks"], terms))
+        return segment["version"]
+
+    def change(self, rows: DataFrame, vectors: DataFrame, gone: DataFrame, base: int | None = None, files: int | None = None) -> str:
+        """Publishes a segment with new ``rows`` and their vectors, in which the live chunks ``gone`` (id, content) are dead.
+
+        A row that replaces a live chunk of its id must have that chunk in ``gone``.
+        """
+        number = self._base(base) + 1
+        told = self._told(number - 1) if number > 1 else {}
+        gone, lost = self.staged(keyword.lengths(gone.select("id", "content")), "gone", F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("terms"))
+        segment, terms = self._write(rows, vectors, gone, number, files)
+        self.unstage(gone)
+        segments = self._merged([*told.get("segments", []), segment])
+        self._publish(number, self._manifest(segments, told.get("chunks", 0) + segment["chunks"] - lost["n"], told.get("terms", 0) + terms - lost["terms"]))
+        return segments[-1]["version"]
+
+    def _merged(self, segments: list[dict]) -> list[dict]:
+        """The segments after merging the newest ones where sizes ask for it; one merge takes all it must."""
+        size = [s["chunks"] + s["dead"] for s in segments]
+        first = len(segments)
+        for i in range(len(segments) - 2, -1, -1):
+            if size[i] < MERGE_FACTOR * sum(size[i + 1 :]):
+                first = i
+        if first >= len(segments) - 1:
+            return segments
+        own = segments[first:]
+        dead = None
+        if first:  # what they declare dead in older ones stays so
+            held = self._dead(own)
+            dead = held.select("id").distinct() if held is not None else None
+        chunks, vectors = (self._live(own, name, schema) for name, schema in (("chunks", CHUNKS), ("vectors", VECTORS)))
+        merged, _ = self._write(chunks, vectors, dead, own[-1]["at"], None)
+        fs, p = self._fs(own[-1]["version"])  # this change's own, which no manifest names
+        fs.delete(p, True)
+        return [*segments[:first], merged]
 
     def vacuum(self, keep: int = 2) -> int:
         """Deletes all snapshots but the newest ``keep``, and returns how many; unpublished folders stay, a writer may be at work."""
-        old = self._numbers()[: -max(keep, 1)]
+        numbers = self._numbers()
+        old, new = numbers[: -max(keep, 1)], numbers[-max(keep, 1) :]
+        named = {s["version"] for n in new for s in self._told(n)["segments"]}
         for number in old:
-            for name in (self._told(number)["version"], f"manifests/{number:012d}.json"):
+            unused = {s["version"] for s in self._told(number)["segments"]} - named
+            for name in (*unused, f"manifests/{number:012d}.json"):
                 fs, p = self._fs(name)
                 fs.delete(p, True)
         return len(old)

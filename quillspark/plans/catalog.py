@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark import constants as C
 from quillspark.functions import files, identity, text, vectors
 from quillspark.operators import chunking, indexing, keyword, reports, results, search, store
+from quillspark.sources.shared import scratch
 from quillspark.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -782,3 +783,41 @@ def watch_apply(spark, sf):
     docs = _docs(spark, sf)
     changes = docs.where("id % 5 <= 1").select(F.col("source_path").alias("path"), F.when(F.col("id") % 5 == 0, F.lit("deleted")).otherwise(F.lit("modified")).alias("event_type"))
     return watch.apply_events(docs, changes, docs.withColumn("language", F.lit("fresh"))).select("id", "language")
+
+
+# --- the segment store ---
+
+#: Documents after an edit of every fifth, the removal of every seventh, and another edit of every 35th.
+_SEGMENTS = f"{CTE}, sg AS (SELECT id, CASE WHEN id % 35 = 0 THEN content || ' hend again' WHEN id % 5 = 1 THEN content || ' hend oransh' ELSE content END AS content FROM c WHERE id % 7 <> 0 OR id % 35 = 0)"
+
+
+def _segmented(spark, sf) -> store.SnapshotStore:
+    """A store of all documents in the first segment and three changes after it."""
+    held = store.SnapshotStore(spark, scratch(spark, "segments"), embed_dim=1)
+    docs = _docs(spark, sf).withColumns({"key": F.col("id"), "id": F.lpad(F.col("id").cast("string"), 19, "0"), "content_hash": F.lit(""), "chunk_index": F.lit(0), "start_line": F.lit(1), "end_line": F.lit(1), "indexed_at": F.lit(None).cast("timestamp")})
+
+    def rows(where: str, more: str = "") -> tuple[DataFrame, DataFrame]:
+        own = docs.where(where).withColumn("content", F.concat("content", F.lit(more)))
+        return own.withColumn("content_hash", identity.content_hash(F.col("content"))), own.select("id", F.array((F.col("key") + F.lit(len(more))).cast("float")).alias("vector"))
+
+    held.commit(*rows("true"))
+    for where, more in (("key % 5 = 1", " hend oransh"), ("false", ""), ("key % 35 = 0", " hend again")):
+        live, _ = held.read()
+        # the second change only removes; the third brings back some of what it removed
+        gone = live.where(F.col("id").cast("long") % 7 == 0) if where == "false" else live.join(docs.where(where).select("id"), "id", "left_semi")
+        held.change(*rows(where, more), gone.select("id", "content"))
+    return held
+
+
+@_query("segment_merge", f"WITH {_SEGMENTS} SELECT id, sha256(content) AS content_hash, id + CASE WHEN id % 35 = 0 THEN 11 WHEN id % 5 = 1 THEN 12 ELSE 0 END AS vector FROM sg")
+def segment_merge(spark, sf):
+    """What is live in a store of several segments: chunks with their vectors."""
+    chunks, vecs = _segmented(spark, sf).read()
+    return chunks.join(vecs, "id").select(F.col("id").cast("long").alias("id"), "content_hash", F.get("vector", F.lit(0)).cast("long").alias("vector"))
+
+
+@_query("segment_search", f"WITH {_SEGMENTS.replace(' c AS', ' c0 AS').replace('c AS (SELECT doc_id', 'c0 AS (SELECT doc_id').replace('FROM c WHERE', 'FROM c0 WHERE')}, c AS (SELECT * FROM sg), {_bm25_sql(WORDS)} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
+def segment_search(spark, sf):
+    """Keyword search over the segments' postings, with counts kept by the changes."""
+    found = _segmented(spark, sf).search(None, WORDS, 20, mode="bm25")
+    return found.select(F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))

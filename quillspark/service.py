@@ -14,6 +14,8 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from quillspark.operators import indexing, reports, store
 
 MODES = ("hybrid", "vector", "bm25")
+#: Results of one request at most: candidates, five times as many, pass through the driver.
+MOST_RESULTS = 1000
 
 
 class Refused(Exception):
@@ -33,6 +35,8 @@ class Service:
             return 404, {"detail": "Not found"}
         if self.held is None and route != self._status:
             return 503, {"detail": "Not initialised"}
+        if body is not None and not isinstance(body, dict):
+            return 422, {"detail": "The body isn't an object"}
         try:
             return 200, route(body or {})
         except Refused as e:
@@ -47,6 +51,8 @@ class Service:
 
     def _search(self, body: dict) -> dict:
         query, top_k = self._wanted(body, "query", str), self._wanted(body, "top_k", int, 10)
+        if isinstance(top_k, bool) or not 0 < top_k <= MOST_RESULTS:
+            raise Refused(422, f"top_k is from 1 to {MOST_RESULTS}")
         if (mode := body.get("mode", "hybrid")) not in MODES:
             raise Refused(422, f"mode is one of {', '.join(MODES)}")
         rows = self.held.search(self.embedder.embed_query(query), query, top_k, body.get("repo"), mode).drop("id").collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from quillspark import constants as C
 from quillspark.functions import files
+from quillspark.sources.shared import scratch
 
 
 def _decoded(content: pd.Series) -> pd.Series:
@@ -45,12 +47,17 @@ def canonical(path: str) -> str:
     return os.path.join(head, tail if tail in names else next((n for n in names if n.lower() == tail.lower()), tail))
 
 
-def _local(root: str) -> str | None:
-    """The path of a root on a local or mounted file system, else None."""
-    scheme, colon, rest = root.partition(":")
+def _split(path: str):
+    """(file system, place in it, what stands before the place) of a path; None and the path for local ones."""
+    scheme, colon, rest = path.partition(":")
     if not colon or "/" in scheme:
-        return root
-    return "/" + rest.lstrip("/") if scheme == "file" else None
+        return None, path, ""
+    if scheme == "file":
+        return None, "/" + rest.lstrip("/"), ""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    return system, place, path[: len(path) - len(place)]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -59,43 +66,144 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _remote(spark: SparkSession, root: str) -> Iterator[tuple[str, int]]:
-    """(path, length) below a root on any of Hadoop's file systems, directory by directory."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    due = [top]
-    while due:
-        for f in fs.listStatus(due.pop()):
-            name = f.getPath().getName()
-            if f.isSymlink():
-                continue
-            if not f.isDirectory():
-                yield f.getPath().toString(), f.getLen()
-            elif name not in C.PRUNED_DIRS and not name.startswith("."):
-                due.append(f.getPath())
+def _listing(system, place: str) -> list[tuple[str, int, int, bool]] | None:
+    """(name, bytes, time in microseconds, whether a directory) of what a directory holds, or of the file itself under ""; no links."""
+    if system is None:
+        try:
+            if not os.path.isdir(place):
+                own = os.stat(place)
+                return [("", own.st_size, own.st_mtime_ns // 1000, False)]
+            told = []
+            with os.scandir(place) as entries:
+                for e in entries:
+                    if not e.is_symlink():
+                        own = e.stat()
+                        told.append((e.name, own.st_size, own.st_mtime_ns // 1000, e.is_dir()))
+            return told
+        except OSError:
+            return None
+    from pyarrow import fs
+
+    own = system.get_file_info(place)
+    if own.type == fs.FileType.NotFound:
+        return None
+    if own.type == fs.FileType.File:
+        return [("", own.size, (own.mtime_ns or 0) // 1000, False)]
+    return [(f.base_name, f.size or 0, (f.mtime_ns or 0) // 1000, f.type == fs.FileType.Directory) for f in system.get_file_info(fs.FileSelector(place))]
+
+
+def _there(system, place: str) -> bool:
+    if system is None:
+        return os.path.exists(place)
+    from pyarrow import fs
+
+    return system.get_file_info(place).type != fs.FileType.NotFound
+
+
+def _rules(system, place: str) -> list[str]:
+    """The patterns of an ignore file; none if it can't be read."""
+    try:
+        if system is None:
+            with open(place, encoding="utf-8") as f:
+                text = f.read()
+        else:
+            with system.open_input_file(place) as f:
+                text = f.read().decode()
+    except (OSError, UnicodeDecodeError):
+        return []
+    return [line.strip() for line in text.splitlines() if line.strip() and not line.startswith("#")]
+
 
+def _above(system, place: str) -> tuple[str | None, list[str]]:
+    """The nearest directory with a ``.git``, and the patterns of the nearest ignore file, at or above a directory."""
+    repo = rules = None
+    while repo is None or rules is None:
+        if repo is None and _there(system, f"{place.rstrip('/')}/.git"):
+            repo = place
+        if rules is None and _there(system, own := f"{place.rstrip('/')}/{C.IGNORE_FILE}"):
+            rules = _rules(system, own)
+        if place in ("", "/") or "/" not in place:
+            break
+        place = os.path.dirname(place)
+    return repo, rules or []
 
-def list_files(spark: SparkSession, roots: str | list[str], skip: bool = True) -> DataFrame:
-    """(path, length, root) of the files to index below directories, or of single files.
 
-    Directories are walked on the driver, which keeps paths only; links aren't followed.
-    A file asked for by its name is taken whatever its name.
+def ignored(path: str, rules: list[str]) -> bool:
+    """Whether a pattern of the nearest ignore file matches the name or a part of the path, as ``files.ignored`` tells it in Spark."""
+    parts = path.split("/")
+    return any(any(map(re.compile(files.glob_regex(r.rstrip("/")), re.DOTALL).match, parts)) for r in rules)
+
+
+#: What a round of a scan finds: files to look at, and directories that the next round lists.
+ENTRY = "path string, length long, modified long, directory boolean, single boolean, root string, repo string, rules array<string>"
+
+
+def _found(batches):
+    """Lists directories; git roots and ignore rules come down with each of them, and are looked for above the first."""
+    import pyarrow as pa
+
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string())]
+    names = ["path", "length", "modified", "directory", "single", "root", "repo", "rules"]
+    for batch in batches:
+        rows = []
+        for path, root, repo, rules in zip(*(batch.column(c).to_pylist() for c in ("path", "root", "repo", "rules")), strict=True):
+            system, place, head = _split(path)
+            held = _listing(system, place)
+            if held is None:
+                continue
+            if rules is None:  # where a scan begins
+                repo, rules = _above(system, os.path.dirname(place) if held and held[0][0] == "" else place)
+                repo = head + repo if repo else None
+            own = {n for n, *_ in held}
+            if ".git" in own:
+                repo = path
+            if C.IGNORE_FILE in own:
+                rules = _rules(system, f"{place.rstrip('/')}/{C.IGNORE_FILE}")
+            for name, size, time, directory in held:
+                at = f"{path.rstrip('/')}/{name}" if name else path
+                if directory:
+                    if name not in C.PRUNED_DIRS and not name.startswith("."):
+                        rows.append((at, 0, 0, True, False, root, repo, rules))
+                elif not ignored(_split(at)[1], rules):
+                    rows.append((at, size, time, False, not name, root, repo, []))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names=names)
+
+
+def scan(spark: SparkSession, roots: str | list[str], within: list[str] | None = None) -> DataFrame:
+    """(path, length, modified, root, repo) of the files to index below directories, and of single files.
+
+    Executors list directories, round by round from the roots down, so no list of paths
+    comes to the driver; rounds are stored in the shared folder. Every file, single ones too,
+    passes the ignore files, the skip rules and the size gate. Names are judged below the
+    root they are found under; a single file's below the one of ``within`` that holds it, else
+    by its whole path. Roots that don't exist are left out.
     """
-    rows = []
+    tops = []
     for root in [roots] if isinstance(roots, str) else roots:
-        local = _local(root)
-        if local is None:
-            rows += [(*r, root.rstrip("/"), False) for r in _remote(spark, root.rstrip("/"))]
-            continue
-        top = canonical(os.path.realpath(local)).rstrip("/") or "/"
-        single = os.path.isfile(top)
-        rows += [(p, os.path.getsize(p), top, single) for p in ([top] if single else walk(top))]
-    found = spark.createDataFrame(rows, "path string, length long, root string, single boolean").where(files.small(F.col("length")))
-    if skip:
-        relative = F.substring("path", F.length("root") + 2, F.length("path"))
-        found = found.where(F.col("single") | (~files.pruned(relative) & ~files.skipped(relative)))
-    return found.select("path", "length", "root").dropDuplicates(["path"])
+        system, place, _ = _split(root)
+        tops.append((canonical(os.path.realpath(place)).rstrip("/") or "/") if system is None else root.rstrip("/"))
+    folder = scratch(spark, "scan")
+    due = spark.createDataFrame([(t, t, None, None) for t in dict.fromkeys(tops)], "path string, root string, repo string, rules array<string>")
+    k = 0
+    while True:
+        due.repartition(max(1, len(tops) // DIRS_A_TASK) if not k else due.sparkSession.sparkContext.defaultParallelism).mapInArrow(_found, ENTRY).write.parquet(f"{folder}/{k:04d}")
+        due = spark.read.schema(ENTRY).parquet(f"{folder}/{k:04d}").where("directory").select("path", "root", "repo", "rules")
+        if due.isEmpty():
+            break
+        k += 1
+    found = spark.read.schema(ENTRY).parquet(*(f"{folder}/{i:04d}" for i in range(k + 1))).where(~F.col("directory") & files.small(F.col("length")))
+    below = lambda top: F.when(F.col("path").startswith(top.rstrip("/") + "/"), F.substring("path", len(top.rstrip("/")) + 2, 1 << 30))
+    known = sorted({canonical(os.path.realpath(w)) if _split(w)[0] is None else w for w in within or []}, key=len, reverse=True)
+    own = F.coalesce(*map(below, known), F.col("path")) if known else F.col("path")
+    relative = F.when(F.col("single"), own).otherwise(F.substring("path", F.length(F.rtrim(F.col("root"), F.lit("/"))) + 2, F.length("path")))
+    kept = found.where(~files.skipped(relative) & (F.col("single") | ~files.pruned(relative)))
+    best = kept.groupBy("path").agg(F.min_by(F.struct("length", "modified", "root", "repo"), F.struct(F.col("single"), F.length("root"))).alias("f"))
+    home = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    return best.select("path", "f.length", "f.modified", "f.root", F.coalesce("f.repo", home).alias("repo"))
+
+
+#: Roots or single files that a task of a scan's first round looks at.
+DIRS_A_TASK = 200
 
 
 def _contents(batches):
@@ -104,66 +212,28 @@ def _contents(batches):
     from pyarrow import fs
 
     for batch in batches:
-        for path in batch.column("path").to_pylist():
-            system, place = fs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (fs.LocalFileSystem(), path)
-            with system.open_input_file(place) as f:
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
+        for path, repo in zip(batch.column("path").to_pylist(), batch.column("repo").to_pylist(), strict=True):
+            system, place, _ = _split(path)
+            try:
+                with (system or fs.LocalFileSystem()).open_input_file(place) as f:
+                    held = f.read()
+            except (FileNotFoundError, PermissionError):
+                continue  # gone since it was listed, or not ours to read
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([repo], pa.string()), pa.array([held], pa.binary())], names=["path", "repo", "content"])
 
 
 #: Files that a task reads.
 FILES_A_TASK = 2000
 
 
-def find_roots(spark: SparkSession, roots: str | list[str]) -> DataFrame:
-    """(repo): directories with a ``.git``, at, above and below roots on a local or mounted file system."""
-    found = set()
-    for root in [roots] if isinstance(roots, str) else roots:
-        if (local := _local(root)) is None:
-            continue
-        local = canonical(os.path.realpath(local)).rstrip("/")
-        above = local
-        while above and above != "/":
-            if os.path.exists(os.path.join(above, ".git")):
-                found.add(above)
-            above = os.path.dirname(above)
-        for top, dirs, names in os.walk(local):
-            if ".git" in dirs or ".git" in names:
-                found.add(top)
-            dirs[:] = [d for d in dirs if d not in C.PRUNED_DIRS and not d.startswith(".") and not os.path.islink(os.path.join(top, d))]
-    return spark.createDataFrame([(p,) for p in sorted(found)], "repo string")
-
-
-def read_files(listed: DataFrame, roots: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
-    """Text files among listed ones: (source_path, repo, language, content). Files that are left out are never read."""
-    paths = listed.select("path")
-    if patterns is not None:
-        paths = files.ignored(paths, patterns).where("not ignored").select("path")
+def read_files(listed: DataFrame) -> DataFrame:
+    """Text files among scanned ones (path, repo): (source_path, repo, language, content). Files that are left out are never read."""
     tasks = max(1, -(-listed.count() // FILES_A_TASK))
-    kept = paths.repartition(tasks).mapInArrow(_contents, "path string, content binary")
-    kept = kept.where(~files.is_binary(F.col("content"))).select("path", decode("content").alias("content"))
-    return files.repository(kept, roots).select(F.col("path").alias("source_path"), "repo", files.language(F.col("path")).alias("language"), "content")
-
-
-def read_tree(spark: SparkSession, root: str, git_roots: DataFrame | None = None, patterns: DataFrame | None = None) -> DataFrame:
-    """Files to index below a root: (source_path, repo, language, content), in the repositories found around it unless given."""
-    return read_files(list_files(spark, root), find_roots(spark, root) if git_roots is None else git_roots, patterns)
+    kept = listed.select("path", "repo").repartition(tasks).mapInArrow(_contents, "path string, repo string, content binary")
+    kept = kept.where(~files.is_binary(F.col("content"))).select("path", "repo", decode("content").alias("content"))
+    return kept.select(F.col("path").alias("source_path"), "repo", files.language(F.col("path")).alias("language"), "content")
 
 
-def ignore_patterns(spark: SparkSession, root: str) -> DataFrame:
-    """(dir, pattern) of all ignore files below a root.
-
-    Spark's sources skip names that start with a dot, so the driver lists these few small
-    files through the file system's own interface.
-    """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rules, listed = [], fs.listFiles(path, True)
-    while listed.hasNext():
-        file = listed.next().getPath()
-        if file.getName() == C.IGNORE_FILE:
-            stream = fs.open(file)
-            lines = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
-            stream.close()
-            rules += [(file.getParent().toUri().getPath(), line) for line in lines]
-    return spark.createDataFrame(rules, "dir string, pattern string")
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Files to index below a root: (source_path, repo, language, content)."""
+    return read_files(scan(spark, root))

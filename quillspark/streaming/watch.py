@@ -5,7 +5,6 @@ The functions take batch or streaming frames alike.
 
 from __future__ import annotations
 
-import os
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -67,18 +66,22 @@ def run(events: DataFrame, handle, checkpoint: str, gap: str = C.DEBOUNCE, late:
 
 
 def handler(held: store.SnapshotStore, embedder=None):
-    """A handle for ``run``: each batch of changes becomes one commit of chunks and vectors to the store."""
+    """A handle for ``run``: each batch of changes becomes one commit of chunks and vectors to the store.
+
+    Files pass the same ignore files and skip rules as in a scan of their watched root.
+    """
 
     def handle(changes: DataFrame, batch_id: int) -> None:
         spark = held.spark
-        last = changes.groupBy("path").agg(F.max(F.when(F.col("event_type") != "deleted", 1).otherwise(0)).alias("there")).collect()  # one burst's paths
-        there = {r["path"]: bool(r["there"]) and tree.exists(spark, r["path"]) for r in last}
-        if not there:
+        there = F.max(F.when(F.col("event_type") != "deleted", 1).otherwise(0)).alias("there")
+        last = changes.groupBy("path", "root").agg(there).collect()  # one burst's paths
+        kept = {r["path"]: bool(r["there"]) and tree.exists(spark, r["path"]) for r in last}
+        if not kept:
             return
-        listed = tree.list_files(spark, [p for p, t in there.items() if t])
-        roots = tree.find_roots(spark, sorted({os.path.dirname(p) for p in there}))
-        gone = spark.createDataFrame([(p,) for p, t in there.items() if not t], "path string") if not all(there.values()) else None
-        indexing.index_files(held, tree.read_files(listed, roots), listed.select(F.col("path").alias("source_path")), datetime.now(), embedder, gone)
+        within = [r["root"] for r in last if r["root"] and r["path"].startswith(r["root"].rstrip("/") + "/")]
+        listed = tree.scan(spark, [p for p, t in kept.items() if t], within)
+        gone = spark.createDataFrame([(p,) for p, t in kept.items() if not t], "path string") if not all(kept.values()) else None
+        indexing.index_files(held, tree.read_files(listed), listed.select(F.col("path").alias("source_path")), datetime.now(), embedder, gone)
 
     return handle
 

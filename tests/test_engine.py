@@ -140,7 +140,7 @@ def test_tree_to_index(spark, tmp_path):
     (tmp_path / "src" / "d.log").write_text("ignored\n")
     (tmp_path / "node_modules" / "e.js").write_text("x")
     (tmp_path / C.IGNORE_FILE).write_text("# comment\n*.log\n")
-    rows = tree.read_tree(spark, str(tmp_path), patterns=tree.ignore_patterns(spark, str(tmp_path)))
+    rows = tree.read_tree(spark, str(tmp_path))
     got = {r.source_path.rsplit("/", 1)[1]: (r.language, r.content) for r in rows.collect()}
     assert got == {"a.py": ("python", "import os\n\n\ndef f():\n    return 1\n"), "c.md": ("markdown", "# T\nbody  end\n")}
     assert {p.rsplit("/", 1)[1] for p in tree.walk(str(tmp_path))} >= {"a.py", "c.md"}
