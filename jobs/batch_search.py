@@ -21,6 +21,7 @@ from quillspark.operators import keyword
 log = logging.getLogger("batch_search")
 
 BUCKETS = 16
+ANSWERS = "item_id long, rank int, doc_id long, score double, source string, bucket int"
 
 
 def answered(documents: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
@@ -33,13 +34,18 @@ def answered(documents: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     return rows.select(F.col("query").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score", "source", F.pmod("query", F.lit(BUCKETS)).cast("int").alias("bucket"))
 
 
+def read(spark: SparkSession, output: str) -> DataFrame:
+    """The answers that stand in the output."""
+    return spark.read.schema(ANSWERS).parquet(output)
+
+
 def run(spark: SparkSession, documents: str, queries: str, output: str, top_k: int = 10) -> dict:
     """Writes the best documents of every query; returns rows read and written."""
     docs, asked = spark.read.parquet(documents), spark.read.parquet(queries)
     told = {"documents": docs.count(), "queries": asked.count()}
     log.info("reads %(documents)d documents and %(queries)d queries", told)
     answered(docs, asked, top_k).repartition(BUCKETS, "bucket").sortWithinPartitions("item_id", "rank").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(output)
-    told["answers"] = spark.read.parquet(output).count()
+    told["answers"] = read(spark, output).count()
     log.info("wrote %d answers to %s", told["answers"], output)
     return told
 

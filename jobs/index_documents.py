@@ -23,7 +23,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import files, identity
@@ -76,18 +76,23 @@ def _write(rows: DataFrame, path: str, *parts: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
-def _indexed(output: str):
+def _indexed(output: str, told: dict):
     def handle(documents: DataFrame, batch: int) -> None:
         spark = documents.sparkSession
         known = _newest(_held(spark, f"{output}/files", FILES).where(F.col("batch") < batch))
-        changed = named(documents).join(known.select("source_path", "file_hash"), ["source_path", "file_hash"], "left_anti")
+        known, seen = known.select("source_path", "file_hash"), Observation()
+
+        def changed(rows: DataFrame) -> DataFrame:
+            return named(rows).join(known, ["source_path", "file_hash"], "left_anti")
+
         number = F.lit(batch).cast("long").alias("batch")
         # all paths end in .txt, so the branch for Python sources isn't wanted
-        _write(chunking.chunk(changed, python=False).select("*", number), f"{output}/chunks", "batch", "repo")
-        _write(changed.select("source_path", "file_hash", number), f"{output}/files", "batch")
+        _write(chunking.chunk(changed(documents.observe(seen, F.count(F.lit(1)).alias("n"))), python=False).select("*", number), f"{output}/chunks", "batch", "repo")
+        _write(changed(documents).select("source_path", "file_hash", number), f"{output}/files", "batch")
+        told["rows"], told["batches"] = told["rows"] + seen.get["n"], told["batches"] + 1
         own = F.col("batch") == batch
         wrote = [_held(spark, f"{output}/{t}", s).where(own).count() for t, s in (("files", FILES), ("chunks", CHUNKS))]
-        log.info("batch %d: wrote %d documents in %d chunks to %s", batch, *wrote, output)
+        log.info("batch %d: read %d rows, wrote %d documents in %d chunks to %s", batch, seen.get["n"], *wrote, output)
 
     return handle
 
@@ -96,10 +101,9 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, files
     """Indexes the documents that came since the last run; returns rows read and batches made."""
     schema = spark.read.parquet(documents).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(_pattern(documents))
-    query = stream.select("doc_id", "source", "text").writeStream.foreachBatch(_indexed(output)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    told = {"rows": 0, "batches": 0}
+    query = stream.select("doc_id", "source", "text").writeStream.foreachBatch(_indexed(output, told)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    done = [p for p in query.recentProgress if p["numInputRows"]]
-    told = {"rows": sum(p["numInputRows"] for p in done), "batches": len(done)}
     log.info("read %(rows)d new rows in %(batches)d batches", told)
     return told
 

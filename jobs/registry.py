@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from jobs import batch_search, index_documents
 from quillspark import constants as C
@@ -31,7 +30,7 @@ def job2_batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "job2_batch_search")
     for _ in range(2):
         batch_search.run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet", folder)
-    return spark.read.parquet(folder).select("item_id", "rank", "doc_id", "score", "source")
+    return batch_search.read(spark, folder).select("item_id", "rank", "doc_id", "score", "source")
 
 
 _WINDOW = f"SELECT source_path, repo, start_line + i AS start_line, start_line + least(i + {C.CHUNK_LINES}, len(l)) - 1 AS end_line, substr(array_to_string(l[i + 1:i + {C.CHUNK_LINES}], chr(10)), 1, {C.MAX_CHUNK_CHARS}) AS content"
