@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import decontaminate, mixing, near_dedup, quality_classifier, token_output
-from quillspark.llm.runtime import new_path, numbered, read_table
+from quillspark.llm.runtime import new_path, numbered, read_table, unused
 
 #: Similarity in percent from which the near-duplicate stage links documents.
 SIMILAR_PERCENT = 80
@@ -34,17 +34,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest id."""
-    rows = numbered(docs)
-    found = near_dedup.near_duplicates(rows.select(rows["_row"].alias("doc_id"), "text"), SIMILAR_PERCENT)
-    dropped = found.where("not kept").select(found["doc_id"].alias("_row"))
-    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
+    row = unused(docs, "row")
+    rows = numbered(docs, row)
+    found = near_dedup.near_duplicates(rows.select(rows[row].alias("doc_id"), "text"), SIMILAR_PERCENT)
+    dropped = found.where("not kept").select(found["doc_id"].alias(row))
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    rows = numbered(docs)
-    found = decontaminate.contaminated(rows.select(rows["_row"].alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
-    return rows.join(found.select(found["doc_id"].alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
+    row = unused(docs, "row")
+    rows = numbered(docs, row)
+    found = decontaminate.contaminated(rows.select(rows[row].alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(found["doc_id"].alias(row)).distinct(), row, "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.runtime import materialise
+from quillspark.llm.runtime import materialise, unused
 
 BLOCK_DOCS = 200
 MAX_REPETITION = 2.0
@@ -110,12 +110,13 @@ def realise(docs: DataFrame, **how) -> DataFrame:
     Rows that repeat an id, a source and a length all get the largest count among them;
     rows with a null id are rows like others.
     """
-    counted = mix(docs, **how).groupBy("doc_id", "source", "n_tokens").agg(F.max("copies").alias("_copies"))
+    n, copies, copy = (unused(docs, c) for c in ("n", "copies", "copy"))
+    counted = mix(docs, **how).groupBy("doc_id", "source", "n_tokens").agg(F.max("copies").alias(copies))
     tokens = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    keyed = docs.withColumn("_n", tokens)
-    on = keyed["doc_id"].eqNullSafe(counted["doc_id"]) & keyed["source"].eqNullSafe(counted["source"]) & (keyed["_n"] == counted["n_tokens"])
-    joined = keyed.join(counted, on, "inner").select(*(keyed[c] for c in docs.columns), "_copies")
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, cast(_copies as int))"))).select(*docs.columns)
+    keyed = docs.withColumn(n, tokens)
+    on = keyed["doc_id"].eqNullSafe(counted["doc_id"]) & keyed["source"].eqNullSafe(counted["source"]) & (keyed[n] == counted["n_tokens"])
+    joined = keyed.join(counted, on, "inner").select(*(keyed[c] for c in docs.columns), counted[copies])
+    return joined.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 ORACLE = f"""

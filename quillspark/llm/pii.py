@@ -47,8 +47,10 @@ LINEAR = {
 #: A text without these characters has no match of the kind.
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
-#: Tokens that may be identifiers: they have a digit or an at sign.
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Tokens that may be identifiers: they have a digit, an at sign or two colons in a row.
+TOKEN = r"(?<!\S)(?:[^\s0-9@:]++|:(?!:))*+(?:[0-9@]|::)\S*+"
+#: A text without any of these has neither base spans nor candidates.
+SOME = "[0-9@]|::"
 #: Runs that may be keys, whole, and what they need: a letter and two digits.
 KEY = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+"
 #: Keys that seed the kind: lower-case hexadecimal strings as long as digests are.
@@ -173,7 +175,7 @@ def _runs(text: Column, base: Column) -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, base spans (k, s, e, x, p) and free candidates outside them (seed: kind of a seed or null, s, e, x, p); p: patterns."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("some", F.col("text").rlike("[0-9@]"))
+    rows = rows.withColumn("some", F.col("text").rlike(SOME))
     only = lambda made, kind: F.when(F.col("some"), made).otherwise(F.expr(f"cast(array() as array<struct<{kind}>>)"))
     rows = rows.select("*", only(_base(F.col("text")), "k: int, s: int, e: int, x: string").alias("base"), only(spans(F.col("text"), TOKEN), "x: string, s: int").alias("tokens"))
     rows = rows.select("*", only(_runs(F.col("text"), F.col("base")), "x: string, s: int").alias("runs"))

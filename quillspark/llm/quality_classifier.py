@@ -10,6 +10,7 @@ outside the held-out fifth. Labels, languages, sources and ids are no inputs of
 
 Defined results: null and blank texts have all statistics zero and get the score that
 follows. A null id is hashed as the empty string. Repeated rows get equal scores.
+Labels that repeat an id with one mark count once; an id with both marks teaches nothing.
 Without labels of both classes each score is the share of label 1 among those there are
 (0.5 if none). An empty table gives an empty result. Other columns are ignored.
 """
@@ -156,7 +157,7 @@ def compiled(intercept: float, rules: list[tuple[float, list]]) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, list[tuple[float, list]]]:
     """Fits the rules to labelled documents outside the held-out fifth."""
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").alias("_y")).where("doc_id is not null and _y is not null").where(~held_out(F.col("doc_id")))
-    known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.groupBy("doc_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_most")).where("_y = _most").drop("_most").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi"))
     rows = rows.join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), *FEATURES).limit(sample)
     got = rows.select("_y", *FEATURES).toPandas().to_numpy(float)

@@ -75,16 +75,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a number of each row in the order of ids, nulls last and equal ids by text.
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
-    It is the id itself where all ids are known and unlike.
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``name``, a number of each row in the order of ids, nulls last and equal ids by text.
+
+    It is the id itself where all ids are known and unlike. ``name`` mustn't be a column yet.
     """
-    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1")
+    count = unused(docs, "n")
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias(count)).where(F.col("doc_id").isNull() | (F.col(count) > 1))
     if odd.isEmpty():
-        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
     order = (F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last())
-    return materialise(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    return materialise(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def components(edges: DataFrame) -> DataFrame:

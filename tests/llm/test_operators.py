@@ -293,6 +293,7 @@ def test_contexts_find_identifiers_with_blanks(spark):
     rows += [(20 + i, f"charge {x} here", "s") for i, x in enumerate(luhn)]
     want = {30: ("call 415 555 1234 today", "phone:5:17"), 31: ("call (030) 1234 5678.", "phone:5:20"), 32: ("charge 3782 822463 10005 now", "card:7:24"), 33: ("host fe80::1 up", "ip:5:12"), 34: ("call 415 555 1234 5pm", "phone:5:17"), 35: ("the 415 555 1234 ones", ""), 36: ("at 10:30 host x", ""), 37: ("call 415 555 1234 10.9.8.7", "ip:18:26,phone:5:17")}
     want[38] = ("call 415 555 1234 123456789012", "phone:5:17")
+    want |= {39: ("host fe::ab up", "ip:5:11"), 40: ("host ::1 up", "ip:5:8"), 41: ("host std::vector up", ""), 42: ("host a:b:c up", ""), 43: ("host " + "a:" * 20_000 + " up", "")}
     rows += [(k, t, "s") for k, (t, _) in want.items()]
     got = {r.doc_id: r.spans for r in pii.personal_data(_frame(spark, rows)).collect()}
     assert {k: got[k] for k in want} == {k: v for k, (_, v) in want.items()}
