@@ -98,7 +98,8 @@ WATCHED_SUFFIXES = [
     ".md", ".mdx", ".rst", ".txt", ".toml", ".yaml", ".yml",
     ".json", ".sql", ".sh",
 ]
-DEBOUNCE = "500 milliseconds"
+DEBOUNCE_MS = 500
+DEBOUNCE = f"{DEBOUNCE_MS} milliseconds"
 
 # --- fixed values: declarations that start a chunk, by language (matched at the start of a line) ---
 DECLARATIONS = {

@@ -169,6 +169,12 @@ def _found(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names=names)
 
 
+def top(root: str) -> str:
+    """A root as scans name it: in its directories' spelling, links followed."""
+    system, place, _ = _split(root)
+    return (canonical(os.path.realpath(place)).rstrip("/") or "/") if system is None else root.rstrip("/")
+
+
 def scan(spark: SparkSession, roots: str | list[str], within: list[str] | None = None) -> DataFrame:
     """(path, length, modified, root, repo) of the files to index below directories, and of single files.
 
@@ -178,10 +184,7 @@ def scan(spark: SparkSession, roots: str | list[str], within: list[str] | None =
     root they are found under; a single file's below the one of ``within`` that holds it, else
     by its whole path. Roots that don't exist are left out.
     """
-    tops = []
-    for root in [roots] if isinstance(roots, str) else roots:
-        system, place, _ = _split(root)
-        tops.append((canonical(os.path.realpath(place)).rstrip("/") or "/") if system is None else root.rstrip("/"))
+    tops = [top(root) for root in ([roots] if isinstance(roots, str) else roots)]
     folder = scratch(spark, "scan")
     due = spark.createDataFrame([(t, t, None, None) for t in dict.fromkeys(tops)], "path string, root string, repo string, rules array<string>")
     k = 0
@@ -192,7 +195,7 @@ def scan(spark: SparkSession, roots: str | list[str], within: list[str] | None =
             break
         k += 1
     found = spark.read.schema(ENTRY).parquet(*(f"{folder}/{i:04d}" for i in range(k + 1))).where(~F.col("directory") & files.small(F.col("length")))
-    below = lambda top: F.when(F.col("path").startswith(top.rstrip("/") + "/"), F.substring("path", len(top.rstrip("/")) + 2, 1 << 30))
+    below = lambda w: F.when(F.col("path").startswith(w.rstrip("/") + "/"), F.substring("path", len(w.rstrip("/")) + 2, 1 << 30))
     known = sorted({canonical(os.path.realpath(w)) if _split(w)[0] is None else w for w in within or []}, key=len, reverse=True)
     own = F.coalesce(*map(below, known), F.col("path")) if known else F.col("path")
     relative = F.when(F.col("single"), own).otherwise(F.substring("path", F.length(F.rtrim(F.col("root"), F.lit("/"))) + 2, F.length("path")))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quillspark import constants as C
 from quillspark.operators import indexing, store
-from quillspark.sources import tree
+from quillspark.sources import changes, tree
+from quillspark.streaming import debounce as debounce_
 
 
 def watched(events: DataFrame) -> DataFrame:
@@ -54,15 +55,22 @@ def apply_events(chunks: DataFrame, changes: DataFrame, fresh: DataFrame) -> Dat
     return gone.unionByName(fresh.join(changed, "source_path", "left_semi").select(*chunks.columns))
 
 
-def run(events: DataFrame, handle, checkpoint: str, gap: str = C.DEBOUNCE, late: str = "1 minute", **trigger):
-    """Starts a query that hands each debounced batch of changes to ``handle(frame, batch_id)``.
+def run(events: DataFrame, handle, checkpoint: str, gap_ms: int = C.DEBOUNCE_MS, longest_ms: int = 60 * C.DEBOUNCE_MS, **trigger):
+    """Starts a query that hands each batch of debounced changes to ``handle(frame, batch_id)``.
 
-    Moves (events with ``dest_path``) count as a deletion and a creation.
+    Moves (events with ``dest_path``) count as a deletion and a creation. A burst comes out
+    after ``gap_ms`` without an event of its root, and after ``longest_ms`` at the latest.
     """
     if "dest_path" in events.columns:
         events = expand_moves(events)
-    ready = debounce(watched(events), gap, late)
-    return ready.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(handle).trigger(**(trigger or {"processingTime": "1 second"})).start()
+    spark = events.sparkSession
+    key, held = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(key, debounce_.PROVIDER)  # a query keeps the settings it was started with
+    try:
+        ready = debounce_.debounced(watched(events), gap_ms, longest_ms)
+        return ready.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(handle).trigger(**(trigger or {"processingTime": "200 milliseconds"})).start()
+    finally:
+        spark.conf.unset(key) if held is None else spark.conf.set(key, held)
 
 
 def handler(held: store.SnapshotStore, embedder=None):
@@ -91,3 +99,13 @@ def live(held: store.SnapshotStore, events: DataFrame, roots: list[str], checkpo
     for root in roots:
         indexing.index_path(held, root, datetime.now(), embedder)
     return run(events, handler(held, embedder), checkpoint, **how)
+
+
+def follow(held: store.SnapshotStore, roots: list[str], folder: str, checkpoint: str, embedder=None, **how):
+    """``live`` over the changes that polls of the roots write to ``folder``; the caller polls, as often as it likes.
+
+    The first listing is taken before the catch-up, so that no change falls between them.
+    """
+    changes.poll(held.spark, roots, folder)
+    there = [r for r in roots if tree.exists(held.spark, r)]
+    return live(held, changes.events(held.spark, folder), there, checkpoint, embedder, **how)

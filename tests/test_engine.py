@@ -1,6 +1,7 @@
 """Search, splitting, store and streams on small fixtures, against independent oracles where there are any."""
 
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -351,7 +352,8 @@ def test_stream_debounce(spark, tmp_path):
     spark.createDataFrame([Row(*e) for e in events], "path string, event_type string, ts string, seq long, root string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
     seen = []
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    query = watch.run(stream, lambda frame, _: seen.extend(frame.collect()), str(tmp_path / "cp"), gap="5 seconds", late="10 seconds", availableNow=True)
+    bursts = watch.debounce(watch.watched(stream), "5 seconds", "10 seconds")
+    query = bursts.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda frame, _: seen.extend(frame.collect())).trigger(availableNow=True).start()
     query.awaitTermination()
     got = {(r.path, r.event_type) for r in seen}
     assert got == {("/x.py", "modified"), ("/y.py", "created"), ("/x.py", "deleted")}
@@ -373,8 +375,14 @@ def test_live_changes_reach_the_store(spark, tmp_path):
     indexing.index_path(held, str(root), "2024-01-01")
     (root / "free.md").unlink()
     (root / "p" / "sub" / "a.yaml").write_text("changed: 2\n")
-    query = watch.live(held, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), [], str(tmp_path / "cp"), gap="5 seconds", late="10 seconds", availableNow=True)
-    query.awaitTermination()
+    query = watch.live(held, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), [], str(tmp_path / "cp"), gap_ms=5000)
+    try:
+        for _ in range(300):  # the last burst comes without a later event
+            if {r.content for r in held.read()[0].where("source_path like '%a.yaml'").collect()} == {"changed: 2"}:
+                break
+            time.sleep(0.3)
+    finally:
+        query.stop()
     chunks, vecs = held.read()
     rows = {r.source_path.removeprefix(str(root)): r.content for r in chunks.collect()}
     assert "/free.md" not in rows and "/moved.md" in rows and rows["/p/sub/a.yaml"] == "changed: 2"
