@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import constants as C
+from quillspark.operators import chunking
 
 
 def _files(chunks: DataFrame) -> DataFrame:
@@ -35,6 +36,23 @@ def partial_files(chunks: DataFrame, expected: DataFrame) -> DataFrame:
     return both.where("chunks <> expected and expected > 0")
 
 
+def recounted(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Files (source_path, repo, language, content) whose stored chunks aren't what splitting them now gives.
+
+    Each file is split again by the splitter of its language. Per such file: chunks stored,
+    ``expected`` now, and how many of the expected ones aren't stored with this content
+    (``changed``). Files without stored chunks are for ``unindexed_files``.
+    """
+    now = chunking.chunk(files).select("source_path", "chunk_index", "content_hash")
+    stored = _files(chunks).select("source_path", "chunk_index", F.col("content_hash").alias("_stored"))
+    both = now.withColumn("_now", F.lit(1)).join(stored.withColumn("_was", F.lit(1)), ["source_path", "chunk_index"], "full_outer")
+    told = both.groupBy("source_path").agg(
+        F.count("_was").alias("chunks"), F.count("_now").alias("expected"), F.count(F.when(F.col("_now").isNotNull() & ~F.col("content_hash").eqNullSafe(F.col("_stored")), 1)).alias("changed")
+    )
+    scanned = files.select("source_path").distinct()
+    return told.join(scanned, "source_path", "left_semi").where("chunks > 0 and (chunks <> expected or changed > 0)")
+
+
 def missing_files(chunks: DataFrame, listing: DataFrame) -> DataFrame:
     """Indexed files that the listing (path) lacks."""
     return _files(chunks).select("source_path").distinct().join(listing.select(F.col("path").alias("source_path")), "source_path", "left_anti")

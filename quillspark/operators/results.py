@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +12,49 @@ from quillspark import constants as C
 from quillspark.functions.text import token_estimate
 
 
+class Intervals:
+    """Kept line ranges of a file, sorted and disjoint: a range is met by the last one that begins at or before its end, or by none."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def add(self, start: int, end: int) -> bool:
+        """Whether the range meets no kept one; then it is kept."""
+        at = bisect_right(self.starts, end)
+        if at and self.ends[at - 1] >= start:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
+def _kept(batches):
+    """Ranges of one or more files in the order of files and ranks; a file's kept ranges stay with the task until its last row."""
+    path, held = None, Intervals()
+    for batch in batches:
+        keep = []
+        for p, a, b in zip(*(batch.column(c).to_pylist() for c in ("source_path", "start_line", "end_line")), strict=True):
+            if p != path:
+                path, held = p, Intervals()
+            keep.append(held.add(a, b))
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def dedup_overlap(results: DataFrame, rank: str = "rank") -> DataFrame:
     """Keeps a row unless its lines meet those of a kept better row of the same file (greedy, by rank).
 
-    Results of one search are few; each file's are folded on their own.
+    Each file's ranges come to one task in the order of ranks, in Arrow batches, and are
+    looked up by binary search among the kept ones; no list of a file's rows is built. Of
+    rows with equal rank the one with the smaller lines comes first. Rows without a path or
+    lines, and ranges that end before they begin, are left out.
     """
-    rows = results.withColumn("_row", F.struct(F.col(rank).alias("r"), F.col("start_line").alias("a"), F.col("end_line").alias("b")))
-    grouped = rows.groupBy("source_path").agg(F.sort_array(F.collect_list("_row")).alias("_all"))
-    kept = F.aggregate(
-        "_all",
-        F.slice("_all", 1, 0),
-        lambda got, x: F.when(F.exists(got, lambda k: (x["a"] <= k["b"]) & (k["a"] <= x["b"])), got).otherwise(F.concat(got, F.array(x))),
-    )
-    ranks = grouped.select("source_path", F.explode(kept).alias("_k")).select("source_path", F.col("_k.r").alias(rank))
-    return results.join(ranks, ["source_path", rank], "left_semi")
+    whole = results.where("source_path is not null and start_line <= end_line")
+    rows = whole.select("source_path", F.col(rank).alias("rank"), "start_line", "end_line")
+    dealt = rows.repartition("source_path").sortWithinPartitions("source_path", "rank", "start_line", "end_line")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    kept = dealt.mapInArrow(_kept, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    kept = kept.select("source_path", F.col("rank").alias(rank), "start_line", "end_line")
+    return whole.join(kept, ["source_path", rank, "start_line", "end_line"], "left_semi")
 
 
 def block(header: Column) -> Column:

@@ -723,6 +723,25 @@ def doctor_partial(spark, sf):
     return reports.partial_files(chunks, chunks.select("source_path", (F.col("id") % 3).alias("expected")))
 
 
+_RECOUNT = f"""al AS (SELECT id, start_line, end_line, content FROM wi WHERE {BLANK} <> ''),
+bl AS (SELECT id, start_line, string_split(CASE WHEN ends_with(content, chr(10)) THEN content[:-2] ELSE content END, chr(10)) AS l FROM al WHERE length(content) > {C.MAX_CHUNK_CHARS}),
+bw AS (SELECT id, start_line + i AS start_line, start_line + least(i + {C.CHUNK_LINES}, len(l)) - 1 AS end_line, substr(array_to_string(l[i + 1:i + {C.CHUNK_LINES}], chr(10)), 1, {C.MAX_CHUNK_CHARS}) AS content FROM (SELECT id, l, start_line, unnest(range(0, len(l), {C.CHUNK_STRIDE})) AS i FROM bl)),
+fin AS (SELECT * FROM al WHERE length(content) <= {C.MAX_CHUNK_CHARS} UNION ALL SELECT * FROM bw WHERE {BLANK} <> ''),
+nw AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY start_line, end_line) - 1 AS k, sha256(content) AS h FROM fin),
+sd AS (SELECT id, k, CASE WHEN id % 5 = 1 AND k = 0 THEN sha256('old') ELSE h END AS h FROM nw WHERE id % 3 <> 0 AND (id % 7 <> 2 OR k = 0)),
+bo AS (SELECT id, k, nw.h AS h, sd.h AS s FROM nw FULL JOIN sd USING (id, k)),
+ct AS (SELECT id, count(s) AS chunks, count(h) AS expected, count(*) FILTER (h IS NOT NULL AND h IS DISTINCT FROM s) AS changed FROM bo GROUP BY 1)"""
+
+
+@_query("doctor_recount", f"WITH {CTE}, {LINES.format('content')}, {WINDOWS}, {_RECOUNT} SELECT source_path, chunks, expected, changed FROM ct JOIN c USING (id) WHERE chunks > 0 AND (chunks <> expected OR changed > 0)")
+def doctor_recount(spark, sf):
+    """An index that lacks a third of the files, has old content in others and lost chunks of some, against the files split again."""
+    docs = _docs(spark, sf).withColumn("language", F.lit("yaml"))
+    stored = chunking.chunk(docs, python=False, kinds={"yaml"}).withColumn("key", F.regexp_extract("source_path", r"(\d+)\.txt$", 1).cast("long"))
+    stored = stored.where("key % 3 <> 0 and (key % 7 <> 2 or chunk_index = 0)").withColumn("content_hash", F.when(F.expr("key % 5 = 1 and chunk_index = 0"), F.sha2(F.lit("old"), 256)).otherwise(F.col("content_hash")))
+    return reports.recounted(stored, docs)
+
+
 @_query("doctor_missing", f"WITH {CHUNK_CTE} SELECT source_path FROM ch WHERE {_OURS} AND id % 4 = 0")
 def doctor_missing(spark, sf):
     chunks = _chunks(spark, sf)

@@ -97,6 +97,21 @@ def test_overlap_dedup_is_greedy(spark):
     assert sorted(r["rank"] for r in results.dedup_overlap(frame).collect()) == [0, 2, 3]
 
 
+def test_overlap_dedup_of_one_large_file(spark):
+    """10^5 ranges of one path, against a list that is searched whole."""
+    import random
+
+    rng = random.Random(2)
+    rows = [("p", a := rng.randint(1, 10**6), a + rng.randint(0, 400), k) for k in range(100_000)]
+    kept, taken = [], bytearray(10**6 + 500)
+    for _, a, b, k in rows:
+        if not any(taken[a : b + 1]):
+            taken[a : b + 1] = b"x" * (b + 1 - a)
+            kept.append(k)
+    frame = spark.createDataFrame([*rows, (None, 1, 2, -1), ("q", 5, 4, -2), ("q", None, 4, -3)], "source_path string, start_line int, end_line int, rank int")
+    assert sorted(r["rank"] for r in results.dedup_overlap(frame).collect()) == kept
+
+
 def test_context_keeps_the_first_block(spark):
     rows = spark.createDataFrame([("b", 1, 2, "text", "x " * 50), ("a", 1, 2, "text", "y " * 50), ("a", 3, 4, "note", "z")], "source_path string, start_line int, end_line int, language string, content string")
     packed = results.pack_context(rows, 10).collect()
