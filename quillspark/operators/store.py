@@ -159,6 +159,8 @@ class Snapshot:
 
 #: The newest segments are merged as soon as one has fewer rows than this many times all newer ones: their number stays logarithmic.
 MERGE_FACTOR = 2
+#: Dead ids of a segment up to which readers name them in a filter.
+FEW_DEAD = 500
 
 
 class SnapshotStore:
@@ -180,6 +182,7 @@ class SnapshotStore:
         self.spark, self.path = spark, path.rstrip("/")
         self.model, self.dim = embed_model, embed_dim
         self._seen = threading.local()
+        self._few: dict[str, list[str]] = {}
 
     def _fs(self, name: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -213,8 +216,8 @@ class SnapshotStore:
             raise ImportMismatch(f"the index was made with {told['embed_model']}")
         self._seen.number = number
         segments = told.get("segments", [])
-        chunks, vectors, rows = (self._live(segments, name, schema) for name, schema in (("chunks", CHUNKS), ("vectors", VECTORS), ("postings", POSTINGS)))
-        return Snapshot(number, told, chunks, vectors, search.Postings(rows, told["chunks"], told["terms"]) if told else None)
+        chunks, vectors = (self._live(segments, name, schema) for name, schema in (("chunks", CHUNKS), ("vectors", VECTORS)))
+        return Snapshot(number, told, chunks, vectors, search.Postings(self._live(segments, "postings", POSTINGS), told["chunks"], told["terms"]) if told else None)
 
     def _table(self, version: str, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{version}/{name}")
@@ -224,19 +227,32 @@ class SnapshotStore:
         parts = [self._table(s["version"], "dead", "id string").withColumn("_until", F.lit(s["at"])) for s in segments if s["dead"]]
         return reduce(DataFrame.unionByName, parts) if parts else None
 
+    def _named(self, segment: dict) -> list[str]:
+        """The dead ids of a segment that declares few; segments don't change, so each is read once."""
+        if segment["version"] not in self._few:
+            self._few[segment["version"]] = [r[0] for r in self._table(segment["version"], "dead", "id string").collect()]
+        return self._few[segment["version"]]
+
     def _live(self, segments: list[dict], name: str, schema) -> DataFrame:
-        """The union of the segments' rows without those that a newer segment declares dead."""
+        """The union of the segments' rows without those that a newer segment declares dead: by name where a segment declares few, else by a join."""
         if not segments:
             return self.spark.createDataFrame([], schema)
-        newest = max((s["at"] for s in segments if s["dead"]), default=0)
-        own = [(s["at"], self._table(s["version"], name, schema)) for s in segments]
-        whole = [t for at, t in own if at >= newest]
-        mixed = [t.withColumn("_at", F.lit(at)) for at, t in own if at < newest]
+        few = [s for s in segments if 0 < s["dead"] <= FEW_DEAD]
+        many = [s for s in segments if s["dead"] > FEW_DEAD]
+        newest, parts, mixed = max((s["at"] for s in many), default=0), [], []
+        for s in segments:
+            rows = self._table(s["version"], name, schema)
+            if ids := sorted({i for n in few if n["at"] > s["at"] for i in self._named(n)}):
+                rows = rows.where(~F.col("id").isin(ids))
+            if s["at"] < newest:
+                mixed.append(rows.withColumn("_at", F.lit(s["at"])))
+            else:
+                parts.append(rows)
         if mixed:
-            rows, dead = reduce(DataFrame.unionByName, mixed), self._dead(segments)
+            rows, dead = reduce(DataFrame.unionByName, mixed), self._dead(many)
             gone = (rows["id"] == dead["id"]) & (rows["_at"] < dead["_until"])
-            whole.append(rows.join(dead, gone, "left_anti").drop("_at"))
-        return reduce(DataFrame.unionByName, whole)
+            parts.append(rows.join(dead, gone, "left_anti").drop("_at"))
+        return reduce(DataFrame.unionByName, parts)
 
     def read(self) -> tuple[DataFrame, DataFrame]:
         """(chunks, vectors) of the newest snapshot."""

@@ -35,12 +35,14 @@ def _rows(spark, held: dict):
     return rows, rows.select("id", "content_hash").join(vecs, "content_hash").select("id", "vector")
 
 
-def test_changes_equal_a_rewrite(spark, tmp_path):
+@pytest.mark.parametrize("few", [0, 2, 500])
+def test_changes_equal_a_rewrite(spark, tmp_path, monkeypatch, few):
     """Random changes segment by segment: tables, searches and counts are those of one whole rewrite."""
+    monkeypatch.setattr(store, "FEW_DEAD", few)  # dead ids by a join, by both, by name
     rng = random.Random(5)
     held, state = _store(spark, tmp_path / "index"), {}
     words = ["token", "expired", "auth", "config", "limit", "other", "thing"]
-    for step in range(5):
+    for step in range(4):
         new = {f"/d/{rng.randrange(12)}": " ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(rng.choice([1, 2, 9]))}
         drop = [p for p in state if p not in new and rng.random() < 0.2]
         chunks, _ = held.read()
