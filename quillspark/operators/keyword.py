@@ -157,14 +157,21 @@ def bm25(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
 def bm25_index(held: DataFrame, n: int, total: int, phrases: list[list[str]]) -> DataFrame:
     """(id, score) from stored postings of ``n`` chunks with ``total`` terms; only the query's terms are read."""
     phrases = [p for p in stems(phrases) if p]
-    parts = []
+    parts, single = [], {}
     for i, phrase in enumerate(phrases):
+        if len(phrase) == 1:
+            single.setdefault(phrase[0], []).append(i)
+            continue
         runs = held.where(F.col("term") == phrase[0]).select("id", "len", "tf", "positions")
         for k, word in enumerate(phrase[1:], 1):
             following = held.where(F.col("term") == word).select("id", F.col("positions").alias("_next"))
             runs = runs.join(following, "id").select("id", "len", F.array_intersect("positions", F.transform("_next", _back(k))).alias("positions"))
             runs = runs.withColumn("tf", F.size("positions")).where("tf > 0")
         parts.append(runs.select("id", "len", F.lit(i).alias("_p"), F.col("tf").alias("_tf")))
+    if single:  # all single words in one scan
+        of = F.create_map(*(x for w, own in single.items() for x in (F.lit(w), F.array(*map(F.lit, own)))))
+        runs = held.where(F.col("term").isin(list(single)))
+        parts.append(runs.select("id", "len", F.explode(F.element_at(of, F.col("term"))).alias("_p"), F.col("tf").alias("_tf")))
     if not parts:
         return held.select("id", F.lit(0.0).alias("score")).limit(0)
     tf = reduce(DataFrame.unionByName, parts)
