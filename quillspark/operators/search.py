@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 
 from quillspark import constants as C
 from quillspark.functions import text
-from quillspark.functions.vectors import cosine_distance
 from quillspark.operators import keyword
+from quillspark.operators.neighbours import Blocks, screened
 
 
-def knn(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """(id, distance) of the k nearest vectors (id, vector); zero vectors are left out."""
-    rows = vectors.select("id", cosine_distance(F.col("vector"), query).alias("distance")).where("distance is not null")
-    return rows.orderBy("distance", "id").limit(k)
+def knn(vectors: DataFrame | Blocks, query: list[float], k: int) -> DataFrame:
+    """(id, distance) of the k nearest vectors (id, vector), all of them or stored by block; zero vectors are left out."""
+    return vectors.nearest(query, k) if isinstance(vectors, Blocks) else screened(vectors, query, k)
 
 
 @dataclass
@@ -80,7 +79,7 @@ def _with_chunks(candidates: DataFrame, chunks: DataFrame, stored: Postings | No
     return chunks.join(F.broadcast(candidates), "id")
 
 
-def vector_search(chunks: DataFrame, vectors: DataFrame, query: list[float], top_k: int = 10, repo: str | None = None, include_notes: bool = True, stored: Postings | None = None) -> DataFrame:
+def vector_search(chunks: DataFrame, vectors: DataFrame | Blocks, query: list[float], top_k: int = 10, repo: str | None = None, include_notes: bool = True, stored: Postings | None = None) -> DataFrame:
     fetch = top_k if repo is None and include_notes else C.OVERFETCH * top_k
     found = _with_chunks(knn(vectors, query, fetch).withColumnRenamed("distance", "score"), chunks, stored)
     return _output(_filtered(found, repo, include_notes)).orderBy("score", "id").limit(top_k)
@@ -92,7 +91,7 @@ def bm25_search(chunks: DataFrame, query: str, top_k: int = 10, repo: str | None
     return _output(_filtered(_with_chunks(best, chunks, stored), repo, include_notes)).orderBy(F.desc("score"), "id").limit(top_k)
 
 
-def fused(chunks: DataFrame, vectors: DataFrame, query: list[float], words: str, top_k: int, stored: Postings | None = None) -> DataFrame:
+def fused(chunks: DataFrame, vectors: DataFrame | Blocks, query: list[float], words: str, top_k: int, stored: Postings | None = None) -> DataFrame:
     """Candidates of both lists with ranks from 0 and their fused score, the best first."""
     n = C.OVERFETCH * top_k
     near = _ranked(knn(vectors, query, n), "distance", "id").select("id", F.col("rank").alias("vector_rank"))
@@ -106,18 +105,18 @@ def _order():
     return F.desc("score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("bm25_rank")
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, query: list[float], words: str, top_k: int = 10, repo: str | None = None, include_notes: bool = True, stored: Postings | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, vectors: DataFrame | Blocks, query: list[float], words: str, top_k: int = 10, repo: str | None = None, include_notes: bool = True, stored: Postings | None = None) -> DataFrame:
     found = _with_chunks(fused(chunks, vectors, query, words, top_k, stored), chunks, stored)
     return _output(_filtered(found, repo, include_notes).orderBy(*_order()).limit(top_k))
 
 
-def explain(chunks: DataFrame, vectors: DataFrame, query: list[float], words: str, top_k: int = 8, repo: str | None = None, stored: Postings | None = None) -> DataFrame:
+def explain(chunks: DataFrame, vectors: DataFrame | Blocks, query: list[float], words: str, top_k: int = 8, repo: str | None = None, stored: Postings | None = None) -> DataFrame:
     """Hybrid search with both ranks, from 1; null where a list lacks the row."""
     found = _filtered(_with_chunks(fused(chunks, vectors, query, words, top_k, stored), chunks, stored), repo, True).orderBy(*_order()).limit(top_k)
     return _output(found.withColumns({"vector_rank": F.col("vector_rank") + 1, "bm25_rank": F.col("bm25_rank") + 1}), "vector_rank", "bm25_rank")
 
 
-def search(chunks: DataFrame, vectors: DataFrame, query: list[float] | None, words: str = "", top_k: int = 10, repo: str | None = None, mode: str = "hybrid", include_notes: bool = True, stored: Postings | None = None) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame | Blocks, query: list[float] | None, words: str = "", top_k: int = 10, repo: str | None = None, mode: str = "hybrid", include_notes: bool = True, stored: Postings | None = None) -> DataFrame:
     how = {"top_k": top_k, "repo": repo, "include_notes": include_notes, "stored": stored}
     if mode == "vector":
         return vector_search(chunks, vectors, query, **how)

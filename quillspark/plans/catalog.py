@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark import constants as C
 from quillspark.functions import files, identity, text, vectors
-from quillspark.operators import chunking, indexing, keyword, reports, results, search, store
+from quillspark.operators import chunking, indexing, keyword, neighbours, reports, results, search, store
 from quillspark.sources.shared import scratch
 from quillspark.streaming import watch
 
@@ -183,6 +183,14 @@ def knn_cosine(spark, sf):
     return search.knn(_vectors(spark, sf), _query_vector(spark, sf), 20).select("id", F.abs(F.round("distance", 6)).alias("distance"))
 
 
+@_query("knn_blocks", f"WITH {KNN} SELECT id, abs(round(distance, 6)) AS distance FROM kn ORDER BY kn.distance, id LIMIT 20")
+def knn_blocks(spark, sf):
+    """The same from an index by blocks, which it builds of all vectors."""
+    query = _query_vector(spark, sf)
+    index = neighbours.build(_vectors(spark, sf), scratch(spark, "blocks"), len(query), 32)
+    return index.nearest(query, 20).select("id", F.abs(F.round("distance", 6)).alias("distance"))
+
+
 @_query("knn_repo_filter", f"WITH {CTE}, {KNN}, top AS (SELECT * FROM kn ORDER BY distance, id LIMIT 100) SELECT id, source_path, abs(round(distance, 6)) AS score FROM top JOIN c USING (id) WHERE repo = 'src1' ORDER BY top.distance, id LIMIT 20")
 def knn_repo_filter(spark, sf):
     found = search.vector_search(_with_lines(_docs(spark, sf)), _vectors(spark, sf), _query_vector(spark, sf), 20, "src1")
