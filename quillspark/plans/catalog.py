@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark import constants as C
 from quillspark.functions import files, identity, text, vectors
-from quillspark.operators import chunking, indexing, keyword, neighbours, reports, results, search, store
+from quillspark.operators import chunking, colocated, indexing, keyword, neighbours, reports, results, search, store
 from quillspark.sources.shared import scratch
 from quillspark.streaming import watch
 
@@ -589,6 +589,35 @@ def embed_dedup(spark, sf):
     return indexing.embed_needed(indexing.plan(new, old), old)
 
 
+def _bucketed(spark, sf) -> tuple[DataFrame, colocated.Colocated]:
+    """The new chunks, and the stored state by bucket, each content's vector from the start of its hash."""
+    new, old = _states(spark, sf)
+    rows = old.withColumn("id", identity.chunk_id(F.col("source_path"), F.col("chunk_index")))
+    vecs = rows.select("id", F.array(F.conv(F.substring("content_hash", 1, 5), 16, 10).cast("float")).alias("vector"))
+    return new, colocated.write(rows, vecs, scratch(spark, "colocated"), 8)
+
+
+@_query("index_plan_colocated", f"WITH {_PLAN} SELECT * FROM pl WHERE source_path <> 'src1'")
+def index_plan_colocated(spark, sf):
+    """The plan of a run over all sources but one, which joins the stored places by bucket."""
+    new, held = _bucketed(spark, sf)
+    new = new.where("source_path <> 'src1'")
+    return held.plan(new, new)
+
+
+@_query("embed_dedup_colocated", f"WITH {_PLAN} SELECT DISTINCT content_hash FROM pl WHERE action = 'embed' AND content_hash NOT IN (SELECT h FROM od)")
+def embed_dedup_colocated(spark, sf):
+    new, held = _bucketed(spark, sf)
+    return held.to_embed(held.plan(new, new))
+
+
+@_query("vectors_colocated", f"WITH {_PLAN} SELECT DISTINCT h AS content_hash, ('0x' || substr(h, 1, 5))::INT::BIGINT AS vector FROM nw WHERE h IN (SELECT h FROM od)")
+def vectors_colocated(spark, sf):
+    """The stored vectors of contents that the new chunks hold."""
+    new, held = _bucketed(spark, sf)
+    return held.vectors(new).select("content_hash", F.get("vector", F.lit(0)).cast("long").alias("vector"))
+
+
 @_query("hash_map_by_index", f"WITH {_PLAN} SELECT source_path, sha256(string_agg(chunk_index || '=' || h, ',' ORDER BY chunk_index)) AS hashes FROM od GROUP BY 1")
 def hash_map_by_index(spark, sf):
     held = indexing.hash_map_by_index(_states(spark, sf)[1])
