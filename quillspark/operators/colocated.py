@@ -4,7 +4,8 @@
 content_hash) and ``contents``, a row per content with the vector of the largest id that
 holds it. Both are bucketed and sorted by what a run looks up. Only the run's side of a join,
 which is as large as what was scanned, moves to the buckets; what it meets there is as
-small, and later steps may shuffle that.
+small, and later steps may shuffle that. It is dealt by the tables' own number of buckets:
+left to the session's, the planner would shuffle the stored side whenever that is larger.
 
 A file with very many chunks would make one bucket as large as itself. Places are therefore
 dealt to ``PARTS`` parts by their index, and bucketed by path and part; the scanned paths are
@@ -46,11 +47,11 @@ def _store(rows: DataFrame, path: str, name: str, buckets: int) -> None:
     spark.createDataFrame([(buckets, columns)], "buckets int, columns string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}_told")
 
 
-def _attach(spark: SparkSession, path: str, name: str) -> DataFrame:
+def _attach(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, int]:
     told, table, keys = spark.read.parquet(f"{path}/{name}_told").first(), f"quill_{uuid.uuid4().hex}", ", ".join(_KEYS[name])
     spark.sql(f"CREATE TABLE {table} ({told['columns']}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {told['buckets']} BUCKETS LOCATION '{_quoted(path)}/{name}'")
     try:
-        return spark.table(table)
+        return spark.table(table), told["buckets"]
     finally:
         spark.sql(f"DROP TABLE {table}")
 
@@ -61,14 +62,17 @@ class Colocated:
 
     places: DataFrame
     contents: DataFrame
+    buckets: int
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Colocated:
-        return cls(*(_attach(spark, path, name) for name in _KEYS))
+        (places, buckets), (contents, _) = (_attach(spark, path, name) for name in _KEYS)
+        return cls(places, contents, buckets)
 
     def of(self, scanned: DataFrame) -> DataFrame:
         """The stored places of some files (source_path)."""
         parts = scanned.select("source_path").distinct().select("source_path", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        parts = parts.repartition(self.buckets, *_KEYS["places"])
         return self.places.join(parts, list(_KEYS["places"]), "left_semi").drop("part")
 
     def plan(self, new: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -77,11 +81,12 @@ class Colocated:
 
     def to_embed(self, planned: DataFrame) -> DataFrame:
         """Distinct hashes to embed that no stored file holds."""
-        return indexing.embed_needed(planned, self.contents)
+        return indexing.embed_needed(planned.repartition(self.buckets, "content_hash"), self.contents)
 
     def vectors(self, hashes: DataFrame) -> DataFrame:
         """(content_hash, vector) of the wanted contents (content_hash) that are stored."""
-        return self.contents.join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
+        wanted = hashes.select("content_hash").repartition(self.buckets, "content_hash").distinct()
+        return self.contents.join(wanted, "content_hash", "left_semi")
 
 
 def write(chunks: DataFrame, vectors: DataFrame, path: str, buckets: int) -> Colocated:

@@ -57,15 +57,18 @@ def test_equal_to_plain_tables_and_no_shuffle(spark, tables, tmp_path):
     assert _told(held.to_embed(planned)) == _told(indexing.embed_needed(expected, chunks))
     best = chunks.select("id", "content_hash").join(vectors, "id").groupBy("content_hash").agg(F.max_by("vector", "id").alias("vector"))
     assert _told(held.vectors(new)) == _told(best.join(new.select("content_hash").distinct(), "content_hash", "left_semi"))
-    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    kept = [spark.conf.get(name) for name in names]
     try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with a run too large to broadcast
-        for df in (held.of(scanned), held.plan(new, scanned), held.to_embed(held.plan(new, scanned)), held.vectors(new)):
-            told = _shuffled_scans(df)
-            assert told and set(told) == {"joined"}
+        spark.conf.set(names[0], "-1")  # as with a run too large to broadcast
+        for partitions in ("4", "200"):
+            spark.conf.set(names[1], partitions)
+            frames = (held.of(scanned), held.plan(new, scanned), held.to_embed(held.plan(new, scanned)), held.vectors(new))
+            assert [_shuffled_scans(df) for df in frames] == [["joined"] * n for n in (1, 2, 3, 1)]
         assert _shuffled_scans(held.places.groupBy("chunk_index").count()) == []  # a plan without use for buckets reads plainly
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        for name, value in zip(names, kept, strict=True):
+            spark.conf.set(name, value)
 
 
 def test_a_hot_file_is_spread(spark, tables, tmp_path):
