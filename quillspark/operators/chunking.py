@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,33 +96,51 @@ def _declared(rows: Column, marks: Column) -> Column:
     return _let(made, lambda m: F.when(F.size(m) > 0, m).otherwise(_windows(rows, F.lit(1))))
 
 
-def _syntax_trees(texts: pd.Series) -> pd.Series:
-    """Functions, classes and methods of Python sources; null where a text has none or doesn't parse."""
-    kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+#: Bytes of sources whose chunks are handed on together.
+SOURCES_AT_A_TIME = 1 << 20
+
 
-    def chunks(text: str):
-        try:
-            body = ast.parse(text).body
-        except (SyntaxError, ValueError, RecursionError):
-            return None
-        rows = text.splitlines()
-        tops = [n for n in body if isinstance(n, kinds)]
-        nodes = [m for n in tops for m in [n, *(x for x in (n.body if isinstance(n, ast.ClassDef) else []) if isinstance(x, kinds[:2]))]]
-        out = []
-        head = "\n".join(rows[: tops[0].lineno - 1]).strip() if tops else ""
-        if len(head.splitlines()) > 2:
-            out.append({"content": head, "start_line": 1, "end_line": tops[0].lineno - 1})
-        for n in nodes:
-            content = "\n".join(rows[n.lineno - 1 : n.end_lineno])
-            if content.strip():
-                out.append({"content": content, "start_line": n.lineno, "end_line": n.end_lineno})
-        return out or None
-
-    return texts.map(chunks)
+def _declared_nodes(text: str | None) -> list[tuple[str, int, int]] | None:
+    """Functions, classes and methods of a Python source with their lines; None where it has none or doesn't parse."""
+    kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+    try:
+        body = ast.parse(text).body
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+    rows = text.splitlines()
+    tops = [n for n in body if isinstance(n, kinds)]
+    nodes = [m for n in tops for m in [n, *(x for x in (n.body if isinstance(n, ast.ClassDef) else []) if isinstance(x, kinds[:2]))]]
+    out = []
+    head = "\n".join(rows[: tops[0].lineno - 1]).strip() if tops else ""
+    if len(head.splitlines()) > 2:
+        out.append((head, 1, tops[0].lineno - 1))
+    for n in nodes:
+        content = "\n".join(rows[n.lineno - 1 : n.end_lineno])
+        if content.strip():
+            out.append((content, n.lineno, n.end_lineno))
+    return out or None
+
+
+def _syntax_trees(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Chunks of each source, handed on some sources at a time: a task never holds those of a whole Arrow batch."""
+    kind = pa.list_(pa.struct([pa.field("content", pa.string()), pa.field("start_line", pa.int32()), pa.field("end_line", pa.int32())]))
+    names = ("content", "start_line", "end_line")
+    for batch in batches:
+        held, size = [], 0
+        for text in batch:
+            text = text.as_py()
+            found = None if text is None else _declared_nodes(text)
+            held.append(found and [dict(zip(names, c, strict=True)) for c in found])
+            size += len(text or "")
+            if size >= SOURCES_AT_A_TIME:
+                yield pa.array(held, kind)
+                held, size = [], 0
+        if held:
+            yield pa.array(held, kind)
 
 
 def syntax_tree(text: Column, rows: Column) -> Column:
-    return F.coalesce(F.pandas_udf(_syntax_trees, T.ArrayType(RAW_CHUNK))(text), windows(rows))
+    return F.coalesce(F.arrow_udf(_syntax_trees, T.ArrayType(RAW_CHUNK))(text), windows(rows))
 
 
 def split_oversized(chunks: Column) -> Column:
