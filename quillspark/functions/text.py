@@ -75,6 +75,7 @@ class Porter:
     STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
     STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
     LONGEST = 64
+    ENDS2, ENDS3, ENDS4 = (tuple(a for a, _ in STEP2), tuple(a for a, _ in STEP3), tuple(STEP4))
 
     @staticmethod
     def _shape(word: str) -> str:
@@ -122,15 +123,13 @@ class Porter:
                     break
         if w.endswith("y") and "v" in cls._shape(w[:-1]):
             w = w[:-1] + "i"
-        for table in (cls.STEP2, cls.STEP3):
-            hits = [(a, b) for a, b in table if w.endswith(a)]
-            if hits:
-                a, b = max(hits, key=lambda x: len(x[0]))
+        for table, ends in ((cls.STEP2, cls.ENDS2), (cls.STEP3, cls.ENDS3)):
+            if w.endswith(ends):  # most words have none of the suffixes
+                a, b = max(((a, b) for a, b in table if w.endswith(a)), key=lambda x: len(x[0]))
                 if cls._measure(w[: -len(a)]) > 0:
                     w = w[: -len(a)] + b
-        hits = [a for a in cls.STEP4 if w.endswith(a)]
-        if hits:
-            a = max(hits, key=len)
+        if w.endswith(cls.ENDS4):
+            a = max((a for a in cls.STEP4 if w.endswith(a)), key=len)
             rest = w[: -len(a)]
             if cls._measure(rest) > 1 and (a != "ion" or rest.endswith(("s", "t"))):
                 w = rest

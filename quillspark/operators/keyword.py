@@ -48,22 +48,34 @@ def _words(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return codes, words, rows
 
 
+#: Words that a task looks at together, however many an Arrow batch holds; a row with more stands alone.
+WORDS_AT_A_TIME = 1 << 19
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows with some ``WORDS_AT_A_TIME`` words, so that what a task holds doesn't grow with them."""
+    for batch in batches:
+        off, at = batch.column("t").offsets.to_numpy(), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(off, off[at] + WORDS_AT_A_TIME, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _positions(rows: np.ndarray) -> np.ndarray:
-    """The place of each word in its row."""
-    first = np.searchsorted(rows, rows, "left")
-    return np.arange(len(rows)) - first
+    """The place of each word in its row; rows are in order."""
+    size = np.bincount(rows)
+    return np.arange(len(rows)) - (np.cumsum(size) - size)[rows]
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Stems()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _parts(batches):
         codes, words, rows = _words(batch.column("t"))
         distinct: dict[str, int] = {}
         stem_of = np.array([distinct.setdefault(known[w], len(distinct)) for w in words], np.int64)
         term, pos = stem_of[codes] if len(codes) else codes, _positions(rows)
-        order = np.lexsort((pos, term, rows))
+        order = np.argsort(rows * len(distinct) + term, kind="stable")  # places are in order already
         term, pos, rows = term[order], pos[order], rows[order]
         new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (rows[1:] != rows[:-1])))) if len(term) else np.zeros(0, np.int64)
         size = np.bincount(rows, minlength=batch.num_rows)
@@ -111,7 +123,7 @@ def _counted(batches: Iterator[pa.RecordBatch], phrases: list[list[str]]) -> Ite
     """The length of each chunk and how often it holds each phrase; only words that may have a stem of the query's are stemmed."""
     known = _Stems()
     wanted = {s: k for k, s in enumerate(dict.fromkeys(s for p in phrases for s in p))}
-    for batch in batches:
+    for batch in _parts(batches):
         codes, words, rows = _words(batch.column("t"))
         held = pa.array(words, pa.string())
         which = np.full(len(words) + 1, -1, np.int64)
@@ -202,7 +214,7 @@ def _hits(batch: pa.RecordBatch, known: _Stems, vocabulary: dict[str, int]) -> t
 def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """A task's counts: chunks with each term, then (place -1) chunks and (place -2) words."""
     known, df, n, words = _Stems(), np.zeros(len(vocabulary), np.int64), 0, 0
-    for batch in batches:
+    for batch in _parts(batches):
         size, _, term, _ = _hits(batch, known, vocabulary)
         df += np.bincount(term, minlength=len(df))
         n, words = n + batch.num_rows, words + int(size.sum())

@@ -9,6 +9,31 @@ from quillspark.functions import identity
 from quillspark.operators import chunking, keyword, store
 
 
+def _batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.split() for t in texts], pa.list_(pa.string()))], names=["id", "t"])
+
+
+TEXTS = ["a b a", "", "running runs b", "c " * 9, "a", "b c"]
+
+
+@pytest.mark.parametrize("words", [1, 4, 1 << 19])
+def test_postings_come_in_parts(monkeypatch, words):
+    monkeypatch.setattr(keyword, "WORDS_AT_A_TIME", words)
+    out = [b.to_pylist() for b in keyword._postings(iter([_batch([]), _batch(TEXTS).slice(0, 6), _batch(["z", *TEXTS]).slice(1)]))]
+    got = sorted((r["id"], r["term"], r["len"], r["tf"], r["positions"]) for rows in out for r in rows)
+    own = [(0, "a", 3, 2, [0, 2]), (0, "b", 3, 1, [1]), (2, "b", 3, 1, [2]), (2, "run", 3, 2, [0, 1]), (3, "c", 9, 9, [*range(9)]), (4, "a", 1, 1, [0]), (5, "b", 2, 1, [0]), (5, "c", 2, 1, [1])]
+    assert got == sorted([*own, *((i + 1, *rest) for i, *rest in own)])
+    assert all(sum(r["tf"] for r in rows) <= max(words, 9) for rows in out)
+
+
+def test_counts_come_in_parts(monkeypatch):
+    monkeypatch.setattr(keyword, "WORDS_AT_A_TIME", 4)
+    out = list(keyword._counted(iter([_batch(TEXTS)]), phrases=[["run"], ["a", "b"]]))
+    assert [r["_len"] for b in out for r in b.to_pylist()] == [3, 0, 3, 9, 1, 2]
+    assert [r["_tf"] for b in out for r in b.to_pylist()] == [[0, 1], [0, 0], [2, 0], [0, 0], [0, 0], [0, 0]]
+    assert len(out) > 1
+
+
 def test_sources_are_handed_on_in_parts(spark, monkeypatch):
     source = "def f():\n    return 1\n"
     monkeypatch.setattr(chunking, "SOURCES_AT_A_TIME", 2 * len(source))
