@@ -167,31 +167,46 @@ def bm25(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
 
 
 def bm25_index(held: DataFrame, n: int, total: int, phrases: list[list[str]]) -> DataFrame:
-    """(id, score) from stored postings of ``n`` chunks with ``total`` terms; only the query's terms are read."""
+    """(id, score) from stored postings of ``n`` chunks with ``total`` terms.
+
+    One scan takes the postings of all the query's terms; they are dealt by chunk once, and
+    both the phrases' frequencies and the scores come from that.
+    """
     phrases = [p for p in stems(phrases) if p]
-    parts, single = [], {}
-    for i, phrase in enumerate(phrases):
-        if len(phrase) == 1:
-            single.setdefault(phrase[0], []).append(i)
-            continue
-        runs = held.where(F.col("term") == phrase[0]).select("id", "len", "tf", "positions")
-        for k, word in enumerate(phrase[1:], 1):
-            following = held.where(F.col("term") == word).select("id", F.col("positions").alias("_next"))
-            runs = runs.join(following, "id").select("id", "len", F.array_intersect("positions", F.transform("_next", _back(k))).alias("positions"))
-            runs = runs.withColumn("tf", F.size("positions")).where("tf > 0")
-        parts.append(runs.select("id", "len", F.lit(i).alias("_p"), F.col("tf").alias("_tf")))
-    if single:  # all single words in one scan
-        of = F.create_map(*(x for w, own in single.items() for x in (F.lit(w), F.array(*map(F.lit, own)))))
-        runs = held.where(F.col("term").isin(list(single)))
-        parts.append(runs.select("id", "len", F.explode(F.element_at(of, F.col("term"))).alias("_p"), F.col("tf").alias("_tf")))
-    if not parts:
+    if not phrases:
         return held.select("id", F.lit(0.0).alias("score")).limit(0)
-    tf = reduce(DataFrame.unionByName, parts)
+    follow = {w for p in phrases if len(p) > 1 for w in p}  # only these need their places
+    places = F.when(F.col("term").isin(follow), F.col("positions")).alias("positions") if follow else F.lit(None).cast("array<int>").alias("positions")
+    own = held.where(F.col("term").isin(sorted({w for p in phrases for w in p})))
+    own = own.select("id", F.struct("term", "len", "tf", places).alias("_h")).groupBy("id").agg(F.collect_list("_h").alias("_held"))
+    runs = F.concat(*(_runs(F.col("_held"), i, p) for i, p in enumerate(phrases)))
+    tf = own.select("id", F.explode(runs).alias("_r")).select("id", "_r.*")
     df = tf.groupBy("_p").agg(F.count("*").alias("_df"))  # one row per phrase of the query
     weight = _weight(F.col("_tf"), F.col("_df"), F.lit(n), F.col("len"), F.lit(total / max(n, 1)))
     return tf.join(F.broadcast(df), "_p").groupBy("id").agg(F.sum(weight).alias("score"))
 
 
+def _runs(held: Column, i: int, phrase: list[str]) -> Column:
+    """(len, _p, _tf) of phrase ``i`` from a chunk's postings of the query's terms."""
+    of = lambda word: F.filter(held, lambda h: h["term"] == word)
+    if len(phrase) == 1:
+        return F.transform(of(phrase[0]), lambda h: F.struct(h["len"].alias("len"), F.lit(i).alias("_p"), h["tf"].alias("_tf")))
+    runs = of(phrase[0])
+    for k, word in enumerate(phrase[1:], 1):
+        runs = _followed(runs, of(word), k)
+    return F.transform(F.filter(runs, lambda r: F.size(r["positions"]) > 0), lambda r: F.struct(r["len"].alias("len"), F.lit(i).alias("_p"), F.size(r["positions"]).alias("_tf")))
+
+
+def _followed(runs: Column, following: Column, k: int) -> Column:
+    """The runs whose ``k``-th next word is the following one."""
+
+    def one(r: Column) -> Column:
+        places = lambda h: F.array_intersect(r["positions"], F.transform(h["positions"], _back(k)))
+        return F.transform(following, lambda h: F.struct(r["len"].alias("len"), places(h).alias("positions")))
+
+    return F.flatten(F.transform(runs, one))
+
+
 def _back(k: int):
     return lambda p: p - k
 

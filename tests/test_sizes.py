@@ -43,3 +43,11 @@ def test_sources_are_handed_on_in_parts(spark, monkeypatch):
     rows = spark.createDataFrame([(i, source * (i % 3) or None) for i in range(50)], "id int, p string").coalesce(1)
     got = rows.select("id", F.size(chunking.syntax_tree(F.col("p"), F.split("p", "\n"))).alias("n")).collect()
     assert all(r.n == r.id % 3 for r in got if r.id % 3)
+
+
+def test_stored_bm25_reads_postings_once(spark):
+    docs = spark.createDataFrame([(0, "of the hend in the"), (1, "in the of"), (2, "hend"), (3, "the of")], "id long, content string")
+    found = keyword.bm25_index(keyword.postings(docs), 4, 11, [["of", "the"], ["hend"], ["in", "the"]])
+    assert {r.id for r in found.collect()} == {0, 1, 2}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1
