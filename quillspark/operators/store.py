@@ -159,6 +159,8 @@ class Snapshot:
 
 #: The newest segments are merged as soon as one has fewer rows than this many times all newer ones: their number stays logarithmic.
 MERGE_FACTOR = 2
+#: Files over which the postings of one term may be spread.
+TERM_FILES = 16
 #: Dead ids of a segment up to which readers name them in a filter.
 FEW_DEAD = 500
 
@@ -285,12 +287,14 @@ class SnapshotStore:
             fs, p = self._fs(t._staged.removeprefix(f"{self.path}/"))
             fs.delete(p, True)
 
-    def _write(self, chunks: DataFrame, vectors: DataFrame, dead: DataFrame | None, at: int, files: int | None) -> tuple[dict, int]:
+    def _write(self, chunks: DataFrame, vectors: DataFrame, dead: DataFrame | None, at: int, files: int | None, postings: DataFrame | None = None) -> tuple[dict, int]:
         """Writes a segment; returns what a manifest says of it and its count of terms.
 
         Chunks are clustered by repository and path, and postings by term, so that their
         statistics prune; ids, paths and hashes carry Bloom filters for lookups of a few.
         ``files`` deals a small segment to so many files without looking at its rows first.
+        Postings are made from the text, unless ``postings`` has them, and only once: they
+        are dealt by hash, since ranges would be drawn from a first pass over all of them.
         """
         version = uuid.uuid4().hex
         base = f"{self.path}/{version}"
@@ -312,8 +316,9 @@ class SnapshotStore:
 
         def texts() -> tuple[int, int]:
             count = write(clustered(chunks.select(*CHUNKS.names), "repo", "source_path", "chunk_index"), "chunks", ("id", "source_path", "content_hash"), n)["n"]
-            rows = keyword.postings(self._table(version, "chunks", CHUNKS).select("id", "content"))
-            return count, write(clustered(rows, "term", "id"), "postings", ("term",), F.coalesce(F.sum("tf"), F.lit(0)).alias("n"))["n"]
+            rows = postings.select(*POSTINGS.names) if postings is not None else keyword.postings(self._table(version, "chunks", CHUNKS).select("id", "content"))
+            dealt = rows.repartition("term", F.pmod(F.xxhash64("id"), F.lit(TERM_FILES))) if files is None else rows.repartition(files, "term")
+            return count, write(dealt.sortWithinPartitions("term", "id"), "postings", ("term",), F.coalesce(F.sum("tf"), F.lit(0)).alias("n"))["n"]
 
         def rest() -> int:
             own = vectors.select(*VECTORS.names)
@@ -389,8 +394,8 @@ class SnapshotStore:
         if first:  # what they declare dead in older ones stays so
             held = self._dead(own)
             dead = held.select("id").distinct() if held is not None else None
-        chunks, vectors = (self._live(own, name, schema) for name, schema in (("chunks", CHUNKS), ("vectors", VECTORS)))
-        merged, _ = self._write(chunks, vectors, dead, own[-1]["at"], None)
+        chunks, vectors, postings = (self._live(own, name, schema) for name, schema in (("chunks", CHUNKS), ("vectors", VECTORS), ("postings", POSTINGS)))
+        merged, _ = self._write(chunks, vectors, dead, own[-1]["at"], None, postings)
         fs, p = self._fs(own[-1]["version"])  # this change's own, which no manifest names
         fs.delete(p, True)
         return [*segments[:first], merged]

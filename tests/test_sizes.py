@@ -51,3 +51,34 @@ def test_stored_bm25_reads_postings_once(spark):
     assert {r.id for r in found.collect()} == {0, 1, 2}
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("MapInArrow") == 1
+
+
+def test_a_segment_makes_its_postings_once(spark, tmp_path, monkeypatch):
+    """And a merge takes those that are stored."""
+    seen, made = spark.sparkContext.accumulator(0), keyword.postings
+
+    def counted(chunks):
+        rows = made(chunks)
+
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return rows.mapInArrow(count, rows.schema)
+
+    monkeypatch.setattr(keyword, "postings", counted)
+
+    def rows(texts):
+        own = spark.createDataFrame([(str(i), t) for i, t in texts.items()], "id string, content string")
+        own = own.select("id", "content", identity.content_hash(F.col("content")).alias("content_hash"), F.concat(F.lit("/"), "id").alias("source_path"), F.lit("r").alias("repo"), F.lit("text").alias("language"), F.lit(0).alias("chunk_index"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(None).cast("timestamp").alias("indexed_at"))
+        return own, own.select("id", F.array(F.lit(1.0).cast("float")).alias("vector"))
+
+    held = store.SnapshotStore(spark, str(tmp_path), embed_dim=1)
+    held.commit(*rows({i: f"word{i} same" for i in range(6)}))
+    assert seen.value == 12
+    held.change(*rows({i: f"word{i} other" for i in range(4)}), held.read()[0].where("id < '4'").select("id", "content"))
+    assert seen.value == 20 and len(held.manifest()["segments"]) == 1
+    posted = {(r.term, r.id) for r in held.postings().rows.collect()}
+    assert posted == {(w, str(i)) for i in range(6) for w in (f"word{i}", "other" if i < 4 else "same")}
+    assert held.manifest()["terms"] == 12
