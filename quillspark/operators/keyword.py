@@ -238,9 +238,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int])
 
 
 def _best(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int], queries: list[tuple[int, list[int]]], idf: np.ndarray, average: float, top_k: int) -> Iterator[pa.RecordBatch]:
-    """Of each batch of chunks the best of every query."""
-    known = _Stems()
-    for batch in batches:
+    """A task's best of every query."""
+    known, best = _Stems(), None
+    for batch in _parts(batches):
         size, row, term, tf = _hits(batch, known, vocabulary)
         weight = idf[term] * tf * (C.BM25_K1 + 1) / (tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * size[row] / average))
         first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
@@ -259,7 +259,17 @@ def _best(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int], queries
             scores.append(score[rows])
         if at:
             rows = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(asked), pa.int64()), batch.column("id").take(rows), pa.array(np.concatenate(scores))], names=["query", "id", "score"])
+            found = pa.table([pa.array(np.concatenate(asked), pa.int64()), batch.column("id").take(rows), pa.array(np.concatenate(scores))], names=["query", "id", "score"])
+            best = _first(found if best is None else pa.concat_tables([best, found]), top_k)
+    if best is not None:
+        yield from best.combine_chunks().to_batches()
+
+
+def _first(found: pa.Table, top_k: int) -> pa.Table:
+    """The best rows of each query."""
+    found = found.sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+    query = found.column("query").to_numpy()
+    return found.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query, "left") < top_k))
 
 
 def bm25_batch(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
@@ -267,7 +277,7 @@ def bm25_batch(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
 
     A query's distinct terms count once each; scores have six places and ties go by id.
     Up to ``QUERIES_A_SCAN`` queries share two scans of the chunks, one for the corpus
-    statistics of their terms and one in which each Arrow batch hands on its best of every
+    statistics of their terms and one in which each task hands on its best of every
     query, so that no postings are shuffled. More queries take more such pairs of scans.
     """
     n = queries.count()

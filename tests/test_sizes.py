@@ -34,6 +34,14 @@ def test_counts_come_in_parts(monkeypatch):
     assert len(out) > 1
 
 
+def test_a_task_hands_on_its_best_of_each_query():
+    """Not those of each batch."""
+    batches = [_batch(["a", "b a", "a a"]), _batch(["a", "c", "a a a"])]
+    out = [r for b in keyword._best(iter(batches), {"a": 0, "b": 1}, [(7, [0]), (9, [1])], np.array([1.0, 1.0]), 2.0, 2) for r in b.to_pylist()]
+    assert [(r["query"], r["id"]) for r in out] == [(7, 2), (7, 2), (9, 1)]
+    assert out[0]["score"] >= out[1]["score"]
+
+
 def test_sources_are_handed_on_in_parts(spark, monkeypatch):
     source = "def f():\n    return 1\n"
     monkeypatch.setattr(chunking, "SOURCES_AT_A_TIME", 2 * len(source))
