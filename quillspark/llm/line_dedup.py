@@ -9,8 +9,10 @@ are, share one in 40,000 pairs, so that few candidates come from unlike lines.
 
 Candidates are verified by the exact Jaccard similarity of both sets: every member of a
 bucket with its first line, then all members of the buckets that hold several components
-still, whose intersections come from products of incidence matrices, so that pairs of a group
-of copies never become rows. Union-find keeps one line of each component, the first.
+still: pairs of up to 64 lines are listed, each once, and intersections in larger buckets come
+from products of incidence matrices, so that pairs of a group of copies never become rows.
+Shingles of a pair are compared as their characters, packed into integers, without hashes.
+Union-find keeps one line of each component, the first.
 
 Splitting, folding, joins and components are DataFrame operations. Signatures and
 verification run on Arrow batches: hashing every shingle with Spark's expressions takes
@@ -41,7 +43,9 @@ SHINGLE, THRESHOLD_PERCENT = 5, 80
 ROWS, WIDE, SLOPES = 6, 13, 2
 BANDS = WIDE * SLOPES
 _SLICE = 1 << 17  # bytes of lines worked on at a time
-#: Lines of a bucket that meet all others at a time, and shingles of them that a matrix has columns for.
+#: Lines of a bucket whose pairs are listed.
+_PAIRED = 64
+#: Lines of a larger bucket that meet all others at a time, and shingles of them that a matrix has columns for.
 _MEMBERS, _WIDTH = 1024, 4096
 #: Lines of a block, whose numbers fit 16 bits; bytes of band keys that a task sorts at a time.
 _BLOCK, _PART = 1 << 16, 8 << 20
@@ -50,7 +54,7 @@ _U = np.uint64
 
 def _codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lines data[off[i]:off[i+1]] (UTF-8), and offsets by line."""
-    at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[off]
+    at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))[off].astype(np.int64)
     return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), at
 
 
@@ -97,17 +101,43 @@ def band_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint32(16)
     h *= np.uint32(0x7FEB352D)
     h ^= h >> np.uint32(15)
-    h, first = _windows(h, codes, at)
+    # from a line's first run to its last, and what lies between them, which isn't used; a short line links with nothing
+    spans = np.stack((at[:-1], np.maximum(at[1:] - SHINGLE + 1, at[:-1] + 1)), 1).ravel()
+    h = np.append(h, np.uint32(0))
     turned = np.empty_like(h)
-    low = [np.minimum.reduceat(np.multiply(h, m, out=turned), first[:-1]).astype(_U) for m in _points()]
-    keys = np.zeros((len(off) - 1, BANDS), _U)
-    for b in range(BANDS):
-        slope, from_ = divmod(b, WIDE)
-        key = np.full(len(off) - 1, b + 1, _U)
-        for r in range(ROWS):
-            key = mix(key + low[r * WIDE + (from_ + slope * r) % WIDE])
-        keys[:, b] = key >> _U(16)
-    return keys
+    low = np.stack([np.minimum.reduceat(np.multiply(h, m, out=turned), spans)[::2] for m in _points()]).astype(_U)
+    slope, from_ = np.divmod(np.arange(BANDS), WIDE)
+    keys = np.arange(1, BANDS + 1).astype(_U)[:, None]
+    for r in range(ROWS):
+        keys = mix(keys + low[r * WIDE + (from_ + slope * r) % WIDE])
+    return (keys >> _U(16)).T
+
+
+def _packed(codes: np.ndarray, at: np.ndarray, spare: int) -> np.ndarray | None:
+    """The run of characters at each code point, as integers below ``2**(64 - spare)``, or None if they don't fit.
+
+    Characters are numbered from 1 in the order of code points, so that unlike runs have unlike
+    integers; a short line's run is filled up with zeros. What starts no run is all ones.
+    """
+    held = np.zeros(int(codes.max()) + 1, bool)
+    held[codes] = True
+    number = np.cumsum(held).astype(_U)
+    bits = int(number[-1]).bit_length()
+    if bits * SHINGLE + spare > 64:
+        return None
+    x = number.take(codes)
+    run, turned = x.copy(), np.empty_like(x)
+    for k in range(1, SHINGLE):
+        np.left_shift(run, _U(bits), out=turned)
+        run, turned = turned, run
+        run[:-k] |= x[k:]
+    n = np.diff(at)
+    short = n < SHINGLE
+    drop = (bits * (SHINGLE - n[short])).astype(_U)
+    run[at[:-1][short]] = run[at[:-1][short]] >> drop << drop
+    for back in range(1, SHINGLE):  # a line's last characters start no run, but a short line's first stands for it
+        run[(at[1:] - back)[n > back]] = _U((1 << 64) - 1)
+    return run
 
 
 def _pieces(batch: pa.RecordBatch, columns: tuple[str, ...], size: int = _SLICE):
@@ -196,37 +226,47 @@ def _buckets(batches):
         yield settled(held)
 
 
+def _sizes(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Of each pair of lines the sizes of the intersection of their shingle sets and of both sets (3 x pairs)."""
+    n = len(x)
+    sides = [_codes(*raw(c)) for c in (x, y)]
+    codes = np.concatenate([c for c, _ in sides])
+    at = np.concatenate((sides[0][1], sides[1][1][1:] + len(sides[0][0])))
+    spare = max(n - 1, 0).bit_length() + 1
+    run = _packed(codes, at, spare)
+    if run is None and n > 1:  # many characters: fewer pairs at a time
+        return np.concatenate([_sizes(*(c.slice(k, n - n // 2) for c in (x, y))) for k in (0, n - n // 2)], 1)
+    if run is None:
+        sets = [set(shingles(*raw(c))[0].tolist()) for c in (x, y)]
+        return np.array([[len(sets[0] & sets[1])], [len(sets[0])], [len(sets[1])]], np.int32)
+    pair = np.tile(np.arange(n).astype(_U) << _U(64 - spare + 1), 2)
+    own = np.repeat(pair, np.diff(at))
+    # pair, run and side from the highest bit on, so that one sort brings equal runs of a pair together
+    starts = run != _U((1 << 64) - 1)
+    run = (run << _U(1)) | own
+    run[len(sides[0][0]) :] |= _U(1)
+    run = np.sort(run[starts])
+    run = run[np.concatenate(([True], run[1:] != run[:-1]))]
+    of = (run >> _U(64 - spare + 1)).astype(np.int64) if spare > 1 else np.zeros(len(run), np.int64)
+    second = (run & _U(1)).astype(bool)
+    again = np.flatnonzero((run[1:] ^ run[:-1]) == 1)
+    again = again[~second[again]]
+    return np.stack([np.bincount(i, minlength=n) for i in (of[again], of[~second], of[second])]).astype(np.int32)
+
+
 def _compared(batches):
     """Sizes of both shingle sets of each pair of lines, and of their intersection."""
     for batch in batches:
         for a, b in _pieces(batch, ("x", "y")):
-            sides = [shingles(*raw(batch.column(c).slice(a, b - a))) for c in ("x", "y")]
-            h = np.concatenate([h for h, _ in sides])
-            order = np.argsort(h)
-            rank = np.empty(len(h), _U)  # equal hashes have equal ranks, of fewer bits
-            rank[order] = np.cumsum(np.concatenate(([0], h[order][1:] != h[order][:-1]))).astype(_U)
-            sets, at = [], 0
-            for _, off in sides:
-                pair = np.repeat(np.arange(b - a).astype(_U) << _U(32), np.diff(off))
-                both = np.sort(pair | rank[at : at + off[-1]])
-                sets.append(both[np.concatenate(([True], both[1:] != both[:-1]))])
-                at += off[-1]
-            every = np.sort(np.concatenate(sets))
-            again = every[1:][every[1:] == every[:-1]]
-            sizes = [np.bincount((s >> _U(32)).astype(np.int64), minlength=b - a).astype(np.int32) for s in (again, *sets)]
+            sizes = _sizes(*(batch.column(c).slice(a, b - a) for c in ("x", "y")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("a", "b")), *map(pa.array, sizes)], names=["a", "b", "both", "n_a", "n_b"])
 
 
-def _verified(pairs: DataFrame, unique: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) with the sizes of their sets (n_a, n_b) and of the intersection (both)."""
-    pairs = materialise(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = materialise(unique.join(ids, "id", "left_semi").select("id", "line"), "texts")
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     out = materialise(map_arrow(rows.select("a", "b", "x", "y"), _compared, "a long, b long, both int, n_a int, n_b int"), "compared")
-    drop_table(pairs)
-    drop_table(texts)
-    release(unique.sparkSession)
+    release(texts.sparkSession)
     return out
 
 
@@ -280,26 +320,30 @@ def _crossed(batches, percent: int):
         yield settled(rows)
 
 
-def _apart(members: DataFrame, parts: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
+def _apart(members: DataFrame, parts: DataFrame, texts: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of a bucket that the first ones have left in different components.
 
-    The members of such a bucket meet in groups of two of its blocks; a block has about
-    ``_MEMBERS`` lines, so no bucket is too large for a task.
+    Of a bucket of up to ``_PAIRED`` lines the pairs are compared that haven't been, each once
+    however many buckets share it. The members of a larger one meet in groups of two of its
+    blocks; a block has about ``_MEMBERS`` lines, so no bucket is too large for a task.
     """
     placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")).distinct()
     counted = placed.groupBy("key", "label").agg(F.count("*").alias("m"))
     main = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels"), F.sum("m").alias("m")).where("labels > 1").select("key", "main", "m")
     main = materialise(main, "main")  # a join of its own, so that a key with many members can be split
-    apart = materialise(placed.join(main, "key").select("key", "id", "label", (F.col("label") != F.col("main")).alias("few"), F.ceil(F.col("m") / _MEMBERS).cast("int").alias("blocks")), "apart")
-    texts = materialise(unique.join(apart.select("id").distinct(), "id", "left_semi").select("id", "line"), "texts")
-    rows = apart.join(texts, "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    apart = materialise(placed.join(main, "key").select("key", "id", "label", (F.col("label") != F.col("main")).alias("few"), "m"), "apart")
+    few, rest = (apart.where(f"m <= {_PAIRED}").select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "few"))) for k in "xy")
+    pairs = few.where("few_x").join(rest, "key").where("label_x <> label_y").select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
+    pairs = pairs.join(compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    near = _links(_verified(pairs, texts), percent)
+    large = apart.where(f"m > {_PAIRED}").withColumn("blocks", F.ceil(F.col("m") / _MEMBERS).cast("int"))
+    rows = large.join(texts.select("id", "line"), "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "id", "label", "few", "block", "line")
     rows = rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    out = materialise(map_arrow(rows, partial(_crossed, percent=percent), "a long, b long").distinct(), "links")
+    out = materialise(map_arrow(rows, partial(_crossed, percent=percent), "a long, b long").union(near).distinct(), "links")
     drop_table(apart)
-    drop_table(texts)
-    release(unique.sparkSession)
+    release(texts.sparkSession)
     return out
 
 
@@ -308,9 +352,10 @@ def lines_of(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
     rows = rows.select("doc_id", "_row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("line", F.lower(F.trim("line"))).withColumn("digest", F.when(F.col("line").rlike(r"\S"), F.unhex(F.md5("line"))))
-    lines = materialise(rows.select("doc_id", "_row", "pos", "digest"), "lines")
-    unique = rows.where("digest is not null").select("digest", "line").distinct()
+    rows = rows.withColumn("line", F.lower(F.trim("line")))
+    filled, digest = F.col("line").rlike(r"\S"), F.unhex(F.md5("line"))
+    lines = materialise(rows.select("doc_id", "_row", "pos", F.when(filled, digest).alias("digest")), "lines")
+    unique = rows.where(filled).select(digest.alias("digest"), "line").distinct()
     unique = materialise(unique.withColumn("id", F.monotonically_increasing_id()), "unique")
     release(spark)
     parts = max(1, -(-unique.count() * BANDS * 8 // _PART))
@@ -318,17 +363,22 @@ def lines_of(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     members = map_arrow(signed.repartition(parts, "part").sortWithinPartitions("part"), _buckets, "key long, centre long, id long")
     members = materialise(members, "members")
     release(spark)
-    compared = _verified(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), unique)
+    # what candidates need from here on, in place of all texts
+    ids = members.select("id").union(members.select("centre")).distinct()
+    texts = materialise(unique.join(ids, "id", "left_semi"), "texts")
+    drop_table(unique)
+    release(spark)
+    compared = _verified(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), texts)
     links = materialise(_links(compared, percent), "links")
     parts = components(links)
-    more = _apart(members, parts, unique, percent)
+    more = _apart(members, parts, texts, compared, percent)
     if not more.isEmpty():
         parts = components(links.union(more))
     drop_table(members)
     release(spark)
     # from the numbers of unlike texts to their digests, which occurrences carry
-    named = unique.select("id", "digest").join(parts.withColumnRenamed("node", "id"), "id")
-    named = named.select("digest", "label").join(unique.select(F.col("id").alias("label"), F.col("digest").alias("name")), "label").select("digest", "name")
+    named = texts.select("id", "digest").join(parts.withColumnRenamed("node", "id"), "id")
+    named = named.select("digest", "label").join(texts.select(F.col("id").alias("label"), F.col("digest").alias("name")), "label").select("digest", "name")
     placed = lines.join(named, "digest", "left").select("doc_id", "_row", "pos", F.coalesce("name", "digest").alias("label"))
     placed = materialise(placed, "placed")
     kept = materialise(placed.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "_row", "pos")).alias("first")), "kept")

@@ -676,3 +676,45 @@ def test_line_dedup_equals_brute_force(spark):
     for k, x in enumerate(lines):
         want.setdefault(group[k], set()).add(x)
     assert links and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_line_dedup_compares_a_pair_once(spark, monkeypatch):
+    """Buckets of up to ``_PAIRED`` lines hand on pairs of lines, none of them twice, and no members with their texts."""
+    rng = random.Random(21)
+    lines = []
+    for _ in range(40):  # a line, and others that stray from it by some steps of six words each
+        words = _text(rng, 60).split()
+        for _ in range(6):
+            lines.append(" ".join(words))
+            for k in rng.sample(range(60), 6):
+                words[k] = _text(rng, 1)
+    seen, grouped = [], []
+    real = line_dedup.map_arrow
+
+    def spied(df, function, schema):
+        if function is line_dedup._compared:
+            seen.extend((max(r.a, r.b), min(r.a, r.b)) for r in df.select("a", "b").collect())
+        if getattr(function, "func", None) is line_dedup._crossed:
+            grouped.append(df.count())
+        return real(df, function, schema)
+
+    monkeypatch.setattr(line_dedup, "map_arrow", spied)
+    got = {}
+    for r in line_dedup.lines_of(_frame(spark, [(k, x, "s") for k, x in enumerate(lines)])).collect():
+        got.setdefault(bytes(r.label), set()).add(r.doc_id)
+    sets = [_characters(x) for x in lines]
+    group = _components(range(len(lines)), [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    want = {}
+    for k, g in group.items():
+        want.setdefault(g, set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert grouped == [0] and len(seen) == len(set(seen)) > 0
+
+
+def test_sizes_of_shingle_sets():
+    """Short lines, repeated runs and more characters than fit a word of 64 bits."""
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 6000)))
+    pairs = [("ab", "abcd"), ("a", "a"), ("abcde", "abcd"), ("😀", "😀é"), ("x" * 300, "x" * 7), (wide, wide[9:] + "é"), ("one line of text", "one line of test")]
+    x, y = (pa.array(c) for c in zip(*pairs, strict=True))
+    want = [(len(_characters(a) & _characters(b)), len(_characters(a)), len(_characters(b))) for a, b in pairs]
+    assert list(zip(*line_dedup._sizes(x, y).tolist(), strict=True)) == want
