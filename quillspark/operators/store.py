@@ -17,6 +17,7 @@ from quillspark import constants as C
 from quillspark.functions import identity
 from quillspark.operators import keyword, search
 from quillspark.schema import CHUNKS, EXPORT, POSTINGS, VECTORS
+from quillspark.sources.shared import release
 
 
 def last_by_id(batch: DataFrame, order: str | None = None) -> DataFrame:
@@ -159,10 +160,12 @@ class Snapshot:
 
 #: The newest segments are merged as soon as one has fewer rows than this many times all newer ones: their number stays logarithmic.
 MERGE_FACTOR = 2
-#: Files over which the postings of one term may be spread.
-TERM_FILES = 16
 #: Dead ids of a segment up to which readers name them in a filter.
 FEW_DEAD = 500
+#: Chunks of a segment from which on their shuffle files are deleted before postings are written.
+RELEASED = 10_000
+#: Dead ids up to which they are sent to all rows; beyond, rows are dealt by id to meet them.
+SENT_DEAD = 1_500_000
 
 
 class SnapshotStore:
@@ -236,7 +239,10 @@ class SnapshotStore:
         return self._few[segment["version"]]
 
     def _live(self, segments: list[dict], name: str, schema) -> DataFrame:
-        """The union of the segments' rows without those that a newer segment declares dead: by name where a segment declares few, else by a join."""
+        """The union of the segments' rows without those that a newer segment declares dead: by name where a segment declares few, else by a join.
+
+        Texts and postings aren't shuffled for that join unless there are very many dead ids.
+        """
         if not segments:
             return self.spark.createDataFrame([], schema)
         few = [s for s in segments if 0 < s["dead"] <= FEW_DEAD]
@@ -252,6 +258,8 @@ class SnapshotStore:
                 parts.append(rows)
         if mixed:
             rows, dead = reduce(DataFrame.unionByName, mixed), self._dead(many)
+            if sum(s["dead"] for s in many) <= SENT_DEAD:
+                dead = F.broadcast(dead)
             gone = (rows["id"] == dead["id"]) & (rows["_at"] < dead["_until"])
             parts.append(rows.join(dead, gone, "left_anti").drop("_at"))
         return reduce(DataFrame.unionByName, parts)
@@ -290,11 +298,12 @@ class SnapshotStore:
     def _write(self, chunks: DataFrame, vectors: DataFrame, dead: DataFrame | None, at: int, files: int | None, postings: DataFrame | None = None) -> tuple[dict, int]:
         """Writes a segment; returns what a manifest says of it and its count of terms.
 
-        Chunks are clustered by repository and path, and postings by term, so that their
-        statistics prune; ids, paths and hashes carry Bloom filters for lookups of a few.
-        ``files`` deals a small segment to so many files without looking at its rows first.
-        Postings are made from the text, unless ``postings`` has them, and only once: they
-        are dealt by hash, since ranges would be drawn from a first pass over all of them.
+        Chunks are clustered by repository and path, and each file of postings is sorted by
+        term, so that their statistics prune; ids, paths and hashes carry Bloom filters for
+        lookups of a few. ``files`` deals a small segment to so many files without looking at
+        its rows first. Postings are made from the text, unless ``postings`` has them, and
+        only once. They are the largest table, so those of a large segment are sorted where
+        they are made, without a shuffle; shuffle files of the chunks go before that.
         """
         version = uuid.uuid4().hex
         base = f"{self.path}/{version}"
@@ -306,7 +315,7 @@ class SnapshotStore:
             seen, out = Observation(), rows
             if counted:
                 out = rows.observe(seen, *counted)
-            w = out.write
+            w = out.write.option("compression", "zstd")
             for c in bloom:
                 w = w.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", "100000")
             w.parquet(f"{base}/{name}")
@@ -316,8 +325,10 @@ class SnapshotStore:
 
         def texts() -> tuple[int, int]:
             count = write(clustered(chunks.select(*CHUNKS.names), "repo", "source_path", "chunk_index"), "chunks", ("id", "source_path", "content_hash"), n)["n"]
+            if files is None and count >= RELEASED:
+                release(self.spark)
             rows = postings.select(*POSTINGS.names) if postings is not None else keyword.postings(self._table(version, "chunks", CHUNKS).select("id", "content"))
-            dealt = rows.repartition("term", F.pmod(F.xxhash64("id"), F.lit(TERM_FILES))) if files is None else rows.repartition(files, "term")
+            dealt = rows if files is None else rows.repartition(files, "term")
             return count, write(dealt.sortWithinPartitions("term", "id"), "postings", ("term",), F.coalesce(F.sum("tf"), F.lit(0)).alias("n"))["n"]
 
         def rest() -> int:

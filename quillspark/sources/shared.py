@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -24,3 +26,15 @@ def scratch(spark: SparkSession, label: str) -> str:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished jobs now instead of at some later collection of garbage.
+
+    Py4J lets go of plans in a thread of its own that looks once a second, and Spark's
+    listeners hold the last one for a moment, so one collection at once would find them held.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.1)
+        spark.sparkContext._jvm.System.gc()

@@ -90,3 +90,34 @@ def test_a_segment_makes_its_postings_once(spark, tmp_path, monkeypatch):
     posted = {(r.term, r.id) for r in held.postings().rows.collect()}
     assert posted == {(w, str(i)) for i in range(6) for w in (f"word{i}", "other" if i < 4 else "same")}
     assert held.manifest()["terms"] == 12
+
+
+@pytest.mark.parametrize("sent", [0, 10])
+def test_dead_ids_meet_texts_without_shuffling_them(spark, tmp_path, monkeypatch, sent):
+    """Up to so many, whatever Spark thinks of the tables' sizes; and postings are written where they are made."""
+    monkeypatch.setattr(store, "FEW_DEAD", 0)
+    monkeypatch.setattr(store, "SENT_DEAD", sent)
+    monkeypatch.setattr(store, "RELEASED", 1)
+    held = store.SnapshotStore(spark, str(tmp_path), embed_dim=1)
+
+    def rows(ids, word):
+        own = spark.createDataFrame([(f"{i:02}", f"word{i % 7} {word}") for i in ids], "id string, content string").repartition(3)
+        own = own.select("id", "content", identity.content_hash(F.col("content")).alias("content_hash"), F.concat(F.lit("/"), "id").alias("source_path"), F.lit("r").alias("repo"), F.lit("text").alias("language"), F.lit(0).alias("chunk_index"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(None).cast("timestamp").alias("indexed_at"))
+        return own, own.select("id", F.array(F.lit(1.0).cast("float")).alias("vector"))
+
+    held.commit(*rows(range(40), "same"))
+    held.change(*rows(range(3), "other"), held.read()[0].where("id < '03'").select("id", "content"))
+    assert len(held.manifest()["segments"]) == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        live = held.snapshot()
+        for table in (live.chunks, live.vectors, live.postings.rows):
+            plan = table._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning(id" in plan) == (sent == 0)
+        assert {(r.id, r.content) for r in live.chunks.collect()} == {(f"{i:02}", f"word{i % 7} {'other' if i < 3 else 'same'}") for i in range(40)}
+        assert {(r.term, r.id) for r in live.postings.rows.collect()} == {(w, f"{i:02}") for i in range(40) for w in (f"word{i % 7}", "other" if i < 3 else "same")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first = held.manifest()["segments"][0]["version"]
+    placed = held._table(first, "postings", store.POSTINGS).select(F.input_file_name().alias("f"), "term", F.monotonically_increasing_id().alias("n")).orderBy("f", "n").collect()
+    assert all(a.term <= b.term for a, b in zip(placed, placed[1:]) if a.f == b.f)
