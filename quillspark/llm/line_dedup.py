@@ -49,6 +49,8 @@ _PAIRED = 64
 _MEMBERS, _WIDTH = 1024, 4096
 #: Lines of a block, whose numbers fit 16 bits; bytes of band keys that a task sorts at a time.
 _BLOCK, _PART = 1 << 16, 8 << 20
+#: Ranges of hashes that a line's shingles are counted by.
+_RANGES = 128
 _U = np.uint64
 
 
@@ -262,9 +264,40 @@ def _compared(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("a", "b")), *map(pa.array, sizes)], names=["a", "b", "both", "n_a", "n_b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes of their sets (n_a, n_b) and of the intersection (both)."""
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+def _sketched(batches):
+    """Of each line the number of its shingles, and the counts by range of their hashes where all fit a byte."""
+    for batch in batches:
+        for a, b in _pieces(batch, ("line",)):
+            for lo in range(a, b, 4096):
+                ids, lines = (batch.column(c).slice(lo, min(b - lo, 4096)) for c in ("id", "line"))
+                h, off = shingles(*raw(lines))
+                h = np.sort((h >> _U(12)) | np.repeat(np.arange(len(ids)).astype(_U) << _U(52), np.diff(off)))
+                h = h[np.concatenate(([True], h[1:] != h[:-1]))]
+                of = (h >> _U(52)).astype(np.int64) * _RANGES + (mix(h & _U((1 << 52) - 1)) % _U(_RANGES)).astype(np.int64)
+                counts = np.bincount(of, minlength=len(ids) * _RANGES).reshape(len(ids), _RANGES)
+                told = [c.tobytes() if fine else None for c, fine in zip(counts.astype(np.uint8), counts.max(1) < 256, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(counts.sum(1), pa.int32()), pa.array(told, pa.binary())], names=["id", "n", "counts"])
+
+
+def _possible(batches, percent: int):
+    """The pairs whose intersection may be large enough; one more is granted, for hashes that meet."""
+    for batch in batches:
+        x, y = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_x", "n_y"))
+        most = np.minimum(x, y)
+        told = np.flatnonzero(batch.column("x").is_valid().to_numpy(zero_copy_only=False) & batch.column("y").is_valid().to_numpy(zero_copy_only=False))
+        if len(told):
+            c, d = (np.frombuffer(raw(batch.column(k).take(pa.array(told)))[0], np.uint8).reshape(-1, _RANGES) for k in ("x", "y"))
+            most[told] = np.minimum(c, d).sum(1, dtype=np.int64)
+        most += 1
+        fine = pa.array(100 * most >= percent * (x + y - most))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(fine) for c in ("a", "b")], names=["a", "b"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) that may be links, with the sizes of their sets (n_a, n_b) and of the intersection (both)."""
+    x, y = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{k}"), F.col("counts").alias(k)) for c, k in (("a", "x"), ("b", "y")))
+    near = map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "n_x", "n_y", "x", "y"), partial(_possible, percent=percent), "a long, b long")
+    rows = near.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     out = materialise(map_arrow(rows.select("a", "b", "x", "y"), _compared, "a long, b long, both int, n_a int, n_b int"), "compared")
     release(texts.sparkSession)
     return out
@@ -320,7 +353,12 @@ def _crossed(batches, percent: int):
         yield settled(rows)
 
 
-def _apart(members: DataFrame, parts: DataFrame, texts: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
+def _starred(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members and their buckets' first lines."""
+    return members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+
+
+def _apart(members: DataFrame, parts: DataFrame, texts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of a bucket that the first ones have left in different components.
 
     Of a bucket of up to ``_PAIRED`` lines the pairs are compared that haven't been, each once
@@ -334,8 +372,8 @@ def _apart(members: DataFrame, parts: DataFrame, texts: DataFrame, compared: Dat
     apart = materialise(placed.join(main, "key").select("key", "id", "label", (F.col("label") != F.col("main")).alias("few"), "m"), "apart")
     few, rest = (apart.where(f"m <= {_PAIRED}").select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "label", "few"))) for k in "xy")
     pairs = few.where("few_x").join(rest, "key").where("label_x <> label_y").select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
-    pairs = pairs.join(compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    near = _links(_verified(pairs, texts), percent)
+    pairs = pairs.join(_starred(members).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    near = _links(_verified(pairs, texts, sketches, percent), percent)
     large = apart.where(f"m > {_PAIRED}").withColumn("blocks", F.ceil(F.col("m") / _MEMBERS).cast("int"))
     rows = large.join(texts.select("id", "line"), "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -368,10 +406,10 @@ def lines_of(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     texts = materialise(unique.join(ids, "id", "left_semi"), "texts")
     drop_table(unique)
     release(spark)
-    compared = _verified(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), texts)
-    links = materialise(_links(compared, percent), "links")
+    sketches = materialise(map_arrow(texts.select("id", "line"), _sketched, "id long, n int, counts binary"), "sketches")
+    links = materialise(_links(_verified(_starred(members), texts, sketches, percent), percent), "links")
     parts = components(links)
-    more = _apart(members, parts, texts, compared, percent)
+    more = _apart(members, parts, texts, sketches, percent)
     if not more.isEmpty():
         parts = components(links.union(more))
     drop_table(members)

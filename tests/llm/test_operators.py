@@ -718,3 +718,25 @@ def test_sizes_of_shingle_sets():
     x, y = (pa.array(c) for c in zip(*pairs, strict=True))
     want = [(len(_characters(a) & _characters(b)), len(_characters(a)), len(_characters(b))) for a, b in pairs]
     assert list(zip(*line_dedup._sizes(x, y).tolist(), strict=True)) == want
+
+
+def test_only_pairs_that_may_be_links_are_compared(spark, monkeypatch):
+    """All pairs of unlike lines, copies with changes, short and very long lines: no link is lost, few others take their texts along."""
+    rng = random.Random(8)
+    lines = ["a", "b", "abcd", "abcde", "abcdef", "x" * 300, "x" * 7, "😀" * 6, "long " * 9000, "long " * 9000 + "end", "".join(rng.choices("abcdefghijklmnop", k=60_000))]
+    for _ in range(12):
+        words = _text(rng, 50).split()
+        for k in range(4):
+            lines.append(" ".join(words[k:] + [_text(rng, 1)] * k))
+    lines.append(lines[10][: int(len(lines[10]) * 0.9)])
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    sets = [_characters(x) for x in lines]
+    pairs = list(itertools.combinations(range(len(lines)), 2))
+    links = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    sketches = line_dedup.map_arrow(texts, line_dedup._sketched, "id long, n int, counts binary").cache()
+    assert [r.n for r in sketches.orderBy("id").collect()] == [len(x) for x in sets]
+    assert sketches.where("counts is null").count() > 0
+    found = line_dedup._verified(spark.createDataFrame(pairs, "a long, b long"), texts, sketches, 80)
+    seen = {(r.a, r.b): (r.both, r.n_a, r.n_b) for r in found.collect()}
+    assert links and links <= set(seen) and len(seen) < len(links) + len(pairs) // 20
+    assert all(seen[a, b] == (len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a, b in seen)
